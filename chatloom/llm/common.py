@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -68,3 +69,42 @@ def pieces(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = 4 << 2
 def texts_of(batch: pa.RecordBatch, text_col: str) -> list[bytes]:
     """The UTF-8 bytes of a text column; null is the empty text."""
     return [x or b"" for x in batch.column(text_col).cast(pa.binary()).to_pylist()]
+
+
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+class WordHashes:
+    """Hashes of word sequences of many documents at once.
+
+    ``docs`` are words joined by single spaces, one word at least each. ``begin`` and ``end`` are the
+    byte bounds of each word in ``text``, ``doc`` its document number, ``first`` the number of each
+    document's first word. Equal sequences have equal hashes, wherever they stand.
+    """
+
+    def __init__(self, docs: list[bytes]):
+        self.text = b" ".join(docs)
+        raw = np.frombuffer(self.text, np.uint8)
+        space = np.flatnonzero(raw == 32)
+        self.begin, self.end = np.concatenate([[0], space + 1]), np.concatenate([space, [len(raw)]])
+        count = np.array([d.count(b" ") + 1 for d in docs])
+        self.doc = np.repeat(np.arange(len(docs)), count)
+        self.first = np.cumsum(count) - count
+        terms = (raw.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(raw))
+        self._prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
+        self._inverse = _powers(pow(_BASE, -1, 1 << 64), len(raw))
+
+    def sequences(self, n: int) -> np.ndarray:
+        """Hash of the ``n`` words from each word on; also across documents, which the caller leaves out."""
+        if n > len(self.begin):
+            return np.zeros(0, np.uint64)
+        low, high = self.begin[: len(self.begin) - n + 1], self.end[n - 1 :]
+        h = (self._prefix[high] - self._prefix[low]) * self._inverse[low]
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(29))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, pii, quality, simhash, substring_dedup, token_store, url_filter
+from . import byte_bpe, decontaminate, lm_score, pii, quality, simhash, substring_dedup, token_store, url_filter
 from .common import new_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,27 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
+
+
+ORACLES["op6_lm_score"] = r"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+words AS (SELECT r, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM docs),
+pairs AS (SELECT r, p, w, lag(w) OVER (PARTITION BY r ORDER BY p) AS v FROM words),
+one AS (SELECT w, count(*) AS n FROM words GROUP BY 1),
+two AS (SELECT v, w, count(*) AS n FROM pairs WHERE v IS NOT NULL GROUP BY 1, 2),
+total AS (SELECT count(*) AS n FROM words),
+scored AS (SELECT r, CASE WHEN two.n >= 2 THEN ln(two.n / ctx.n) WHEN pairs.v IS NOT NULL THEN ln(0.4) + ln(one.n / total.n) ELSE ln(one.n / total.n) END AS s,
+                  pairs.v IS NOT NULL AND two.n < 2 AS off
+           FROM pairs JOIN one ON one.w = pairs.w LEFT JOIN two ON two.v = pairs.v AND two.w = pairs.w LEFT JOIN one ctx ON ctx.w = pairs.v, total),
+sums AS (SELECT r, sum(s) AS s, count(*) FILTER (off) AS off FROM scored GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(off, 0) AS BIGINT) AS n_backed_off, round(s / len(ws), 6) AS score
+FROM docs LEFT JOIN sums USING (r)
+"""
+
+
 @query
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.dedup(table(spark, sf_dir, "documents"))
