@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, lm_score, pii, quality, simhash, substring_dedup, token_store, url_filter
+from . import byte_bpe, decontaminate, html_extract, lm_score, pii, quality, simhash, substring_dedup, token_store, url_filter
 from .common import new_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,7 +23,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 @query
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = public_tokenizers.path("word_bpe_49k.json")
-    manifest = token_store.write(table(spark, sf_dir, "documents"), new_path(spark, "tokens"), lambda: token_store.WordEncoder(words), vocabulary=49_408, end_id=2)
+    manifest = token_store.write(table(spark, sf_dir, "documents"), new_path(spark, "tokens"), lambda: token_store.word_encoder(words), vocabulary=49_408, end_id=2)
     return token_store.digests(token_store.read(spark, manifest))
 
 
@@ -49,6 +49,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
