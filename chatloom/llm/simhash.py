@@ -1,13 +1,13 @@
 """SimHash near-duplicates: segment-popcount embedding, grid range-join, exact verification.
 
-A fingerprint of 64 bits is mapped to the bit counts of its 16 four-bit segments. Two fingerprints
+A fingerprint of 64 bits is mapped to the bit counts of its 32 two-bit segments. Two fingerprints
 that differ in at most two bits have count vectors at a Manhattan distance of two at most, so the
 distance of the vectors is a lower bound. The range-join works on the grid of count vectors: every
 occupied cell sends itself to the grid points within distance one, and two cells within distance two
 meet at such a point. A fingerprint whose cell meets no other and that is alone in its cell has no
 link. Only the others are verified, again by meeting points: two fingerprints differ in at most two
 bits exactly if they share a point that differs from each in at most one. What meets at a point is
-linked to the smallest there, so no group is expanded to pairs; a point can hold 33 cells or 65
+linked to the smallest there, so no group is expanded to pairs; a point can hold 65 cells or 65
 fingerprints at most, whatever the input, and copies were collapsed before.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, pieces, texts_of
 
-BITS, SEGMENT = 64, 4
+BITS = 64
 SHINGLE, SEED = 3, 42
 
 
@@ -57,19 +57,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _cell(fp: Column) -> Column:
-    """The bit count of every four-bit segment, each in its own four bits."""
-    two, four = F.lit(0x5555555555555555), F.lit(0x3333333333333333)
-    even, odd = fp.bitwiseAND(two), F.shiftrightunsigned(fp, 1).bitwiseAND(two)
-    pairs = even.bitwiseXOR(odd).bitwiseOR(F.shiftleft(even.bitwiseAND(odd), 1))  # their sum, without a sign overflow
-    return pairs.bitwiseAND(four) + F.shiftrightunsigned(pairs, 2).bitwiseAND(four)
+    """The bit count of every two-bit segment, each in its own two bits."""
+    one = F.lit(0x5555555555555555)
+    even, odd = fp.bitwiseAND(one), F.shiftrightunsigned(fp, 1).bitwiseAND(one)
+    return even.bitwiseXOR(odd).bitwiseOR(F.shiftleft(even.bitwiseAND(odd), 1))  # their sum, without a carry
 
 
 def _near_cells() -> Column:
-    """The grid points within Manhattan distance one of ``cell``; counts stay within 0 and 4."""
-    return F.expr(
-        "array_compact(flatten(array(array(cell), transform(sequence(0, 15), i -> if((shiftrightunsigned(cell, 4 * i) & 15L) > 0, cell - shiftleft(1L, 4 * i), null)),"
-        f" transform(sequence(0, 15), i -> if((shiftrightunsigned(cell, 4 * i) & 15L) < {SEGMENT}, cell + shiftleft(1L, 4 * i), null)))))"
-    )
+    """The grid points within Manhattan distance one of ``cell``; counts stay within 0 and 2."""
+    count = "(shiftrightunsigned(cell, 2 * i) & 3L)"
+    low = f"transform(sequence(0, 31), i -> if({count} < 2, cell ^ shiftleft(1L, 2 * i), null))"  # between 0 and 1
+    high = f"transform(sequence(0, 31), i -> if({count} > 0, cell ^ shiftleft(3L, 2 * i), null))"  # between 1 and 2
+    return F.expr(f"array_compact(concat(array(cell), {low}, {high}))")
 
 
 def links(distinct: DataFrame) -> DataFrame:
