@@ -1,10 +1,8 @@
-"""Registered queries over the driver's tables, each with the SQL it is checked against."""
+"""All registered queries over the driver's tables, each with the SQL it is checked against."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import memory  # noqa: F401  registers its queries
+from .registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
