@@ -6,8 +6,9 @@ super-k-mer) to the bucket of that minimiser, so equal windows meet in one bucke
 not sent on its own. In the bucket the windows are sorted and each run of equal ones gives the smallest
 document that has it. Words of later documents in such windows are removed.
 
-A super-k-mer that a task has already seen in a smaller document needs no bucket: all its windows
-repeat. So copies collapse in the tasks that read them, and a bucket gets at most one string for each
+Most minimisers stand in one document only; nothing can repeat there. So minimisers (eight bytes each)
+go first, and only super-k-mers of those that two documents share are sent. One that a task has already seen in a smaller document needs no bucket: all
+its windows repeat. So copies collapse in the tasks that read them, and a bucket gets at most one string for each
 variant and task (a few where documents come in descending order), however large a group of copies is.
 """
 
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, texts_of
+from .common import WordHashes, materialise, pieces, texts_of
 
 WINDOW = 50
 MINIMISER = 6
@@ -31,34 +32,17 @@ REMEMBERED = 1_000_000
 #: Bytes of windows that are sorted at once.
 SORTED_BYTES = 64 << 20
 
-_BASE = 0x9E3779B97F4A7C15 | 1
 _ROW = "bucket long, i long, v long, start int, stop int, s binary"
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 def super_kmers(docs: list[bytes], k: int = WINDOW, m: int = MINIMISER) -> tuple[np.ndarray, ...]:
     """Of documents given as words joined by single spaces: document number, first word, number of
     windows, minimiser, and the byte range in ``b" ".join(docs)``, of every super-k-mer."""
-    text = np.frombuffer(b" ".join(docs), np.uint8)
-    space = np.flatnonzero(text == 32)
-    begin, end = np.concatenate([[0], space + 1]), np.concatenate([space, [len(text)]])
-    count = np.array([d.count(b" ") + 1 for d in docs])
-    doc = np.repeat(np.arange(len(docs)), count)
-    first = np.cumsum(count) - count
-    none = np.zeros(0, np.int64)
+    words = WordHashes(docs)
+    doc, none = words.doc, np.zeros(0, np.int64)
     if len(doc) < k:
         return none, none, none, none, none, none
-    power, inverse = _powers(_BASE, len(text) + 1), _powers(pow(_BASE, -1, 1 << 64), len(text) + 1)
-    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)])
-    low, high = begin[: len(doc) - m + 1], end[m - 1 :]
-    piece = (prefix[high] - prefix[low]) * inverse[low]  # the same for the same words, wherever they stand
-    piece = (piece ^ (piece >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    piece ^= piece >> np.uint64(29)
+    piece = words.sequences(m)
     least, width, whole = piece, 1, k - m + 1
     while 2 * width <= whole:
         least, width = np.minimum(least[:-width], least[width:]), 2 * width
@@ -68,25 +52,45 @@ def super_kmers(docs: list[bytes], k: int = WINDOW, m: int = MINIMISER) -> tuple
     same = valid[1:] & valid[:-1] & (least[1:] == least[:-1])
     starts = np.flatnonzero(valid & ~np.concatenate([[False], same]))
     stops = np.flatnonzero(valid & ~np.concatenate([same, [False]]))
-    return doc[starts], starts - first[doc[starts]], stops - starts + 1, least[starts].view(np.int64), begin[starts], end[stops + k - 1]
+    return doc[starts], starts - words.first[doc[starts]], stops - starts + 1, least[starts].view(np.int64), words.begin[starts], words.end[stops + k - 1]
+
+
+def _documents(batch: pa.RecordBatch, k: int) -> tuple[list[int], list[bytes]]:
+    """Rows that have an id and a window, and their words joined by single spaces."""
+    rows, docs = [], []
+    for row, (i, text) in enumerate(zip(batch.column("i").to_pylist(), texts_of(batch, "t"), strict=True)):
+        words = text.split()
+        if i is not None and len(words) >= k:
+            rows.append(row)
+            docs.append(b" ".join(words))
+    return rows, docs
+
+
+def _minimisers(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[pa.RecordBatch]:
+    """The distinct minimisers of each document."""
+    for batch in pieces(batches, "t", 1 << 20):
+        rows, docs = _documents(batch, k)
+        if docs:
+            doc, _, _, mini, _, _ = super_kmers(docs, k, m)
+            pairs = np.unique(np.stack([doc, mini], 1), axis=0)
+            row = pa.array(np.array(rows)[pairs[:, 0]])
+            yield pa.RecordBatch.from_arrays([batch.column("i").take(row), batch.column("v").take(row), pa.array(pairs[:, 1])], names=["i", "v", "mini"])
 
 
 def _emit(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[pa.RecordBatch]:
     seen: dict[bytes, int] = {}
     for batch in pieces(batches, "t", 1 << 20):
-        ids, versions, docs = [], [], []
-        for i, v, text in zip(batch.column("i").to_pylist(), batch.column("v").to_pylist(), texts_of(batch, "t"), strict=True):
-            words = text.split()
-            if i is not None and len(words) >= k:
-                ids.append(i)
-                versions.append(v)
-                docs.append(b" ".join(words))
+        rows, docs = _documents(batch, k)
         if not docs:
             continue
+        ids, versions, shared = ([column[r] for r in rows] for column in (batch.column(c).to_pylist() for c in ("i", "v", "minis")))
+        shared = [set(x) for x in shared]
         text = b" ".join(docs)
         out: tuple[list, ...] = ([], [], [], [], [], [])
         open_range: list | None = None
         for doc, at, n, mini, low, high in zip(*(x.tolist() for x in super_kmers(docs, k, m)), strict=True):
+            if mini not in shared[doc]:
+                continue
             i, string = ids[doc], text[low:high]
             key = xxhash.xxh3_128_digest(string)
             known = seen.get(key)
@@ -200,9 +204,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     Other columns are ignored. An empty table gives an empty table.
     """
     source = docs.select(F.col(id_col).cast("long").alias("i"), F.xxhash64(text_col).alias("v"), F.col(text_col).alias("t"))
-    sent = source.mapInArrow(lambda batches: _emit(batches, k, m), _ROW)
+    minis = materialise(source.mapInArrow(lambda batches: _minimisers(batches, k, m), "i long, v long, mini long"), "minimisers")
+    shared = minis.groupBy("mini").agg(F.min("i").alias("least"), F.max("i").alias("most")).where("least < most").select("mini")
+    by_doc = minis.join(materialise(shared, "shared-minimisers"), "mini", "left_semi").groupBy("i", "v").agg(F.collect_set("mini").alias("minis"))
+    sent = source.join(by_doc, ["i", "v"]).mapInArrow(lambda batches: _emit(batches, k, m), _ROW)
     dealt = sent.repartition("bucket").sortWithinPartitions("bucket")
     ranges = dealt.mapInArrow(lambda batches: _count(batches, k), "i long, v long, start int, stop int")
-    by_doc = ranges.groupBy("i", "v").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    out = source.join(by_doc, ["i", "v"], "left").select("i", "t", "ranges").mapInArrow(_cut, "i long, n_words long, n_removed long, kept string")
+    cuts = ranges.groupBy("i", "v").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    out = source.join(cuts, ["i", "v"], "left").select("i", "t", "ranges").mapInArrow(_cut, "i long, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("i", id_col)
