@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +22,23 @@ from pyspark.sql import functions as F
 
 from .common import pieces
 
-#: Distinct pieces whose encoding a task remembers before it starts afresh.
+#: Distinct pieces whose encoding a Python worker remembers before it starts afresh.
 REMEMBERED = 400_000
 
 
+class _Pairs(dict):
+    """Rank of the token that two adjacent tokens make, -1 if none; the key is ``left << 20 | right``."""
+
+    def __init__(self, ranks: dict[bytes, int], tokens: dict[int, bytes]):
+        super().__init__()
+        self.ranks, self.tokens = ranks, tokens
+
+    def __missing__(self, key: int) -> int:
+        left, right = self.tokens.get(key >> 20), self.tokens.get(key & 0xFFFFF)
+        rank = self[key] = -1 if left is None or right is None else self.ranks.get(left + right, -1)
+        return rank
+
+
 class MergeReplay:
     """Encodes distinct pieces by the ranks of a vocabulary file (one base64 token and rank a line)."""
 
@@ -33,98 +47,85 @@ class MergeReplay:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.pairs: dict[tuple[int, int], int] = {}
+        self.pairs = _Pairs(self.ranks, self.tokens)
+        self.edge = len(self.ranks)  # stands between words; no token
+        self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        self.byte_pairs = np.array([[self.pairs[int(a) << 20 | int(b)] for b in self.byte] for a in self.byte])
         self.encoded: dict[str, bytes] = {}
 
-    def _pair_rank(self, a: int, b: int) -> int:
-        """Rank of the joined token, -1 if there is none."""
-        rank = self.pairs.get((a, b))
-        if rank is None:
-            rank = self.pairs[a, b] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
-        return rank
-
-    def replay(self, words: list[bytes]) -> list[list[int]]:
-        """The tokens of each word: always the lowest rank first, from left to right within a word."""
-        ranks, pair_rank = self.ranks, self._pair_rank
-        byte = [ranks[bytes([i])] for i in range(256)]
-        token: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        first = []
-        for word in words:
-            start = len(token)
-            first.append(start)
-            token += [byte[x] for x in word]
-            n = len(token)
-            after += range(start + 1, n + 1)
-            before += range(start - 1, n - 1)
-            after[-1] = before[start] = -1
-        index: dict[int, list[int]] = {}
-        for i, j in enumerate(after):
-            if j >= 0 and (rank := pair_rank(token[i], token[j])) >= 0:
-                index.setdefault(rank, []).append(i)
+    def replay(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word: always the lowest rank first, from left to right within a word."""
+        if not words:
+            return []
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        raw = np.frombuffer(b"\0" + b"\0".join(words) + b"\0", np.uint8)
+        edges = np.concatenate([[0], np.cumsum(length + 1)])
+        start = self.byte[raw]
+        start[edges] = self.edge
+        rank_at = self.byte_pairs[raw[:-1], raw[1:]]
+        rank_at[edges[:-1]] = rank_at[edges[1:] - 1] = -1
+        order = np.argsort(rank_at, kind="stable")
+        order = order[np.searchsorted(rank_at[order], 0) :]
+        found, first = np.unique(rank_at[order], return_index=True)
+        index = {r: p.tolist() for r, p in zip(found.tolist(), np.split(order, first[1:]), strict=True)} if len(order) else {}
+
+        token, pairs = start.tolist(), self.pairs
+        after, before = list(range(1, len(token) + 1)), list(range(-1, len(token) - 1))
         queue = list(index)
         heapq.heapify(queue)
+        push = heapq.heappush
         while queue:
             rank = heapq.heappop(queue)
-            places = index.pop(rank, None)
-            if places is None:
-                continue
+            places = index.pop(rank)
             places.sort()
             for at, i in enumerate(places):
                 j = after[i]
-                if j < 0 or token[i] < 0 or pair_rank(token[i], token[j]) != rank:
+                if token[i] < 0 or pairs[token[i] << 20 | token[j]] != rank:
                     continue  # a neighbour was merged meanwhile
                 token[i] = rank
                 token[j] = -1
                 k = after[i] = after[j]
-                if k >= 0:
-                    before[k] = i
-                lower = False
-                if k >= 0 and (new := pair_rank(rank, token[k])) >= 0:
-                    if new not in index:
-                        index[new] = []
-                        heapq.heappush(queue, new)
-                    index[new].append(i)
-                    lower = new < rank
+                before[k] = i
                 h = before[i]
-                if h >= 0 and (new := pair_rank(token[h], rank)) >= 0:
-                    if new not in index:
-                        index[new] = []
-                        heapq.heappush(queue, new)
-                    index[new].append(h)
-                    lower = lower or new < rank
-                if lower:  # a lower rank appeared: it goes first, the rest of this rank after it
-                    rest = places[at + 1 :]
-                    if rest:
+                right, left = pairs[rank << 20 | token[k]], pairs[token[h] << 20 | rank]
+                if right >= 0:
+                    if right in index:
+                        index[right].append(i)
+                    else:
+                        index[right] = [i]
+                        push(queue, right)
+                if left >= 0:
+                    if left in index:
+                        index[left].append(h)
+                    else:
+                        index[left] = [h]
+                        push(queue, left)
+                if 0 <= right < rank or 0 <= left < rank:  # a lower rank appeared: it goes before the rest of this one
+                    if rest := places[at + 1 :]:
                         if rank not in index:
                             index[rank] = []
-                            heapq.heappush(queue, rank)
+                            push(queue, rank)
                         index[rank] += rest
                     break
-        out = []
-        for i in first:
-            ids = []
-            while i >= 0:
-                ids.append(token[i])
-                i = after[i]
-            out.append(ids)
-        return out
+        final = np.array(token)
+        alive = final >= 0
+        alive[edges] = False
+        ends = (4 * np.cumsum(alive)[edges]).tolist()
+        data = final[alive].astype("<u4").tobytes()
+        return [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split, known = [self.split(t) for t in texts], self.encoded
-        new = {p for ps in split for p in ps}.difference(known)
         words, spelled = [], []
-        for piece in new:
+        for piece in {p for ps in split for p in ps}.difference(known):
             spelling = piece.encode()
             if (rank := self.ranks.get(spelling)) is not None:
                 known[piece] = rank.to_bytes(4, "little")
             else:
                 words.append(piece)
                 spelled.append(spelling)
-        for piece, ids in zip(words, self.replay(spelled), strict=True):
-            known[piece] = np.array(ids, "<u4").tobytes()
+        known.update(zip(words, self.replay(spelled), strict=True))
         out = [b"".join(map(known.__getitem__, ps)) for ps in split]
         if len(known) > REMEMBERED:
             known.clear()
@@ -135,6 +136,12 @@ class MergeReplay:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+@lru_cache(maxsize=1)
+def merge_replay(ranks_path: str, pattern: str) -> MergeReplay:
+    """One for all tasks of a Python worker."""
+    return MergeReplay(ranks_path, pattern)
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
     """Per row of ``docs``: the id, n_tokens, ids (binary, little-endian unsigned 32-bit), and with
     ``decode`` the bytes that the ids stand for.
@@ -147,7 +154,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids binary" + (", decoded binary" if decode else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replay = MergeReplay(ranks_path, pattern)
+        replay = merge_replay(ranks_path, pattern)
         for batch in pieces(batches, "t"):
             ids = replay.encode([t or "" for t in batch.column("t").to_pylist()])
             columns = [batch.column("i"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
