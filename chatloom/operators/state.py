@@ -67,54 +67,64 @@ def _cap(raw: Column) -> Column:
 
 def _fields(payload: Column) -> Column:
     """The payload's fields as raw JSON texts; null if it is no JSON object."""
-    variant = F.try_parse_json(payload)
-    keys = F.json_object_keys(F.when(variant.isNotNull(), payload))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.to_json(F.from_json(payload, "map<string,variant>")[k])))
+    return F.transform_values(F.from_json(payload, "map<string,variant>"), lambda _, v: F.to_json(v))
+
+
+def _once(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """Adds a column that is computed once a row: explode stands between it and those who use it, so
+    the optimizer does not copy the expression into each of them."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _all(*conditions: Column) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return F.coalesce(out, F.lit(False))
 
 
 def normalise_loop_state(snapshots: DataFrame) -> DataFrame:
     """Valid loop states of snapshots (payload; all other columns stay): goal, action, exit_criteria,
     max_iterations (null: uncapped), iterations, last_observation, terminated, termination_reason,
     extras (raw JSON of every other field)."""
-    rows = snapshots.withColumn("_f", _fields(F.col("payload"))).where("_f IS NOT NULL")
+    rows = _once(snapshots, _fields(F.col("payload")), "_f")
     f = F.col("_f")
     texts = {n: _string(_raw(f, (n,))) for n in ("goal", "action", "last_observation", "termination_reason")}
     iterations, flag = _whole(_raw(f, ITERATIONS)), _flag(_raw(f, ("terminated",)))
-    good = iterations[1] & flag[1]
-    for _, ok in texts.values():
-        good = good & ok
     present = F.coalesce(*(F.when(F.map_contains_key(f, n), F.lit(n)) for n in ITERATIONS))
     known = F.array(*map(F.lit, (*texts, "exit_criteria", "max_iterations", "terminated")))
     extras = F.map_filter(f, lambda k, v: ~F.array_contains(known, k) & ~k.eqNullSafe(present))
     out = {n: v for n, (v, _) in texts.items()} | {"exit_criteria": _strings(_raw(f, ("exit_criteria",))), "max_iterations": _cap(_raw(f, ("max_iterations",))), "iterations": iterations[0], "terminated": flag[0], "extras": extras}
-    return rows.where(F.coalesce(good, F.lit(False))).withColumns(out).drop("_f", "payload")
+    good = _all(f.isNotNull(), iterations[1], flag[1], *(ok for _, ok in texts.values()))
+    rows = _once(rows, F.struct(*(c.alias(n) for n, c in out.items()), good.alias("_good")), "_s")
+    keep = [c for c in snapshots.columns if c != "payload"]
+    return rows.where("_s._good").select(*keep, *(F.col("_s")[n].alias(n) for n in out))
 
 
 def normalise_project_state(snapshots: DataFrame) -> DataFrame:
     """Valid project states: goal, constraints, tasks (array of id, title, done), log, extras."""
-    rows = snapshots.withColumn("_f", _fields(F.col("payload"))).where("_f IS NOT NULL")
+    rows = _once(snapshots, _fields(F.col("payload")), "_f")
     f = F.col("_f")
-    goal, goal_ok = _string(_raw(f, ("goal",)))
-    raw = _raw(f, ("tasks",))
-    maps = F.from_json(raw, "array<map<string,variant>>")
+    raw = F.transform(F.from_json(_raw(f, ("tasks",)), "array<map<string,variant>>"), lambda t: F.transform_values(t, lambda _, v: F.to_json(v)))
+    rows = _once(rows, raw, "_raw_tasks")
 
-    def task(t: Column) -> Column:
-        each = F.transform_values(t, lambda _, v: F.to_json(v))
+    def task(each: Column) -> Column:
         ident = F.try_element_at(each, F.lit("id"))
         title, title_ok = _string(F.try_element_at(each, F.lit("title")))
         done, done_ok = _flag(_raw(each, DONE))
         text = strip(_text(ident))
-        ok = F.coalesce((text != "") & (_kind(ident) != "null") & title_ok & done_ok, F.lit(False))
-        return F.struct(text.alias("id"), title.alias("title"), done.alias("done"), ok.alias("ok"))
+        return F.struct(text.alias("id"), title.alias("title"), done.alias("done"), _all(text != "", _kind(ident) != "null", title_ok, done_ok).alias("ok"))
 
     empty = F.array().cast("array<struct<id:string,title:string,done:boolean,ok:boolean>>")
-    tasks = F.when(raw.isNull(), empty).otherwise(F.transform(maps, task))
-    rows = rows.withColumns({"_goal_ok": goal_ok, "goal": goal, "constraints": _strings(_raw(f, ("constraints",))), "log": _strings(_raw(f, ("log",))), "_tasks": tasks})
+    rows = _once(rows, F.when(F.map_contains_key(f, "tasks"), F.transform("_raw_tasks", task)).otherwise(empty), "_tasks")
+    goal, goal_ok = _string(_raw(f, ("goal",)))
     known = F.array(*map(F.lit, ("goal", "constraints", "tasks", "log")))
-    good = F.col("_goal_ok") & F.col("_tasks").isNotNull() & F.forall("_tasks", lambda t: t["ok"])
     plain = F.transform("_tasks", lambda t: F.struct(t["id"].alias("id"), t["title"].alias("title"), t["done"].alias("done")))
-    rows = rows.where(F.coalesce(good, F.lit(False))).withColumns({"tasks": plain, "extras": F.map_filter(f, lambda k, _: ~F.array_contains(known, k))})
-    return rows.drop("_f", "_tasks", "_goal_ok", "payload")
+    out = {"goal": goal, "constraints": _strings(_raw(f, ("constraints",))), "log": _strings(_raw(f, ("log",))), "tasks": plain, "extras": F.map_filter(f, lambda k, _: ~F.array_contains(known, k))}
+    good = _all(f.isNotNull(), goal_ok, F.col("_tasks").isNotNull(), F.forall("_tasks", lambda t: t["ok"]))
+    rows = _once(rows, F.struct(*(c.alias(n) for n, c in out.items()), good.alias("_good")), "_s")
+    keep = [c for c in snapshots.columns if c != "payload"]
+    return rows.where("_s._good").select(*keep, *(F.col("_s")[n].alias(n) for n in out))
 
 
 def reconcile_loop(states: DataFrame, operator_cap: Column | None = None) -> DataFrame:

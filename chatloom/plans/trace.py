@@ -264,10 +264,10 @@ def session_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {LOG} SELECT sid, max(CASE kind WHEN 'poll' THEN seq END) AS seq, CASE WHEN NOT bool_or(gone AND kind = 'poll') THEN coalesce(string_agg(CASE WHEN kind = 'token' AND NOT gone THEN value END, ',' ORDER BY seq), '') END AS tokens,
-  CASE WHEN NOT bool_or(gone AND kind = 'poll') THEN max(CASE kind WHEN 'poll' THEN f END) IS NOT NULL END AS done, CASE WHEN NOT bool_or(gone AND kind = 'poll') THEN CAST(max(CASE kind WHEN 'poll' THEN f END) AS VARCHAR) END AS error
+  CASE WHEN NOT bool_or(gone AND kind = 'poll') THEN CAST(max(CASE kind WHEN 'poll' THEN f END) IS NOT NULL AS VARCHAR) END AS done, CASE WHEN NOT bool_or(gone AND kind = 'poll') THEN CAST(max(CASE kind WHEN 'poll' THEN f END) AS VARCHAR) END AS error
 FROM done GROUP BY sid, poll_no HAVING bool_or(kind = 'poll')""")
 def j5_drain_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.drain_polls(session_log(spark, sf_dir)).withColumn("tokens", F.array_join("tokens", ","))
+    return s.drain_polls(session_log(spark, sf_dir)).withColumns({"tokens": F.array_join("tokens", ","), "done": F.col("done").cast("string")})
 
 
 COMMANDS = """inputs AS (SELECT event_id, CASE event_id % 9 WHEN 0 THEN '   ' WHEN 1 THEN event_type || ' it' WHEN 2 THEN '/TIMER ' || value WHEN 3 THEN '/ loop x' || event_id || ' 7' WHEN 4 THEN '/stopwatch' WHEN 5 THEN '/reset' WHEN 6 THEN '/timer abc' WHEN 7 THEN '/monitor ls 5' ELSE '/' || event_type END AS text FROM events)"""
