@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.functions import text as t
@@ -12,7 +12,12 @@ from chatloom.operators import trace as tr
 
 from .registry import query, table
 
-K = F.get_json_object("props", "$.k").cast("int")
+
+def kay() -> Column:
+    """The number in an event's properties."""
+    return F.get_json_object("props", "$.k").cast("int")
+
+
 SQL_K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
 
 # --- answers with thinking in them, whole and in pieces of 16 characters -----------------------------
@@ -68,7 +73,7 @@ def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     value = F.floor("value").cast("long").cast("string")
     return e.select(
-        F.col("user_id").alias("turn_id"), (F.col("event_id") % 3).cast("int").alias("round"), F.col("event_id").alias("seq"), F.lit("").alias("content"), (K % 4).alias("call_index"),
+        F.col("user_id").alias("turn_id"), (F.col("event_id") % 3).cast("int").alias("round"), F.col("event_id").alias("seq"), F.lit("").alias("content"), (kay() % 4).alias("call_index"),
         F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("c"), "event_id")).otherwise("").alias("call_id"), F.when(F.col("event_id") % 7 == 0, F.col("event_type")).otherwise("").alias("name"),
         F.when(F.col("event_id") % 11 == 0, "").otherwise(F.concat(value, F.lit(" "))).alias("arguments"),
     )
@@ -127,7 +132,7 @@ responses AS (SELECT user_id AS instance_id, event_id // 1000 AS iteration, max_
 def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(
-        F.col("user_id").alias("instance_id"), F.floor(F.col("event_id") / 1000).alias("iteration"), F.col("event_id").alias("seq"), F.concat(F.lit("t"), (K % 3).cast("string")).alias("name"),
+        F.col("user_id").alias("instance_id"), F.floor(F.col("event_id") / 1000).alias("iteration"), F.col("event_id").alias("seq"), F.concat(F.lit("t"), (kay() % 3).cast("string")).alias("name"),
         F.when(F.col("event_type").isin("click", "view"), "result").otherwise("call").alias("kind"), F.col("props").alias("args"), F.concat_ws("-", "event_type", "event_id").alias("result"),
     )
 
@@ -169,7 +174,7 @@ def w11_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT turn_id, name, instructions, row_number() OVER (PARTITION BY turn_id ORDER BY seq) AS position FROM (
   SELECT user_id AS turn_id, 's' || {SQL_K} % 5 AS name, props AS instructions, event_id AS seq, row_number() OVER (PARTITION BY user_id, {SQL_K} % 5 ORDER BY event_id DESC) AS n FROM events) WHERE n = 1""")
 def w12_active_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("turn_id"), F.concat(F.lit("s"), (K % 5).cast("string")).alias("name"), F.col("props").alias("instructions"), F.col("event_id").alias("seq"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("turn_id"), F.concat(F.lit("s"), (kay() % 5).cast("string")).alias("name"), F.col("props").alias("instructions"), F.col("event_id").alias("seq"))
     return tr.active_skills(rows)
 
 
@@ -259,7 +264,7 @@ done AS (SELECT *, max(CASE WHEN kind = 'finish' AND NOT gone THEN seq END) OVER
 
 
 def session_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.when(F.col("event_type") == "purchase", "poll").when(F.col("event_type") == "error", "finish").when((F.col("event_type") == "signup") & (K < 3), "discard").otherwise("token")
+    kind = F.when(F.col("event_type") == "purchase", "poll").when(F.col("event_type") == "error", "finish").when((F.col("event_type") == "signup") & (kay() < 3), "discard").otherwise("token")
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("sid"), F.col("event_id").alias("seq"), kind.alias("kind"), F.col("event_id").cast("string").alias("value"))
 
 

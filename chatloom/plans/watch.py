@@ -12,7 +12,7 @@ from chatloom.operators import state as st
 from chatloom.operators.trace import keep_last
 
 from .registry import query, table
-from .trace import SQL_K, K
+from .trace import SQL_K, kay
 
 # --- instances ---------------------------------------------------------------------------------------
 BUS = f"""
@@ -20,17 +20,20 @@ starts AS (SELECT user_id % 10 AS bus_id, event_id AS seq, ['loop', 'timer', 'mo
 ids AS (SELECT *, name || '#' || row_number() OVER (PARTITION BY bus_id ORDER BY seq) AS instance_id FROM starts),
 stops AS (SELECT user_id % 10 AS bus_id, event_id AS seq, CASE WHEN {SQL_K} % 2 = 0 THEN ['loop', 'timer', 'monitor'][{SQL_K} % 3 + 1] ELSE ['loop', 'timer', 'monitor'][{SQL_K} % 3 + 1] || '#' || ({SQL_K} + 1) END AS key FROM events WHERE event_type = 'error' AND {SQL_K} < 20)
 """
-NAMES = F.element_at(F.array(F.lit("loop"), F.lit("timer"), F.lit("monitor")), K % 3 + 1)
+
+
+def event_name() -> Column:
+    return F.element_at(F.array(F.lit("loop"), F.lit("timer"), F.lit("monitor")), kay() % 3 + 1)
 
 
 def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").where("event_type = 'signup'")
-    return lc.assign_instance_ids(e.select((F.col("user_id") % 10).alias("bus_id"), F.col("event_id").alias("seq"), NAMES.alias("name")))
+    return lc.assign_instance_ids(e.select((F.col("user_id") % 10).alias("bus_id"), F.col("event_id").alias("seq"), event_name().alias("name")))
 
 
 def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where((F.col("event_type") == "error") & (K < 20))
-    key = F.when(K % 2 == 0, NAMES).otherwise(F.concat(NAMES, F.lit("#"), (K + 1).cast("string")))
+    e = table(spark, sf_dir, "events").where((F.col("event_type") == "error") & (kay() < 20))
+    key = F.when(kay() % 2 == 0, event_name()).otherwise(F.concat(event_name(), F.lit("#"), (kay() + 1).cast("string")))
     return e.select((F.col("user_id") % 10).alias("bus_id"), F.col("event_id").alias("seq"), key.alias("key"))
 
 
@@ -59,7 +62,7 @@ live AS (SELECT DISTINCT bus_id || '/' || instance_id AS id FROM spans WHERE sto
 SELECT id AS instance_id, CASE WHEN id IN (FROM live) THEN 'generating' WHEN id IN (FROM running) THEN 'running' ELSE 'stopped' END AS status, CAST(coalesce(n, 0) AS BIGINT) AS n_iterations FROM alls LEFT JOIN logged USING (id)""")
 def a4_status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = table(spark, sf_dir, "events").where("event_type = 'view'")
-    ids = F.concat((F.col("user_id") % 10).cast("string"), F.lit("/"), NAMES, F.lit("#"), (K + 1).cast("string"))
+    ids = F.concat((F.col("user_id") % 10).cast("string"), F.lit("/"), event_name(), F.lit("#"), (kay() + 1).cast("string"))
     logged = keep_last(views.select(ids.alias("instance_id"), F.col("event_id").alias("iteration")))
     spans = lc.running_intervals(instances(spark, sf_dir), stops(spark, sf_dir)).where("stop_seq IS NULL")
     running = spans.select(F.concat(F.col("bus_id").cast("string"), F.lit("/"), "instance_id").alias("instance_id"), "seq")
@@ -165,13 +168,13 @@ def loop_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     one in a hundred that cannot be taken."""
     e, id_ = table(spark, sf_dir, "events"), F.col("event_id").cast("string")
     alias = F.element_at(F.array(F.lit("iterations"), F.lit("iter"), F.lit("iters"), F.lit("iterations_done")), (F.col("event_id") % 4 + 1).cast("int"))
-    cap = F.when(K % 7 == 0, F.lit('"unlimited"')).when(F.col("event_id") % 2 == 0, (K % 7 + 5).cast("string")).otherwise(_quoted((K % 7 + 5).cast("string")))
-    count = F.when(K == 99, F.lit("7.5")).when(F.col("event_id") % 3 == 0, _quoted((K % 20).cast("string"))).otherwise((K % 20).cast("string"))
+    cap = F.when(kay() % 7 == 0, F.lit('"unlimited"')).when(F.col("event_id") % 2 == 0, (kay() % 7 + 5).cast("string")).otherwise(_quoted((kay() % 7 + 5).cast("string")))
+    count = F.when(kay() == 99, F.lit("7.5")).when(F.col("event_id") % 3 == 0, _quoted((kay() % 20).cast("string"))).otherwise((kay() % 20).cast("string"))
     parts = [
         _json("goal", _quoted(F.concat(F.lit(" g"), id_))), _json("action", F.when(F.col("event_type") == "click", '""').otherwise(_quoted(F.col("event_type")))),
         _json("exit_criteria", F.concat(F.lit('["c'), id_, F.lit('", true, "d "]'))), _json("max_iterations", cap), F.concat(F.lit('"'), alias, F.lit('": '), count),
-        _json("last_observation", _quoted(F.concat(F.lit("o"), id_))), _json("terminated", F.when(K % 25 == 0, F.lit("true")).otherwise(F.lit('"no"'))),
-        _json("termination_reason", F.when(K % 2 == 0, _quoted(F.col("event_type"))).otherwise('""')), _json("score", K.cast("string")),
+        _json("last_observation", _quoted(F.concat(F.lit("o"), id_))), _json("terminated", F.when(kay() % 25 == 0, F.lit("true")).otherwise(F.lit('"no"'))),
+        _json("termination_reason", F.when(kay() % 2 == 0, _quoted(F.col("event_type"))).otherwise('""')), _json("score", kay().cast("string")),
     ]
     return e.select(F.col("user_id").alias("instance_id"), F.col("event_id").alias("seq"), F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")).alias("payload"))
 
