@@ -18,12 +18,13 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -40,14 +41,22 @@ def bits_for(vocabulary: int) -> int:
     return max(1, (vocabulary - 1).bit_length())
 
 
+#: Widths of whole machine integers, which need no shifting.
+_WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}
+
+
 def pack(ids: np.ndarray, width: int) -> bytes:
     """Little-endian bits of ``width`` per id, padded to a whole byte."""
+    if width in _WHOLE:
+        return ids.astype(_WHOLE[width]).tobytes()
     bits = (ids[:, None].astype(np.uint32) >> np.arange(width, dtype=np.uint32) & 1).astype(np.uint8)
     return np.packbits(bits.reshape(-1), bitorder="little").tobytes()
 
 
 def unpack(data: bytes, n: int, width: int) -> np.ndarray:
     """``n`` ids of ``width`` (32 at most) bits as uint32."""
+    if width in _WHOLE:
+        return np.frombuffer(data, _WHOLE[width], n).astype(np.uint32)
     raw = np.zeros(len(data) + 8, np.uint8)
     raw[: len(data)] = np.frombuffer(data, np.uint8)
     at = np.arange(n, dtype=np.int64) * width
@@ -159,14 +168,19 @@ class WordEncoder:
     """Encodes texts with a tokenizer of the tokenizers library whose words end at white space.
 
     White space separates words and yields no ids in this vocabulary, so each distinct word of the
-    texts is encoded once per task. Words of printable ASCII, the bulk, go to the library's merge
-    model in the same parts that its own pre-tokenizer makes; all others go through the whole library.
+    texts is encoded once. Words of printable ASCII and common Latin letters, the bulk, go to the
+    library's merge model in the same parts and the same byte letters that its own pre-tokenizer makes;
+    all others go through the whole library.
     """
 
-    _ASCII = re.compile(rb"[\x21-\x7e]+")
-    _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-    _WORDS = regex.compile(r"\S+")
-    REMEMBERED = 400_000
+    #: Latin letters that stand for themselves in normal form and have one lower-case letter.
+    _LATIN = "À-ÖØ-öø-ÿĀ-įĴ-ňŊ-ž"
+    _PLAIN = re.compile(f"[!-~{_LATIN}]+")
+    _PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^a-z0-9{_LATIN}]+")
+    #: Byte letters: visible Latin-1 characters stand for their byte, the other bytes take the letters from 256 on.
+    _VISIBLE = frozenset((*range(33, 127), *range(161, 173), *range(174, 256)))
+    _BYTES = dict(zip(sorted(set(range(256)) - _VISIBLE), range(256, 512), strict=False))  # noqa: RUF012
+    REMEMBERED = 250_000  # words, and as many parts; then it starts afresh
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -178,37 +192,46 @@ class WordEncoder:
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            letters = part if part.isascii() else part.encode().decode("latin-1").translate(self._BYTES)
+            ids = self.parts[part] = self._bytes([t.id for t in self.library.model.tokenize(letters)])
+        return ids
 
-    def _ascii_word(self, word: str) -> bytes:
-        found = []
-        for part in self._PARTS.findall(word.lower()):
-            ids = self.parts.get(part)
-            if ids is None:
-                ids = self.parts[part] = self._bytes([t.id for t in self.library.model.tokenize(part)])
-            found.append(ids)
-        return b"".join(found)
+    def _plain_word(self, word: str) -> bytes:
+        word = word.lower()
+        return self._part(word) if word.isalpha() else b"".join(map(self._part, self._PARTS.findall(word)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.encode().split() if t.isascii() else [w.encode() for w in self._WORDS.findall(t)] for t in texts]
-        known, other = self.words, []
-        for word in {w for ws in split for w in ws}.difference(known):
-            if self._ASCII.fullmatch(word):
-                known[word] = self._ascii_word(word.decode())
+        split = [t.encode().split() for t in texts]
+        known, other, plain = self.words, [], self._PLAIN.fullmatch
+        for word in set().union(*split).difference(known):
+            text = word.decode()
+            if plain(text):
+                known[word] = self._plain_word(text)
             else:
-                other.append(word)
+                other.append(text)
         for start in range(0, len(other), 10_000):
             some = other[start : start + 10_000]
-            for word, e in zip(some, self.library.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                known[word] = self._bytes(e.ids)
+            for word, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                known[word.encode()] = self._bytes(e.ids)
         out = [b"".join(map(known.__getitem__, ws)) for ws in split]
-        if len(known) > self.REMEMBERED:
-            known.clear()
-            self.parts.clear()
+        for memory in (known, self.parts):
+            if len(memory) > self.REMEMBERED:
+                memory.clear()
         return out
 
 
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a Python worker."""
+    return WordEncoder(path)
+
+
 def write(docs: DataFrame, path: str, make_encoder: Callable[[], WordEncoder], vocabulary: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", per_file: int = 16_384) -> DataFrame:
     """Encode and store ``docs`` under ``path`` in ascending order of ids; returns the manifest.
 
