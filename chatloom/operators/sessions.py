@@ -52,7 +52,7 @@ def classify_inputs(inputs: DataFrame, known: DataFrame) -> DataFrame:
     """
     text = F.col("text")
     built_in = text.isin(*BUILT_IN) | text.startswith("/stop") | text.startswith("/status")
-    rows = inputs.withColumn("_name", _name(text)).join(F.broadcast(known.select(F.col("name").alias("_name"), F.lit(True).alias("_known")).limit(len(SIGNATURES) * 1000)), "_name", "left")
+    rows = inputs.withColumn("_name", _name(text)).join(known.select(F.col("name").alias("_name"), F.lit(True).alias("_known")).distinct(), "_name", "left")
     slash = text.startswith("/")
     kind = F.when(~slash, "prompt").when(built_in, "built_in").when(F.col("_known"), "event").otherwise("unknown")
     return rows.withColumns({"input_kind": kind, "command": F.when(slash, F.col("_name"))}).drop("_name", "_known")
