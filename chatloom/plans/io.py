@@ -127,10 +127,10 @@ def f4_captured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.captured(rows, _look).select("event_id", "frame")
 
 
-@query("SELECT event_id, CASE WHEN value > 400 THEN 'high ' || event_type ELSE '' END AS fired_message, value <= 400 AS notify_only FROM events WHERE event_type = 'purchase' AND value > 300")
+@query("SELECT event_id, CASE WHEN value > 100 THEN 'high ' || event_type ELSE '' END AS fired_message, value <= 100 AS notify_only FROM events WHERE event_type = 'purchase' AND value > 20")
 def f5_fire_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    message = F.when(F.col("value") > 400, F.concat(F.lit("high "), "event_type"))
-    fired = h.fire_events(table(spark, sf_dir, "events"), (F.col("event_type") == "purchase") & (F.col("value") > 300), message)
+    message = F.when(F.col("value") > 100, F.concat(F.lit("high "), "event_type"))
+    fired = h.fire_events(table(spark, sf_dir, "events"), (F.col("event_type") == "purchase") & (F.col("value") > 20), message)
     return fired.select("event_id", "fired_message", "notify_only")
 
 
