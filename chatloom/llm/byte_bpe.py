@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from .common import pieces
 
 #: Distinct pieces whose encoding a Python worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: Distinct pieces that are replayed together; it bounds the index.
+REPLAYED = 20_000
 
 
 class _Pairs(dict):
@@ -125,11 +127,12 @@ class MergeReplay:
             else:
                 words.append(piece)
                 spelled.append(spelling)
-        known.update(zip(words, self.replay(spelled), strict=True))
+        for at in range(0, len(words), REPLAYED):
+            known.update(zip(words[at : at + REPLAYED], self.replay(spelled[at : at + REPLAYED]), strict=True))
         out = [b"".join(map(known.__getitem__, ps)) for ps in split]
-        if len(known) > REMEMBERED:
-            known.clear()
-            self.pairs.clear()
+        for memory in (known, self.pairs):
+            if len(memory) > REMEMBERED:
+                memory.clear()
         return out
 
     def decode(self, ids: bytes) -> bytes:
@@ -155,7 +158,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay = merge_replay(ranks_path, pattern)
-        for batch in pieces(batches, "t"):
+        for batch in pieces(batches, "t", 2 << 20):
             ids = replay.encode([t or "" for t in batch.column("t").to_pylist()])
             columns = [batch.column("i"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
             if decode:

@@ -48,7 +48,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that one piece holds about ``limit`` bytes of text (one row at least).
 
     It bounds the memory of a Python worker; every row is passed on whole.
@@ -64,6 +64,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = 4 << 2
                 start, held = i, 0
             held += n
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # the worker lives on for other stages
 
 
 def texts_of(batch: pa.RecordBatch, text_col: str) -> list[bytes]:
