@@ -7,9 +7,11 @@ not sent on its own. In the bucket the windows are sorted and each run of equal
 document that has it. Words of later documents in such windows are removed.
 
 Most minimisers stand in one document only; nothing can repeat there. So minimisers (eight bytes each)
-go first, and only super-k-mers of those that two documents share are sent. One that a task has already seen in a smaller document needs no bucket: all
-its windows repeat. So copies collapse in the tasks that read them, and a bucket gets at most one string for each
-variant and task (a few where documents come in descending order), however large a group of copies is.
+go first, and only super-k-mers of those that two documents share are sent. One that a task has already
+seen in a smaller document needs no bucket: all its windows repeat. So copies collapse in the tasks that
+read them, however large a group of copies is. Where very many documents share a minimiser, their
+variants would fill one bucket; such super-k-mers are cut into pieces of a few windows, whose common
+words join the bucket's key.
 """
 
 from __future__ import annotations
@@ -29,19 +31,20 @@ WINDOW = 50
 MINIMISER = 6
 #: Super-k-mers that a task remembers before it forgets them all; forgetting only sends more strings.
 REMEMBERED = 1_000_000
+#: Documents from which on a minimiser is hot, and windows that a piece of its super-k-mers holds.
+HOT, PIECE = 256, 4
 #: Bytes of windows that are sorted at once.
 SORTED_BYTES = 64 << 20
 
 _ROW = "bucket long, i long, v long, start int, stop int, s binary"
 
 
-def super_kmers(docs: list[bytes], k: int = WINDOW, m: int = MINIMISER) -> tuple[np.ndarray, ...]:
-    """Of documents given as words joined by single spaces: document number, first word, number of
-    windows, minimiser, and the byte range in ``b" ".join(docs)``, of every super-k-mer."""
-    words = WordHashes(docs)
+def super_kmers(words: WordHashes, k: int = WINDOW, m: int = MINIMISER) -> tuple[np.ndarray, ...]:
+    """Document number, number of the first word among all words, number of windows, and minimiser, of
+    every super-k-mer."""
     doc, none = words.doc, np.zeros(0, np.int64)
     if len(doc) < k:
-        return none, none, none, none, none, none
+        return none, none, none, none
     piece = words.sequences(m)
     least, width, whole = piece, 1, k - m + 1
     while 2 * width <= whole:
@@ -52,7 +55,31 @@ def super_kmers(docs: list[bytes], k: int = WINDOW, m: int = MINIMISER) -> tuple
     same = valid[1:] & valid[:-1] & (least[1:] == least[:-1])
     starts = np.flatnonzero(valid & ~np.concatenate([[False], same]))
     stops = np.flatnonzero(valid & ~np.concatenate([same, [False]]))
-    return doc[starts], starts - words.first[doc[starts]], stops - starts + 1, least[starts].view(np.int64), words.begin[starts], words.end[stops + k - 1]
+    return doc[starts], starts, stops - starts + 1, least[starts].view(np.int64)
+
+
+class _Split:
+    """Cuts super-k-mers of hot minimisers into pieces with a finer bucket.
+
+    Windows whose (first) minimiser stands at nearly the same place, up to PIECE words apart, have most
+    of their words in common; these go into the bucket's key. Equal windows still get equal keys, and
+    variants that differ in a word mostly get keys of their own.
+    """
+
+    def __init__(self, words: WordHashes, k: int, m: int):
+        self.pieces, self.anchors, self.k = words.sequences(m).view(np.int64), words.sequences(k - PIECE + 1), k
+
+    def __call__(self, at: int, n: int, mini: int, m: int) -> Iterator[tuple[int, int, int]]:
+        """Bucket, first word and number of windows of each piece."""
+        place = at + np.flatnonzero(self.pieces[at : at + n + self.k - m] == mini)
+        start = np.arange(at, at + n)
+        place = place[np.searchsorted(place, start)]
+        anchor = place - (place - start) // PIECE * PIECE  # the first word that all windows of the piece have
+        edge = np.flatnonzero(np.diff(anchor, prepend=-1))
+        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), n], strict=True):
+            # where the piece stands relative to its minimiser is part of the key
+            key = int(self.anchors[anchor[a]]) ^ (mini & 0xFFFFFFFFFFFFFFFF) ^ int(place[a] - anchor[a]) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+            yield key - (1 << 63), at + a, b - a
 
 
 def _documents(batch: pa.RecordBatch, k: int) -> tuple[list[int], list[bytes]]:
@@ -71,7 +98,7 @@ def _minimisers(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[p
     for batch in pieces(batches, "t", 1 << 20):
         rows, docs = _documents(batch, k)
         if docs:
-            doc, _, _, mini, _, _ = super_kmers(docs, k, m)
+            doc, _, _, mini = super_kmers(WordHashes(docs), k, m)
             pairs = np.unique(np.stack([doc, mini], 1), axis=0)
             row = pa.array(np.array(rows)[pairs[:, 0]])
             yield pa.RecordBatch.from_arrays([batch.column("i").take(row), batch.column("v").take(row), pa.array(pairs[:, 1])], names=["i", "v", "mini"])
@@ -83,15 +110,23 @@ def _emit(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[pa.Reco
         rows, docs = _documents(batch, k)
         if not docs:
             continue
-        ids, versions, shared = ([column[r] for r in rows] for column in (batch.column(c).to_pylist() for c in ("i", "v", "minis")))
-        shared = [set(x) for x in shared]
-        text = b" ".join(docs)
+        ids, versions, shared, hot = ([column[r] for r in rows] for column in (batch.column(c).to_pylist() for c in ("i", "v", "minis", "hot")))
+        shared, hot = [set(x) for x in shared], [set(x) for x in hot]
+        words = WordHashes(docs)
+        split = _Split(words, k, m) if any(hot) else None
+
+        def sent() -> Iterator[tuple[int, int, int, int]]:
+            for doc, at, n, mini in zip(*(x.tolist() for x in super_kmers(words, k, m)), strict=True):  # noqa: B023
+                if mini in hot[doc]:  # noqa: B023
+                    yield from ((doc, *piece) for piece in split(at, n, mini, m))  # noqa: B023
+                elif mini in shared[doc]:  # noqa: B023
+                    yield doc, mini, at, n
+
         out: tuple[list, ...] = ([], [], [], [], [], [])
         open_range: list | None = None
-        for doc, at, n, mini, low, high in zip(*(x.tolist() for x in super_kmers(docs, k, m)), strict=True):
-            if mini not in shared[doc]:
-                continue
-            i, string = ids[doc], text[low:high]
+        begin, end, first = words.begin.tolist(), words.end.tolist(), words.first.tolist()
+        for doc, bucket, start, n in sent():
+            i, at, string = ids[doc], start - first[doc], words.text[begin[start] : end[start + n + k - 2]]
             key = xxhash.xxh3_128_digest(string)
             known = seen.get(key)
             if known is not None and known < i:  # a smaller document of this task has it all
@@ -104,7 +139,7 @@ def _emit(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[pa.Reco
                 open_range = [i, versions[doc], at, at + n + k - 1]
                 continue
             seen[key] = i
-            for column, x in zip(out, (mini, i, versions[doc], at, at + n + k - 1, string), strict=True):
+            for column, x in zip(out, (bucket, i, versions[doc], at, at + n + k - 1, string), strict=True):
                 column.append(x)
         if open_range is not None:
             for column, x in zip(out, (open_range[1], *open_range, None), strict=True):
@@ -195,7 +230,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["i", "n_words", "n_removed", "kept"])
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW, m: int = MINIMISER) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW, m: int = MINIMISER, hot: int = HOT) -> DataFrame:
     """Per row of ``docs``: the id, n_words, n_removed, kept (the words that stay, joined by a space).
 
     A word goes if a window that covers it also starts in a document with a smaller id. Null texts have
@@ -205,8 +240,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     """
     source = docs.select(F.col(id_col).cast("long").alias("i"), F.xxhash64(text_col).alias("v"), F.col(text_col).alias("t"))
     minis = materialise(source.mapInArrow(lambda batches: _minimisers(batches, k, m), "i long, v long, mini long"), "minimisers")
-    shared = minis.groupBy("mini").agg(F.min("i").alias("least"), F.max("i").alias("most")).where("least < most").select("mini")
-    by_doc = minis.join(materialise(shared, "shared-minimisers"), "mini", "left_semi").groupBy("i", "v").agg(F.collect_set("mini").alias("minis"))
+    shared = minis.groupBy("mini").agg(F.min("i").alias("least"), F.max("i").alias("most"), F.count("*").alias("n")).where("least < most")
+    shared = materialise(shared.select("mini", (F.col("n") >= hot).alias("is_hot")), "shared-minimisers")
+    lists = (F.collect_set("mini").alias("minis"), F.collect_set(F.when(F.col("is_hot"), F.col("mini"))).alias("hot"))
+    by_doc = minis.join(shared, "mini").groupBy("i", "v").agg(*lists)
     sent = source.join(by_doc, ["i", "v"]).mapInArrow(lambda batches: _emit(batches, k, m), _ROW)
     dealt = sent.repartition("bucket").sortWithinPartitions("bucket")
     ranges = dealt.mapInArrow(lambda batches: _count(batches, k), "i long, v long, start int, stop int")

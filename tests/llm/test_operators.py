@@ -367,16 +367,19 @@ def test_substring_awkward(awkward, empty):
     assert substring_dedup.dedup(empty).collect() == []
 
 
-def test_substring_near_copies(spark):
-    """Many near copies of one text, in any order of ids: each differs in a word of its own."""
+@pytest.mark.parametrize("hot", [2, 10, 1000])
+def test_substring_near_copies(spark, hot):
+    """Many near copies of one text, in any order of ids: each differs in a word of its own. The text
+    repeats some of its own words, so a minimiser can stand in a window twice."""
     r = random.Random(7)
-    text = [f"w{r.randint(0, 40)}" for _ in range(300)]
+    text = [f"w{r.randint(0, 40)}" for _ in range(150)]
+    text += [*text[20:60], *(f"w{r.randint(0, 3)}" for _ in range(60)), *["same"] * 50]
     rows = []
     for i in range(60):
         words = list(text)
         words[r.randint(0, 299)] = f"own{i}"
         rows.append((r.randint(0, 10_000), " ".join(words)))
-    same(substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect(), cuts(rows))
+    same(substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), hot=hot).collect(), cuts(rows))
 
 
 # 8 ---------------------------------------------------------------------------------------------------
