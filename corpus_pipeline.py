@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chatloom.llm import byte_bpe, decontaminate, pii, quality, simhash
+from chatloom.llm import byte_bpe, decontaminate, near_copies, pii, quality
 from chatloom.llm.common import materialise, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one with the smallest id."""
-    return simhash.keep_first(docs)
+    """Documents that share fewer than four in five five-word shingles with any smaller id's (Jaccard below 0.8)."""
+    return near_copies.keep_first(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
