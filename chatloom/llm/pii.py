@@ -4,9 +4,10 @@ Base spans (e-mail, IP, card, phone) are protected entities. A word near an enti
 even when the entity itself is hidden. From counts over the whole corpus, with P(e) the entity's share
 of all words and P(e | t) the share of the occurrences of word t that lie near e, the pointwise mutual
 information log2(P(e | t) / P(e)) is what t tells of e; divided by the entity's information content
--log2 P(e) it is the disclosed share. Words that were seen near the entity in enough different contexts
-and disclose more than a threshold are removed there, those a little below it are generalised. Copies
-of one passage are one context, so repetition alone makes nothing suspicious.
+-log2 P(e) it is the disclosed share. For P(e | t) stands the lower bound of a Wilson interval over the
+different contexts in which t was seen, so few contexts disclose less, but none is too few. Words that
+disclose more than a threshold are removed wherever they occur in any text, those a little below it are
+generalised. Copies of one passage are one context, so repetition alone makes nothing suspicious.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,8 +27,11 @@ from .common import materialise, pieces
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of an entity that count as near.
 NEAR = 5
-LEAST_CONTEXTS = 3
+#: Normal quantile of the lower bound of P(e | t) (90 %, one-sided).
+BOUND_Z = 1.2816
 REMOVE_AT, GENERALISE_AT = 0.95, 0.90
+#: Size of the filter that tells which words may be disclosing terms (2 MB); its hits are joined exactly.
+FILTER_BITS, PAGE_BITS = 1 << 24, 1 << 15
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -85,12 +90,8 @@ def _entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind == 'email' else value if kind == 'ip' else _NO_DIGIT.sub('', value)}"
 
 
-def _words_near(text: str, spans: list[Span]) -> Iterator[tuple[str, str, int, int, int]]:
-    """Entity, word, its start and end, and a hash of the context, for each word near each span.
-
-    Words that touch a base span are left out."""
-    if not spans:
-        return
+def _free_words(text: str, spans: list[Span]) -> list[tuple[int, int, str]]:
+    """Start, end and text of the words that touch no base span."""
     words = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text)]
     covered, last = [], -1
     for start, _, end in spans:  # merged, to skip what they touch
@@ -105,6 +106,16 @@ def _words_near(text: str, spans: list[Span]) -> Iterator[tuple[str, str, int, i
             c += 1
         if c == len(covered) or w[1] <= covered[c][0]:
             free.append(w)
+    return free
+
+
+def _words_near(text: str, spans: list[Span]) -> Iterator[tuple[str, str, int, int, int]]:
+    """Entity, word, its start and end, and a hash of the context, for each word near each span.
+
+    Words that touch a base span are left out."""
+    if not spans:
+        return
+    free = _free_words(text, spans)
     at = 0
     for start, kind, end in spans:
         while at < len(free) and free[at][0] < start:
@@ -120,6 +131,8 @@ _NEAR = "array<struct<entity:string,term:string,start:int,end:int,context:long>>
 _FOUND_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32()), ("entity", pa.string())]))
 _NEAR_TYPE = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("context", pa.int64())]))
 
+_TERMS_TYPE = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "t"):
@@ -141,6 +154,51 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["term", "n"])
 
 
+def _filter(terms: DataFrame) -> np.ndarray:
+    """A bit for the hash of every ``term``; its fixed size is all that comes to the driver."""
+    bit = (F.xxhash64("term").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1).alias("bit")
+    pages = terms.select(bit).groupBy(F.bitmap_bucket_number("bit").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in pages.toLocalIterator():
+        at = (row["page"] - 1) * (PAGE_BITS // 8)
+        out[at : at + PAGE_BITS // 8] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def occurrences(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """i, v, term, start, end of every occurrence of a ``term`` in any text, outside base spans.
+
+    Words pass the filter first; what passes is joined with the terms by whichever join fits their size.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(_filter(terms))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, known = bits.value, {}
+
+        def wanted(word: str) -> bool:
+            if (found := known.get(word)) is None:
+                if len(known) >= 200_000:
+                    known.clear()
+                h = xxhash.xxh64_intdigest(word.lower().encode(), 42) & (FILTER_BITS - 1)
+                found = known[word] = bool(table[h >> 3] >> (h & 7) & 1)
+            return found
+
+        for batch in pieces(batches, "t"):
+            rows, found = [], []
+            for row, text in enumerate(batch.column("t").to_pylist()):
+                if text and (hits := {w for w in set(_WORD.findall(text)) if wanted(w)}):
+                    at = [{"term": w.lower(), "start": s, "end": e} for s, e, w in _free_words(text, base_spans(text)) if w in hits]
+                    if at:
+                        rows.append(row)
+                        found.append(at)
+            kept = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([kept.column("i"), kept.column("v"), pa.array(found, _TERMS_TYPE)], names=["i", "v", "terms"])
+
+    source = _keyed(docs, id_col, text_col)
+    found = source.mapInArrow(run, f"i {source.schema['i'].dataType.simpleString()}, v long, terms array<struct<term:string,start:int,end:int>>")
+    return found.select("i", "v", F.inline("terms")).join(terms, "term")
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("v"), F.col(text_col).alias("t"))
 
@@ -151,27 +209,34 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return materialise(source.mapInArrow(_scan, f"i {source.schema['i'].dataType.simpleString()}, v long, words long, found {_FOUND}, near {_NEAR}"), "personal-data")
 
 
-def disclosing_spans(docs: DataFrame, scanned: DataFrame, text_col: str = "text") -> DataFrame:
+def _lower_bound(p, n):
+    """Lower end of the Wilson interval of a share ``p`` among ``n``."""
+    z = BOUND_Z
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def disclosing_spans(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Spans that the method adds: i, v (hash of the text), added (array of start, kind, end).
 
     ``scanned`` is what ``scan`` made of ``docs``. Corpus counts are taken of the words that were seen
-    near some entity in LEAST_CONTEXTS contexts; counts of a task's piece are summed before they are
-    shuffled. The tables of entities and terms are broadcast only below Spark's size threshold.
+    near some entity; counts of a task's piece are summed before they are shuffled. The tables of
+    entities and terms are broadcast only below Spark's size threshold.
     """
     near = scanned.where(F.size("near") > 0).select("i", "v", F.explode("near").alias("x")).select("i", "v", "x.*")
     contexts = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts"))
     joint = near.groupBy("entity", "term").agg(F.count("*").alias("joint"))
-    pairs = materialise(contexts.where(F.col("contexts") >= LEAST_CONTEXTS).join(joint, ["entity", "term"]), "pairs")
+    pairs = materialise(contexts.join(joint, ["entity", "term"]), "pairs")
     terms = materialise(pairs.select("term").distinct(), "terms")
     counted = docs.select(F.col(text_col).alias("t")).mapInArrow(_term_counts, "term string, n long").join(terms, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term"))
     entities = scanned.where(F.size("found") > 0).select(F.explode("found.entity").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     total = scanned.agg(F.sum("words")).first()[0] or 1
     content = -F.log2(F.col("n_entity") / F.lit(float(max(total, 2))))
-    share = 1 + F.log2(F.least(F.col("joint") / F.col("n_term"), F.lit(1.0))) / content
+    rate = F.least(F.col("joint") / F.col("n_term"), F.lit(1.0))
+    share = 1 + F.log2(_lower_bound(rate, F.col("contexts") / rate)) / content
     telling = pairs.join(counted, "term").join(entities, "entity").withColumn("share", share).where(F.col("share") >= GENERALISE_AT)
     kind = F.when(F.col("share") >= REMOVE_AT, "term_removed").otherwise("term_generalised")
-    telling = materialise(telling.select("entity", "term", kind.alias("kind")), "telling")
-    marked = near.join(telling, ["entity", "term"]).groupBy("i", "v", "start", "end").agg(F.max("kind").alias("kind"))
+    telling = materialise(telling.groupBy("term").agg(F.max(kind).alias("kind")), "telling")
+    marked = occurrences(docs, telling, id_col, text_col).groupBy("i", "v", "start", "end").agg(F.max("kind").alias("kind"))
     return marked.groupBy("i", "v").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("added"))
 
 
@@ -183,7 +248,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     empty table.
     """
     scanned = scan(docs, id_col, text_col)
-    added = materialise(disclosing_spans(docs, scanned, text_col), "disclosing")
+    added = materialise(disclosing_spans(docs, scanned, id_col, text_col), "disclosing")
     plain = "struct<start:int,kind:string,end:int>"
     base = F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     joined = scanned.withColumnRenamed("i", "scanned_i").join(added, F.col("scanned_i").eqNullSafe(F.col("i")) & (scanned["v"] == added["v"]), "left")
@@ -220,7 +285,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     """``docs``, all columns, with marks for spans in the text, and its length (if there is such a
     column) in code points. Rows without spans stay as they are."""
     scanned = scan(docs, id_col, text_col)
-    added = materialise(disclosing_spans(docs, scanned, text_col), "disclosing").select(F.col("i").alias("_i"), F.col("v").alias("_v"), F.col("added").alias("_added"))
+    added = materialise(disclosing_spans(docs, scanned, id_col, text_col), "disclosing").select(F.col("i").alias("_i"), F.col("v").alias("_v"), F.col("added").alias("_added"))
     whole = docs.select(F.struct(*map(_quoted, docs.columns)).alias("doc"), F.col(id_col).alias("i"), F.xxhash64(text_col).alias("v"))
     joined = whole.join(added, F.col("i").eqNullSafe(F.col("_i")) & (F.col("v") == F.col("_v")), "left").select("doc.*", "_added")
 
