@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 #: What a reader sees of a think-tagged text is what this pattern leaves: thinking up to its end tag or
 #: the end of the text, and a cut-off start tag at the very end.
 THINK = r"(?s)<think>.*?(?:</think>|\z)|<(?:t(?:h(?:i(?:nk?)?)?)?)?\z"
-#: Runs of thinking and of other text, in order.
-THINK_RUNS = r"(?s)(<think>.*?(?:</think>|\z)|(?:(?!<think>).)+)"
+#: One run of thinking; what stands between two of them is other text.
+THINK_RUN = r"(?s)<think>.*?(?:</think>|\z)"
 CUT_OPEN, CUT_CLOSE = r"<(?:t(?:h(?:i(?:nk?)?)?)?)?\z", r"<(?:/(?:t(?:h(?:i(?:nk?)?)?)?)?)?\z"
 
 
@@ -44,8 +44,12 @@ def think_segments(df: DataFrame, text_col: str = "text") -> DataFrame:
     """One row per segment of a think-tagged text: all columns but the text, pos, segment, is_thinking.
 
     A cut-off tag at the very end of the text is left out of the last segment; empty ones are dropped.
+    The text is split at its runs of thinking, so the pattern never loops over single characters and
+    texts of any length pass.
     """
-    runs = F.regexp_extract_all(F.col(text_col), F.lit(THINK_RUNS), F.lit(1))
+    between, inside = F.split(text_col, THINK_RUN, -1), F.regexp_extract_all(F.col(text_col), F.lit(THINK_RUN), F.lit(0))
+    pairs = F.arrays_zip(between.alias("b"), inside.alias("t"))
+    runs = F.filter(F.flatten(F.transform(pairs, lambda x: F.array(x["b"], x["t"]))), lambda x: x != "")
     count = F.size("_runs")
 
     def one(run: Column, i: Column) -> Column:

@@ -155,8 +155,9 @@ def reconcile_project(states: DataFrame) -> DataFrame:
 
     From the first state with tasks on, goal, constraints and the tasks' ids, titles and order stay,
     done tasks stay done, and the longest log so far stays (the first of equally long ones). Lost tasks
-    come back, new ones are left out. Done flags are carried per task and instance, so long histories
-    cost no more than their rows.
+    come back, new ones are left out. For each task the first snapshot that has it done is found by a
+    grouping, and each snapshot compares its own number with those, so a long history costs no more
+    than its rows.
     """
     upto = W.partitionBy("instance_id").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
     plan = F.first(F.when(F.size("tasks") > 0, F.struct("goal", "constraints", "tasks")), ignorenulls=True).over(upto)
@@ -164,10 +165,12 @@ def reconcile_project(states: DataFrame) -> DataFrame:
     on = F.col("_on")
     longest = F.max(F.when(on & (F.size("log") > 0), F.struct(F.size("log").alias("n"), (-F.col("seq")).alias("s"), F.col("log").alias("log")))).over(upto)
     rows = rows.withColumn("log", F.when(on, F.coalesce(longest["log"], F.array().cast("array<string>"))).otherwise(F.col("log")))
-    seen = F.transform(F.filter("tasks", lambda t: t["done"]), lambda t: t["id"])
-    first_done = F.array_distinct(F.flatten(F.collect_list(F.when(on, seen)).over(upto)))
-    rows = rows.withColumn("_done", first_done)
-    fixed = F.transform(F.col("_p.tasks"), lambda t: F.struct(t["id"].alias("id"), t["title"].alias("title"), F.array_contains("_done", t["id"]).alias("done")))
+    planned = F.filter("tasks", lambda t: t["done"] & F.array_contains(F.transform("_p.tasks", lambda p: p["id"]), t["id"]))
+    done = rows.where("_on").select("instance_id", "seq", F.explode(planned).alias("t"))
+    done = done.groupBy("instance_id", F.col("t.id").alias("id")).agg(F.min("seq").alias("first"))
+    done = done.groupBy("instance_id").agg(F.map_from_entries(F.collect_list(F.struct("id", "first"))).alias("_done"))
+    rows = rows.join(done, "instance_id", "left")
+    fixed = F.transform(F.col("_p.tasks"), lambda t: F.struct(t["id"].alias("id"), t["title"].alias("title"), F.coalesce(F.try_element_at("_done", t["id"]) <= F.col("seq"), F.lit(False)).alias("done")))
     out = {"tasks": F.when(on, fixed).otherwise(F.col("tasks")), "goal": F.when(on, F.col("_p.goal")).otherwise(F.col("goal")), "constraints": F.when(on, F.col("_p.constraints")).otherwise(F.col("constraints"))}
     return rows.withColumns(out).drop("_p", "_on", "_done")
 
