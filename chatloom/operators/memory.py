@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from chatloom.functions.text import strip, suffix
 
 EXCERPT_CHARS, SUMMARY_CHARS, INLINE_CHARS = 1500, 2000, 200
-#: An excerpt and its line break take 8 characters or more, so no more rows can reach into a summary.
-SUMMARY_ROWS = 250
 
 
 def text_messages(messages: DataFrame) -> DataFrame:
@@ -92,7 +90,9 @@ def rolling_summary(excerpts: DataFrame, initial: DataFrame | None = None, inlin
     order = W.partitionBy("conv_id").orderBy("xid")
     first = F.row_number().over(order) == 1
     rows = rows.withColumn("initial", F.lit("")) if initial is None else rows.join(initial.select("conv_id", F.col("summary").alias("initial")), "conv_id", "left").fillna("", "initial")
-    so_far = F.collect_list("excerpt").over(order.rowsBetween(-SUMMARY_ROWS, W.currentRow))
+    # the excerpts that reach into the last SUMMARY_CHARS characters, by how far the text has come
+    rows = rows.withColumn("_at", F.sum(F.length("excerpt") + 1).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    so_far = F.collect_list("excerpt").over(W.partitionBy("conv_id").orderBy("_at").rangeBetween(-SUMMARY_CHARS, 0))
     parts = F.filter(F.concat(F.array("initial"), so_far), lambda x: x != "")
     branch = F.when(F.length("excerpt") < inline_chars, "inline").when(first & (F.col("initial") == ""), "seed").otherwise("merge")
     return rows.select("conv_id", "xid", "excerpt", suffix(F.array_join(parts, "\n"), SUMMARY_CHARS).alias("summary"), branch.alias("branch"))

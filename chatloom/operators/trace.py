@@ -7,15 +7,19 @@ result), name, args (JSON), result.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chatloom.functions.text import prefix, result_preview, strip_think
+from chatloom.functions.text import is_blank, prefix, result_preview, strip, strip_think
 
 MAX_ROUNDS, KEPT_ITERATIONS = 50, 50
 # What stands for a missing text.
 EXCEEDED, NO_OUTPUT = "(tool loop exceeded max rounds)", "(no output)"
+# Marks of the status texts.
+GENERATING, STILL_RUNNING, WAITING = "[generating]", "(running…)", "[waiting for next trigger]"
 
 
 def _joined(column: str) -> Column:
@@ -134,24 +138,78 @@ def format_tool_status(events: DataFrame) -> DataFrame:
     return events.withColumn("status", F.when(F.col("kind") == "route", route).when(F.col("kind") == "tool", tool))
 
 
+def _python_args(args: str) -> str:
+    try:
+        return ", ".join(f"{k}={v!r}" for k, v in json.loads(args).items())
+    except (ValueError, AttributeError):
+        return ""
+
+
+#: JSON numbers that Python shows as they are written.
+_PLAIN_NUMBER = r"^(-?[1-9][0-9]{0,11}|0)(\.([0-9]{0,3}[1-9]|0))?$"
+
+
 def _shown_args(args: Column) -> Column:
-    """k='v' of each argument: numbers and words of JSON bare, strings quoted."""
-    entries = F.map_entries(F.from_json(args, "map<string,string>"))
-    bare = r"^-?[0-9]+(\.[0-9]+)?$"
-    return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), F.when(e["value"].rlike(bare), e["value"]).otherwise(F.concat(F.lit("'"), e["value"], F.lit("'"))))), ", ")
-
-
-def status_detail(iterations: DataFrame) -> DataFrame:
-    """instance_id, detail: a header and a block for each kept iteration (instance_id, position,
-    response, tools)."""
-
-    def tool(t: Column) -> Column:
-        preview = result_preview(t["result"])
-        return F.concat(F.lit("  ↳ "), t["name"], F.lit("("), F.coalesce(_shown_args(t["args"]), F.lit("")), F.lit(")"), F.when(preview != "", F.concat(F.lit("\n    "), preview)).otherwise(""))
-
-    text = F.when(F.col("response") != "", F.col("response")).otherwise(NO_OUTPUT)
-    head = F.array(F.concat(F.lit("["), F.col("position").cast("string"), F.lit("]")))
-    block = F.array_join(F.concat(head, F.transform("tools", tool), F.array(text)), "\n")
-    rows = iterations.withColumn("block", block).groupBy("instance_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "block"))), lambda x: x["block"]), "\n\n").alias("blocks"), F.count("*").alias("n"))
-    header = F.concat(F.lit("=== "), F.col("instance_id").cast("string"), F.lit(" — "), F.col("n").cast("string"), F.lit(" iteration(s) ===\n"))
-    return rows.select("instance_id", F.concat(header, "blocks").alias("detail"))
+    """k=v of each argument, values as Python shows them; null where these expressions cannot tell.
+
+    Texts without quotes, escapes and unprintable letters, plain numbers, booleans and nulls can be told.
+    """
+    kinds = F.map_values(F.transform_values(F.from_json(args, "map<string,variant>"), lambda _, v: F.coalesce(F.schema_of_variant(v), F.lit("VOID"))))
+    entries = F.arrays_zip(F.map_entries(F.from_json(args, "map<string,string>")).alias("e"), kinds.alias("k"))
+
+    def shown(x: Column) -> Column:
+        value, kind = x["e"]["value"], x["k"]
+        text = F.when((kind == "STRING") & ~value.rlike(r"['\\]|[^\p{L}\p{N}\p{P}\p{S} ]"), F.concat(F.lit("'"), value, F.lit("'")))
+        word = F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(value))
+        number = F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & value.rlike(_PLAIN_NUMBER), value)
+        return F.concat(x["e"]["key"], F.lit("="), F.coalesce(text, word, number))
+
+    return F.transform(entries, shown)
+
+
+def _tool_lines(rows: DataFrame, key: list[str], missing: str) -> DataFrame:
+    """``key`` and lines (array of texts) of the tools (array with name, args, result) of rows.
+
+    Arguments that need Python's own quoting pass through an Arrow batch function, no others.
+    """
+    each = rows.select(*key, F.posexplode("tools").alias("pos", "t")).select(*key, "pos", "t.name", "t.args", "t.result")
+    each = each.select("*", F.explode(F.array(_shown_args(F.col("args")))).alias("parts"))  # computed once a row
+    told = F.when(F.coalesce(F.trim("args"), F.lit("")).isin("", "{}"), "").when(F.forall("parts", lambda p: p.isNotNull()), F.array_join("parts", ", "))
+    each = each.withColumn("told", told)
+    quoted = F.pandas_udf(lambda s: s.map(lambda a: _python_args(a) if a else ""), "string")
+    each = each.withColumn("args", F.coalesce("told", quoted(F.when(F.col("told").isNull(), F.col("args")))))
+    below = F.when(F.col("result").isNull(), missing).otherwise(result_preview(F.col("result")))
+    line = F.concat(F.lit("  ↳ "), "name", F.lit("("), "args", F.lit(")"), F.when(below != "", F.concat(F.lit("\n    "), below)).otherwise(""))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"])
+    return each.groupBy(*key).agg(ordered.alias("lines"))
+
+
+def status_detail(iterations: DataFrame, live: DataFrame | None = None, running: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """instance_id, detail: a header, a block for each kept iteration (instance_id, position, response,
+    tools), and a last one for what is being generated.
+
+    ``live``: instance_id, text (so far), tools (a null result: it still runs), one row each.
+    ``running``: instance_id of those that run; one without iterations waits for its next trigger.
+    ``asked``: instance_id of those that someone asks for; unknown ones get a text that says so.
+    """
+    none = F.array().cast("array<string>")
+
+    def blocks(rows: DataFrame, key: list[str], missing: str) -> DataFrame:
+        joined = rows.join(_tool_lines(rows, key, missing), key, "left")
+        return joined.withColumn("block", F.array_join(F.concat(F.array("head"), F.coalesce("lines", none), F.array("body")), "\n"))
+
+    logged = iterations.withColumns({"head": F.concat(F.lit("["), F.col("position").cast("string"), F.lit("]")), "body": F.when(F.col("response") != "", F.col("response")).otherwise(NO_OUTPUT)})
+    parts = blocks(logged, ["instance_id", "position"], "").select("instance_id", "position", "block", F.lit(1).alias("n"), F.lit(False).alias("runs"))
+    if live is not None:
+        now = live.withColumns({"head": F.lit(GENERATING), "body": F.when(is_blank(F.col("text")), "…").otherwise(strip(F.col("text")))})
+        parts = parts.unionByName(blocks(now, ["instance_id"], STILL_RUNNING).select("instance_id", F.lit(1 << 62).alias("position"), "block", F.lit(0).alias("n"), F.lit(False).alias("runs")))
+    nothing = [F.lit(None).cast("long").alias("position"), F.lit(None).cast("string").alias("block"), F.lit(0).alias("n")]
+    for ids, runs in ((running, True), (asked, False)):
+        if ids is not None:
+            parts = parts.unionByName(ids.select("instance_id", *nothing, F.lit(runs).alias("runs")))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("block").isNotNull(), F.struct("position", "block")))), lambda x: x["block"]), "\n\n")
+    rows = parts.groupBy("instance_id").agg(texts.alias("blocks"), F.sum("n").cast("string").alias("n"), F.bool_or("runs").alias("runs"))
+    name = F.col("instance_id").cast("string")
+    header = F.concat(F.lit("=== "), name, F.lit(" — "), "n", F.lit(" iteration(s) ===\n"))
+    detail = F.when(F.col("blocks") != "", F.concat(header, "blocks")).when(F.col("runs"), F.concat(header, F.lit(WAITING))).otherwise(F.concat(F.lit("No event found for '"), name, F.lit("'.")))
+    return rows.select("instance_id", detail.alias("detail"))
