@@ -28,10 +28,11 @@ def parse_summary(text: Column) -> Column:
 
 
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:
-    """conv_id (from the file name) and summary of stored summaries, one JSON file each."""
+    """conv_id and summary of stored summaries, one JSON file each; the file's name, or that of its
+    folder (``conv_id=…``), has the id."""
     files = spark.read.text(path, wholetext=True)
-    name = F.regexp_extract("_metadata.file_name", r"^(\d+)", 1)
-    return files.select(name.try_cast("long").alias("conv_id"), parse_summary(F.col("value")).alias("summary"))
+    name = F.regexp_extract("_metadata.file_path", r"(?:/conv_id=(\d+)/[^/]*|/(\d+)[^/]*)$", 0)
+    return files.select(F.regexp_extract(name, r"(\d+)", 1).try_cast("long").alias("conv_id"), parse_summary(F.col("value")).alias("summary"))
 
 
 def summary_json(summary: Column) -> Column:
@@ -49,18 +50,28 @@ def write_summaries(summaries: DataFrame, path: str) -> None:
 
 
 def stream_summaries(summaries: DataFrame, path: str, checkpoint: str):
-    """A streaming write of latest summaries: each micro-batch replaces the table by old and new rows."""
+    """A streaming write of summaries (conv_id, xid, summary): each micro-batch leaves the last one of
+    each conversation in a folder of its number, so a batch that runs again replaces its own rows.
+    ``read_summary_batches`` gives the latest of all."""
 
-    def upsert(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").partitionBy("batch").parquet(path)
+    def put(batch: DataFrame, number: int) -> None:
+        last = batch.groupBy("conv_id").agg(F.max("xid").alias("xid"), F.max_by("summary", "xid").alias("summary"))
+        last.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return summaries.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return summaries.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_summary_batches(spark: SparkSession, path: str) -> DataFrame:
+    """The last summary of each conversation (conv_id, summary) of what ``stream_summaries`` wrote."""
+    rows = spark.read.schema("conv_id long, xid long, summary string, batch long").parquet(path)
+    return rows.groupBy("conv_id").agg(F.max_by("summary", F.struct("batch", "xid")).alias("summary"))
 
 
 def read_state_snapshots(spark: SparkSession, glob: str) -> DataFrame:
-    """State files: instance_id (the file's name), seq (its time in milliseconds), payload."""
+    """State files: instance_id (the file's path, so files of one name in different folders stay apart),
+    seq (its time in milliseconds), payload."""
     files = spark.read.text(glob, wholetext=True)
-    return files.select(F.col("_metadata.file_name").alias("instance_id"), F.unix_millis("_metadata.file_modification_time").alias("seq"), F.col("value").alias("payload"))
+    return files.select(F.col("_metadata.file_path").alias("instance_id"), F.unix_millis("_metadata.file_modification_time").alias("seq"), F.col("value").alias("payload"))
 
 
 def parse_skills(texts: DataFrame, text_col: str = "text") -> DataFrame:

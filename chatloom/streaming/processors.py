@@ -2,8 +2,7 @@
 
 Each processor is a small fold: rows of a key in order of ``seq`` go through ``step`` with the key's
 state, which is kept as one JSON value in Spark's state store (RocksDB). Rows are sorted within a
-micro-batch; a row at or below the last sequence number seen is late, and is dropped and counted in the
-state. On the same rows the result equals the batch operator's. The reference rules have no event time;
+micro-batch; a row at or below the last sequence number seen is late, and is dropped. On the same rows the result equals the batch operator's. The reference rules have no event time;
 idle keys can be given a time to live (``ttl_ms``).
 """
 
@@ -11,16 +10,21 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from chatloom.operators.memory import EXCERPT_CHARS, INLINE_CHARS, SUMMARY_CHARS
 
+OPEN = "<think>"
+_THOUGHT = re.compile("<think>.*?</think>", re.S)
+_CUT_OPEN, _CUT_CLOSE = (re.compile("(?:" + "|".join(re.escape(tag[:n]) for n in range(len(tag) - 1, 0, -1)) + r")?\Z") for tag in (OPEN, "</think>"))
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 Row = Any
 
@@ -48,11 +52,10 @@ class Fold(StatefulProcessor):
         self.value = handle.getValueState("state", StructType([StructField("json", StringType())]), self.ttl_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        state = json.loads(self.value.get()[0]) if self.value.exists() else {"last": None, "late": 0, "x": self.start()}
+        state = json.loads(self.value.get()[0]) if self.value.exists() else {"last": None, "x": self.start()}
         out = []
         for row in pd.concat(rows).sort_values("seq", kind="stable").itertuples(index=False):
             if state["last"] is not None and row.seq <= state["last"]:
-                state["late"] += 1
                 continue
             state["last"] = int(row.seq)
             out += [(*key, *x) for x in self.step(state["x"], row)]
@@ -109,7 +112,11 @@ class Sessions(Fold):
 
 
 class RollingMemory(Fold):
-    """Excerpt and summary after each exchange (columns role, text). ``merge_fn`` as in the batch fold."""
+    """Excerpt and summary after each exchange (columns role, text). ``merge_fn`` as in the batch fold.
+
+    A column ``stored`` has the summary to go on from; a conversation's first row counts. Of texts that
+    wait for an answer only what can reach an excerpt is kept.
+    """
 
     columns = "xid bigint, excerpt string, summary string, branch string"
 
@@ -118,12 +125,29 @@ class RollingMemory(Fold):
         self.merge_fn = merge_fn
 
     def start(self) -> dict:
-        return {"held": [], "summary": "", "xid": 0}
+        return {"held": [], "summary": None, "xid": 0}
+
+    @staticmethod
+    def _hold(held: list, role: str, text: str) -> None:
+        """Adds a message; drops what lies beyond the excerpt, but for the last prompt and answer."""
+        held.append([role, text[-EXCERPT_CHARS:]])
+        last, size, keep = {}, 0, []
+        for i in range(len(held) - 1, -1, -1):
+            r, t = held[i]
+            newest = r not in last and (r == "user" or t)
+            if newest:
+                last[r] = i
+            if size < EXCERPT_CHARS or newest:
+                keep.append(held[i])
+            size += len(t) + 1 if t else 0
+        held[:] = keep[::-1]
 
     def step(self, state: dict, row: Row) -> Iterator[tuple]:
+        if state["summary"] is None:
+            state["summary"] = getattr(row, "stored", None) or ""
         if row.role not in ("user", "assistant"):
             return
-        state["held"].append([row.role, row.text or ""])
+        self._hold(state["held"], row.role, row.text or "")
         if row.role == "user":
             return
         held, xid = state["held"], state["xid"]
@@ -144,51 +168,91 @@ class RollingMemory(Fold):
         yield xid, excerpt, state["summary"], branch
 
 
+class FileTimes(Fold):
+    """A poll's file time (column mtime; null: missing, counts as 0) that differs from the one before."""
+
+    columns = "seq bigint, mtime double, previous_mtime double"
+
+    def step(self, state: dict, row: Row) -> Iterator[tuple]:
+        now, before = 0.0 if row.mtime is None or row.mtime != row.mtime else float(row.mtime), state.get("mtime")
+        state["mtime"] = now
+        if before is not None and before != now:
+            yield int(row.seq), now, before
+
+
 class LoopStates(Fold):
-    """Reconciled loop states (columns of the batch operator; exit_criteria joined by commas)."""
+    """Reconciled loop states; column ``state`` holds a state as JSON, in and out."""
+
+    columns = "seq bigint, state string"
 
-    columns = "seq bigint, goal string, action string, iterations bigint, terminated boolean, termination_reason string"
+    def __init__(self, operator_cap: int | None = None, ttl_ms: int | None = None):
+        super().__init__(ttl_ms)
+        self.operator_cap = operator_cap if operator_cap and operator_cap > 0 else None
 
     def start(self) -> dict:
         return {"plan": None, "floor": 0, "ended": False, "reason": ""}
 
     def step(self, state: dict, row: Row) -> Iterator[tuple]:
-        if state["plan"] is None and row.action:
-            state["plan"] = [row.goal, row.action]
-        if state["plan"] is None:
-            yield int(row.seq), row.goal, row.action, int(row.iterations), bool(row.terminated), row.termination_reason
-            return
-        state["floor"] = max(state["floor"], int(row.iterations))
-        if row.terminated:
-            state["ended"] = True
-            state["reason"] = state["reason"] or row.termination_reason
-        yield int(row.seq), *state["plan"], state["floor"], state["ended"], state["reason"]
+        now = json.loads(row.state)
+        if state["plan"] is None and now.get("action"):
+            state["plan"] = {k: now.get(k) for k in ("goal", "action", "exit_criteria")} | {"max_iterations": self.operator_cap or now.get("max_iterations")}
+        if state["plan"] is not None:
+            state["floor"] = max(state["floor"], now["iterations"])
+            if now["terminated"]:
+                state["ended"], state["reason"] = True, state["reason"] or now["termination_reason"]
+            now |= state["plan"] | {"iterations": state["floor"], "terminated": state["ended"], "termination_reason": state["reason"]}
+        yield int(row.seq), json.dumps(now)
+
+
+class ProjectStates(Fold):
+    """Reconciled project states; column ``state`` holds a state as JSON, in and out."""
+
+    columns = "seq bigint, state string"
+
+    def start(self) -> dict:
+        return {"plan": None, "tasks": [], "done": [], "log": []}
+
+    def step(self, state: dict, row: Row) -> Iterator[tuple]:
+        now = json.loads(row.state)
+        if state["plan"] is None and now.get("tasks"):
+            state["plan"] = {k: now.get(k) for k in ("goal", "constraints")}
+            state["tasks"] = [[t["id"], t["title"]] for t in now["tasks"]]
+        if state["plan"] is not None:
+            fresh = {t["id"] for t in now["tasks"] if t["done"]}
+            state["done"] = [i for i, _ in state["tasks"] if i in fresh or i in state["done"]]
+            state["log"] = max(state["log"], now.get("log") or [], key=len)
+            now |= state["plan"] | {"log": state["log"], "tasks": [{"id": i, "title": title, "done": i in state["done"]} for i, title in state["tasks"]]}
+        yield int(row.seq), json.dumps(now)
+
+
+def stream_states(states: DataFrame, fold: Fold) -> DataFrame:
+    """A stream of normalised states (instance_id, seq and the fields of the batch operator) reconciled
+    live by ``LoopStates`` or ``ProjectStates``: the same columns."""
+    fields = [f for f in states.schema.fields if f.name not in ("instance_id", "seq")]
+    packed = states.select("instance_id", "seq", F.to_json(F.struct(*(f.name for f in fields))).alias("state"))
+    out = run_fold(packed, "instance_id", fold, ["seq", "state"])
+    back = F.from_json("state", StructType(fields)).alias("s")
+    return out.select("instance_id", "seq", back).select("instance_id", "seq", "s.*")
 
 
 class ThinkFilter(Fold):
-    """The visible part of each chunk of a think-tagged stream (column content). Text that may be the
-    start of a tag is held until it is known to be none."""
+    """The visible part of each chunk of a think-tagged stream (column content).
+
+    What is not shown yet is judged together with the new chunk, by the rule for whole texts: what lies
+    outside runs of thinking is visible. A tail that may become a tag waits for the next chunk.
+    """
 
     columns = "seq bigint, visible string"
 
     def start(self) -> dict:
-        return {"inside": False, "held": ""}
+        return {"pending": ""}
 
     def step(self, state: dict, row: Row) -> Iterator[tuple]:
-        text, shown = state["held"] + (row.content or ""), []
-        while True:
-            tag = "</think>" if state["inside"] else "<think>"
-            before, found, after = text.partition(tag)
-            if found:
-                if not state["inside"]:
-                    shown.append(before)
-                state["inside"], text = not state["inside"], after
-                continue
-            held = next((n for n in range(min(len(tag) - 1, len(text)), 0, -1) if text.endswith(tag[:n])), 0)
-            if not state["inside"]:
-                shown.append(text[: len(text) - held])
-            state["held"] = text[len(text) - held :]
-            break
+        *shown, last = _THOUGHT.split(state["pending"] + (row.content or ""))
+        outside, opened, thinking = last.partition(OPEN)
+        tail = (_CUT_CLOSE if opened else _CUT_OPEN).search(thinking if opened else outside)[0]
+        state["pending"] = opened + tail
+        shown.append(outside if opened else outside.removesuffix(tail))
         if visible := "".join(shown):
             yield int(row.seq), visible
 
@@ -207,3 +271,48 @@ class EventLog(Fold):
         log.append(int(row.seq))
         dropped = log.pop(0) if len(log) > self.kept else None
         yield int(row.seq), len(log), dropped
+
+
+class Schedules(StatefulProcessor):
+    """Fires each schedule (key id; submitted, due) once: at its time by a timer, or at once if that was
+    past when it came in. A repeated id changes nothing."""
+
+    columns = "due timestamp, fire_ts timestamp"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("due", StructType([StructField("due", LongType()), StructField("fired", LongType())]))
+
+    def _fire(self, key: Any, due: int, at: int) -> pd.DataFrame:
+        self.value.update((due, at))
+        return pd.DataFrame({"id": [key[0]], "due": [pd.Timestamp(due, unit="us")], "fire_ts": [pd.Timestamp(at, unit="us")]})
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        first = next((r for batch in rows for r in batch.itertuples(index=False)), None)
+        if first is None or self.value.exists():
+            return
+        now = timerValues.getCurrentProcessingTimeInMs()
+        if first.due_us <= now * 1000:
+            yield self._fire(key, first.due_us, max(first.due_us, first.submitted_us))
+        else:
+            self.value.update((first.due_us, None))
+            self.handle.registerTimer(-(-first.due_us // 1000))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        due = int(self.value.get()[0])
+        yield self._fire(key, due, due)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_schedules(schedules: DataFrame) -> DataFrame:
+    """A stream of schedules (id, submitted, due) as a stream of those that fire: id, due, fire_ts.
+
+    What is pending is state with a timer, so a schedule fires when its time comes, also after the last
+    row of input, as long as the stream runs; nothing is read again.
+    """
+    schedules.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    rows = schedules.where("due IS NOT NULL").select("id", *(F.unix_micros(F.col(c).cast("timestamp")).alias(f"{c}_us") for c in ("due", "submitted")))
+    kind = schedules.schema["id"].dataType.simpleString()
+    return rows.groupBy("id").transformWithStateInPandas(Schedules(), f"id {kind}, {Schedules.columns}", "Append", "ProcessingTime")

@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from chatloom.operators.lifecycle import due_schedules
 
 _own_dir: str | None = None
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all machines share (``spark.checkpoint.dir``; a temporary folder
-    of this process where the session names none, as in tests)."""
+    """A new path in the folder that all machines share (``spark.checkpoint.dir``).
+
+    Where the session names none, a local master uses a temporary folder of this process; on a cluster
+    that is an error, as each machine would write to a disk of its own.
+    """
     global _own_dir
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*)?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         _own_dir = _own_dir or "file://" + tempfile.mkdtemp(prefix="chatloom-")
         root = _own_dir
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -40,22 +43,15 @@ def available_now(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def fire_schedules(schedules: DataFrame, path: str) -> None:
-    """Fires each schedule (id, submitted, due) of a stream once, into ``path``/fired: at the first
-    micro-batch at or after its time, at once if that is past when it comes in.
-
-    What is pending and what has fired are tables by micro-batch number, so a batch that runs again
-    replaces its own rows and fires nothing twice.
-    """
-    spark = schedules.sparkSession
-    pending, fired = f"{path}/pending", f"{path}/fired"
-    columns = schedules.select("id", "submitted", "due").schema.add("batch", "long")
-
-    def fire(batch: DataFrame, number: int) -> None:
-        batch.select("id", "submitted", "due").write.mode("overwrite").parquet(f"{pending}/batch={number}")
-        waiting = spark.read.schema(columns).parquet(pending)
-        done = spark.read.schema("id long, batch long").parquet(fired).where(F.col("batch") < number) if number else waiting.where(F.lit(False))
-        due_schedules(waiting, F.current_timestamp(), done).select("id", "due", "fire_ts").write.mode("overwrite").parquet(f"{fired}/batch={number}")
-
-    run = schedules.writeStream.foreachBatch(fire).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    run.awaitTermination()
+def until_idle(stream: DataFrame, name: str) -> DataFrame:
+    """As ``available_now``, for streams with timers, which go on without input: stops after a
+    micro-batch that found none."""
+    spark = stream.sparkSession
+    out, checkpoint = shared_path(spark, name), shared_path(spark, f"{name}-checkpoint")
+    run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(processingTime="1 second").start()
+    try:
+        while run.isActive and not ((seen := run.lastProgress) and seen["numInputRows"] == 0):
+            run.awaitTermination(0.5)
+    finally:
+        run.stop()
+    return spark.read.schema(stream.schema).parquet(out)
