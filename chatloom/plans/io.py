@@ -12,10 +12,11 @@ from chatloom.operators import hooks as h
 from chatloom.operators import lifecycle as lc
 from chatloom.operators import memory as m
 from chatloom.operators import monitor as mo
-from chatloom.operators.routing import build_routing_prompts
+from chatloom.operators import state as st
+from chatloom.operators.routing import RULES, build_routing_prompts
 from chatloom.sources import io
 from chatloom.streaming import processors as p
-from chatloom.streaming.runs import available_now, fire_schedules, shared_path, stream_table
+from chatloom.streaming.runs import available_now, shared_path, stream_table, until_idle
 
 from . import memory as pm
 from . import trace as pt
@@ -46,14 +47,33 @@ def s3_write_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-@query("""SELECT '{"n": ' || count(*) || '}' AS payload, true AS has_time FROM events GROUP BY user_id""")
+@query(f"WITH {pm.X1} SELECT conv_id, max_by(summary, xid) AS summary FROM rolled GROUP BY 1")
+def s2_read_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON file for each conversation, written and read back."""
+    path = shared_path(spark, "summary-files")
+    last = io.latest_summaries(m.rolling_summary(m.build_excerpts(pm.messages(spark, sf_dir))))
+    last.select("conv_id", io.summary_json(F.col("summary")).alias("value")).write.partitionBy("conv_id").text(path)
+    return io.read_summaries(spark, path)
+
+
+@query(ORACLES["s3_write_summaries"])
+def s3_stream_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stream_table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seq"), "role", "text")
+    rolled = p.run_fold(rows, "conv_id", p.RollingMemory(), ["xid", "excerpt", "summary", "branch"])
+    path = shared_path(spark, "summary-batches")
+    io.stream_summaries(rolled.select("conv_id", "xid", "summary"), path, shared_path(spark, "summary-checkpoint")).awaitTermination()
+    return io.read_summary_batches(spark, path)
+
+
+@query("""SELECT user_id, '{"n": ' || count(*) || '}' AS payload, true AS has_time FROM events GROUP BY user_id""")
 def s4_read_state_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One state file for each user, written and read back."""
     path = shared_path(spark, "states")
     state = table(spark, sf_dir, "events").groupBy("user_id").agg(F.concat(F.lit('{"n": '), F.count("*").cast("string"), F.lit("}")).alias("value"))
     state.write.partitionBy("user_id").text(path)
     rows = io.read_state_snapshots(spark, f"{path}/*/*.txt")
-    return rows.select(F.regexp_replace("payload", "\n", "").alias("payload"), (F.col("seq") > 0).alias("has_time"))
+    user = F.regexp_extract("instance_id", r"/user_id=(\d+)/", 1).cast("long")
+    return rows.select(user.alias("user_id"), F.regexp_replace("payload", "\n", "").alias("payload"), (F.col("seq") > 0).alias("has_time"))
 
 
 @query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 5 > 0 THEN p_name END AS name, CASE WHEN p_partkey % 5 > 0 AND p_partkey % 7 > 0 THEN 'makes: ' || p_type END AS description,
@@ -74,6 +94,24 @@ def s6_render_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.render_transcripts(table(spark, sf_dir, "conversations"))
 
 
+@query("""SELECT 'n' || s_suppkey AS name, 'helps ' || s_name AS description, 'Do ' || s_name || '.' AS instructions FROM supplier WHERE s_suppkey % 5 > 0""")
+def s5_read_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown files, some without frontmatter, written and read back."""
+    path, key = shared_path(spark, "skills"), F.col("s_suppkey")
+    text = F.when(key % 5 == 0, "no frontmatter").otherwise(F.concat(F.lit("---\nname: n"), key.cast("string"), F.lit("\ndescription: helps "), "s_name", F.lit("\n---\nDo "), "s_name", F.lit(".")))
+    table(spark, sf_dir, "supplier").select(text.alias("value"), key.alias("id")).write.partitionBy("id").text(path)
+    skills, _ = io.read_skills(spark, f"{path}/*/*.txt")
+    return skills.select("name", "description", "instructions")
+
+
+@query(ORACLES["s6_render_transcripts"])
+def s6_write_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "transcripts")
+    io.write_transcripts(io.render_transcripts(table(spark, sf_dir, "conversations")), path)
+    back = spark.read.text(path, wholetext=True)
+    return back.select(F.col("conv_id").cast("long").alias("conv_id"), F.regexp_replace("value", r"\n\z", "").alias("transcript"))
+
+
 # --- plug-in points ----------------------------------------------------------------------------------
 
 
@@ -94,9 +132,10 @@ def _first_item(prompt: str) -> str:
     return json.dumps([prompt.split("- [TOOL] ", 1)[1].split(":", 1)[0]])
 
 
-@query()
+@query(f"""WITH {pt.CATALOG}, texts AS (SELECT domain, string_agg('- [' || upper(kind) || '] ' || name || ': ' || description, chr(10) ORDER BY kind, pos) AS c, min_by(name, pos) FILTER (kind = 'tool') AS tool FROM catalog GROUP BY 1),
+picks AS (SELECT turn_id, domain, CASE WHEN length('User request: "' || reply || '"' || chr(10) || chr(10) || 'Available skills and tools:' || chr(10) || c || chr(10) || chr(10) || '{RULES.replace("'", "''")}') % 9 > 0 THEN tool END AS pick FROM replies JOIN texts USING (domain))
+SELECT turn_id, i.domain, kind, pos, name FROM picks p JOIN catalog i ON i.domain = p.domain AND (pick IS NULL OR i.name = pick)""")
 def f2_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No SQL: the classifier is a Python function; tests hold it against a plain loop."""
     items = pt.catalog(spark, sf_dir)
     turns = pt.replies(spark, sf_dir).select("turn_id", "domain", F.col("reply").alias("request"), F.lit("").alias("summary"), F.lit("").alias("last_exchange"))
     return h.routed(build_routing_prompts(turns, items), _first_item, items)
@@ -160,15 +199,40 @@ def t4_stream_rolling_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return available_now(p.run_fold(rows, "conv_id", p.RollingMemory(), ["xid", "excerpt", "summary", "branch"]), "memory")
 
 
-@query(f"WITH {pw.RECONCILED} SELECT instance_id, seq, goal, action, iterations, terminated, termination_reason FROM rec")
+@query("""SELECT path, seq, mtime, previous_mtime FROM (SELECT user_id AS path, event_id AS seq, CASE WHEN event_type = 'error' THEN 0.0 ELSE floor(value / 100) END AS mtime,
+  lag(CASE WHEN event_type = 'error' THEN 0.0 ELSE floor(value / 100) END) OVER (PARTITION BY user_id ORDER BY event_id) AS previous_mtime FROM events) WHERE mtime <> previous_mtime""")
+def t2_stream_file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event is a poll of the file of its user."""
+    mtime = F.when(F.col("event_type") != "error", F.floor(F.col("value") / 100).cast("double"))
+    polls = stream_table(spark, sf_dir, "events").select(F.col("user_id").alias("path"), F.col("event_id").alias("seq"), mtime.alias("mtime"))
+    return available_now(p.run_fold(polls, "path", p.FileTimes(), ["seq", "mtime", "previous_mtime"]), "file-changes")
+
+
+@query(f"""{pm.STORED_SQL}""")
+def t4_stream_from_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other conversation goes on from a stored summary."""
+    stored = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("stored "), F.col("conv_id").cast("string")))
+    rows = stream_table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seq"), "role", "text", stored.alias("stored"))
+    return available_now(p.run_fold(rows, "conv_id", p.RollingMemory(), ["xid", "excerpt", "summary", "branch"]), "stored-memory")
+
+
+@query(ORACLES["w8_reconcile_loop"])
 def t5_stream_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, k = stream_table(spark, sf_dir, "events").where(kay() != 99), kay()
-    rows = e.select(
-        F.col("user_id").alias("instance_id"), F.col("event_id").alias("seq"), F.concat(F.lit("g"), F.col("event_id").cast("string")).alias("goal"), F.when(F.col("event_type") == "click", "").otherwise(F.col("event_type")).alias("action"),
-        (k % 20).cast("long").alias("iterations"), (k % 25 == 0).alias("terminated"), F.when(k % 2 == 0, F.col("event_type")).otherwise("").alias("termination_reason"),
-    )
-    names = ["seq", "goal", "action", "iterations", "terminated", "termination_reason"]
-    return available_now(p.run_fold(rows, "instance_id", p.LoopStates(), names), "loops")
+    """State files as they come in; those that cannot be taken are skipped, as in the batch."""
+    snapshots = pw.loop_snapshots(stream_table(spark, sf_dir, "events"))
+    rows = available_now(p.stream_states(st.normalise_loop_state(snapshots), p.LoopStates()), "loops")
+    return pw.shown_loops(rows)
+
+
+@query(ORACLES["w9_reconcile_project"])
+def t5_stream_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Project snapshots, put down as files and read as a stream."""
+    path = shared_path(spark, "project-snapshots")
+    snapshots = pw.project_snapshots(spark, sf_dir)
+    snapshots.write.parquet(path)
+    stream = spark.readStream.schema(snapshots.schema).parquet(path)
+    rows = available_now(p.stream_states(st.normalise_project_state(stream), p.ProjectStates()), "projects")
+    return pw.shown_projects(rows)
 
 
 @query(f"WITH {pt.TAGGED} SELECT turn_id, {pt.THINK_SQL} AS visible FROM tagged")
@@ -199,6 +263,5 @@ def t8_stream_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = stream_table(spark, sf_dir, "orders")
     when = F.when(F.col("o_orderkey") % 50 == 0, "31-02-2026-10-00").otherwise(F.date_format("o_orderdate", "dd-MM-yyyy-HH-mm"))
     rows = lc.parse_schedules(o.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("submitted"), F.lit("").alias("message"), when.alias("when")))
-    path = shared_path(spark, "schedules")
-    fire_schedules(rows, path)
-    return spark.read.parquet(f"{path}/fired").select("id", F.date_format("due", "yyyy-MM-dd HH:mm").alias("due"))
+    fired = until_idle(p.stream_schedules(rows), "schedules")
+    return fired.select("id", F.date_format("due", "yyyy-MM-dd HH:mm").alias("due"))

@@ -23,6 +23,10 @@ rolled AS (SELECT conv_id, xid, excerpt, right(string_agg(excerpt, chr(10)) OVER
                   CASE WHEN length(excerpt) < 200 THEN 'inline' WHEN row_number() OVER (PARTITION BY conv_id ORDER BY xid) = 1 THEN 'seed' ELSE 'merge' END AS branch FROM excerpts),
 recent AS (SELECT conv_id, xid, 'user: ' || u || chr(10) || 'assistant: ' || a AS last_exchange FROM ex)
 """
+#: As ``rolled``, where every other conversation goes on from a stored summary.
+STORED_SQL = f"""WITH {X1}, stored AS (SELECT *, CASE WHEN conv_id % 2 = 0 THEN 'stored ' || conv_id END AS before FROM excerpts)
+SELECT conv_id, xid, excerpt, right(concat_ws(chr(10), before, string_agg(excerpt, chr(10)) OVER (PARTITION BY conv_id ORDER BY xid)), 2000) AS summary,
+  CASE WHEN length(excerpt) < 200 THEN 'inline' WHEN before IS NULL AND row_number() OVER (PARTITION BY conv_id ORDER BY xid) = 1 THEN 'seed' ELSE 'merge' END AS branch FROM stored"""
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

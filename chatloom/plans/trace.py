@@ -49,9 +49,18 @@ def p6_strip_think(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged(spark, sf_dir).select("turn_id", t.strip_think(F.col("text")).alias("visible"))
 
 
-@query()
+RUN_SQL = r"'(?s)<think>.*?(?:</think>|\z)'"
+
+
+@query(rf"""WITH {TAGGED},
+runs AS (SELECT turn_id, list_filter(flatten(list_transform(list_zip(regexp_split_to_array(text, {RUN_SQL}), regexp_extract_all(text, {RUN_SQL})), lambda z: [z[1], z[2]])), lambda r: r <> '') AS runs FROM tagged),
+each AS (SELECT turn_id, unnest(runs) AS run, unnest(range(len(runs))) AS i, len(runs) AS n FROM runs),
+cut AS (SELECT turn_id, i, starts_with(run, '<think>') AS is_thinking,
+  CASE WHEN NOT starts_with(run, '<think>') THEN CASE WHEN i = n - 1 THEN regexp_replace(run, '<(?:t(?:h(?:i(?:nk?)?)?)?)?\z', '') ELSE run END
+       WHEN ends_with(run, '</think>') THEN substr(run, 8, length(run) - 15)
+       WHEN i = n - 1 THEN regexp_replace(substr(run, 8), '<(?:/(?:t(?:h(?:i(?:nk?)?)?)?)?)?\z', '') ELSE substr(run, 8) END AS segment FROM each)
+SELECT turn_id, CAST(row_number() OVER (PARTITION BY turn_id ORDER BY i) - 1 AS INTEGER) AS pos, segment, is_thinking FROM cut WHERE segment <> ''""")
 def p7_think_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No SQL: the other engine's patterns have no look-ahead."""
     return t.think_segments(tagged(spark, sf_dir))
 
 
@@ -158,10 +167,25 @@ def a3_build_iterations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {TRACE}, it AS (SELECT r.instance_id, r.iteration, r.text, row_number() OVER (PARTITION BY r.instance_id ORDER BY r.iteration) AS position FROM responses r WHERE status = 'ok'),
 lines AS (SELECT instance_id, iteration, string_agg('  ↳ ' || name || '(k=' || json_extract_string(args, '$.k') || ')' || CASE WHEN result IS NULL THEN '' ELSE chr(10) || '    ' || result END, chr(10) ORDER BY seq) AS l FROM paired GROUP BY 1, 2),
-blocks AS (SELECT instance_id, position, '[' || position || ']' || coalesce(chr(10) || l, '') || chr(10) || text AS block FROM it LEFT JOIN lines USING (instance_id, iteration))
-SELECT instance_id, '=== ' || instance_id || ' — ' || count(*) || ' iteration(s) ===' || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY position) AS detail FROM blocks GROUP BY 1""")
+blocks AS (SELECT instance_id, position, '[' || position || ']' || coalesce(chr(10) || l, '') || chr(10) || text AS block FROM it LEFT JOIN lines USING (instance_id, iteration)),
+live AS (SELECT instance_id, max_by(CASE WHEN text = 'click' THEN '' ELSE text END, iteration) AS text FROM responses WHERE status <> 'ok' GROUP BY 1),
+shown AS (SELECT * FROM blocks UNION ALL SELECT instance_id, 1000000, '[generating]' || chr(10) || '  ↳ ask(b=True, s=''x y'', n=''5'', f=2.5, z=None)' || chr(10) || '    done ' || instance_id || chr(10)
+  || '  ↳ look(l=[1, "it''s"], d={{''k'': False}}, q=''a\\nb'')' || chr(10) || '    (running…)' || chr(10) || CASE WHEN text = '' THEN '…' ELSE text END FROM live)
+SELECT instance_id, '=== ' || instance_id || ' — ' || count(*) FILTER (position < 1000000) || ' iteration(s) ===' || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY position) AS detail FROM shown GROUP BY 1
+UNION ALL SELECT DISTINCT user_id + 1000000, '=== ' || (user_id + 1000000) || ' — 0 iteration(s) ===' || chr(10) || '[waiting for next trigger]' FROM events
+UNION ALL SELECT DISTINCT user_id + 2000000, 'No event found for ''' || (user_id + 2000000) || '''.' FROM events""")
 def a5_status_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tr.status_detail(tr.keep_last(tr.build_iterations(responses(spark, sf_dir), trace(spark, sf_dir))))
+    """Instances with a log, some of them generating, others that wait, and ids that nobody knows."""
+    kept = tr.keep_last(tr.build_iterations(responses(spark, sf_dir), trace(spark, sf_dir)))
+    tools = F.array(
+        F.struct(F.lit("ask").alias("name"), F.lit('{"b": true, "s": "x y", "n": "5", "f": 2.5, "z": null}').alias("args"), F.concat(F.lit("done "), F.col("instance_id").cast("string")).alias("result")),
+        F.struct(F.lit("look").alias("name"), F.lit('{"l": [1, "it\'s"], "d": {"k": false}, "q": "a\\nb"}').alias("args"), F.lit(None).cast("string").alias("result")),
+    )
+    live = responses(spark, sf_dir).where("status <> 'ok'").groupBy("instance_id").agg(F.max_by("text", "iteration").alias("text"))
+    live = live.select("instance_id", F.when(F.col("text") != "click", F.col("text")).otherwise(" \n").alias("text"), tools.alias("tools"))
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    ids = [users.select((F.col("user_id") + k * 1_000_000).alias("instance_id")) for k in (1, 2)]
+    return tr.status_detail(kept, live, ids[0], ids[1].union(ids[0]))
 
 
 @query("""SELECT instance_id, iteration, row_number() OVER (PARTITION BY instance_id ORDER BY iteration) AS position FROM (
@@ -197,7 +221,7 @@ def p14_result_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- catalog and routing -----------------------------------------------------------------------------
 CATALOG = """
 catalog AS (SELECT p_brand AS domain, CASE WHEN p_size % 2 = 0 THEN 'skill' ELSE 'tool' END AS kind, p_partkey AS pos, 'n' || p_partkey AS name, p_name AS description, ['n' || (p_partkey + 25), 'n' || (p_partkey + 50), 'nobody'] AS required FROM part),
-replies AS (SELECT p_partkey AS turn_id, p_brand AS domain, CASE WHEN p_partkey % 7 = 0 THEN 'take [' || p_name WHEN p_partkey % 11 = 0 THEN 'none []' ELSE 'ok ["n' || p_partkey || '", "n' || (p_partkey + 25) || '"] ["x"]' END AS reply FROM part WHERE p_partkey % 3 = 0),
+replies AS (SELECT p_partkey AS turn_id, p_brand AS domain, CASE WHEN p_partkey % 7 = 0 THEN 'take [' || p_name WHEN p_partkey % 11 = 0 THEN 'none []' ELSE 'ok ["n' || p_partkey || '", "n' || (p_partkey + 25) || '"] ["x"]' END AS reply FROM part),
 wanted AS (SELECT turn_id, domain, CASE WHEN turn_id % 7 = 0 THEN NULL WHEN turn_id % 11 = 0 THEN CAST([] AS VARCHAR[]) ELSE ['n' || turn_id, 'n' || (turn_id + 25)] END AS names FROM replies),
 selected AS (SELECT turn_id, c.domain, kind, pos, name FROM wanted w JOIN catalog c ON c.domain = w.domain AND (names IS NULL OR list_contains(names, name)))
 """
@@ -213,7 +237,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_partkey % 3 = 0")
+    p = table(spark, sf_dir, "part")
     k = F.col("p_partkey")
     good = F.concat(F.lit('ok ["n'), k.cast("string"), F.lit('", "n'), (k + 25).cast("string"), F.lit('"] ["x"]'))
     reply = F.when(k % 7 == 0, F.concat(F.lit("take ["), "p_name")).when(k % 11 == 0, "none []").otherwise(good)

@@ -16,9 +16,9 @@ from .trace import SQL_K, kay
 
 # --- instances ---------------------------------------------------------------------------------------
 BUS = f"""
-starts AS (SELECT user_id % 10 AS bus_id, event_id AS seq, ['loop', 'timer', 'monitor'][{SQL_K} % 3 + 1] AS name FROM events WHERE event_type = 'signup'),
+starts AS (SELECT user_id AS bus_id, event_id AS seq, ['loop', 'timer', 'monitor'][{SQL_K} % 3 + 1] AS name FROM events WHERE event_type = 'signup'),
 ids AS (SELECT *, name || '#' || row_number() OVER (PARTITION BY bus_id ORDER BY seq) AS instance_id FROM starts),
-stops AS (SELECT user_id % 10 AS bus_id, event_id AS seq, CASE WHEN {SQL_K} % 2 = 0 THEN ['loop', 'timer', 'monitor'][{SQL_K} % 3 + 1] ELSE ['loop', 'timer', 'monitor'][{SQL_K} % 3 + 1] || '#' || ({SQL_K} + 1) END AS key FROM events WHERE event_type = 'error' AND {SQL_K} < 20)
+stops AS (SELECT user_id AS bus_id, event_id AS seq, CASE WHEN {SQL_K} % 2 = 0 THEN ['loop', 'timer', 'monitor'][{SQL_K} % 3 + 1] ELSE ['loop', 'timer', 'monitor'][{SQL_K} % 3 + 1] || '#' || ({SQL_K} + 1) END AS key FROM events WHERE event_type = 'error')
 """
 
 
@@ -28,13 +28,13 @@ def event_name() -> Column:
 
 def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").where("event_type = 'signup'")
-    return lc.assign_instance_ids(e.select((F.col("user_id") % 10).alias("bus_id"), F.col("event_id").alias("seq"), event_name().alias("name")))
+    return lc.assign_instance_ids(e.select(F.col("user_id").alias("bus_id"), F.col("event_id").alias("seq"), event_name().alias("name")))
 
 
 def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where((F.col("event_type") == "error") & (kay() < 20))
+    e = table(spark, sf_dir, "events").where("event_type = 'error'")
     key = F.when(kay() % 2 == 0, event_name()).otherwise(F.concat(event_name(), F.lit("#"), (kay() + 1).cast("string")))
-    return e.select((F.col("user_id") % 10).alias("bus_id"), F.col("event_id").alias("seq"), key.alias("key"))
+    return e.select(F.col("user_id").alias("bus_id"), F.col("event_id").alias("seq"), key.alias("key"))
 
 
 def still_running(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,22 +57,22 @@ def j6_running_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {BUS}, {INTERVALS}, running AS (SELECT DISTINCT bus_id || '/' || instance_id AS id FROM spans WHERE stop_seq IS NULL),
-logged AS (SELECT id, least(count(*), 50) AS n FROM (SELECT user_id % 10 || '/' || ['loop', 'timer', 'monitor'][{SQL_K} % 3 + 1] || '#' || ({SQL_K} + 1) AS id FROM events WHERE event_type = 'view') GROUP BY 1),
+logged AS (SELECT id, least(count(*), 50) AS n FROM (SELECT user_id || '/' || ['loop', 'timer', 'monitor'][{SQL_K} % 3 + 1] || '#' || ({SQL_K} + 1) AS id FROM events WHERE event_type = 'view') GROUP BY 1),
 live AS (SELECT DISTINCT bus_id || '/' || instance_id AS id FROM spans WHERE stop_seq IS NULL AND seq % 4 = 0), alls AS (SELECT id FROM running UNION SELECT id FROM logged UNION SELECT id FROM live)
 SELECT id AS instance_id, CASE WHEN id IN (FROM live) THEN 'generating' WHEN id IN (FROM running) THEN 'running' ELSE 'stopped' END AS status, CAST(coalesce(n, 0) AS BIGINT) AS n_iterations FROM alls LEFT JOIN logged USING (id)""")
 def a4_status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = table(spark, sf_dir, "events").where("event_type = 'view'")
-    ids = F.concat((F.col("user_id") % 10).cast("string"), F.lit("/"), event_name(), F.lit("#"), (kay() + 1).cast("string"))
+    ids = F.concat(F.col("user_id").cast("string"), F.lit("/"), event_name(), F.lit("#"), (kay() + 1).cast("string"))
     logged = keep_last(views.select(ids.alias("instance_id"), F.col("event_id").alias("iteration")))
     spans = lc.running_intervals(instances(spark, sf_dir), stops(spark, sf_dir)).where("stop_seq IS NULL")
     running = spans.select(F.concat(F.col("bus_id").cast("string"), F.lit("/"), "instance_id").alias("instance_id"), "seq")
     return lc.status_summary(logged, running.where("seq % 4 = 0"), running)
 
 
-@query(f"WITH {BUS}, {INTERVALS} SELECT n.name, n.name IN (SELECT name FROM spans WHERE stop_seq IS NULL AND bus_id < 3 AND name <> 'timer') AS is_running FROM (SELECT DISTINCT name FROM starts UNION SELECT 'file') n")
+@query(f"WITH {BUS}, {INTERVALS} SELECT n.name, n.name IN (SELECT name FROM spans WHERE stop_seq IS NULL AND name <> 'timer') AS is_running FROM (SELECT DISTINCT name FROM starts UNION SELECT 'file') n")
 def a8_running_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog = instances(spark, sf_dir).select("name").distinct().union(table(spark, sf_dir, "region").limit(1).select(F.lit("file").alias("name")))
-    running = lc.running_intervals(instances(spark, sf_dir), stops(spark, sf_dir)).where("stop_seq IS NULL AND bus_id < 3 AND name <> 'timer'")
+    running = lc.running_intervals(instances(spark, sf_dir), stops(spark, sf_dir)).where("stop_seq IS NULL AND name <> 'timer'")
     return lc.running_by_name(running.select("instance_id"), catalog)
 
 
@@ -163,10 +163,10 @@ def _quoted(value: Column) -> Column:
     return F.concat(F.lit('"'), value, F.lit('"'))
 
 
-def loop_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State files as JSON: changing names of the iteration count, caps as numbers, texts or words, and
+def loop_snapshots(e: DataFrame) -> DataFrame:
+    """Of events, state files as JSON: changing names of the iteration count, caps as numbers, texts or words, and
     one in a hundred that cannot be taken."""
-    e, id_ = table(spark, sf_dir, "events"), F.col("event_id").cast("string")
+    id_ = F.col("event_id").cast("string")
     alias = F.element_at(F.array(F.lit("iterations"), F.lit("iter"), F.lit("iters"), F.lit("iterations_done")), (F.col("event_id") % 4 + 1).cast("int"))
     cap = F.when(kay() % 7 == 0, F.lit('"unlimited"')).when(F.col("event_id") % 2 == 0, (kay() % 7 + 5).cast("string")).otherwise(_quoted((kay() % 7 + 5).cast("string")))
     count = F.when(kay() == 99, F.lit("7.5")).when(F.col("event_id") % 3 == 0, _quoted((kay() % 20).cast("string"))).otherwise((kay() % 20).cast("string"))
@@ -180,7 +180,7 @@ def loop_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def loop_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return st.normalise_loop_state(loop_snapshots(spark, sf_dir))
+    return st.normalise_loop_state(loop_snapshots(table(spark, sf_dir, "events")))
 
 
 @query(f"""WITH {LOOPS} SELECT instance_id, seq, goal, action, array_to_string(criteria, ',') AS criteria, CAST(cap AS VARCHAR) AS max_iterations, it AS iterations, obs AS last_observation, ter AS terminated, reason AS termination_reason, 'score=' || k AS extras FROM loops""")
@@ -189,13 +189,16 @@ def p8_normalise_loop_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loop_states(spark, sf_dir).withColumns({"criteria": F.array_join("exit_criteria", ","), "extras": extras, "max_iterations": F.col("max_iterations").cast("string")}).drop("exit_criteria")
 
 
-@query(f"WITH {RECONCILED} SELECT instance_id, seq, goal, action, criteria, CAST(max_iterations AS VARCHAR) AS max_iterations, iterations, last_observation, terminated, termination_reason FROM rec")
-def w8_reconcile_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = st.reconcile_loop(loop_states(spark, sf_dir))
+def shown_loops(rows: DataFrame) -> DataFrame:
     shown = {"criteria": F.array_join("exit_criteria", ","), "max_iterations": F.col("max_iterations").cast("string")}
     return rows.withColumns(shown).drop("exit_criteria", "extras")
 
 
+@query(f"WITH {RECONCILED} SELECT instance_id, seq, goal, action, criteria, CAST(max_iterations AS VARCHAR) AS max_iterations, iterations, last_observation, terminated, termination_reason FROM rec")
+def w8_reconcile_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown_loops(st.reconcile_loop(loop_states(spark, sf_dir)))
+
+
 @query(f"""WITH {RECONCILED}, ph AS (SELECT *, CASE WHEN action = '' THEN 'plan' WHEN terminated OR coalesce(iterations >= max_iterations, false) THEN 'done' ELSE 'iterate' END AS phase FROM rec)
 SELECT instance_id, seq, phase, CASE WHEN phase = 'iterate' THEN CASE WHEN max_iterations IS NULL THEN 'Iteration ' || (iterations + 1) || ' (no iteration cap — the loop runs until an exit criterion fires).' ELSE 'Iteration ' || (iterations + 1) || ' of up to ' || max_iterations || '.' END END AS header,
   CASE WHEN phase = 'done' THEN CASE WHEN termination_reason <> '' THEN termination_reason WHEN terminated THEN 'an exit criterion was met' ELSE 'reached max_iterations (' || max_iterations || ') without an exit criterion firing' END END AS reason,
@@ -237,10 +240,14 @@ def p9_normalise_project_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("instance_id", "seq", "constraints", "t.*", "n_log")
 
 
+def shown_projects(states: DataFrame) -> DataFrame:
+    rows = states.select("instance_id", "seq", F.explode("tasks").alias("t"), F.size("log").cast("long").alias("n_log"))
+    return rows.select("instance_id", "seq", "t.*", "n_log")
+
+
 @query(f"WITH {FIXED} SELECT instance_id, seq, id, title, done, n_log FROM held JOIN logs USING (instance_id, seq)")
 def w9_reconcile_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = st.reconcile_project(project_states(spark, sf_dir)).select("instance_id", "seq", F.explode("tasks").alias("t"), F.size("log").cast("long").alias("n_log"))
-    return rows.select("instance_id", "seq", "t.*", "n_log")
+    return shown_projects(st.reconcile_project(project_states(spark, sf_dir)))
 
 
 @query(f"""WITH {FIXED}, cur AS (SELECT instance_id, seq, min(id) FILTER (NOT done) AS current_id, count(*) AS n_tasks, count(*) FILTER (done) AS n_done FROM held GROUP BY 1, 2)
