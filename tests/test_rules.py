@@ -3,7 +3,9 @@ literal cases."""
 
 from __future__ import annotations
 
+import json
 import random
+import time
 
 import pytest
 from pyspark.sql import Row
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from chatloom.functions import text as t
 from chatloom.operators import hooks, lifecycle, memory, monitor, routing, sessions, state, trace
 from chatloom.sources import io
+from chatloom.streaming import processors, runs
 from chatloom.streaming.processors import ThinkFilter
 
 
@@ -238,3 +241,108 @@ def test_empty_tables(spark):
     assert memory.rolling_summary(memory.build_excerpts(empty)).count() == 0
     assert monitor.detect_changes(spark.createDataFrame([], "monitor_id string, ts long, frame string")).count() == 0
     assert sessions.drain_polls(spark.createDataFrame([], "sid string, seq long, kind string, value string")).count() == 0
+
+
+def test_think_segments_of_long_mixed_text(spark):
+    text = "<think>" + "a🙂" * 250_000 + "</think>" + "é🙂b" * 200_000 + "</thi"
+    df = spark.createDataFrame([(1, text)], "id int, text string")
+    got = t.think_segments(df).select("pos", F.length("segment").alias("n"), "is_thinking").collect()
+    assert [tuple(r) for r in got] == [(0, 500_000, True), (1, 600_005, False)]
+    assert df.select(F.length(t.strip_think(F.col("text")))).first()[0] == 600_005
+
+
+def test_own_end_of_an_instance(spark):
+    ids = spark.createDataFrame([(1, 1, "loop", "loop#1"), (1, 2, "loop", "loop#2"), (1, 3, "loop", "loop#3")], "bus_id long, seq long, name string, instance_id string")
+    stops = spark.createDataFrame([(1, 9, "loop")], "bus_id long, seq long, key string")
+    ends = spark.createDataFrame([(1, 5, "loop#2"), (1, 20, "loop#3")], "bus_id long, seq long, instance_id string")
+    got = {r.instance_id: r.stop_seq for r in lifecycle.running_intervals(ids, stops, ends).collect()}
+    assert got == {"loop#1": 9, "loop#2": 5, "loop#3": 9}
+
+
+def _seconds(run) -> float:
+    began = time.perf_counter()
+    run()
+    return time.perf_counter() - began
+
+
+def test_one_key_costs_its_rows(spark):
+    """Twice the rows of one bus, and of one project, must not take four times as long."""
+
+    def intervals(n: int) -> float:
+        ids = spark.range(n).select(F.lit(1).alias("bus_id"), (2 * F.col("id")).alias("seq"), F.lit("loop").alias("name"), F.concat(F.lit("loop#"), F.col("id").cast("string")).alias("instance_id"))
+        stops = spark.range(n).select(F.lit(1).alias("bus_id"), (2 * F.col("id") + 1).alias("seq"), F.lit("loop").alias("key"))
+        return _seconds(lambda: lifecycle.running_intervals(ids, stops).write.format("noop").mode("overwrite").save())
+
+    def projects(n: int) -> float:
+        tasks = F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.struct(i.cast("string").alias("id"), F.lit("t").alias("title"), (F.col("id") % 20 == i).alias("done")))
+        rows = spark.range(n).select(F.lit(1).alias("instance_id"), F.col("id").alias("seq"), F.lit("g").alias("goal"), F.array(F.lit("c")).alias("constraints"), tasks.alias("tasks"), F.array(F.lit("l")).alias("log"))
+        return _seconds(lambda: state.reconcile_project(rows).write.format("noop").mode("overwrite").save())
+
+    for run, n in ((intervals, 40_000), (projects, 10_000)):
+        run(1000)
+        assert run(2 * n) < 3 * run(n) + 3
+
+
+def test_arguments_as_python_shows_them(spark):
+    args = ['{"a": 1, "b": true, "c": null}', '{"s": "x", "t": "it\'s", "u": "a\\\\b\\n"}', '{"f": 2.50, "g": 1e-7, "h": 5.0, "i": -0.125, "j": 12345678901234567890}', '{"l": [1, {"k": "v"}], "d": {}}', "", "{}", None, "{", '{"e": "", "n": "5", "z": 0, "é": "日本🙂"}', '{"w": "a\u00a0b"}']
+    tools = [(str(i), 1, "ok", [(0, "t", a, None)]) for i, a in enumerate(args)]
+    df = spark.createDataFrame(tools, "instance_id string, position long, response string, tools array<struct<seq:long,name:string,args:string,result:string>>")
+    got = {int(r.instance_id): r.detail.split("\n")[2] for r in trace.status_detail(df).collect()}
+
+    def shown(a):
+        try:
+            return ", ".join(f"{k}={v!r}" for k, v in json.loads(a or "{}").items())
+        except ValueError:
+            return ""
+
+    assert got == {i: f"  ↳ t({shown(a)})" for i, a in enumerate(args)}
+
+
+def test_status_of_live_waiting_and_unknown(spark):
+    done = spark.createDataFrame([("a", 1, "", [])], "instance_id string, position long, response string, tools array<struct<seq:long,name:string,args:string,result:string>>")
+    live = spark.createDataFrame([("a", " \n", [("t", "{}", None), ("u", None, "")]), ("b", " so far ", None)], "instance_id string, text string, tools array<struct<name:string,args:string,result:string>>")
+    ids = [spark.createDataFrame([(x,) for x in xs], "instance_id string") for xs in ("abc", "acx")]
+    got = {r.instance_id: r.detail for r in trace.status_detail(done, live, *ids).collect()}
+    assert got == {
+        "a": "=== a — 1 iteration(s) ===\n[1]\n(no output)\n\n[generating]\n  ↳ t()\n    (running…)\n  ↳ u()\n…", "b": "=== b — 0 iteration(s) ===\n[generating]\nso far",
+        "c": "=== c — 0 iteration(s) ===\n[waiting for next trigger]", "x": "No event found for 'x'.",
+    }
+
+
+def test_summary_is_exact_for_any_excerpts(spark):
+    """Excerpts of one character, and of thousands."""
+    r = random.Random(9)
+    texts = ["x" * r.choice([0, 1, 1, 2, 3, 900, 2500]) + str(i % 10) for i in range(1500)]
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(texts)], "conv_id long, xid long, excerpt string")
+    got, so_far = {x.xid: x.summary for x in memory.rolling_summary(df).collect()}, ""
+    for i, x in enumerate(texts):
+        so_far = (f"{so_far}\n{x}" if i else x)[-2000:]
+        assert got[i] == so_far
+
+
+def test_schedule_fires_at_its_time(spark, tmp_path):
+    """A schedule that is due after the last row fires while the stream runs; each fires once."""
+    now = spark.sql("SELECT current_timestamp() AS now").first().now
+    spark.createDataFrame([(1, -60), (2, 12), (3, 3600), (2, 12)], "id long, after int").selectExpr("id", f"timestamp'{now}' AS submitted", f"timestamp'{now}' + make_dt_interval(0, 0, 0, after) AS due").write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("id long, submitted timestamp, due timestamp").parquet(str(tmp_path / "in"))
+    run = processors.stream_schedules(source).writeStream.format("memory").queryName("fired").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    try:
+        until = time.time() + 60
+        while spark.table("fired").count() < 2 and time.time() < until:
+            time.sleep(1)
+        rows = sorted((x.id, (x.fire_ts - now).total_seconds()) for x in spark.table("fired").collect())
+    finally:
+        run.stop()
+    assert rows == [(1, 0.0), (2, 12.0)]
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Cluster:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        runs.shared_path(Cluster, "x")
