@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dir: str | None = None
 
@@ -21,12 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (local tests) a temporary folder of this process is used.
+    Where it is unset, a local master uses a temporary folder of this process; on a cluster that is an
+    error, as each machine would write to a disk of its own.
     """
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*)?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="chatloom-")
     return _own_dir
@@ -48,6 +53,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bits of one page of Spark's bitmap aggregates.
+_PAGE_BITS = 1 << 15
+
+
+def bitmap(bits: DataFrame, size: int) -> np.ndarray:
+    """Bytes with a bit set for every number in the column ``bit`` (from 0, below ``size``).
+
+    Spark's bitmap aggregates build it page by page; ``size`` is all that comes to the driver.
+    """
+    at = F.col("bit") + 1
+    pages = bits.groupBy(F.bitmap_bucket_number(at).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    out = np.zeros(-(-size // _PAGE_BITS) * (_PAGE_BITS // 8), np.uint8)
+    for row in pages.toLocalIterator():
+        start = (row["page"] - 1) * (_PAGE_BITS // 8)
+        out[start : start + _PAGE_BITS // 8] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that one piece holds about ``limit`` bytes of text (one row at least).
 

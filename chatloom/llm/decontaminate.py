@@ -1,33 +1,36 @@
 """Benchmark decontamination by Wu-Manber search over words.
 
 The test strings are windows of 13 words of the benchmark items (an item of fewer words is one
-window). Strings of one length m are searched together: a table of blocks (three words) tells for
-the block at the end of the current position how far the search can jump without missing an
-occurrence; where the jump is zero, the bucket of that suffix block holds the strings that could end
-here, and they are compared word by word. Most positions are skipped unread.
-
-The benchmark is the stated query set. It is taken in blocks of bounded size; the tables of one
-block are broadcast and all documents are searched against them, so the bound on what is broadcast
-does not depend on the size of the benchmark or of the corpus. No documents are shuffled.
+window). For strings of one length a shift table says, by the hash of the three words at the end of the
+current position, how far the search can jump without missing an occurrence. Where the jump is zero,
+the hash of the last and the first three words names the bucket of the strings that could stand here; a
+position whose bucket is empty is passed over. What is left is joined with the test strings by bucket,
+and the words themselves are compared.
+
+The shift tables and the bitmap of filled buckets have a fixed size (below 4 MB), whatever the benchmark
+holds, and Spark's bitmap aggregates build them: they alone are broadcast. A fuller benchmark makes jumps
+shorter and leaves more to compare, nothing else changes. The test strings stay a table that Spark joins
+as their size demands. No text is shuffled to find what occurs in it.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, pieces, texts_of
+from .common import bitmap, materialise, pieces, texts_of
 
-WINDOW = 13
-#: Bytes of benchmark text whose tables are broadcast at once.
-BLOCK_BYTES = 16 << 20
+WINDOW, BLOCK = 13, 3
+#: Slots of the shift table for whole windows, and for each shorter length; bits of the bucket map.
+SLOTS, SHORT_SLOTS, BUCKETS = 1 << 20, 1 << 14, 1 << 24
 
 #: A-Z to a-z; every ASCII character but letters and digits to a space; bytes above 127 stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
+_MASK, _STEP, _MIX = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
 Words = list[bytes]
 
@@ -36,151 +39,179 @@ def words_of(text: bytes) -> Words:
     return text.translate(_FOLD).split()
 
 
+class _Hashes(dict):
+    """Hashes of words, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 300_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+    def block(self, words: Words) -> int:
+        h = 0
+        for w in words:
+            h = (h * _STEP + self[w]) & _MASK
+        return h ^ h >> 32
+
+    def bucket(self, words: Words, size: int) -> int:
+        """Of a string: by its last and first block, and its length."""
+        h = (self.block(words[-size:]) * _STEP + self.block(words[:size]) + len(words)) * _MIX & _MASK
+        return h ^ h >> 29
+
+
+def _tables(window: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """Length, block size, farthest jump, slots, and first bit in the map, of each length's shift table."""
+    at = BUCKETS
+    for m in range(1, window + 1):
+        size = min(BLOCK, m)
+        far, slots = m - size + 1, SLOTS if m == window else SHORT_SLOTS
+        yield m, size, far, slots, at
+        at += far * slots
+
+
+def _strings(words: Words, window: int) -> Iterator[Words]:
+    m = min(window, len(words))
+    return (words[i : i + m] for i in range(len(words) - m + 1 if m else 0))
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
 class Searcher:
-    """Wu-Manber tables for strings of words, one set of tables per length."""
-
-    def __init__(self, items: list[tuple[str, Words]], window: int = WINDOW):
-        strings: dict[int, dict[tuple[bytes, ...], list[str]]] = defaultdict(lambda: defaultdict(list))
-        for item, words in items:
-            m = min(window, len(words))
-            for i in range(len(words) - m + 1 if m else 0):
-                owners = strings[m][tuple(words[i : i + m])]
-                if item not in owners:
-                    owners.append(item)
-        self.tables = [(m, *self._tables(m, found)) for m, found in sorted(strings.items())]
-
-    @staticmethod
-    def _tables(m: int, found: dict[tuple[bytes, ...], list[str]]):
-        size = min(3, m)
-        shift: dict[tuple[bytes, ...], int] = {}
-        bucket: dict[tuple[bytes, ...], list[tuple[list[bytes], list[str]]]] = defaultdict(list)
-        for string, owners in found.items():
-            for end in range(size, m + 1):
-                block = string[end - size : end]
-                shift[block] = min(shift.get(block, m), m - end)
-            bucket[string[-size:]].append((list(string), owners))
-        return size, shift, dict(bucket)
-
-    def search(self, words: Words) -> tuple[list[tuple[int, int]], set[str]]:
-        """Ranges (start, end) of occurrences, and the items that own them."""
-        ranges: list[tuple[int, int]] = []
-        items: set[str] = set()
-        n = len(words)
-        for m, size, shift, bucket in self.tables:
-            far = m - size + 1
+    """Finds where test strings may stand. ``bits``: the filled buckets, then for each length and jump
+    the blocks that end so far before the end of a string."""
+
+    def __init__(self, bits: bytes, window: int = WINDOW):
+        import numpy as np
+
+        self.buckets, self.hashes, self.lengths = bits[: BUCKETS // 8], _Hashes(), []
+        for m, size, far, slots, at in _tables(window):
+            rows = np.unpackbits(np.frombuffer(bits, np.uint8, far * slots // 8, at // 8), bitorder="little").reshape(far, slots)
+            if rows[0].any():
+                shift = np.full(slots, far, np.uint8)
+                for jump in reversed(range(far)):
+                    shift[rows[jump] > 0] = jump
+                self.lengths.append((m, size, slots - 1, shift.tobytes()))
+
+    def search(self, words: Words) -> list[tuple[int, int, int]]:
+        """Bucket, start and length of each position that a test string may match."""
+        found, n, block, filled = [], len(words), self.hashes.block, self.buckets
+        for m, size, mask, shift in self.lengths:
             end = m
             while end <= n:
-                block = tuple(words[end - size : end])
-                jump = shift.get(block, far)
+                jump = shift[block(words[end - size : end]) & mask]
                 if jump:
                     end += jump
                     continue
-                held = words[end - m : end]
-                for string, owners in bucket[block]:
-                    if string == held:
-                        ranges.append((end - m, end))
-                        items.update(owners)
+                key = self.hashes.bucket(words[end - m : end], size)
+                bit = key & (BUCKETS - 1)
+                if filled[bit >> 3] >> (bit & 7) & 1:
+                    found.append((_signed(key), end - m, m))
                 end += 1
-        return ranges, items
+        return found
 
 
-def covered(ranges: list[tuple[int, int]]) -> int:
-    """Words in at least one range."""
-    total = last = 0
-    for start, end in sorted(ranges):
-        total += max(0, end - max(start, last))
-        last = max(last, end)
-    return total
-
-
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str, Words]]]:
-    """The items, in blocks of about ``limit`` bytes of text, one block at a time on the driver."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if total <= limit:
-        yield [(r["item"], words_of(r["text"].encode())) for r in items.collect()]
-        return
-    parts = total // limit + 1
-    items = materialise(items.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts))), "benchmark-blocks")
-    for part in range(parts):
-        yield [(r["item"], words_of(r["text"].encode())) for r in items.where(F.col("part") == part).toLocalIterator()]
-
-
-def _searchers(benchmark: DataFrame, item_col: str, text_col: str, window: int, limit: int) -> list:
-    return [benchmark.sparkSession.sparkContext.broadcast(Searcher(block, window)) for block in _blocks(benchmark, item_col, text_col, limit)]
-
-
-def _found(docs: DataFrame, searchers: list) -> DataFrame:
-    """``docs``: i, t, row. One row for each of ``docs`` and block of the benchmark."""
-    schema = f"i {docs.schema['i'].dataType.simpleString()}, row long, n_words long, starts array<int>, ends array<int>, items array<string>"
-
-    def search(searcher) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in pieces(batches, "t"):
-                counts, starts, ends, items = [], [], [], []
-                for text in texts_of(batch, "t"):
-                    words = words_of(text)
-                    ranges, owners = searcher.value.search(words)
-                    counts.append(len(words))
-                    starts.append([s for s, _ in ranges])
-                    ends.append([e for _, e in ranges])
-                    items.append(sorted(owners))
-                ints = pa.list_(pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("row"), pa.array(counts, pa.int64()), pa.array(starts, ints), pa.array(ends, ints), pa.array(items, pa.list_(pa.string()))], names=["i", "row", "n_words", "starts", "ends", "items"])
-
-        return docs.mapInArrow(run, schema)
-
-    out = search(searchers[0])
-    for searcher in searchers[1:]:
-        out = out.union(search(searcher))
-    if searchers[1:]:
-        lists = {c: F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")}
-        out = out.groupBy("row").agg(F.first("i").alias("i"), F.first("n_words").alias("n_words"), *lists.values())
-    return out
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("t")).where("item IS NOT NULL AND t IS NOT NULL")
+
+
+def test_strings(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
+    """key, string (words joined by a space), items (array, sorted) of every distinct test string."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in pieces(batches, "t", 1 << 18):
+            keys, strings, items = [], [], []
+            for item, text in zip(batch.column("item").to_pylist(), texts_of(batch, "t"), strict=True):
+                for w in _strings(words_of(text), window):
+                    keys.append(_signed(hashes.bucket(w, min(BLOCK, len(w)))))
+                    strings.append(b" ".join(w))
+                    items.append(item)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(strings, pa.binary()), pa.array(items, pa.string())], names=["key", "string", "item"])
+
+    rows = _items(benchmark, item_col, text_col).mapInArrow(run, "key long, string binary, item string")
+    return rows.groupBy("key", "string").agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+
+def _searcher(benchmark: DataFrame, item_col: str, text_col: str, window: int):
+    """The broadcast tables of the search."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, tables = _Hashes(), {m: (size, slots, at) for m, size, _, slots, at in _tables(window)}
+        for batch in pieces(batches, "t", 1 << 18):
+            bits: set[int] = set()
+            for text in texts_of(batch, "t"):
+                for w in _strings(words_of(text), window):
+                    m = len(w)
+                    size, slots, at = tables[m]
+                    bits.add(hashes.bucket(w, size) & (BUCKETS - 1))
+                    bits.update(at + (m - end) * slots + (hashes.block(w[end - size : end]) & (slots - 1)) for end in range(size, m + 1))
+            yield pa.RecordBatch.from_arrays([pa.array(bits, pa.int64())], names=["bit"])
+
+    *_, (_, _, far, slots, at) = _tables(window)
+    marks = _items(benchmark, item_col, text_col).select("t").mapInArrow(run, "bit long")
+    return benchmark.sparkSession.sparkContext.broadcast(bitmap(marks, at + far * slots).tobytes())
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int) -> tuple[DataFrame, DataFrame]:
+    """Every row's i, v (hash of the text), n_words; and of those with a hit i, v, ranges, items."""
+    bits = _searcher(benchmark, item_col, item_text_col, window)
+    made: list[Searcher] = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not made:
+            made.append(Searcher(bits.value, window))
+        for batch in pieces(batches, "t"):
+            counts, found = [], []
+            for text in texts_of(batch, "t"):
+                words = words_of(text)
+                counts.append(len(words))
+                found.append([{"key": k, "start": s, "stop": s + m, "string": b" ".join(words[s : s + m])} for k, s, m in made[0].search(words)])
+            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("v"), pa.array(counts, pa.int64()), pa.array(found, kind)], names=["i", "v", "n_words", "found"])
+
+    kind = pa.list_(pa.struct([("key", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("string", pa.binary())]))
+    source = docs.select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("v"), F.col(text_col).alias("t"))
+    id_kind = docs.schema[id_col].dataType.simpleString()
+    rows = materialise(source.mapInArrow(run, f"i {id_kind}, v long, n_words long, found array<struct<key:long,start:int,stop:int,string:binary>>"), "searched")
+    places = rows.where(F.size("found") > 0).select("i", "v", F.inline("found")).distinct()
+    strings = materialise(test_strings(benchmark, item_col, item_text_col, window), "test-strings")
+    hits = places.join(strings, ["key", "string"])
+    ranges = F.collect_set(F.struct("start", "stop")).alias("ranges")
+    return rows.select("i", "v", "n_words"), materialise(hits.groupBy("i", "v").agg(ranges, F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")), "hits")
 
 
 def _n_hit() -> Column:
     """Words in at least one range."""
-    step = "named_struct('total', x.total + greatest(0, r.ends - greatest(r.starts, x.last)), 'last', greatest(x.last, r.ends))"
-    return F.expr(f"aggregate(array_sort(arrays_zip(starts, ends)), named_struct('total', 0, 'last', 0), (x, r) -> {step}, x -> cast(x.total AS long))")
+    step = "named_struct('total', x.total + greatest(0, r.stop - greatest(r.start, x.last)), 'last', greatest(x.last, r.stop))"
+    return F.expr(f"coalesce(aggregate(array_sort(ranges), named_struct('total', 0, 'last', 0), (x, r) -> {step}, x -> cast(x.total AS long)), 0L)")
 
 
 _CONTAMINATED = "n_hit > 0 AND 20 * n_hit >= n_words"
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, limit: int = BLOCK_BYTES) -> DataFrame:
+def _judged(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    hits = hits.select(F.col("i").alias("_i"), F.col("v").alias("_v"), "ranges", "items")
+    joined = rows.join(hits, F.col("i").eqNullSafe(F.col("_i")) & (F.col("v") == F.col("_v")), "left").drop("_i", "_v")
+    return joined.withColumn("n_hit", _n_hit()).withColumn("contaminated", F.expr(_CONTAMINATED))
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Per row of ``docs``: the id, n_words, n_hit, n_items, items (sorted, comma-joined), contaminated.
 
     Contaminated: some word is hit, and 20 * n_hit >= n_words. Null texts have no words; benchmark
     rows with a null id or text hold no test strings. Items that repeat count once. Repeated
     documents and null ids each get a row. Other columns are ignored. Empty tables: no hits, no rows.
     """
-    searchers = _searchers(benchmark, item_col, item_text_col, window, limit)
-    numbered = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.monotonically_increasing_id().alias("row"))
-    found = _found(materialise(numbered, "numbered") if searchers[1:] else numbered, searchers)
-    items = F.array_sort(F.array_distinct("items"))
-    found = found.select("i", "n_words", _n_hit().alias("n_hit"), items.alias("items"))
-    return found.select(F.col("i").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("items"), F.expr(_CONTAMINATED).alias("contaminated"))
-
-
-def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, limit: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs``, all columns, that are not contaminated. Texts are not shuffled where the
-    benchmark fits one block."""
-    searchers = _searchers(benchmark, item_col, item_text_col, window, limit)
-    if searchers[1:]:
-        whole = materialise(docs.select(F.struct(docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
-        found = _found(whole.select(F.lit(0).alias("i"), F.col("doc").getField(text_col).alias("t"), "row"), searchers)
-        gone = found.withColumn("n_hit", _n_hit()).where(_CONTAMINATED).select("row")
-        return whole.join(materialise(gone, "contaminated"), "row", "left_anti").select("doc.*")
-    searcher = searchers[0]
-
-    def clean(text: bytes) -> bool:
-        words = words_of(text)
-        n_hit = covered(searcher.value.search(words)[0])
-        return not (n_hit and 20 * n_hit >= len(words))
+    judged = _judged(*_found(docs, benchmark, id_col, text_col, item_col, item_text_col, window))
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return judged.select(F.col("i").alias(id_col), "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.array_join(items, ",").alias("items"), "contaminated")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text_col):
-            yield batch.filter(pa.array([clean(t) for t in texts_of(batch, text_col)]))
 
-    return docs.mapInArrow(run, docs.schema)
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs``, all columns, that are not contaminated; rows of equal id and text share their
+    verdict. Texts are shuffled only where the table of contaminated rows is too large to broadcast."""
+    judged = _judged(*_found(docs, benchmark, id_col, text_col, item_col, item_text_col, window))
+    gone = materialise(judged.where("contaminated").select(F.col("i").alias("_i"), F.col("v").alias("_v")).distinct(), "contaminated")
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_i"]) & (F.xxhash64(docs[text_col]) == gone["_v"]), "left_anti").select(docs.columns)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, pieces
+from .common import bitmap, materialise, pieces
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of an entity that count as near.
@@ -31,7 +31,7 @@ NEAR = 5
 BOUND_Z = 1.2816
 REMOVE_AT, GENERALISE_AT = 0.95, 0.90
 #: Size of the filter that tells which words may be disclosing terms (2 MB); its hits are joined exactly.
-FILTER_BITS, PAGE_BITS = 1 << 24, 1 << 15
+FILTER_BITS = 1 << 24
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -156,13 +156,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _filter(terms: DataFrame) -> np.ndarray:
     """A bit for the hash of every ``term``; its fixed size is all that comes to the driver."""
-    bit = (F.xxhash64("term").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1).alias("bit")
-    pages = terms.select(bit).groupBy(F.bitmap_bucket_number("bit").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in pages.toLocalIterator():
-        at = (row["page"] - 1) * (PAGE_BITS // 8)
-        out[at : at + PAGE_BITS // 8] = np.frombuffer(row["bits"], np.uint8)
-    return out
+    return bitmap(terms.select(F.xxhash64("term").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("bit")), FILTER_BITS)
 
 
 def occurrences(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -170,7 +170,7 @@ class WordEncoder:
     White space separates words and yields no ids in this vocabulary, so each distinct word of the
     texts is encoded once. Words of printable ASCII and common Latin letters, the bulk, go to the
     library's merge model in the same parts and the same byte letters that its own pre-tokenizer makes;
-    all others go through the whole library.
+    all others, and those with a string of the vocabulary's special tokens, go through the whole library.
     """
 
     #: Latin letters that stand for themselves in normal form and have one lower-case letter.
@@ -186,7 +186,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.special = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
         self.parts: dict[str, bytes] = {}
         self.words: dict[bytes, bytes] = {}
 
@@ -211,7 +211,7 @@ class WordEncoder:
         known, other, plain = self.words, [], self._PLAIN.fullmatch
         for word in set().union(*split).difference(known):
             text = word.decode()
-            if plain(text):
+            if plain(text) and not any(s in text for s in self.special):
                 known[word] = self._plain_word(text)
             else:
                 other.append(text)

@@ -28,6 +28,7 @@ LONG = "one two three four five six seven eight nine ten " * 400
 AWKWARD = [
     (1, None), (2, ""), (3, " \t\n\x0b"), (4, "word"), (5, LONG), (5, LONG), (6, LONG + "x"), (None, "a null id " * 30), (7, "tie tie tie"), (8, "tie tie tie"),
     (9, "Ünïcode 日本語 🙂 a\xa0b\x85c　d \x1c e\x00f " * 20), (10, "a@b.co 1.2.3.4 x 4111 1111 1111 1111 +1 (555) 123-4567"),
+    (11, "text with <|endoftext|> and a<|startoftext|>b in it"),
 ]
 #: The columns that a careless operator would clash with.
 CLASHES = ("n_words", "words", "n", "row", "i", "t", "v", "fp", "kept", "spans", "block", "term", "score", "ids", "pattern")
@@ -101,9 +102,8 @@ def test_packing_round_trip_and_random_access(tmp_path, vocabulary):
 
 def test_word_encoder_equals_library():
     library, encoder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), token_store.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
-    library.encode_special_tokens = True
     r, letters = random.Random(2), "aabS'tdlrevm \t\nLÉÅǰ̌Jj̀日🙂 123.,!?<|>_\x1c\x1f\x0b\x85\xa0　\x00\x7fΣςÀÖ×÷ßÿĀıİŉĸŸžªºµẞ"
-    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 50))) for _ in range(5000)] + ["x" * 3000]
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 50))) for _ in range(5000)] + ["x" * 3000, "hello <|endoftext|> world", "a<|endoftext|><|startoftext|>b", "<|ENDOFTEXT|> <|endoftext", "É<|startoftext|>'s"]
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -245,6 +245,14 @@ def test_simhash_awkward(awkward, empty):
     assert kept.columns == awkward.columns and kept.where("doc_id = 8").count() == 0 and kept.where("doc_id IS NULL").count() == 1
 
 
+def test_simhash_keeps_first_of_each_group_by_row(spark):
+    """Ids that repeat with other texts: a row goes or stays by its own text."""
+    a, b = ("one two three four five six seven eight " + x for x in ("nine", "of quite another kind altogether"))
+    rows = [(3, a), (5, b), (5, a), (5, a.upper()), (3, a)]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, kept)) == sorted([(3, a), (3, a), (5, b)])
+
+
 def test_links_connect_random_fingerprints(spark):
     """Chains, stars and near misses among planted fingerprints."""
     r, values = random.Random(4), set()
@@ -430,6 +438,25 @@ def test_url_filter_awkward(spark):
     assert url_filter.filter_urls(pages.limit(0), labels).collect() == []
 
 
+def test_url_suffixes(spark):
+    """Registered domains under suffixes of two labels and of a given table; ports, user info, addresses."""
+    hosts = ["a.b.co.uk", "x.ac.jp", "www.city.kobe.jp", "me:x@h.example.com:8080", "10.0.0.1:80", "[::1]:80", "co.uk", "com", "", "a.io", "b.a.io", "co.com"]
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    table = spark.createDataFrame([("kobe.jp",), ("b.a.io",)], "suffix string")
+    got = {r.host: (r.suffix, r.domain) for r in url_filter.registered(df, table).collect()}
+    assert got == {
+        "a.b.co.uk": ("co.uk", "b.co.uk"), "x.ac.jp": ("ac.jp", "x.ac.jp"), "www.city.kobe.jp": ("kobe.jp", "city.kobe.jp"), "me:x@h.example.com:8080": ("com", "example.com"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "[::1]:80": ("[::1]", "[::1]"),
+        "co.uk": ("co.uk", "co.uk"), "com": ("com", "com"), "": ("", ""), "a.io": ("io", "a.io"), "b.a.io": ("b.a.io", "b.a.io"), "co.com": ("com", "co.com"),
+    }
+
+
+def test_url_labels_with_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x/1"), (2, "http://a.org/x/2")], "page_id long, url string")
+    labels = spark.createDataFrame([("1", 1), ("1", None), (None, 1), ("2", 0), ("2", 0)], "url_key string, bad int").withColumns({c: F.lit(1) for c in ("host", "page_id", "path", "salt", "n")})
+    got = url_filter.filter_urls(pages, labels, rules=()).collect()
+    assert sorted((r.page_id, r.verdict) for r in got) == [(1, "allow"), (2, "allow")]
+
+
 def test_url_reputation_blocks_bad_hosts(spark):
     """A host of many bad pages goes; one bad page does not condemn a host, its domain pulls it back."""
     urls = [(i, f"http://bad.org/en/{i}") for i in range(60)] + [(i, f"http://good{i % 5}.edu.org/en/{i}") for i in range(60, 160)] + [(200, "http://new.edu.org/en/200"), (201, "http://bad.org/x")]
@@ -468,12 +495,20 @@ def test_decontamination_query(spark, sf_dir, documents):
     same(got, [(*x[:4], hashlib.sha256(x[4].encode()).hexdigest(), x[5]) for x in hit(documents, items)])
 
 
-@pytest.mark.parametrize("limit", [40, 1 << 20])
-def test_decontamination_awkward(spark, awkward, empty, limit):
-    """In one block of the benchmark, and in several."""
+def test_decontamination_awkward(spark, awkward, empty):
     items = [(1, LONG[:300]), (1, "tie"), (2, None), (3, "..."), (4, "TIE, tie"), (None, "word"), (10, "a null id A NULL id"), (9, LONG[:300])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    same(decontaminate.hits(awkward, bench, limit=limit).collect(), hit(AWKWARD, items))
-    clean = decontaminate.keep_clean(awkward, bench, limit=limit)
+    same(decontaminate.hits(awkward, bench).collect(), hit(AWKWARD, items))
+    clean = decontaminate.keep_clean(awkward, bench)
     assert clean.columns == awkward.columns and clean.count() == sum(not x[5] for x in hit(AWKWARD, items))
-    assert decontaminate.hits(empty, bench, limit=limit).collect() == [] and decontaminate.hits(awkward, bench.limit(0), limit=limit).where("n_hit > 0").count() == 0
+    assert decontaminate.hits(empty, bench).collect() == [] and decontaminate.hits(awkward, bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_decontamination_with_full_tables(spark, documents, monkeypatch):
+    """Tables in which everything collides: no jumps, each position is compared; the result is the same."""
+    monkeypatch.setattr(decontaminate, "bitmap", lambda bits, size: np.full(size // 8, 255, np.uint8))
+    r, rows = random.Random(10), documents[:40]
+    words = [w for _, t in rows for w in (t or "").split()]
+    items = [(i, " ".join(words[at : at + n])) for i, (at, n) in enumerate((r.randrange(len(words)), r.randint(1, 30)) for _ in range(40))]
+    got = decontaminate.hits(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items * 3, "item_id long, text string"))
+    same(got.collect(), hit(rows, items))
