@@ -99,9 +99,11 @@ urls AS (SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGH
                 regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
 marks AS (SELECT CAST(doc_id AS VARCHAR) AS url_key, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad
           FROM labels WHERE doc_id IS NOT NULL AND ((quality = 0 OR toxic = 1) IS NOT NULL) GROUP BY 1),
-hosts AS (SELECT host, regexp_extract(host, '[^.]*$') AS suffix, regexp_extract(host, '([^.]*\.)?[^.]*$') AS domain,
-                 CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS k
-          FROM urls LEFT JOIN marks ON url_key = regexp_extract(path, '^/[^/]*/([0-9]+)', 1) GROUP BY 1, 2, 3),
+counted AS (SELECT host, regexp_replace(regexp_replace(host, '^.*@', '', 's'), ':[0-9]*$', '') AS site, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS k
+            FROM urls LEFT JOIN marks ON url_key = regexp_extract(path, '^/[^/]*/([0-9]+)', 1) GROUP BY 1),
+long AS (SELECT *, regexp_matches(site, '(^|\.)(ac|co|com|edu|gob|go|gov|gv|ltd|mil|ne|net|nom|or|org|plc|sch)\.[a-z]{2}$') AS two, regexp_matches(site, '^[0-9]+(\.[0-9]+){3}$|^\[') AS address FROM counted),
+hosts AS (SELECT host, n, k, CASE WHEN address THEN site WHEN two THEN regexp_extract(site, '[^.]*\.[^.]*$') ELSE regexp_extract(site, '[^.]*$') END AS suffix,
+                 CASE WHEN address THEN site WHEN two THEN regexp_extract(site, '([^.]*\.)?[^.]*\.[^.]*$') ELSE regexp_extract(site, '([^.]*\.)?[^.]*$') END AS domain FROM long),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY 1, 2),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY 1),
 levels AS (SELECT 's' AS l, n, k FROM suffixes UNION ALL SELECT 'd', n, k FROM domains UNION ALL SELECT 'h', n, k FROM hosts),
