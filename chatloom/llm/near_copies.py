@@ -1,7 +1,7 @@
-"""Near copies by MinHash bands and exact Jaccard similarity of word shingles.
+"""Near copies by buckets of candidates and exact Jaccard similarity of word shingles.
 
-Texts are sets of hashed five-word shingles. Documents that share a band of four minimum hashes meet
-in a bucket; with 32 bands a pair of similarity 0.8 meets with probability 1 - 5e-8, a closer one more
+Texts are sets of hashed five-word shingles. The caller gives buckets of its own (the groups of linked
+SimHash fingerprints); documents that share a band of four minimum hashes meet in a bucket too; with 32 bands a pair of similarity 0.8 meets with probability 1 - 5e-8, a closer one more
 surely. What meets is verified exactly: the smallest documents of each bucket lead, all others are
 compared with them, and a document that is similar enough to a smaller one is gone, from every other
 bucket too. Leaders then leave the bucket and the next ones follow, twice as many each round, until
@@ -11,7 +11,7 @@ met and are similar enough both survive.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,19 +67,27 @@ def bands(sets: list[np.ndarray]) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set of shingle hashes, as a signed number."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int32)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def _prints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """i, v (hash of the text), node (key of its words), n (number of shingles), bands of every row."""
+    """i, v (hash of the text), node (key of its words), n (number of shingles), fp, bands of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "t"):
             found = list(shingle_sets(texts_of(batch, "t"), shingle))
             buckets = bands([s for _, s in found])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, buckets.size + 1, BANDS), pa.int32()), pa.array(buckets.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("v"), pa.array([k for k, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64()), lists], names=["i", "v", "node", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("v"), pa.array([k for k, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64()), pa.array([_fingerprint(s) for _, s in found], pa.int64()), lists], names=["i", "v", "node", "n", "fp", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("v"), F.col(text_col).alias("t"))
-    return source.mapInArrow(run, f"i {kind}, v long, node long, n long, bands array<long>")
+    return source.mapInArrow(run, f"i {kind}, v long, node long, n long, fp long, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -107,17 +115,20 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.where(both * (part + whole) >= part * (F.size("shingles") + F.size("theirs"))).select("a")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def near_copies(docs: DataFrame, groups: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """i and v (xxhash64 of the text) of the rows that are near copies of a row with a smaller id.
 
+    ``groups`` gives further buckets (node, bucket) of nodes (node, fp: the SimHash of its shingles).
+
     Texts of equal words (null and empty ones too) are copies whatever their length. Rows with a null
     id neither go nor make others go. Rows that repeat an id go only where they copy a smaller id's.
     """
     part, whole = SIMILARITY
     prints = materialise(_prints(docs, id_col, text_col, shingle), "shingle-prints")
     first = F.min(F.struct("i", "v")).alias("x")
-    nodes = materialise(prints.groupBy("node").agg(first, F.first("n").alias("n"), F.first("bands").alias("bands")).select("node", "x.i", "x.v", "n", "bands"), "shingle-nodes")
-    spread = nodes.select("node", "i", "n", F.explode("bands").alias("bucket"))
+    nodes = materialise(prints.groupBy("node").agg(first, F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).select("node", "x.i", "x.v", "n", "fp", "bands"), "shingle-nodes")
+    grouped = nodes.select("node", "i", "n").join(groups(nodes.select("node", "fp")), "node").select("node", "i", "n", "bucket")
+    spread = nodes.select("node", "i", "n", F.explode("bands").alias("bucket")).unionByName(grouped)
     shared = spread.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1").select("bucket")
     live = materialise(spread.join(shared, "bucket", "left_semi"), "buckets")
     wanted = nodes.select("node", "i", "v").join(live.select("node").distinct(), "node", "left_semi")
@@ -146,8 +157,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return prints.select("i", "v", "node").join(heads, "node").where(F.coalesce("gone", F.lit(False)) | (F.col("i") != F.col("head"))).select("i", "v").distinct()
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, groups: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs``, all columns, that are no near copy of a row with a smaller id."""
-    gone = materialise(near_copies(docs, id_col, text_col), "near-copies")
+    gone = materialise(near_copies(docs, groups, id_col, text_col, shingle), "near-copies")
     match = (docs[id_col] == gone["i"]) & (F.xxhash64(docs[text_col]) == gone["v"])
     return docs.join(gone, match, "left_anti").select(docs.columns)

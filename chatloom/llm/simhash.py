@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .common import materialise, pieces, texts_of
 
 BITS = 64
@@ -125,7 +126,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(known, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is that of their component, and those without an id."""
-    gone = near_duplicates(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(materialise(gone, "copies"), id_col, "left_anti").select(docs.columns)
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = near_copies.SHINGLE) -> DataFrame:
+    """The rows of ``docs``, all columns, that are no near copy of a row with a smaller id.
+
+    Near copies share four in five or more of their different ``shingle``-word shingles (Jaccard 0.8).
+    The groups of fingerprints that the grid range-join links are candidates, and so are, since that
+    similarity leaves some ten of 64 bits different and no grid of fingerprints reaches so far, the
+    buckets of MinHash bands (see ``near_copies``); each candidate is verified exactly. Each row goes or
+    stays by its own text, also where ids repeat. Null and empty texts are copies of one another; rows
+    with a null id stay.
+    """
+    return near_copies.keep_first(docs, _groups, id_col, text_col, shingle)
+
+
+def _groups(nodes: DataFrame) -> DataFrame:
+    """node and the bucket of its fingerprint's component, of nodes (node, fp)."""
+    distinct = materialise(nodes.select("fp").distinct(), "distinct-fingerprints")
+    root = components(links(distinct)).withColumnRenamed("node", "fp")
+    grouped = nodes.select("node", "fp").join(root, "fp", "left")
+    return grouped.select("node", F.xxhash64(F.lit("component"), F.coalesce("root", "fp")).alias("bucket"))

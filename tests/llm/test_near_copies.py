@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
-from chatloom.llm import near_copies
+from chatloom.llm import simhash
 
 
 def shingles(text):
@@ -48,7 +48,7 @@ def test_stage_drops_planted_near_copies(spark, sf_dir):
 def test_query_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(x.doc_id, x.text) for x in docs.collect()]
-    kept = {x.doc_id for x in near_copies.keep_first(docs).collect()}
+    kept = {x.doc_id for x in simhash.keep_first(docs).collect()}
     check(rows, kept)
     assert not {145, 177} & kept or sf_dir[-5:] != "0.001"
 
@@ -61,12 +61,12 @@ def test_many_leaders_in_a_bucket(spark):
         text = list(text)
         text[r.randint(0, 119)] = f"own{i}"
         rows.append((r.randint(0, 10**6), " ".join(text)))
-    check(rows, {x.doc_id for x in near_copies.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()})
+    check(rows, {x.doc_id for x in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()})
 
 
 def test_awkward_rows(spark):
     rows = [(1, None), (2, ""), (3, " \t"), (4, "word"), (5, "WORD "), (6, "a b c d"), (7, "a b c d e"), (7, "a b c d e"), (None, "a b c d e"), (8, "A b c d e"), (9, "a b c e d")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 AS i", "2 AS v", "3 AS node", "4 AS bucket")
-    got = near_copies.keep_first(df)
+    got = simhash.keep_first(df)
     assert got.columns == df.columns
     assert sorted((x.doc_id or 0 for x in got.collect())) == [0, 1, 4, 6, 7, 7, 9]
