@@ -2,11 +2,18 @@
 
 The pages of a host share a template. Each page's tree of block elements is aligned with that of a
 reference page of its host by simple tree matching (the largest order-preserving matching of nodes
-with equal labels whose parents match). A node of the reference is a slot; where most pages of the
-host show a text at a slot that other pages show there as well, the slot is template, where texts
-vary it is content. What HTML itself marks as no main text (nav, footer, aside, forms, scripts,
-elements of class "ad", "comments" and the like) is left out whatever it holds, and where a page
-marks its main part (article, main), only that part counts. Text that aligns with no slot is content.
+with equal labels whose parents match). A matched node is a slot; a node that the reference lacks takes
+the path of its labels for a slot, so every block of text has one. A text that stands at a slot of
+LEAST_PAGES different pages is constant there; where most pages of the host that have the slot show such
+texts (one menu, or one of the host's menus), the slot is template, and where texts vary it is content.
+Pages count by what they are about (a hash of their longest block, without those that all pages
+of the host show), so copies and near copies of one article count once and do not turn its text into
+template.
+
+Three things alignment cannot know. Scripts, styles and forms never count. Adverts and reader comments
+vary from page to page as an article does, and a host with fewer than LEAST_PAGES different pages has no
+template yet: there HTML's own marks decide (nav, footer, aside; a class or id that says so as a whole).
+Where a page marks its main part (article, main), only that part counts.
 """
 
 from __future__ import annotations
@@ -18,18 +25,23 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, pieces
 from .url_filter import split_url
 
-#: A slot is template if it was seen on so many different pages of a host and this share of them repeat.
-LEAST_PAGES, TEMPLATE_SHARE = 8, 0.8
+#: A text is constant at a slot if so many different pages of a host show it there; a slot is template
+#: if this share of the pages that have it show constant texts.
+LEAST_PAGES, TEMPLATE_SHARE = 3, 0.8
+#: What this share of a host's different pages show says nothing of a page, unless the rest of the page
+#: is less than this share of its text.
+EVERYWHERE, LEAST_REST = 0.95, 0.2
 #: The reference of a host is the page whose length is closest to this.
 REFERENCE_SIZE = 3000
-#: Nodes deeper than this are not aligned (their text counts as varying).
-DEPTH = 60
+#: Nodes deeper than this take their path for a slot instead of being aligned (recursion ends here).
+DEPTH = 200
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe template svg".split())
@@ -38,13 +50,16 @@ _CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
 _SCOPES = frozenset("ul ol dl table body html article section div main nav aside form footer header select".split())
-_NO_CONTENT = frozenset("head nav footer aside form button select menu dialog".split())
+_NEVER = frozenset("head form button select dialog".split())
+_MARKED = frozenset("nav footer aside menu".split())
 _MAIN = frozenset(("article", "main"))
-#: Words of a class or id that mark no main text.
-_NO_CONTENT_CLASS = frozenset(
-    "ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent notice notices gdpr sidebar menu nav navbar navigation breadcrumb breadcrumbs "
-    "footer header masthead comment comments disqus replies respond share sharing social related newsletter subscribe popup modal widget pagination pager toolbar login signup".split()
+#: A class, id or role marks no main text if every part of it (between hyphens) is one of these.
+_MARKING = frozenset(
+    "ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent notice notices gdpr sidebar menu nav navbar navigation breadcrumb breadcrumbs complementary contentinfo "
+    "footer header masthead comment comments disqus replies respond share sharing social related newsletter subscribe popup modal widget pagination pager toolbar login signup search list box bar area section block".split()
 )
+#: Of these, parts that say nothing alone.
+_FILLING = frozenset("list box bar area section block".split())
 _TAG = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
 _STOP = re.compile("[>\"']")
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -52,12 +67,51 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("label", "children", "number", "dropped", "main", "parent", "depth")
+    """An element: label (tag and words of class, id and role), path (hash of the labels down to it)."""
 
-    def __init__(self, label: str, parent: Node | None, dropped: bool, main: bool, number: int):
-        self.label, self.parent, self.dropped, self.main, self.number = label, parent, dropped, main, number
+    __slots__ = ("label", "children", "number", "never", "marked", "main", "dropped", "parent", "depth", "path")
+
+    def __init__(self, label: str, parent: Node | None, number: int, never: bool = False, marked: bool = False, main: bool = False):
+        self.label, self.parent, self.number = label, parent, number
+        self.never, self.marked, self.main, self.dropped = never, marked, main, False
         self.children: list[Node] = []
         self.depth = parent.depth + 1 if parent else 0
+        self.path = xxhash.xxh64_intdigest(label.encode(), parent.path if parent else 0)
+
+
+def _marks(token: str) -> bool:
+    parts = token.split("-")
+    return all(p in _MARKING for p in parts) and not all(p in _FILLING for p in parts)
+
+
+def _settle(nodes: list[Node]) -> None:
+    """Which nodes the marks drop, from the page as a whole: what holds its first article is not dropped
+    for its own class, whatever that says."""
+    safe: set[int] = set()
+    for n in nodes:
+        tag = n.label.split(" ", 1)[0]
+        n.main = n.main or bool(n.parent and n.parent.main)
+        inside = n.parent is not None and n.parent.dropped
+        tagged = tag in _MARKED or (tag == "header" and not n.main)
+        n.dropped = n.never or inside or tagged or n.marked
+    first = next((n for n in nodes if n.main and not n.marked and not _shut(n)), None)
+    while first is not None:
+        safe.add(first.number)
+        first = first.parent
+    for n in nodes:
+        tag = n.label.split(" ", 1)[0]
+        inside = n.parent is not None and n.parent.dropped
+        tagged = tag in _MARKED or (tag == "header" and not n.main)
+        n.dropped = n.never or inside or tagged or (n.marked and n.number not in safe)
+
+
+def _shut(n: Node | None) -> bool:
+    """Whether an element around it never counts, whatever it holds."""
+    while n is not None:
+        if n.never or n.label.split(" ", 1)[0] in _MARKED:
+            return True
+        n = n.parent
+    return False
 
 
 def _end_of_tag(page: str, at: int, quotes: bool) -> tuple[int, bool]:
@@ -75,7 +129,8 @@ def _end_of_tag(page: str, at: int, quotes: bool) -> tuple[int, bool]:
 
 def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
     """The tree of block elements, and the blocks of text with their node, in page order."""
-    root = Node("#", None, False, False, 0)
+    root = Node("#", None, 0)
+    nodes = [root]
     stack: list[tuple[str, Node]] = [("#", root)]
     opened: Counter[str] = Counter()  # elements on the stack, to look for none in vain
     count, blocks, held, quotes, at = 1, [], [], True, 0
@@ -135,15 +190,18 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
                 break
         flush()
         parent = stack[-1][1]
-        marks = [x for g in _MARKS.findall(page, m.end(), end) for x in _WORD.findall("".join(g).lower())]
-        dropped = parent.dropped or tag in _NO_CONTENT or (tag == "header" and not parent.main) or not _NO_CONTENT_CLASS.isdisjoint(marks)
-        node = Node(f"{tag} {' '.join(marks)}", parent, dropped, parent.main or tag in _MAIN or "main" in marks, count)
+        tokens = [x for g in _MARKS.findall(page, m.end(), end) for x in "".join(g).lower().split()]
+        label = " ".join([tag, *(w for x in tokens for w in _WORD.findall(x))])
+        marked = any(map(_marks, tokens)) and tag not in ("html", "body", "main") and "main" not in tokens
+        node = Node(label, parent, count, tag in _NEVER, marked, tag in _MAIN or "main" in tokens)
+        nodes.append(node)
         count += 1
         parent.children.append(node)
         stack.append((tag, node))
         opened[tag] += 1
     held.append(page[at:])
     flush()
+    _settle(nodes)
     return root, blocks
 
 
@@ -191,52 +249,124 @@ def align(page: Node, reference: Node) -> dict[int, int]:
     return pairs
 
 
-@lru_cache(maxsize=512)
-def _reference(page: str) -> Node:
-    return parse(page)[0]
+def skeleton(page: str) -> str:
+    """A page's tree without its texts: a line for each node, its depth and label."""
+    lines, todo = [], [parse(page)[0]]
+    while todo:
+        n = todo.pop()
+        lines.append(f"{n.depth} {n.label}")
+        todo += reversed(n.children)
+    return "\n".join(lines)
 
 
-def content_blocks(page: str, reference: str | None) -> list[tuple[int, str]]:
-    """Slot (-1: none) and text of each block that HTML's own marks leave in."""
+@lru_cache(maxsize=512)
+def _tree(lines: str) -> Node:
+    """The tree of a skeleton."""
+    last: dict[int, Node] = {}
+    for number, line in enumerate(lines.split("\n")):
+        depth, label = line.split(" ", 1)
+        parent = last.get(int(depth) - 1)
+        last[int(depth)] = node = Node(label, parent, number)
+        if parent is not None:
+            parent.children.append(node)
+    return last[0]
+
+
+def content_blocks(page: str, reference: str | None) -> list[tuple[int, str, bool]]:
+    """Slot, text, and whether marks drop it, of each block that may count. ``reference``: a skeleton."""
     root, blocks = parse(page)
-    kept = [(n, t) for n, t in blocks if not n.dropped]
-    main = [(n, t) for n, t in kept if n.main]
-    pairs = align(root, _reference(reference)) if reference and kept else {}
-    return [(pairs.get(n.number, -1), t) for n, t in main or kept]
+    blocks = [(n, t) for n, t in blocks if not n.never]
+    main = any(n.main and not n.dropped for n, _ in blocks)
+    pairs = align(root, _tree(reference)) if reference and blocks else {}
+    seen: Counter[int] = Counter()
+    out = []
+    for n, t in blocks:
+        k = seen[n.number]
+        seen[n.number] += 1
+        slot = pairs[n.number] * 1024 + min(k, 1023) if n.number in pairs else -1 - (n.path >> 1)
+        out.append((slot, t, n.dropped or (main and not n.main)))
+    return out
+
+
+def gram(text: str) -> int:
+    """The least hash of five words in a row, on which near copies mostly agree."""
+    words = text.encode().split()
+    return min(xxhash.xxh64_intdigest(b" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))) - (1 << 63)
 
 
-_BLOCKS = pa.list_(pa.struct([("slot", pa.int32()), ("text", pa.string())]))
+_BLOCKS = pa.list_(pa.struct([("slot", pa.int64()), ("text", pa.string()), ("marked", pa.bool_()), ("gram", pa.int64())]))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["page_id", "url", "host", "version"]
     for batch in pieces(batches, "html"):
-        found = [[{"slot": s, "text": t} for s, t in content_blocks(page or "", ref)] for page, ref in zip(batch.column("html").to_pylist(), batch.column("reference").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host", "version")), pa.array(found, _BLOCKS)], names=["page_id", "url", "host", "version", "blocks"])
+        found = [[{"slot": s, "text": t, "marked": d, "gram": gram(t)} for s, t, d in content_blocks(page or "", reference)] for page, reference in zip(batch.column("html").to_pylist(), batch.column("reference").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(found, _BLOCKS)], names=[*names, "blocks"])
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """Per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars (code points).
+def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, "html"):
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([skeleton(h) for h in batch.column("html").to_pylist()], pa.string())], names=["host", "reference"])
 
-    Null html gives an empty text. Pages without a host (null urls too) share one template. Copies of a
-    page count once for the template. Repeated rows and null ids each get a row. Other columns are
-    ignored. An empty table gives an empty table.
 
-    Pages meet their host's reference by a join that Spark broadcasts below its size threshold and
-    otherwise splits where a host is hot; counts of slots are taken of hashes, never of whole groups.
+def judged(pages: DataFrame) -> DataFrame:
+    """page_id, url, and blocks (array of text, marked, template) of every row of ``pages``.
+
+    Pages meet the skeleton of their host's reference, a small table, by a join that Spark broadcasts
+    below its size threshold and otherwise splits where a host is hot. Texts at slots are counted by
+    their hashes, each once a kind of page, never in whole groups.
     """
     host = split_url(F.col("url"))[0]
     source = pages.select("page_id", "url", host.alias("host"), "html", F.xxhash64("html").alias("version"))
     length = F.octet_length("html")
     closest = source.where(length > 0).groupBy("host").agg(F.min(F.struct(F.abs(length - REFERENCE_SIZE).alias("off"), F.col("version").alias("version"))).alias("x")).select("host", F.col("x.version").alias("version"))
-    chosen = source.join(materialise(closest, "closest"), ["host", "version"]).groupBy("host").agg(F.min("html").alias("reference"))
-    paired = source.join(materialise(chosen, "references"), "host", "left")
+    chosen = source.join(materialise(closest, "closest"), ["host", "version"]).groupBy("host").agg(F.min("html").alias("html"))
+    references = materialise(chosen.mapInArrow(_skeletons, "host string, reference string"), "references")
+    paired = source.join(references, "host", "left")
     kind = pages.schema["page_id"].dataType.simpleString()
-    cut = paired.select("page_id", "url", "host", "version", "html", "reference").mapInArrow(_blocks, f"page_id {kind}, url string, host string, version long, blocks array<struct<slot:int,text:string>>")
+    cut = paired.select("page_id", "url", "host", "version", "html", "reference").mapInArrow(_blocks, f"page_id {kind}, url string, host string, version long, blocks array<struct<slot:bigint,text:string,marked:boolean,gram:bigint>>")
     cut = materialise(cut, "blocks")
-    slots = cut.select("host", "version", F.explode("blocks").alias("b")).where("b.slot >= 0").select("host", F.col("b.slot").alias("slot"), F.xxhash64("b.text").alias("text"), "version").distinct()
-    shown = slots.groupBy("host", "slot", "text").agg(F.count("*").alias("n"))
-    template = shown.groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("repeated"))
-    template = template.where((F.col("pages") >= LEAST_PAGES) & (F.col("repeated") >= TEMPLATE_SHARE * F.col("pages"))).groupBy("host").agg(F.collect_list("slot").alias("template"))
-    known = cut.join(materialise(template, "templates"), "host", "left").withColumn("template", F.coalesce("template", F.array().cast("array<int>")))
-    text = F.expr("array_join(transform(filter(blocks, b -> NOT array_contains(template, b.slot)), b -> b.text), '\\n')")
-    return known.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    versions = cut.select("host", "version").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    often = _shown(cut, "version").groupBy("host", "slot", "text").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    everywhere = often.join(versions, "host").where(F.col("n") >= EVERYWHERE * F.col("pages")).select("host", F.xxhash64("slot", "text").alias("x"))
+    told = _with(cut, everywhere, "everywhere")
+    shown = _shown(told.withColumn("about", _about()), "about").groupBy("host", "slot", "text").agg(F.count("*").alias("n"))
+    slots = shown.groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.sum(F.when(F.col("n") >= LEAST_PAGES, F.col("n")).otherwise(0)).alias("constant"))
+    template = slots.where((F.col("constant") > 0) & (F.col("constant") >= TEMPLATE_SHARE * F.col("pages"))).select("host", F.col("slot").alias("x"))
+    known = _with(cut, template, "template")
+    return known.select("page_id", "url", F.transform("blocks", lambda b: F.struct(b["text"].alias("text"), b["marked"].alias("marked"), F.array_contains("template", b["slot"]).alias("template"))).alias("blocks"))
+
+
+def _shown(cut: DataFrame, page: str) -> DataFrame:
+    """host, slot, text (hash), page: what stands where, once for each page (its version, or what it is about)."""
+    each = cut.select("host", F.col(page).alias("page"), F.explode("blocks").alias("b"))
+    return each.select("host", "page", F.col("b.slot").alias("slot"), F.xxhash64("b.text").alias("text")).distinct()
+
+
+def _with(cut: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """Adds an array of the x of each host (few: a template has no more slots than its pages)."""
+    by_host = materialise(found.groupBy("host").agg(F.collect_list("x").alias(name)), name)
+    return cut.join(by_host, "host", "left").withColumn(name, F.coalesce(name, F.array().cast("array<bigint>")))
+
+
+def _about() -> Column:
+    """What a page is about: the gram of its longest block that may be content."""
+    may = F.filter("blocks", lambda b: ~b["marked"])
+    own = F.filter(may, lambda b: ~F.array_contains("everywhere", F.xxhash64(b["slot"], F.xxhash64(b["text"]))))
+
+    def size(blocks: Column) -> Column:
+        return F.aggregate(blocks, F.lit(0), lambda n, b: n + F.length(b["text"]))
+
+    longest = F.when(size(own) >= LEAST_REST * size(may), own).otherwise(may)
+    return F.array_max(F.transform(longest, lambda b: F.struct(F.length(b["text"]).alias("n"), b["gram"].alias("gram"))))["gram"]
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """Per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars (code points).
+
+    Null html gives an empty text. Pages without a host (null urls too) share one template. Repeated rows
+    and null ids each get a row. Other columns are ignored, whatever their names. An empty table gives
+    an empty table. Whole pages are read, however long or deep.
+    """
+    kept = F.transform(F.filter("blocks", lambda b: ~b["template"] & ~b["marked"]), lambda b: b["text"])
+    return judged(pages).select("page_id", "url", F.array_join(kept, "\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -304,16 +304,60 @@ def test_html_template_is_learned(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_html_template_decides_without_marks(spark, sf_dir):
+    """The pages of the table with every mark taken away: the constant parts of hosts of several pages
+    still go, the articles stay whole."""
+    data = "/root/testdata/sf0.1"
+    pages = spark.read.parquet(f"{data}/pages.parquet").collect()
+    plain = lambda h: re.sub(r"<(/?)(?:nav|article|footer|aside|header)\b[^>]*>", r"<\1div>", re.sub(r' (?:class|id|role)="[^"]*"', "", h or ""))
+    rows = [(p.page_id, p.url, plain(p.html)) for p in pages]
+    got = {r.page_id: r for r in html_extract.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    hosts = Counter(p.url.split("/")[2] for p in pages)
+    assert not any(b.marked for r in got.values() for b in r.blocks)
+    gone, outside, hurt = 0, 0, 0
+    for p in pages:
+        text = set(article(p.html).split("\n"))
+        template = [b.text for b in got[p.page_id].blocks if b.template]
+        hurt += bool(set(template) & text)
+        if hosts[p.url.split("/")[2]] >= 300:
+            gone, outside = gone + len(template), outside + sum(b.text not in text for b in got[p.page_id].blocks)
+    assert gone > 0.6 * outside
+    assert hurt < 0.005 * len(pages)
+
+
+def test_html_copies_make_no_template(spark):
+    """Most pages of a host are copies of one article with other adverts: its text stays; an unmarked box goes."""
+    story = "<p>The very long story of the town and its river, told at length.</p><p>Second part of it.</p>"
+    page = "<body><div>Our small menu</div><div>{}</div><div>advert number {}</div><div>All rights</div></body>"
+    rows = [(i, f"http://a.com/{i}", page.format(story, i)) for i in range(12)]
+    rows += [(i, f"http://a.com/{i}", page.format(f"<p>Quite another text number {i} about something else today.</p>", i)) for i in range(12, 17)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i].split("\n")[:2] == ["The very long story of the town and its river, told at length.", "Second part of it."] for i in range(12))
+    assert not any("menu" in x or "rights" in x for x in got.values())
+
+
+def test_html_awkward(spark):
+    """Repeated rows, null ids and urls, clashing names, a very long and a very deep page."""
+    deep, long = "<div>" * 2500 + "deep" + "</div>" * 2500, "<body>" + "".join(f"<p>part {i}</p>" for i in range(20_000)) + "</body>"
+    rows = [(1, "http://a.com/1", "<p>x</p>"), (1, "http://a.com/1", "<p>x</p>"), (None, None, "<p>y</p>"), (2, "http://a.com/2", long), (3, "http://a.com/3", deep), (4, "nothing", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("host", "reference", "about", "blocks", "template", "text", "slot", "version", "pages", "n")})
+    got = Counter((r.page_id, r.url, r.text, r.n_chars) for r in html_extract.extract(df).collect())
+    whole = "\n".join(f"part {i}" for i in range(20_000))
+    assert got == Counter([(1, "http://a.com/1", "x", 1), (1, "http://a.com/1", "x", 1), (None, None, "y", 1), (2, "http://a.com/2", whole, len(whole)), (3, "http://a.com/3", "deep", 4), (4, "nothing", "", 0)])
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [
         ("", []), ("<", ["<"]), ("<p>a<p>b", ["a", "b"]), ("x<b>y</b>z<br>w", ["xyz w"]), ("<div class='cookie-notice'>c</div><div id=main>m<ul><li>1<li>2</ul></div>", ["m", "1", "2"]),
         ("<script>a<", []), ("<!-- x", []), ("a &lt;b&gt; &nbsp; c", ["a <b> c"]), ("<article><header><h1>T</h1></header><section class=comments>no</section>ok</article><p>out", ["T", "ok"]),
         ("<form>f</form><aside>s</aside><noscript>n</noscript>t", ["t"]), ("<div>" * 3000 + "deep", ["deep"]), ("<b>" * 3000 + "</p>" * 3000 + "x", ["x"]),
+        ("<body class='has-sidebar comments-open'>b</body>", ["b"]), ("<article class='post no-sidebar'>p</article>", ["p"]), ("<div id=main class=widget-area>w</div>", ["w"]), ("<article><div class=article-header><h1>T</h1></div>t</article>", ["T", "t"]),
+        ("<div class=sidebar><article>held</article></div>", ["held"]), ("<article>a</article><section class=comments><article class=comment>c</article><article>d</article></section>", ["a"]), ("<aside><article>teaser</article></aside><article>a</article>", ["a"]),
     ],
 )
 def test_html_blocks(page, want):
-    assert [t for _, t in html_extract.content_blocks(page, "<html><body><p>r</p></body></html>")] == want
+    assert [t for _, t, dropped in html_extract.content_blocks(page, html_extract.skeleton("<html><body><p>r</p></body></html>")) if not dropped] == want
 
 
 # 6 ---------------------------------------------------------------------------------------------------
