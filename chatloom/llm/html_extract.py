@@ -288,10 +288,11 @@ def content_blocks(page: str, reference: str | None) -> list[tuple[int, str, boo
     return out
 
 
-def gram(text: str) -> int:
-    """The least hash of five words in a row, on which near copies mostly agree."""
+def gram(text: str) -> int | None:
+    """The least hash of five words in a row, on which near copies mostly agree; None: too few words."""
     words = text.encode().split()
-    return min(xxhash.xxh64_intdigest(b" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))) - (1 << 63)
+    least = min((xxhash.xxh64_intdigest(b" ".join(words[i : i + 5])) for i in range(len(words) - 4)), default=None)
+    return None if least is None else least - (1 << 63)
 
 
 _BLOCKS = pa.list_(pa.struct([("slot", pa.int64()), ("text", pa.string()), ("marked", pa.bool_()), ("gram", pa.int64())]))
@@ -300,7 +301,7 @@ _BLOCKS = pa.list_(pa.struct([("slot", pa.int64()), ("text", pa.string()), ("mar
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["page_id", "url", "host", "version"]
     for batch in pieces(batches, "html"):
-        found = [[{"slot": s, "text": t, "marked": d, "gram": gram(t)} for s, t, d in content_blocks(page or "", reference)] for page, reference in zip(batch.column("html").to_pylist(), batch.column("reference").to_pylist(), strict=True)]
+        found = [[{"slot": s, "text": t, "marked": d, "gram": None if d else gram(t)} for s, t, d in content_blocks(page or "", reference)] for page, reference in zip(batch.column("html").to_pylist(), batch.column("reference").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(found, _BLOCKS)], names=[*names, "blocks"])
 
 
@@ -327,7 +328,8 @@ def judged(pages: DataFrame) -> DataFrame:
     cut = paired.select("page_id", "url", "host", "version", "html", "reference").mapInArrow(_blocks, f"page_id {kind}, url string, host string, version long, blocks array<struct<slot:bigint,text:string,marked:boolean,gram:bigint>>")
     cut = materialise(cut, "blocks")
     versions = cut.select("host", "version").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    often = _shown(cut, "version").groupBy("host", "slot", "text").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    plain = cut.withColumn("blocks", F.filter("blocks", lambda b: ~b["marked"]))
+    often = _shown(plain, "version").groupBy("host", "slot", "text").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
     everywhere = often.join(versions, "host").where(F.col("n") >= EVERYWHERE * F.col("pages")).select("host", F.xxhash64("slot", "text").alias("x"))
     told = _with(cut, everywhere, "everywhere")
     shown = _shown(told.withColumn("about", _about()), "about").groupBy("host", "slot", "text").agg(F.count("*").alias("n"))
@@ -358,7 +360,7 @@ def _about() -> Column:
         return F.aggregate(blocks, F.lit(0), lambda n, b: n + F.length(b["text"]))
 
     longest = F.when(size(own) >= LEAST_REST * size(may), own).otherwise(may)
-    return F.array_max(F.transform(longest, lambda b: F.struct(F.length(b["text"]).alias("n"), b["gram"].alias("gram"))))["gram"]
+    return F.array_max(F.transform(longest, lambda b: F.struct(F.length(b["text"]).alias("n"), F.coalesce(b["gram"], F.xxhash64(b["text"])).alias("gram"))))["gram"]
 
 
 def extract(pages: DataFrame) -> DataFrame:
