@@ -4,7 +4,9 @@ Documents are dealt into blocks of bounded size. Each block sends its distinct n
 counts, as packed arrays, to the buckets of a count table that is partitioned by n-gram hash; a bucket
 adds up and answers each block, and the block sums the scores of its documents. A frequent n-gram is
 thus one entry per block, not one row per occurrence, and nothing but blocks and buckets is ever held.
-N-grams are told apart by a 64-bit hash.
+This is the join of the count table with the exploded n-grams in packed form: a row holds the n-grams of
+one block that fall into one bucket, so there are never more rows than distinct n-grams of the blocks,
+and their bytes grow with the corpus. N-grams are told apart by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -137,8 +139,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     """
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n_blocks, n_buckets = size // BLOCK_BYTES + 1, size // BUCKET_BYTES + 1
-    block = F.pmod(F.xxhash64(id_col, text_col), F.lit(n_blocks)).alias("block")
-    source = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), block)
+    block = F.pmod(F.xxhash64(id_col, text_col, "_row"), F.lit(n_blocks)).alias("block")  # equal rows are spread
+    source = docs.select(id_col, text_col).withColumn("_row", F.monotonically_increasing_id()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), block)
     sent = source.groupBy("block").applyInArrow(lambda t: _send(t, order, n_buckets), "bucket long, block long, keys binary, counts binary, width int")
     answers = sent.groupBy("bucket").applyInArrow(_add_up, "bucket long, block long, totals binary, width int")
     kind = docs.schema[id_col].dataType.simpleString()
