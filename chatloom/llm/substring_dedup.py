@@ -10,6 +10,11 @@ Most minimisers stand in one document only; nothing can repeat there. So minimis
 go first, and only super-k-mers of those that two documents share are sent. One that a task has already seen in a smaller document needs no bucket: all
 its windows repeat. So copies collapse in the tasks that read them, and a bucket gets at most one string for each
 variant and task (a few where documents come in descending order), however large a group of copies is.
+
+A minimiser that many documents share can have many variants (near copies, periodic texts). Its bucket is
+split by window: each of its windows goes by its own 128-bit hash, once for each document that the task
+has not seen it in a smaller one. Near copies share nearly all windows, so a task sends few, and the rows
+of one window are bounded by the tasks, not by the documents.
 """
 
 from __future__ import annotations
@@ -32,13 +37,17 @@ REMEMBERED = 1_000_000
 #: Bytes of windows that are sorted at once.
 SORTED_BYTES = 64 << 20
 
-_ROW = "bucket long, i long, v long, start int, stop int, s binary"
+#: Documents that share a minimiser from which on its bucket is split by window.
+HOT = 64
+#: What a window's hash begins with; joined words never do.
+_HASHED = b"  "
+
+_ROW = "bucket long, i long, v long, start int, stop int, s binary, again array<int>"
 
 
-def super_kmers(docs: list[bytes], k: int = WINDOW, m: int = MINIMISER) -> tuple[np.ndarray, ...]:
-    """Of documents given as words joined by single spaces: document number, first word, number of
-    windows, minimiser, and the byte range in ``b" ".join(docs)``, of every super-k-mer."""
-    words = WordHashes(docs)
+def super_kmers(words: WordHashes, k: int = WINDOW, m: int = MINIMISER) -> tuple[np.ndarray, ...]:
+    """Of the words of documents: document number, first word, number of windows, minimiser, and the byte
+    range in ``words.text``, of every super-k-mer."""
     doc, none = words.doc, np.zeros(0, np.int64)
     if len(doc) < k:
         return none, none, none, none, none, none
@@ -71,51 +80,102 @@ def _minimisers(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[p
     for batch in pieces(batches, "t", 1 << 20):
         rows, docs = _documents(batch, k)
         if docs:
-            doc, _, _, mini, _, _ = super_kmers(docs, k, m)
+            doc, _, _, mini, _, _ = super_kmers(WordHashes(docs), k, m)
             pairs = np.unique(np.stack([doc, mini], 1), axis=0)
             row = pa.array(np.array(rows)[pairs[:, 0]])
             yield pa.RecordBatch.from_arrays([batch.column("i").take(row), batch.column("v").take(row), pa.array(pairs[:, 1])], names=["i", "v", "mini"])
 
 
+class _Sender:
+    """What a task sends: rows for the buckets, and ranges that it knows to repeat."""
+
+    _TYPES = (("bucket", pa.int64()), ("i", pa.int64()), ("v", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("s", pa.binary()), ("again", pa.list_(pa.int32())))
+
+    def __init__(self, k: int):
+        self.k = k
+        self.seen: dict[bytes, int] = {}
+        self.rows: list[tuple] = []
+        self.open: list | None = None
+        self.hashed: dict[bytes, list[int]] = {}
+
+    def known(self, key: bytes, i: int) -> bool:
+        """Whether a smaller document of this task has it; if not, this one is remembered."""
+        least = self.seen.get(key)
+        if least is not None and least < i:
+            return True
+        self.seen[key] = i
+        return False
+
+    def repeats(self, i: int, v: int, start: int, stop: int) -> None:
+        if self.open is not None and self.open[:2] == [i, v] and self.open[3] >= start:
+            self.open[3] = stop
+            return
+        self.close()
+        self.open = [i, v, start, stop]
+
+    def close(self) -> None:
+        if self.open is not None:
+            i, v, start, stop = self.open
+            self.rows.append((v, i, v, start, stop, None, None))
+            self.open = None
+
+    def string(self, mini: int, i: int, v: int, at: int, n: int, string: bytes) -> None:
+        if self.known(xxhash.xxh3_128_digest(string), i):
+            self.repeats(i, v, at, at + n + self.k - 1)
+        else:
+            self.rows.append((mini, i, v, at, at + n + self.k - 1, string, None))
+
+    def window(self, i: int, v: int, at: int, window: bytes) -> None:
+        key = xxhash.xxh3_128_digest(window)
+        if (starts := self.hashed.get(key)) is not None:
+            starts.append(at)  # of this document, found before
+        elif self.known(key, i):
+            self.repeats(i, v, at, at + self.k)
+        else:
+            self.hashed[key] = [at]
+
+    def end_document(self, i: int, v: int) -> None:
+        """A window of the document is one row, wherever else in it it stands."""
+        for key, (at, *again) in self.hashed.items():
+            self.rows.append((int.from_bytes(key[:8], "little", signed=True), i, v, at, at + self.k, _HASHED + key, again))
+        self.hashed = {}
+
+    def batch(self) -> pa.RecordBatch:
+        self.close()
+        columns = list(zip(*self.rows, strict=True)) if self.rows else [()] * len(self._TYPES)
+        self.rows = []
+        if len(self.seen) > REMEMBERED:
+            self.seen.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, self._TYPES, strict=True)], names=[n for n, _ in self._TYPES])
+
+
 def _emit(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[pa.RecordBatch]:
-    seen: dict[bytes, int] = {}
+    send = _Sender(k)
     for batch in pieces(batches, "t", 1 << 20):
         rows, docs = _documents(batch, k)
         if not docs:
             continue
-        ids, versions, shared = ([column[r] for r in rows] for column in (batch.column(c).to_pylist() for c in ("i", "v", "minis")))
-        shared = [set(x) for x in shared]
-        text = b" ".join(docs)
-        out: tuple[list, ...] = ([], [], [], [], [], [])
-        open_range: list | None = None
-        for doc, at, n, mini, low, high in zip(*(x.tolist() for x in super_kmers(docs, k, m)), strict=True):
-            if mini not in shared[doc]:
-                continue
-            i, string = ids[doc], text[low:high]
-            key = xxhash.xxh3_128_digest(string)
-            known = seen.get(key)
-            if known is not None and known < i:  # a smaller document of this task has it all
-                if open_range is not None and open_range[1] == versions[doc] and open_range[0] == i and open_range[3] >= at:
-                    open_range[3] = at + n + k - 1
-                    continue
-                if open_range is not None:
-                    for column, x in zip(out, (open_range[1], *open_range, None), strict=True):
-                        column.append(x)
-                open_range = [i, versions[doc], at, at + n + k - 1]
-                continue
-            seen[key] = i
-            for column, x in zip(out, (mini, i, versions[doc], at, at + n + k - 1, string), strict=True):
-                column.append(x)
-        if open_range is not None:
-            for column, x in zip(out, (open_range[1], *open_range, None), strict=True):
-                column.append(x)
-        if len(seen) > REMEMBERED:
-            seen.clear()
-        long, int_ = pa.int64(), pa.int32()
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (long, long, long, int_, int_, pa.binary()), strict=True)], names=["bucket", "i", "v", "start", "stop", "s"])
+        ids, versions, shared, hot = ([column[r] for r in rows] for column in (batch.column(c).to_pylist() for c in ("i", "v", "minis", "hot")))
+        shared, hot = [set(x) for x in shared], [set(x) for x in hot]
+        words, last = WordHashes(docs), 0
+        text, begin, end, first = words.text, words.begin, words.end, words.first.tolist()
+        for doc, at, n, mini, low, high in zip(*(x.tolist() for x in super_kmers(words, k, m)), strict=True):
+            if doc != last:
+                send.end_document(ids[last], versions[last])
+                last = doc
+            if mini in hot[doc]:
+                g = first[doc] + at
+                for j, (a, b) in enumerate(zip(begin[g : g + n].tolist(), end[g + k - 1 : g + k - 1 + n].tolist(), strict=True)):
+                    send.window(ids[doc], versions[doc], at + j, text[a:b])
+            elif mini in shared[doc]:
+                send.string(mini, ids[doc], versions[doc], at, n, text[low:high])
+        send.end_document(ids[last], versions[last])
+        yield send.batch()
 
 
 def _window_bounds(string: bytes, k: int) -> list[tuple[int, int]]:
+    if string.startswith(_HASHED):
+        return [(0, len(string))]
     space = np.flatnonzero(np.frombuffer(string, np.uint8) == 32)
     begin, end = np.concatenate([[0], space + 1]), np.concatenate([space, [len(string)]])
     return list(zip(begin[: len(end) - k + 1].tolist(), end[k - 1 :].tolist(), strict=True))
@@ -161,21 +221,30 @@ def _count(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
     types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
     rows: list[tuple[int, int, int, bytes]] = []
     now = None
+    again: dict[tuple[int, int, int], list[int]] = {}
+
+    def found() -> Iterator[tuple[int, int, int, int]]:
+        for i, v, start, stop in repeated(rows, k) if len(rows) > 1 else ():
+            yield i, v, start, stop
+            for at in again.get((i, v, start), ()):  # other places of the same window
+                yield i, v, at, at + k
+
     for batch in batches:
         passed = batch.filter(batch.column("s").is_null())
-        found: list[tuple[int, int, int, int]] = []
+        ranges: list[tuple[int, int, int, int]] = []
         strings = batch.filter(batch.column("s").is_valid())
-        for bucket, i, v, at, s in zip(*(strings.column(c).to_pylist() for c in ("bucket", "i", "v", "start", "s")), strict=True):
+        for bucket, i, v, at, s, more in zip(*(strings.column(c).to_pylist() for c in ("bucket", "i", "v", "start", "s", "again")), strict=True):
             if bucket != now:
-                if len(rows) > 1:
-                    found += repeated(rows, k)
-                rows, now = [], bucket
+                ranges += found()
+                rows, again, now = [], {}, bucket
             rows.append((i, v, at, s))
+            if more:
+                again[i, v, at] = more
         yield pa.RecordBatch.from_arrays([passed.column(c) for c in names], names=names)
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=names)
-    if len(rows) > 1 and (found := list(repeated(rows, k))):
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=names)
+        if ranges:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*ranges, strict=True), types, strict=True)], names=names)
+    if ranges := list(found()):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*ranges, strict=True), types, strict=True)], names=names)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,8 +274,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     """
     source = docs.select(F.col(id_col).cast("long").alias("i"), F.xxhash64(text_col).alias("v"), F.col(text_col).alias("t"))
     minis = materialise(source.mapInArrow(lambda batches: _minimisers(batches, k, m), "i long, v long, mini long"), "minimisers")
-    shared = minis.groupBy("mini").agg(F.min("i").alias("least"), F.max("i").alias("most")).where("least < most").select("mini")
-    by_doc = minis.join(materialise(shared, "shared-minimisers"), "mini", "left_semi").groupBy("i", "v").agg(F.collect_set("mini").alias("minis"))
+    shared = minis.groupBy("mini").agg(F.min("i").alias("least"), F.max("i").alias("most"), F.count("*").alias("n")).where("least < most").select("mini", (F.col("n") >= HOT).alias("hot"))
+    kinds = (F.collect_set(F.when(on, F.col("mini"))).alias(name) for name, on in (("minis", ~F.col("hot")), ("hot", F.col("hot"))))
+    by_doc = minis.join(materialise(shared, "shared-minimisers"), "mini").groupBy("i", "v").agg(*kinds)
     sent = source.join(by_doc, ["i", "v"]).mapInArrow(lambda batches: _emit(batches, k, m), _ROW)
     dealt = sent.repartition("bucket").sortWithinPartitions("bucket")
     ranges = dealt.mapInArrow(lambda batches: _count(batches, k), "i long, v long, start int, stop int")

@@ -431,6 +431,23 @@ def test_substring_near_copies(spark):
     same(substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect(), cuts(rows))
 
 
+def test_substring_hot_buckets(spark):
+    """A hundred near copies of a periodic text and of a plain one, in any order of ids, some ids repeated,
+    and the same plain text in a few others: minimisers beyond HOT and below."""
+    r = random.Random(17)
+    texts = [[f"w{j % 7}" for j in range(260)], [f"u{r.randint(0, 10**6)}" for _ in range(260)]]
+    rows = []
+    for i in range(200):
+        words = list(texts[i % 2])
+        for _ in range(r.randint(0, 3)):
+            words[r.randint(0, 259)] = r.choice(["w0", f"own{i}", "rare"])
+        rows.append((r.randint(0, 150), " ".join(words)))
+    other = [f"t{r.randint(0, 10**6)}" for _ in range(120)]
+    rows += [(r.randint(0, 150), " ".join(other[a:])) for a in (0, 5, 11, 20)]
+    assert substring_dedup.HOT < 100
+    same(substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect(), cuts(rows))
+
+
 # 8 ---------------------------------------------------------------------------------------------------
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
