@@ -12,14 +12,15 @@ met and are similar enough both survive.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, materialise, pieces, texts_of
+from .common import WordHashes, bitmap, materialise, pieces, texts_of
 
 SHINGLE = 5
 #: Similarity from which on two documents are near copies, as a fraction.
@@ -28,6 +29,10 @@ BANDS, ROWS = 32, 4
 MOST_LEADERS = 64
 #: A leader that more pairs than this ask for is sent out in several copies.
 PAIRS_PER_COPY = 500
+#: Bands that are taken one at a time.
+ALONE = 3
+#: Size of the filter that tells whose shingles are needed (2 MB); its hits are joined exactly.
+FILTER_BITS = 1 << 24
 
 _MULTIPLIERS = np.random.default_rng(5).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -90,18 +95,27 @@ def _prints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFr
     return source.mapInArrow(run, f"i {kind}, v long, node long, n long, fp long, bands array<long>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """node and its shingles for the rows of ``wanted`` (i, v, node)."""
+def _sets(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """node and its shingles for the rows that stand for the nodes of ``pairs`` (and a few others).
+
+    A bitmap of fixed size tells the rows, so no text is shuffled; a fuller one only lets more pass.
+    """
+    rows = pairs.select(F.col("ai").alias("i"), F.col("av").alias("v")).unionByName(pairs.select(F.col("bi").alias("i"), F.col("bv").alias("v")))
+    bit = F.xxhash64("i", "v").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("bit")
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(rows.select(bit), FILTER_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in pieces(batches, "t"):
-            rows = [(k, s) for k, s in shingle_sets(texts_of(batch, "t"), shingle) if not (k in seen or seen.add(k))]
-            values = pa.array([s.view(np.int64) for _, s in rows], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), values], names=["node", "shingles"])
+        for batch in batches:
+            at = batch.column("bit").to_numpy()
+            wanted = batch.filter(pa.array((bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            for piece in pieces(iter([wanted]), "t"):
+                found = [(k, s) for k, s in shingle_sets(texts_of(piece, "t"), shingle) if not (k in seen or seen.add(k))]
+                values = pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), values], names=["node", "shingles"])
 
-    source = docs.select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("v"), F.col(text_col).alias("t"))
-    return source.join(wanted.select("i", "v"), ["i", "v"], "left_semi").select("t").mapInArrow(run, "node long, shingles array<long>")
+    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("v"), F.col(text_col).alias("t"))
+    return materialise(source.select(bit, "t").mapInArrow(run, "node long, shingles array<long>"), "pair-sets")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -109,12 +123,16 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     part, whole = SIMILARITY
     copies = materialise(pairs.groupBy("b").agg(F.count("*").alias("asked")).select("b", (F.col("asked") / PAIRS_PER_COPY).cast("int").alias("last")), "leaders")
     leaders = sets.withColumnRenamed("node", "b").withColumnRenamed("shingles", "theirs").join(copies, "b").withColumn("salt", F.explode(F.sequence(F.lit(0), "last"))).drop("last")
-    asked = pairs.join(copies, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("last") + 1).cast("int")).drop("last")
+    asked = pairs.select("a", "b").join(copies, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("last") + 1).cast("int")).drop("last")
     met = asked.join(sets.withColumnRenamed("node", "a"), "a").join(leaders, ["b", "salt"])
     both = F.size(F.array_intersect("shingles", "theirs"))
     return met.where(both * (part + whole) >= part * (F.size("shingles") + F.size("theirs"))).select("a")
 
 
+def _leader() -> Column:
+    return F.struct(F.col("i").alias("bi"), F.col("node").alias("b"), F.col("v").alias("bv"), F.col("n").alias("bn"))
+
+
 def near_copies(docs: DataFrame, groups: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """i and v (xxhash64 of the text) of the rows that are near copies of a row with a smaller id.
 
@@ -122,37 +140,47 @@ def near_copies(docs: DataFrame, groups: Callable[[DataFrame], DataFrame], id_co
 
     Texts of equal words (null and empty ones too) are copies whatever their length. Rows with a null
     id neither go nor make others go. Rows that repeat an id go only where they copy a smaller id's.
+
+    Large groups of near copies go first, by one bucket a document at a time: that of its fingerprint's
+    group, then of the first bands, each compared with the smallest of its bucket. Only what is left then
+    meets in all bands at once.
     """
     part, whole = SIMILARITY
     prints = materialise(_prints(docs, id_col, text_col, shingle), "shingle-prints")
     first = F.min(F.struct("i", "v")).alias("x")
     nodes = materialise(prints.groupBy("node").agg(first, F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).select("node", "x.i", "x.v", "n", "fp", "bands"), "shingle-nodes")
-    grouped = nodes.select("node", "i", "n").join(groups(nodes.select("node", "fp")), "node").select("node", "i", "n", "bucket")
-    spread = nodes.select("node", "i", "n", F.explode("bands").alias("bucket")).unionByName(grouped)
+    gone: list[DataFrame] = []
+
+    def lost(met: DataFrame) -> DataFrame:
+        """a of the pairs that are similar; ``met``: node, i, v, n and those of a leader."""
+        close = met.where(F.struct("i", "node") > F.struct("bi", "b")).where(F.least("n", "bn") * whole >= F.greatest("n", "bn") * part)
+        pairs = materialise(close.select(F.col("node").alias("a"), F.col("i").alias("ai"), F.col("v").alias("av"), "b", "bi", "bv").distinct(), "pairs")
+        gone.append(materialise(_similar(pairs, _sets(docs, pairs, id_col, text_col, shingle)).select(F.col("a").alias("node")).distinct(), "lost"))
+        return gone[-1]
+
+    alive = nodes
+    grouped = materialise(groups(nodes.select("node", "fp")), "groups")
+    for band in (None, *range(ALONE)):
+        each = alive.join(grouped, "node") if band is None else alive.withColumn("bucket", F.col("bands")[band])
+        each = each.select("bucket", "node", "i", "v", "n")
+        lead = each.groupBy("bucket").agg(F.min(_leader()).alias("x"), F.count("*").alias("held")).where("held > 1").select("bucket", "x.*")
+        alive = materialise(alive.join(lost(each.join(lead, "bucket")), "node", "left_anti"), "alive")
+    spread = alive.select("node", "i", "v", "n", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1").select("bucket")
     live = materialise(spread.join(shared, "bucket", "left_semi"), "buckets")
-    wanted = nodes.select("node", "i", "v").join(live.select("node").distinct(), "node", "left_semi")
-    sets = materialise(_sets(docs, wanted, id_col, text_col, shingle), "shingle-sets")
-    gone, leaders = None, 1
-    order = Window.partitionBy("bucket").orderBy("i", "node")
+    leaders, order = 1, Window.partitionBy("bucket").orderBy("i", "node")
     while live.limit(1).count():
         # A limit on the rank is applied before the shuffle, so hot buckets send their leaders only.
         lead = live.withColumn("place", F.row_number().over(order)).where(F.col("place") <= leaders)
-        lead = materialise(lead.select("bucket", F.col("node").alias("b"), F.col("i").alias("bi"), F.col("n").alias("bn")), "lead")
-        met = live.join(lead, "bucket").where(F.struct("i", "node") > F.struct("bi", "b")).where(F.least("n", "bn") * whole >= F.greatest("n", "bn") * part)
-        pairs = materialise(met.select(F.col("node").alias("a"), "b").distinct(), "pairs")
-        lost = materialise(_similar(pairs, sets).distinct(), "lost")
-        gone = lost if gone is None else gone.union(lost)
-        done = lead.select("bucket", F.col("b").alias("node"))
-        left = materialise(live.join(done, ["bucket", "node"], "left_anti").join(lost.withColumnRenamed("a", "node"), "node", "left_anti"), "left")
+        lead = materialise(lead.select("bucket", _leader().alias("x")).select("bucket", "x.*"), "lead")
+        copies = lost(live.join(lead, "bucket"))
+        left = materialise(live.join(lead.select("bucket", F.col("b").alias("node")), ["bucket", "node"], "left_anti").join(copies, "node", "left_anti"), "left")
         full = left.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1").select("bucket")
         live = materialise(left.join(full, "bucket", "left_semi"), "buckets")
         leaders = min(2 * leaders, MOST_LEADERS)
     heads = nodes.select("node", F.col("i").alias("head"))
-    if gone is not None:
-        heads = heads.join(gone.select(F.col("a").alias("node"), F.lit(True).alias("gone")), "node", "left")
-    else:
-        heads = heads.withColumn("gone", F.lit(None).cast("boolean"))
+    out = reduce(DataFrame.unionByName, gone).withColumn("gone", F.lit(True))
+    heads = heads.join(out, "node", "left")
     heads = materialise(heads, "heads")
     return prints.select("i", "v", "node").join(heads, "node").where(F.coalesce("gone", F.lit(False)) | (F.col("i") != F.col("head"))).select("i", "v").distinct()
 
