@@ -146,12 +146,40 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("v"), pa.array(words, pa.int64()), pa.array(found, _FOUND_TYPE), pa.array(near, _NEAR_TYPE)], names=["i", "v", "words", "found", "near"])
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "t"):
-        counts: Counter[str] = Counter()
-        for text in batch.column("t").to_pylist():
-            counts.update(_WORD.findall((text or "").lower()))
-        yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["term", "n"])
+def _term_counts(docs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
+    """term and n, its occurrences in all texts. Words pass the filter of the terms first and are counted
+    by task, so what is shuffled is bounded by the terms and the tasks; the terms are joined at the end."""
+    bits = docs.sparkSession.sparkContext.broadcast(_filter(terms))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, counts, known = bits.value, Counter(), {}
+
+        def wanted(word: str) -> bool:
+            if (found := known.get(word)) is None:
+                if len(known) >= 200_000:
+                    known.clear()
+                h = xxhash.xxh64_intdigest(word.encode(), 42) & (FILTER_BITS - 1)
+                found = known[word] = bool(table[h >> 3] >> (h & 7) & 1)
+            return found
+
+        def counted() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["term", "n"])
+            counts.clear()
+            return out
+
+        for batch in pieces(batches, "t"):
+            words: Counter[str] = Counter()
+            for text in batch.column("t").to_pylist():
+                words.update(_WORD.findall((text or "").lower()))
+            for word, n in words.items():
+                if wanted(word):
+                    counts[word] += n
+            if len(counts) >= 200_000:
+                yield counted()
+        yield counted()
+
+    rows = docs.select(F.col(text_col).alias("t")).mapInArrow(run, "term string, n long")
+    return rows.groupBy("term").agg(F.sum("n").alias("n_term")).join(terms, "term", "left_semi")
 
 
 def _filter(terms: DataFrame) -> np.ndarray:
@@ -221,7 +249,7 @@ def disclosing_spans(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id"
     joint = near.groupBy("entity", "term").agg(F.count("*").alias("joint"))
     pairs = materialise(contexts.join(joint, ["entity", "term"]), "pairs")
     terms = materialise(pairs.select("term").distinct(), "terms")
-    counted = docs.select(F.col(text_col).alias("t")).mapInArrow(_term_counts, "term string, n long").join(terms, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term"))
+    counted = _term_counts(docs, terms, text_col)
     entities = scanned.where(F.size("found") > 0).select(F.explode("found.entity").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     total = scanned.agg(F.sum("words")).first()[0] or 1
     content = -F.log2(F.col("n_entity") / F.lit(float(max(total, 2))))
