@@ -1,12 +1,14 @@
 """Near copies by buckets of candidates and exact Jaccard similarity of word shingles.
 
 Texts are sets of hashed five-word shingles. The caller gives buckets of its own (the groups of linked
-SimHash fingerprints); documents that share a band of four minimum hashes meet in a bucket too; with 32 bands a pair of similarity 0.8 meets with probability 1 - 5e-8, a closer one more
-surely. What meets is verified exactly: the smallest documents of each bucket lead, all others are
-compared with them, and a document that is similar enough to a smaller one is gone, from every other
-bucket too. Leaders then leave the bucket and the next ones follow, twice as many each round, until
-no bucket holds two. A group of n copies thus costs about n comparisons, and no two documents that
-met and are similar enough both survive.
+SimHash fingerprints); documents that share a band of four minimum hashes meet in a bucket too; with
+32 bands a pair of similarity 0.8 meets with probability 1 - 5e-8, a closer one more surely. Of what
+meets, pairs that agree in fewer than 70 of the 128 minimum hashes are no near copies (one of
+similarity 0.8 looks so with probability 1e-9); the others are verified exactly. The smallest
+documents of each bucket lead, all others are compared with them, and a document that is similar
+enough to a smaller one is gone, from every other bucket too. Leaders then leave the bucket and the
+next ones follow, twice as many each round, until no bucket holds two. A group of n copies thus costs
+about n comparisons, and no two documents that met and are similar enough both survive.
 """
 
 from __future__ import annotations
@@ -26,16 +28,18 @@ SHINGLE = 5
 #: Similarity from which on two documents are near copies, as a fraction.
 SIMILARITY = (4, 5)
 BANDS, ROWS = 32, 4
+#: Minimum hashes, of the 128 in the bands, in which pairs agree that are verified. Of pairs of similarity
+#: 0.8, one in 10^9 agrees in fewer (Chernoff bound of the binomial tail).
+LEAST_EQUAL = 70
 MOST_LEADERS = 64
 #: A leader that more pairs than this ask for is sent out in several copies.
 PAIRS_PER_COPY = 500
 #: Bands that are taken one at a time.
 ALONE = 3
-#: Size of the filter that tells whose shingles are needed (2 MB); its hits are joined exactly.
+#: Size of the filters that tell whose bands or shingles are needed (2 MB); their hits are joined exactly.
 FILTER_BITS = 1 << 24
 
 _MULTIPLIERS = np.random.default_rng(5).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
@@ -57,18 +61,13 @@ def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> Iterator[tuple[i
 
 
 def bands(sets: list[np.ndarray]) -> np.ndarray:
-    """The bucket of each band for each set; sets without hashes share their buckets."""
+    """The bands of each set: 16 bits of four minimum hashes each. Sets without hashes share theirs."""
     filled = [s if len(s) else np.zeros(1, np.uint64) for s in sets]
     size = np.array([len(s) for s in filled])
     values, first = np.concatenate(filled), np.cumsum(size) - size
-    out = np.zeros((len(sets), BANDS), np.uint64)
-    for band in range(BANDS):
-        key = np.full(len(sets), band, np.uint64)
-        for m in _MULTIPLIERS[band * ROWS : (band + 1) * ROWS]:
-            least = np.minimum.reduceat((values ^ (m >> np.uint64(7))) * m, first)
-            key = (key ^ least) * _MIX
-            key ^= key >> np.uint64(32)
-        out[:, band] = key
+    out = np.zeros((len(sets), BANDS * ROWS), np.uint16)
+    for at, m in enumerate(_MULTIPLIERS):
+        out[:, at] = np.minimum.reduceat((values ^ (m >> np.uint64(7))) * m, first) >> np.uint64(24) & np.uint64(0xFFFF)
     return out.view(np.int64)
 
 
@@ -118,6 +117,39 @@ def _sets(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shingle
     return materialise(source.select(bit, "t").mapInArrow(run, "node long, shingles array<long>"), "pair-sets")
 
 
+def _bucket(band: int | Column, value: Column) -> Column:
+    return F.xxhash64(F.lit(band) if isinstance(band, int) else band, value)
+
+
+def _agreeing(total: Column, differ: Column) -> Column:
+    """``total`` and the number of minimum hashes of a band without a bit in ``differ``."""
+    for i in range(ROWS):
+        total = total + (F.shiftright(differ, 16 * i).bitwiseAND(F.lit(0xFFFF)) == 0).cast("int")
+    return total
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose bands agree in ``LEAST_EQUAL`` minimum hashes or more.
+
+    A bitmap of fixed size tells whose bands are needed, so those of the others are not shuffled.
+    """
+    either = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+    bit = F.xxhash64("node").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("bit")
+    bits = pairs.sparkSession.sparkContext.broadcast(bitmap(either.select(bit), FILTER_BITS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("bit").to_numpy()
+            wanted = pa.array((bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+            yield batch.filter(wanted).select(["node", "bands"])
+
+    known = materialise(nodes.select(bit, "node", "bands").mapInArrow(run, "node long, bands array<long>"), "pair-bands")
+    ours = materialise(pairs.join(known.withColumnRenamed("node", "a"), "a"), "pairs-with-bands")
+    both = ours.join(known.select(F.col("node").alias("b"), F.col("bands").alias("theirs")), "b")
+    differ = F.zip_with("bands", "theirs", lambda x, y: x.bitwiseXOR(y))
+    return both.where(F.aggregate(differ, F.lit(0), _agreeing) >= LEAST_EQUAL).drop("bands", "theirs")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose shingles are similar enough. Leaders b that many ask for are salted."""
     part, whole = SIMILARITY
@@ -155,18 +187,22 @@ def near_copies(docs: DataFrame, groups: Callable[[DataFrame], DataFrame], id_co
         """a of the pairs that are similar; ``met``: node, i, v, n and those of a leader."""
         close = met.where(F.struct("i", "node") > F.struct("bi", "b")).where(F.least("n", "bn") * whole >= F.greatest("n", "bn") * part)
         pairs = materialise(close.select(F.col("node").alias("a"), F.col("i").alias("ai"), F.col("v").alias("av"), "b", "bi", "bv").distinct(), "pairs")
+        pairs = materialise(_alike(pairs, nodes), "alike")
+        if not pairs.limit(1).count():
+            return pairs.select(F.col("a").alias("node"))
         gone.append(materialise(_similar(pairs, _sets(docs, pairs, id_col, text_col, shingle)).select(F.col("a").alias("node")).distinct(), "lost"))
         return gone[-1]
 
     alive = nodes
     grouped = materialise(groups(nodes.select("node", "fp")), "groups")
     for band in (None, *range(ALONE)):
-        each = alive.join(grouped, "node") if band is None else alive.withColumn("bucket", F.col("bands")[band])
+        each = alive.join(grouped, "node") if band is None else alive.withColumn("bucket", _bucket(band, F.col("bands")[band]))
         each = each.select("bucket", "node", "i", "v", "n")
         lead = each.groupBy("bucket").agg(F.min(_leader()).alias("x"), F.count("*").alias("held")).where("held > 1").select("bucket", "x.*")
         alive = materialise(alive.join(lost(each.join(lead, "bucket")), "node", "left_anti"), "alive")
-    spread = alive.select("node", "i", "v", "n", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1").select("bucket")
+    spread = alive.select("node", "i", "v", "n", F.posexplode("bands").alias("band", "value")).select("node", "i", "v", "n", _bucket(F.col("band"), F.col("value")).alias("bucket"))
+    # Written first, so that its true size tells how to join: few buckets are shared.
+    shared = materialise(spread.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1").select("bucket"), "shared")
     live = materialise(spread.join(shared, "bucket", "left_semi"), "buckets")
     leaders, order = 1, Window.partitionBy("bucket").orderBy("i", "node")
     while live.limit(1).count():
@@ -179,7 +215,7 @@ def near_copies(docs: DataFrame, groups: Callable[[DataFrame], DataFrame], id_co
         live = materialise(left.join(full, "bucket", "left_semi"), "buckets")
         leaders = min(2 * leaders, MOST_LEADERS)
     heads = nodes.select("node", F.col("i").alias("head"))
-    out = reduce(DataFrame.unionByName, gone).withColumn("gone", F.lit(True))
+    out = reduce(DataFrame.unionByName, gone, nodes.select("node").where("false")).withColumn("gone", F.lit(True))
     heads = heads.join(out, "node", "left")
     heads = materialise(heads, "heads")
     return prints.select("i", "v", "node").join(heads, "node").where(F.coalesce("gone", F.lit(False)) | (F.col("i") != F.col("head"))).select("i", "v").distinct()
