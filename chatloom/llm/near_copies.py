@@ -1,14 +1,16 @@
 """Near copies by buckets of candidates and exact Jaccard similarity of word shingles.
 
-Texts are sets of hashed five-word shingles. The caller gives buckets of its own (the groups of linked
-SimHash fingerprints); documents that share a band of four minimum hashes meet in a bucket too; with
-32 bands a pair of similarity 0.8 meets with probability 1 - 5e-8, a closer one more surely. Of what
-meets, pairs that agree in fewer than 70 of the 128 minimum hashes are no near copies (one of
-similarity 0.8 looks so with probability 1e-9); the others are verified exactly. The smallest
-documents of each bucket lead, all others are compared with them, and a document that is similar
-enough to a smaller one is gone, from every other bucket too. Leaders then leave the bucket and the
-next ones follow, twice as many each round, until no bucket holds two. A group of n copies thus costs
-about n comparisons, and no two documents that met and are similar enough both survive.
+Texts are sets of hashed five-word shingles. The caller gives buckets of its own (meeting points of
+linked SimHash fingerprints); documents that share a band of four minimum hashes meet in a bucket too;
+with 32 bands a pair of similarity 0.8 meets with probability 1 - 5e-8, a closer one more surely. Of
+what meets, pairs that agree in fewer than 70 of the 128 minimum hashes are no near copies (one of
+similarity 0.8 looks so with probability 1e-9); the others are verified exactly.
+
+First every document is compared with the smallest of each of its buckets, so a group of n copies costs
+about n comparisons and is gone, from every other bucket too. Buckets of what is left are compared
+whole, each in one task, if they are small; a pair that shares several bands is compared in the first.
+Larger ones go on by leaders, twice as many each round, until they are small. No two documents that met
+and are similar enough both survive.
 """
 
 from __future__ import annotations
@@ -32,11 +34,11 @@ BANDS, ROWS = 32, 4
 #: 0.8, one in 10^9 agrees in fewer (Chernoff bound of the binomial tail).
 LEAST_EQUAL = 70
 MOST_LEADERS = 64
+#: Rows, and shingles in all of them, of the buckets that one task compares whole.
+SMALL_ROWS, SMALL_SHINGLES = 2048, 1 << 22
 #: A leader that more pairs than this ask for is sent out in several copies.
 PAIRS_PER_COPY = 500
-#: Bands that are taken one at a time.
-ALONE = 3
-#: Size of the filters that tell whose bands or shingles are needed (2 MB); their hits are joined exactly.
+#: Size of the filter that tells whose shingles are needed (2 MB); its hits are joined exactly.
 FILTER_BITS = 1 << 24
 
 _MULTIPLIERS = np.random.default_rng(5).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
@@ -94,12 +96,11 @@ def _prints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFr
     return source.mapInArrow(run, f"i {kind}, v long, node long, n long, fp long, bands array<long>")
 
 
-def _sets(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """node and its shingles for the rows that stand for the nodes of ``pairs`` (and a few others).
+def _sets(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """node and its shingles for the ``rows`` (i, v) that stand for nodes (and a few others).
 
     A bitmap of fixed size tells the rows, so no text is shuffled; a fuller one only lets more pass.
     """
-    rows = pairs.select(F.col("ai").alias("i"), F.col("av").alias("v")).unionByName(pairs.select(F.col("bi").alias("i"), F.col("bv").alias("v")))
     bit = F.xxhash64("i", "v").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("bit")
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(rows.select(bit), FILTER_BITS))
 
@@ -114,11 +115,12 @@ def _sets(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shingle
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), values], names=["node", "shingles"])
 
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("v"), F.col(text_col).alias("t"))
-    return materialise(source.select(bit, "t").mapInArrow(run, "node long, shingles array<long>"), "pair-sets")
+    return materialise(source.select(bit, "t").mapInArrow(run, "node long, shingles array<long>"), "shingle-sets")
 
 
-def _bucket(band: int | Column, value: Column) -> Column:
-    return F.xxhash64(F.lit(band) if isinstance(band, int) else band, value)
+def _bucket(band: Column, value: Column) -> Column:
+    """A hash of the value, with the number of the band in the lowest bits; ``BANDS`` stands for the caller's."""
+    return F.shiftleft(F.xxhash64(value), 6).bitwiseOR(band.cast("long"))
 
 
 def _agreeing(total: Column, differ: Column) -> Column:
@@ -129,25 +131,15 @@ def _agreeing(total: Column, differ: Column) -> Column:
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs whose bands agree in ``LEAST_EQUAL`` minimum hashes or more.
-
-    A bitmap of fixed size tells whose bands are needed, so those of the others are not shuffled.
-    """
-    either = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
-    bit = F.xxhash64("node").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("bit")
-    bits = pairs.sparkSession.sparkContext.broadcast(bitmap(either.select(bit), FILTER_BITS))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column("bit").to_numpy()
-            wanted = pa.array((bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
-            yield batch.filter(wanted).select(["node", "bands"])
-
-    known = materialise(nodes.select(bit, "node", "bands").mapInArrow(run, "node long, bands array<long>"), "pair-bands")
-    ours = materialise(pairs.join(known.withColumnRenamed("node", "a"), "a"), "pairs-with-bands")
-    both = ours.join(known.select(F.col("node").alias("b"), F.col("bands").alias("theirs")), "b")
-    differ = F.zip_with("bands", "theirs", lambda x, y: x.bitwiseXOR(y))
-    return both.where(F.aggregate(differ, F.lit(0), _agreeing) >= LEAST_EQUAL).drop("bands", "theirs")
+    """The pairs (a, b), with i and v of both, in which b comes first, whose sizes allow the similarity
+    and whose bands agree in ``LEAST_EQUAL`` minimum hashes or more."""
+    part, whole = SIMILARITY
+    ours = nodes.select(F.col("node").alias("a"), F.col("i").alias("ai"), F.col("v").alias("av"), F.col("n").alias("an"), F.col("bands").alias("ours"))
+    theirs = nodes.select(F.col("node").alias("b"), F.col("i").alias("bi"), F.col("v").alias("bv"), F.col("n").alias("bn"), F.col("bands").alias("theirs"))
+    both = pairs.join(ours, "a").join(theirs, "b").where(F.struct("ai", "a") > F.struct("bi", "b"))
+    both = both.where(F.least("an", "bn") * whole >= F.greatest("an", "bn") * part)
+    differ = F.zip_with("ours", "theirs", lambda x, y: x.bitwiseXOR(y))
+    return both.where(F.aggregate(differ, F.lit(0), _agreeing) >= LEAST_EQUAL).select("a", "ai", "av", "b", "bi", "bv")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -161,8 +153,30 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.where(both * (part + whole) >= part * (F.size("shingles") + F.size("theirs"))).select("a")
 
 
-def _leader() -> Column:
-    return F.struct(F.col("i").alias("bi"), F.col("node").alias("b"), F.col("v").alias("bv"), F.col("n").alias("bn"))
+def _copies_in(rows: pa.Table) -> pa.Table:
+    """node of the rows of one bucket (bucket, node, i, bands, shingles) that are similar to one before them.
+
+    A pair that meets in several bands is compared in the first of them only. Rows that stand for one
+    node more than once (a repeated document, read by several tasks) are not compared with each other."""
+    part, whole = SIMILARITY
+    rows = rows.sort_by([("i", "ascending"), ("node", "ascending")])
+    band = rows.column("bucket")[0].as_py() & 63
+    values = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    hashes, nodes = values.view(np.uint16), rows.column("node").to_numpy()
+    sets = [x.values.to_numpy() for x in rows.column("shingles")]
+    size = np.array([len(s) for s in sets])
+    gone = np.zeros(len(sets), bool)
+    for at in range(1, len(sets)):
+        fits = (nodes[:at] != nodes[at]) & (np.minimum(size[:at], size[at]) * whole >= np.maximum(size[:at], size[at]) * part)
+        near = np.flatnonzero(fits & ((hashes[:at] == hashes[at]).sum(1) >= LEAST_EQUAL))
+        shared = values[near] == values[at]
+        first = np.where(shared.any(1), shared.argmax(1), BANDS)
+        for other in near[first == band].tolist():
+            both = len(np.intersect1d(sets[at], sets[other], assume_unique=True))
+            if both * (part + whole) >= part * (size[at] + size[other]):
+                gone[at] = True
+                break
+    return rows.select(["node"]).filter(pa.array(gone))
 
 
 def near_copies(docs: DataFrame, groups: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -172,52 +186,42 @@ def near_copies(docs: DataFrame, groups: Callable[[DataFrame], DataFrame], id_co
 
     Texts of equal words (null and empty ones too) are copies whatever their length. Rows with a null
     id neither go nor make others go. Rows that repeat an id go only where they copy a smaller id's.
-
-    Large groups of near copies go first, by one bucket a document at a time: that of its fingerprint's
-    group, then of the first bands, each compared with the smallest of its bucket. Only what is left then
-    meets in all bands at once.
     """
-    part, whole = SIMILARITY
     prints = materialise(_prints(docs, id_col, text_col, shingle), "shingle-prints")
     first = F.min(F.struct("i", "v")).alias("x")
     nodes = materialise(prints.groupBy("node").agg(first, F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).select("node", "x.i", "x.v", "n", "fp", "bands"), "shingle-nodes")
-    gone: list[DataFrame] = []
-
-    def lost(met: DataFrame) -> DataFrame:
-        """a of the pairs that are similar; ``met``: node, i, v, n and those of a leader."""
-        close = met.where(F.struct("i", "node") > F.struct("bi", "b")).where(F.least("n", "bn") * whole >= F.greatest("n", "bn") * part)
-        pairs = materialise(close.select(F.col("node").alias("a"), F.col("i").alias("ai"), F.col("v").alias("av"), "b", "bi", "bv").distinct(), "pairs")
-        pairs = materialise(_alike(pairs, nodes), "alike")
-        if not pairs.limit(1).count():
-            return pairs.select(F.col("a").alias("node"))
-        gone.append(materialise(_similar(pairs, _sets(docs, pairs, id_col, text_col, shingle)).select(F.col("a").alias("node")).distinct(), "lost"))
-        return gone[-1]
-
-    alive = nodes
-    grouped = materialise(groups(nodes.select("node", "fp")), "groups")
-    for band in (None, *range(ALONE)):
-        each = alive.join(grouped, "node") if band is None else alive.withColumn("bucket", _bucket(band, F.col("bands")[band]))
-        each = each.select("bucket", "node", "i", "v", "n")
-        lead = each.groupBy("bucket").agg(F.min(_leader()).alias("x"), F.count("*").alias("held")).where("held > 1").select("bucket", "x.*")
-        alive = materialise(alive.join(lost(each.join(lead, "bucket")), "node", "left_anti"), "alive")
-    spread = alive.select("node", "i", "v", "n", F.posexplode("bands").alias("band", "value")).select("node", "i", "v", "n", _bucket(F.col("band"), F.col("value")).alias("bucket"))
+    own = materialise(groups(nodes.select("node", "fp")).select("node", _bucket(F.lit(BANDS), F.col("bucket")).alias("bucket")), "groups")
+    in_bands = nodes.select("node", "i", F.posexplode("bands").alias("band", "value")).select("node", "i", _bucket(F.col("band"), F.col("value")).alias("bucket"))
+    members = in_bands.unionByName(own.join(nodes.select("node", "i"), "node"))
     # Written first, so that its true size tells how to join: few buckets are shared.
-    shared = materialise(spread.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1").select("bucket"), "shared")
-    live = materialise(spread.join(shared, "bucket", "left_semi"), "buckets")
-    leaders, order = 1, Window.partitionBy("bucket").orderBy("i", "node")
-    while live.limit(1).count():
+    lead = members.groupBy("bucket").agg(F.min(F.struct("i", "node")).alias("x"), F.count("*").alias("held")).where("held > 1")
+    lead = materialise(lead.select("bucket", F.array("x.node").alias("leaders")), "lead")
+    members = in_bands.select("node", "bucket").unionByName(own)
+    gone, leaders = [], 1
+    while True:
+        live = materialise(members.join(lead, "bucket").select("bucket", "node", "leaders"), "live")
+        pairs = live.select(F.col("node").alias("a"), F.explode("leaders").alias("b")).where("a != b").distinct()
+        pairs = materialise(_alike(pairs, nodes), "alike")
+        needed = pairs.select(F.col("ai").alias("i"), F.col("av").alias("v")).union(pairs.select("bi", "bv"))
+        gone.append(materialise(_similar(pairs, _sets(docs, needed, id_col, text_col, shingle)).select(F.col("a").alias("node")).distinct(), "lost"))
+        left = live.where(~F.array_contains("leaders", F.col("node"))).select("bucket", "node").join(gone[-1], "node", "left_anti")
+        left = materialise(left.join(nodes.select("node", "i", "v", "n"), "node"), "left")
+        held = left.groupBy("bucket").agg(F.count("*").alias("held"), F.sum("n").alias("shingles")).where("held > 1")
+        held = materialise(held.select("bucket", ((F.col("held") <= SMALL_ROWS) & (F.col("shingles") <= SMALL_SHINGLES)).alias("small")), "held")
+        small = materialise(left.join(held.where("small"), "bucket", "left_semi"), "small")
+        sets = _sets(docs, small.select("i", "v"), id_col, text_col, shingle)
+        whole = small.select("bucket", "node", "i").join(nodes.select("node", "bands"), "node").join(sets, "node").select("bucket", "node", "i", "bands", "shingles")
+        gone.append(materialise(whole.groupBy("bucket").applyInArrow(_copies_in, "node long").distinct(), "lost"))
+        members = materialise(left.join(held.where("not small"), "bucket", "left_semi").join(gone[-1], "node", "left_anti"), "large")
+        if not members.limit(1).count():
+            break
         # A limit on the rank is applied before the shuffle, so hot buckets send their leaders only.
-        lead = live.withColumn("place", F.row_number().over(order)).where(F.col("place") <= leaders)
-        lead = materialise(lead.select("bucket", _leader().alias("x")).select("bucket", "x.*"), "lead")
-        copies = lost(live.join(lead, "bucket"))
-        left = materialise(live.join(lead.select("bucket", F.col("b").alias("node")), ["bucket", "node"], "left_anti").join(copies, "node", "left_anti"), "left")
-        full = left.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1").select("bucket")
-        live = materialise(left.join(full, "bucket", "left_semi"), "buckets")
         leaders = min(2 * leaders, MOST_LEADERS)
-    heads = nodes.select("node", F.col("i").alias("head"))
-    out = reduce(DataFrame.unionByName, gone, nodes.select("node").where("false")).withColumn("gone", F.lit(True))
-    heads = heads.join(out, "node", "left")
-    heads = materialise(heads, "heads")
+        order = Window.partitionBy("bucket").orderBy("i", "node")
+        lead = materialise(members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= leaders).groupBy("bucket").agg(F.collect_list("node").alias("leaders")), "lead")
+        members = members.select("node", "bucket")
+    out = reduce(DataFrame.unionByName, gone).distinct().withColumn("gone", F.lit(True))
+    heads = materialise(nodes.select("node", F.col("i").alias("head")).join(out, "node", "left"), "heads")
     return prints.select("i", "v", "node").join(heads, "node").where(F.coalesce("gone", F.lit(False)) | (F.col("i") != F.col("head"))).select("i", "v").distinct()
 
 

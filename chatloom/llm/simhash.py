@@ -72,19 +72,29 @@ def _near_cells() -> Column:
     return F.expr(f"array_compact(concat(array(cell), {low}, {high}))")
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Links among distinct fingerprints that differ in two bits or fewer.
+def _met(distinct: DataFrame) -> DataFrame:
+    """Each point that differs in one bit or none from several of the ``distinct`` fingerprints: point, fps.
 
-    ``distinct``: a column fp (long), each value once. Returns pairs (a, b), b < a as signed numbers,
-    enough to connect whatever is linked: at each meeting point all others are tied to the smallest.
-    """
-    cells = distinct.groupBy(_cell(F.col("fp")).alias("cell")).agg(F.count("*").alias("n"))
+    The few bytes of the cells are dealt out before each becomes up to 65 rows, which a size-based plan
+    would leave to one or two tasks."""
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = distinct.groupBy(_cell(F.col("fp")).alias("cell")).agg(F.count("*").alias("n")).repartition(tasks, "cell")
     met = cells.withColumn("point", F.explode(_near_cells())).groupBy("point").agg(F.collect_list("cell").alias("cells"), F.sum("n").alias("n"))
     live = met.where(F.col("n") > 1).select(F.explode("cells").alias("cell")).distinct()
     kept = distinct.withColumn("cell", _cell(F.col("fp"))).join(live, "cell", "left_semi").select("fp")
     points = F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")
     groups = kept.withColumn("point", F.explode(points)).groupBy("point").agg(F.collect_list("fp").alias("fps"))
-    near = groups.where(F.size("fps") > 1).select(F.array_min("fps").alias("b"), F.explode("fps").alias("a"))
+    return groups.where(F.size("fps") > 1)
+
+
+def links(distinct: DataFrame) -> DataFrame:
+    """Links among distinct fingerprints that differ in two bits or fewer.
+
+    ``distinct``: a column fp (long), each value once. Returns pairs (a, b), b < a as signed numbers,
+    enough to connect whatever is linked: at each meeting point all others are tied to the smallest.
+    """
+    groups = _met(distinct)
+    near = groups.select(F.array_min("fps").alias("b"), F.explode("fps").alias("a"))
     return near.where(F.col("a") != F.col("b")).select("a", "b").distinct()
 
 
@@ -130,7 +140,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs``, all columns, that are no near copy of a row with a smaller id.
 
     Near copies share four in five or more of their different ``shingle``-word shingles (Jaccard 0.8).
-    The groups of fingerprints that the grid range-join links are candidates, and so are, since that
+    The meeting points of fingerprints that the grid range-join links are candidates, and so are, since that
     similarity leaves some ten of 64 bits different and no grid of fingerprints reaches so far, the
     buckets of MinHash bands (see ``near_copies``); each candidate is verified exactly. Each row goes or
     stays by its own text, also where ids repeat. Null and empty texts are copies of one another; rows
@@ -140,8 +150,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _groups(nodes: DataFrame) -> DataFrame:
-    """node and the bucket of its fingerprint's component, of nodes (node, fp)."""
+    """node and a bucket for its fingerprint and for each point where that meets others, of nodes (node, fp)."""
     distinct = materialise(nodes.select("fp").distinct(), "distinct-fingerprints")
-    root = components(links(distinct)).withColumnRenamed("node", "fp")
-    grouped = nodes.select("node", "fp").join(root, "fp", "left")
-    return grouped.select("node", F.xxhash64(F.lit("component"), F.coalesce("root", "fp")).alias("bucket"))
+    points = materialise(_met(distinct).select("point", F.explode("fps").alias("fp")), "points")
+    return nodes.select("node", F.col("fp").alias("bucket")).unionByName(nodes.join(points, "fp").select("node", F.col("point").alias("bucket")))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 import corpus_pipeline
-from chatloom.llm import simhash
+from chatloom.llm import near_copies, simhash
 
 
 def shingles(text):
@@ -53,6 +55,23 @@ def test_query_table(spark, sf_dir):
     assert not {145, 177} & kept or sf_dir[-5:] != "0.001"
 
 
+@pytest.mark.parametrize("limit", [3, 2048])
+def test_buckets_of_documents_that_are_not_similar(spark, monkeypatch, limit):
+    """Compared by one task, and by leaders; rows that are repeated stay as often as they are there."""
+    monkeypatch.setattr(near_copies, "SMALL_ROWS", limit)
+    r = random.Random(3)
+    text, rows = [f"w{r.randint(0, 3000)}" for _ in range(200)], []
+    for i in range(40):  # each differs from the common text in 5 to 60 of 196 shingles
+        words = list(text)
+        for at in r.sample(range(0, 200, 10), r.randint(1, 12)):
+            words[at] = f"own{i}-{at}"
+        rows.append((r.randint(0, 10**6), " ".join(words)))
+    got = [x.doc_id for x in simhash.keep_first(spark.createDataFrame(rows * 3, "doc_id long, text string").repartition(5)).collect()]
+    check(rows, set(got))
+    assert sorted(got) == sorted(3 * list(set(got)))
+    assert 1 < len(set(got)) < 40
+
+
 def test_many_leaders_in_a_bucket(spark):
     """Chains of texts that drift apart: buckets of many documents that are not all similar."""
     r = random.Random(2)
