@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -226,7 +227,18 @@ def near_copies(docs: DataFrame, groups: Callable[[DataFrame], DataFrame], id_co
 
 
 def keep_first(docs: DataFrame, groups: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs``, all columns, that are no near copy of a row with a smaller id."""
+    """The rows of ``docs``, all columns, that are no near copy of a row with a smaller id.
+
+    A bitmap of fixed size tells which rows may be gone; only these are joined, so the texts of the
+    others are not shuffled. A fuller one only lets more rows into the join.
+    """
     gone = materialise(near_copies(docs, groups, id_col, text_col, shingle), "near-copies")
+    mask = F.lit(FILTER_BITS - 1)
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(gone.select(F.xxhash64("i", "v").bitwiseAND(mask).alias("bit")), FILTER_BITS))
+
+    def set_at(at: pd.Series) -> pd.Series:
+        return pd.Series((bits.value[at.to_numpy() >> 3] >> (at.to_numpy() & 7).astype(np.uint8) & 1).astype(bool))
+
+    maybe = F.pandas_udf(set_at, "boolean")(F.xxhash64(docs[id_col], F.xxhash64(docs[text_col])).bitwiseAND(mask))
     match = (docs[id_col] == gone["i"]) & (F.xxhash64(docs[text_col]) == gone["v"])
-    return docs.join(gone, match, "left_anti").select(docs.columns)
+    return docs.where(~maybe).union(docs.where(maybe).join(gone, match, "left_anti").select(docs.columns))
