@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_search, byte_bpe, decontaminate, hard_negatives, html_extract, lm_score, pii, quality, simhash, substring_dedup, token_store, url_filter
+from . import ann_search, byte_bpe, collocations, decontaminate, hard_negatives, html_extract, lm_score, pii, quality, simhash, substring_dedup, token_store, url_filter
 from .common import new_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,35 @@ n AS (SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS p
       FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> p.own AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
 SELECT anchor_id, positive_id, CAST(r AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE r <= 10
 """
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_collocations"] = r"""
+WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+parts AS (SELECT d, lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM docs),
+pieces AS (SELECT row_number() OVER () AS i, lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM parts),
+words AS (SELECT i, lang, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS pos FROM pieces),
+total AS (SELECT lang, count(*) AS n FROM words GROUP BY 1),
+one AS (SELECT lang, [w] AS ws, count(*) AS a FROM words GROUP BY lang, w HAVING count(*) >= 100),
+seen AS (SELECT words.*, one.a IS NOT NULL AS ok FROM words LEFT JOIN one ON one.lang = words.lang AND one.ws = [words.w]),
+runs AS (SELECT lang, w AS w1, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4, lead(w, 4) OVER o AS w5,
+                ok AS k1, lead(ok, 1) OVER o AS k2, lead(ok, 2) OVER o AS k3, lead(ok, 3) OVER o AS k4, lead(ok, 4) OVER o AS k5 FROM seen WINDOW o AS (PARTITION BY i ORDER BY pos)),
+f AS (SELECT lang, [w1, w2] AS ws, count(*) AS a FROM runs WHERE k1 AND k2 GROUP BY ALL HAVING count(*) >= 100
+      UNION ALL SELECT lang, [w1, w2, w3], count(*) FROM runs WHERE k1 AND k2 AND k3 GROUP BY ALL HAVING count(*) >= 100
+      UNION ALL SELECT lang, [w1, w2, w3, w4], count(*) FROM runs WHERE k1 AND k2 AND k3 AND k4 GROUP BY ALL HAVING count(*) >= 100
+      UNION ALL SELECT lang, [w1, w2, w3, w4, w5], count(*) FROM runs WHERE k1 AND k2 AND k3 AND k4 AND k5 GROUP BY ALL HAVING count(*) >= 100),
+known AS (SELECT * FROM one UNION ALL SELECT * FROM f),
+cut AS (SELECT lang, ws, a, unnest(range(1, len(ws))) AS k FROM f),
+scored AS (SELECT c.lang, c.ws, c.a, c.k, l.a AS l, r.a AS r, n, (1000::HUGEINT * c.a * n) // (l.a::HUGEINT * r.a) AS score
+           FROM cut c JOIN known l ON l.lang = c.lang AND l.ws = c.ws[:c.k] JOIN known r ON r.lang = c.lang AND r.ws = c.ws[c.k + 1:] JOIN total ON total.lang = c.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
+inner_at AS (SELECT lang, ws, a, unnest(range(2, len(ws))) AS m FROM f),
+inner_of AS (SELECT lang, ws[s:s + m - 1] AS ws, max(a) AS most FROM (SELECT *, unnest(range(1, len(ws) - m + 2)) AS s FROM inner_at) GROUP BY ALL),
+kept AS (SELECT best.*, array_to_string(best.ws, ' ') AS phrase FROM best LEFT JOIN inner_of q ON q.lang = best.lang AND q.ws = best.ws WHERE q.most IS NULL OR 100 * q.most < 100 * best.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
