@@ -56,7 +56,8 @@ def codebook(seen: np.ndarray, size: int) -> np.ndarray:
 
 
 def nearest(half: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return ((words * words).sum(1) - 2 * (half @ words.T)).argmin(1)
+    with np.errstate(over="ignore", invalid="ignore"):  # for vast values any cell will do
+        return ((words * words).sum(1) - 2 * (half @ words.T)).argmin(1)
 
 
 def descending(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[float, int, int]]:
