@@ -180,78 +180,89 @@ def encode(docs: DataFrame, vocabulary: DataFrame, count: int, size: int = SHARD
 
 
 class Trie:
-    """Double array over word numbers of phrases (rows of ``phrases``) of one length.
+    """Double array over the words of phrases (rows of ``phrases``) of one length.
 
-    States are slots: from state s the word c leads to slot base[s] + c, if check has s there. ``number``
-    gives the row of the phrase that ends in a state.
+    States are slots: from state s the symbol c leads to slot base[s] + c, if check has s there. ``number``
+    gives the row of the phrase that ends in a state. A word is ``digits`` symbols, the digits of its
+    place among the trie's words, so that the slots of a state's children lie within ``WIDTH`` of each other and
+    the array stays within a small multiple of the states.
     """
 
+    WIDTH = 1 << 10
+
     def __init__(self, phrases: np.ndarray):
-        self.length = phrases.shape[1]
-        self.words, codes = np.unique(phrases, return_inverse=True)
-        codes = codes.reshape(phrases.shape) + 1
+        self.size, self.length = phrases.shape
+        self.words, place = np.unique(phrases, return_inverse=True)
+        self.digits = max(1, -(-int(len(self.words)).bit_length() // 10))
+        codes = self._symbols(place.reshape(phrases.shape)).reshape(self.size, -1)
         order = np.lexsort(codes.T[::-1])
-        codes = codes[order]
-        self.width = width = len(self.words) + 1
-        # The root is slot 0; its children start at ``width``, so that no base is below zero.
-        free = np.ones(4 * width + 4 * len(codes) + 1, bool)
+        codes, width = codes[order], self.WIDTH
+        # The root is slot 0; no base is below zero, as all others start at ``width``.
+        free = np.ones(8 * width, bool)
         free[:width] = False
-        self.base, self.check = np.zeros(len(free), np.int32), np.full(len(free), -1, np.int32)
-        state = np.zeros(len(codes), np.int64)
-        for level in range(self.length):
-            # phrases of one prefix stand together; a child is where prefix and next word are new
+        parents, bases, taken = [], [], []
+        state, low, top = np.zeros(self.size, np.int64), width, width
+        for level in range(codes.shape[1]):
+            # phrases of one prefix stand together; a child is where prefix and next symbol are new
             fresh = np.r_[True, (codes[1:, : level + 1] != codes[:-1, : level + 1]).any(1)]
             child = np.flatnonzero(fresh)
-            parent, word = state[child], codes[child, level]
+            parent, symbol = state[child], codes[child, level]
             first = np.flatnonzero(np.r_[True, parent[1:] != parent[:-1]])
             many = np.diff(np.r_[first, len(parent)])
             base = np.zeros(len(first), np.int64)
             for at in np.argsort(-many, kind="stable"):
                 if many[at] == 1:
                     break
-                free = self._room(free)
-                base[at] = self._place(free, word[first[at] : first[at] + many[at]], width) if level else width - 1
-                free[base[at] + word[first[at] : first[at] + many[at]]] = False
+                if len(free) < max(low, top) + 8 * width:
+                    free = np.r_[free, np.ones(len(free), bool)]
+                mine = symbol[first[at] : first[at] + many[at]]
+                base[at], low = self._place(free, mine, low, top)
+                free[base[at] + mine] = False
+                top = max(top, int(base[at] + mine[-1]) + 1)
             single = np.flatnonzero(many == 1)
-            while len(slots := np.flatnonzero(free[: len(free) - width])[: len(single)]) < len(single):
-                free = self._room(free, len(free))
-            base[single] = slots - word[first[single]]
+            free = np.r_[free, np.ones(len(single), bool)]
+            slots = np.flatnonzero(free)[: len(single)]
+            base[single] = slots - symbol[first[single]]
             free[slots] = False
-            slot = np.repeat(base, many) + word
-            self.base[parent], self.check[slot] = np.repeat(base, many), parent
+            top = max(top, int(slots.max(initial=0)) + 1)
+            slot = np.repeat(base, many) + symbol
+            parents, bases, taken = [*parents, parent], [*bases, np.repeat(base, many)], [*taken, slot]
             state = slot[np.cumsum(fresh) - 1]
-        self.number = np.zeros(len(self.base), np.int32)
+        self.base, self.check, self.number = np.zeros(top + width, np.int32), np.full(top + width, -1, np.int32), np.zeros(top + width, np.int32)
+        self.base[np.concatenate(parents)], self.check[np.concatenate(taken)] = np.concatenate(bases), np.concatenate(parents)
         self.number[state] = order
-        self.size = len(phrases)
-
-    def _room(self, free: np.ndarray, more: int = 0) -> np.ndarray:
-        """Keeps ``width`` slots free at the end."""
-        if more or not free[-2 * self.width :].all():
-            more = max(more, 4 * self.width)
-            free = np.r_[free, np.ones(more, bool)]
-            self.base, self.check = np.r_[self.base, np.zeros(more, np.int32)], np.r_[self.check, np.full(more, -1, np.int32)]
-        return free
-
-    @staticmethod
-    def _place(free: np.ndarray, words: np.ndarray, width: int) -> int:
-        """A base at which the slots of all ``words`` are free: the first of some tried, or beyond all that are taken."""
-        slots = np.flatnonzero(free[width:-width])[:256] + width
-        tried = slots - words[0]
-        fits = np.flatnonzero(free[tried[:, None] + words].all(1))
-        return int(tried[fits[0]]) if len(fits) else len(free) - 1 - int(np.argmin(free[::-1]))
+
+    def _symbols(self, place: np.ndarray) -> np.ndarray:
+        """The digits of places, each from 0 to ``WIDTH`` - 1, along a new last axis."""
+        return np.stack([place >> (10 * d) & (self.WIDTH - 1) for d in range(self.digits - 1, -1, -1)], -1)
+
+    def _place(self, free: np.ndarray, symbols: np.ndarray, low: int, top: int) -> tuple[int, int]:
+        """A base at which the slots of all ``symbols`` are free, and where to look next: the first that
+        fits of the free slots after ``low``, or beyond all that are taken."""
+        slots = np.flatnonzero(free[low : low + 4 * self.WIDTH]) + low
+        if len(slots) < self.WIDTH // 8:
+            low += self.WIDTH
+        for part in (slots[:64], slots[64:]):
+            tried = part - symbols[0]
+            fits = np.flatnonzero(free[tried[:, None] + symbols].all(1))
+            if len(fits):
+                return int(tried[fits[0]]), low
+        return max(low, top), low
 
     def ends(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in ``codes`` where a phrase starts, and the number of its row."""
         place = np.minimum(np.searchsorted(self.words, codes), len(self.words) - 1)
-        local = np.where(self.words[place] == codes, place + 1, 0)
-        local = np.r_[local, np.zeros(self.length, local.dtype)]
-        at = np.flatnonzero(local)
+        place = np.r_[np.where(self.words[place] == codes, place, -1), np.full(self.length, -1)]
+        symbols = self._symbols(place)
+        at = np.flatnonzero(place >= 0)
         state = np.zeros(len(at), np.int64)
         for level in range(self.length):
-            word = local[at + level]
-            to = self.base[state] + word
-            live = (word > 0) & (self.check[to] == state)
-            at, state = at[live], to[live]
+            live = place[at + level] >= 0
+            at, state = at[live], state[live]
+            for digit in range(self.digits):
+                to = self.base[state] + symbols[at + level, digit]
+                live = self.check[to] == state
+                at, state = at[live], to[live]
         return at, self.number[state]
 
 
