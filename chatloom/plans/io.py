@@ -59,7 +59,7 @@ def s2_read_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ORACLES["s3_write_summaries"])
 def s3_stream_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stream_table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seq"), "role", "text")
-    rolled = p.run_fold(rows, "conv_id", p.RollingMemory(), ["xid", "excerpt", "summary", "branch"])
+    rolled = p.on_time(p.run_fold(rows, "conv_id", p.RollingMemory(), ["xid", "excerpt", "summary", "branch"]))
     path = shared_path(spark, "summary-batches")
     io.stream_summaries(rolled.select("conv_id", "xid", "summary"), path, shared_path(spark, "summary-checkpoint")).awaitTermination()
     return io.read_summary_batches(spark, path)
@@ -183,20 +183,25 @@ def t2_stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("event_id") % 13 == 0, "timeout").when(F.col("event_id") % 17 == 0, "failed").otherwise("ok")
     rows = e.select(F.col("event_id").alias("seq"), F.concat(F.lit("watch "), F.col("user_id").cast("string")).alias("command"), status.alias("status"), F.when(error, 1).otherwise(0).alias("exit_code"), F.col("event_type").alias("stdout"), F.when(error, F.col("props")).otherwise("").alias("stderr"))
     frames = mo.frame_captures(rows).select(monitor_id(F.col("command")).alias("monitor_id"), "seq", "frame")
-    return available_now(p.run_fold(frames, "monitor_id", p.Changes(), ["event_id", "hash", "previous_hash"]), "changes")
+    return available_now(p.on_time(p.run_fold(frames, "monitor_id", p.Changes(), ["event_id", "hash", "previous_hash"])), "changes")
+
+
+def session_log(e: DataFrame) -> DataFrame:
+    """Of events, a session's tokens, polls and ends: sid, seq, kind, value."""
+    kind = F.when(F.col("event_type") == "purchase", "poll").when(F.col("event_type") == "error", "finish").when((F.col("event_type") == "signup") & (kay() < 3), "discard").otherwise("token")
+    return e.select(F.col("user_id").alias("sid"), F.col("event_id").alias("seq"), kind.alias("kind"), F.col("event_id").cast("string").alias("value"))
 
 
 @query(ORACLES["j5_drain_polls"])
 def t3_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.when(F.col("event_type") == "purchase", "poll").when(F.col("event_type") == "error", "finish").when((F.col("event_type") == "signup") & (kay() < 3), "discard").otherwise("token")
-    log = stream_table(spark, sf_dir, "events").select(F.col("user_id").alias("sid"), F.col("event_id").alias("seq"), kind.alias("kind"), F.col("event_id").cast("string").alias("value"))
-    return available_now(p.run_fold(log, "sid", p.Sessions(), ["seq", "tokens", "done", "error"]), "sessions")
+    log = session_log(stream_table(spark, sf_dir, "events"))
+    return available_now(p.on_time(p.run_fold(log, "sid", p.Sessions(), ["seq", "tokens", "done", "error"])), "sessions")
 
 
 @query(ORACLES["w3_rolling_summary"])
 def t4_stream_rolling_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stream_table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seq"), "role", "text")
-    return available_now(p.run_fold(rows, "conv_id", p.RollingMemory(), ["xid", "excerpt", "summary", "branch"]), "memory")
+    return available_now(p.on_time(p.run_fold(rows, "conv_id", p.RollingMemory(), ["xid", "excerpt", "summary", "branch"])), "memory")
 
 
 @query("""SELECT path, seq, mtime, previous_mtime FROM (SELECT user_id AS path, event_id AS seq, CASE WHEN event_type = 'error' THEN 0.0 ELSE floor(value / 100) END AS mtime,
@@ -205,7 +210,7 @@ def t2_stream_file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event is a poll of the file of its user."""
     mtime = F.when(F.col("event_type") != "error", F.floor(F.col("value") / 100).cast("double"))
     polls = stream_table(spark, sf_dir, "events").select(F.col("user_id").alias("path"), F.col("event_id").alias("seq"), mtime.alias("mtime"))
-    return available_now(p.run_fold(polls, "path", p.FileTimes(), ["seq", "mtime", "previous_mtime"]), "file-changes")
+    return available_now(p.on_time(p.run_fold(polls, "path", p.FileTimes(), ["seq", "mtime", "previous_mtime"])), "file-changes")
 
 
 @query(f"""{pm.STORED_SQL}""")
@@ -213,7 +218,7 @@ def t4_stream_from_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every other conversation goes on from a stored summary."""
     stored = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("stored "), F.col("conv_id").cast("string")))
     rows = stream_table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seq"), "role", "text", stored.alias("stored"))
-    return available_now(p.run_fold(rows, "conv_id", p.RollingMemory(), ["xid", "excerpt", "summary", "branch"]), "stored-memory")
+    return available_now(p.on_time(p.run_fold(rows, "conv_id", p.RollingMemory(), ["xid", "excerpt", "summary", "branch"])), "stored-memory")
 
 
 @query(ORACLES["w8_reconcile_loop"])
@@ -235,25 +240,34 @@ def t5_stream_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pw.shown_projects(rows)
 
 
-@query(f"WITH {pt.TAGGED} SELECT turn_id, {pt.THINK_SQL} AS visible FROM tagged")
-def t6_stream_think_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The visible pieces of each answer, put together in order."""
-    rows = stream_table(spark, sf_dir, "conversations").where("role = 'assistant'")
+def answer_chunks(conversations: DataFrame) -> DataFrame:
+    """Answers with thinking in them, in chunks of 16 characters: turn_id, seq, content."""
+    rows = conversations.where("role = 'assistant'")
     n = F.col("conv_id") + F.col("turn")
     closed = F.concat(F.lit("<think>"), F.left("text", F.lit(40)), F.lit("</think>"), F.expr("substr(text, 41)"))
     text = F.when(n % 5 == 0, F.concat("text", F.lit("<th"))).when(n % 3 == 0, F.concat(F.lit("<think>"), "text")).otherwise(closed)
     rows = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), text.alias("text")).withColumn("seq", F.explode(F.sequence(F.lit(0), F.expr("cast(ceil(length(text) / 16.0) AS int) - 1"))))
-    chunks = rows.select("turn_id", F.col("seq").cast("long").alias("seq"), F.expr("substr(text, 16 * seq + 1, 16)").alias("content"))
-    pieces = available_now(p.run_fold(chunks, "turn_id", p.ThinkFilter(), ["seq", "visible"]), "visible")
+    return rows.select("turn_id", F.col("seq").cast("long").alias("seq"), F.expr("substr(text, 16 * seq + 1, 16)").alias("content"))
+
+
+def shown_answers(spark: SparkSession, sf_dir: str, pieces: DataFrame) -> DataFrame:
+    """The visible pieces of each answer, put together in order."""
     shown = pieces.groupBy("turn_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "visible"))), lambda x: x["visible"]), "").alias("visible"))
     return pt.tagged(spark, sf_dir).select("turn_id").join(shown, "turn_id", "left").fillna("", "visible")
 
 
+@query(f"WITH {pt.TAGGED} SELECT turn_id, {pt.THINK_SQL} AS visible FROM tagged")
+def t6_stream_think_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = answer_chunks(stream_table(spark, sf_dir, "conversations"))
+    pieces = available_now(p.on_time(p.run_fold(chunks, "turn_id", p.ThinkFilter(), ["seq", "visible"])), "visible")
+    return shown_answers(spark, sf_dir, pieces)
+
+
 @query("""SELECT user_id AS instance_id, event_id AS iteration, least(n, 50) AS position, CAST(CASE WHEN n > 50 THEN old END AS VARCHAR) AS dropped FROM (
   SELECT user_id, event_id, row_number() OVER w AS n, lag(event_id, 50) OVER w AS old FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))""")
 def t7_stream_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stream_table(spark, sf_dir, "events").select(F.col("user_id").alias("instance_id"), F.col("event_id").alias("seq"))
-    log = available_now(p.run_fold(rows, "instance_id", p.EventLog(), ["iteration", "position", "dropped"]), "event-log")
+    log = available_now(p.on_time(p.run_fold(rows, "instance_id", p.EventLog(), ["iteration", "position", "dropped"])), "event-log")
     return log.withColumn("dropped", F.col("dropped").cast("string"))
 
 

@@ -1,9 +1,21 @@
 """Keyed streaming state: the order-dependent rules of the batch operators, live.
 
 Each processor is a small fold: rows of a key in order of ``seq`` go through ``step`` with the key's
-state, which is kept as one JSON value in Spark's state store (RocksDB). Rows are sorted within a
-micro-batch; a row at or below the last sequence number seen is late, and is dropped. On the same rows the result equals the batch operator's. The reference rules have no event time;
-idle keys can be given a time to live (``ttl_ms``).
+state. On the same rows the result equals the batch operator's, in whatever order they arrive:
+
+* With a ``time`` column and a ``delay`` rows wait in a reorder buffer, a list in Spark's state store (RocksDB).
+  When the watermark passes a row's time, by a batch or by an event-time timer, it is released, in
+  order of seq with all others that are due. ``closing`` ends the input of a stream that is to be run to its end.
+* With ``hold_ms`` rows wait for so long after they came in (processing time).
+* With neither, rows are sorted within a micro-batch and go through at once.
+
+What comes too late, at or below the last seq of its key that went through, changes nothing and is never
+lost: it comes out as a row of its own, with late_seq and late_row (the row as JSON). ``on_time`` and
+``too_late`` separate the two.
+
+State follows new rows: small values are one JSON text a key; tokens and the event log are a list and a map
+in the state store, so a batch writes what it brought, not what there was. Idle keys can be given a time to
+live (``ttl_ms``, without a watermark).
 """
 
 from __future__ import annotations
@@ -12,6 +24,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from types import SimpleNamespace
 from typing import Any
 
 import pandas as pd
@@ -26,6 +39,10 @@ OPEN = "<think>"
 _THOUGHT = re.compile("<think>.*?</think>", re.S)
 _CUT_OPEN, _CUT_CLOSE = (re.compile("(?:" + "|".join(re.escape(tag[:n]) for n in range(len(tag) - 1, 0, -1)) + r")?\Z") for tag in (OPEN, "</think>"))
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+LATE = "late_seq bigint, late_row string"
+#: The time of the row that ends a stream's input.
+END = "9999-01-01 00:00:00"
+_NO_SEQ = -(1 << 63)
 Row = Any
 
 
@@ -35,8 +52,11 @@ class Fold(StatefulProcessor):
     #: Output columns after the key, as DDL.
     columns = ""
 
-    #: All output columns; set by run_fold.
+    #: All output columns, the input's, and whether it has times; set by run_fold.
     names: tuple[str, ...] = ()
+    fields: tuple[str, ...] = ()
+    timed = False
+    hold_ms: int | None = None
 
     def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
@@ -47,34 +67,145 @@ class Fold(StatefulProcessor):
     def step(self, state: dict, row: Row) -> Iterator[tuple]:
         raise NotImplementedError
 
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        """Further state of a fold."""
+
+    def save(self, state: dict) -> None:
+        """Called after a key's rows: writes what ``step`` has gathered for further state."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.value = handle.getValueState("state", StructType([StructField("json", StringType())]), self.ttl_ms)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        state = json.loads(self.value.get()[0]) if self.value.exists() else {"last": None, "x": self.start()}
-        out = []
-        for row in pd.concat(rows).sort_values("seq", kind="stable").itertuples(index=False):
-            if state["last"] is not None and row.seq <= state["last"]:
+        if self.timed or self.hold_ms is not None:
+            self.buffer = handle.getListState("buffer", "seq bigint, at bigint, row string", self.ttl_ms)
+        self.open(handle)
+
+    def _load(self) -> dict:
+        held = json.loads(self.value.get()[0]) if self.value.exists() else {"last": None, "x": self.start()}
+        return {"low": None, "timer": None} | held
+
+    def _limit(self, now: Any) -> int:
+        """Rows with times up to here are due."""
+        return now.getCurrentWatermarkInMs() if self.timed else now.getCurrentProcessingTimeInMs() - self.hold_ms
+
+    def _late(self, key: Any, seq: int, row: str) -> tuple:
+        return (*key, *[None] * (len(self.names) - len(key) - 2), None if seq == _NO_SEQ else seq, row)
+
+    def _through(self, key: Any, state: dict, rows: list[tuple[int, str]]) -> Iterator[tuple]:
+        """``rows`` (seq, JSON) through the fold in order."""
+        for seq, row in sorted(rows, key=lambda r: r[0]):
+            if state["last"] is not None and seq <= state["last"]:
+                yield self._late(key, seq, row)
                 continue
-            state["last"] = int(row.seq)
-            out += [(*key, *x) for x in self.step(state["x"], row)]
+            state["last"] = seq
+            values = SimpleNamespace(**dict.fromkeys(self.fields) | json.loads(row), seq=seq)
+            for x in self.step(state["x"], values):
+                yield (*key, *x, None, None)
+
+    def _release(self, key: Any, state: dict, now: Any) -> Iterator[tuple]:
+        limit = self._limit(now)
+        if state["low"] is None or state["low"] > limit:
+            return
+        held = [tuple(row) for row in self.buffer.get()]
+        # Whatever comes before a row that is due goes with it.
+        upto = max(row[0] for row in held if row[1] <= limit)
+        due, rest = [row for row in held if row[0] <= upto], [row for row in held if row[0] > upto]
+        self.buffer.put(rest) if rest else self.buffer.clear()
+        state["low"] = min((r[1] for r in rest), default=None)
+        yield from self._through(key, state, [(int(r[0]), r[2]) for r in due])
+
+    def _close(self, state: dict, out: list[tuple]) -> Iterator[pd.DataFrame]:
+        """Sets the timer for what waits longest, and writes the state."""
+        wanted = None if state["low"] is None else state["low"] + (0 if self.timed else self.hold_ms)
+        if wanted != state["timer"]:
+            if state["timer"] is not None:
+                self.handle.deleteTimer(state["timer"])
+            if wanted is not None:
+                self.handle.registerTimer(wanted)
+            state["timer"] = wanted
+        self.save(state["x"])
         self.value.update((json.dumps(state),))
         if out:
             yield pd.DataFrame(out, columns=self.names, dtype=object)
 
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        state = self._load()
+        waits, now = self.timed or self.hold_ms is not None, 0 if self.timed or self.hold_ms is None else timerValues.getCurrentProcessingTimeInMs()
+        out, fresh = [], []
+        for batch in rows:
+            new = []
+            times = batch["at_ms"] if self.timed else [now] * len(batch)
+            for seq, at, row in zip(batch["seq"], times, batch["row_json"], strict=True):
+                if seq == _NO_SEQ or (state["last"] is not None and seq <= state["last"]):
+                    out.append(self._late(key, int(seq), row))
+                else:
+                    new.append((int(seq), int(at), row))
+            if waits and new:
+                self.buffer.appendList(new)
+                low = min(r[1] for r in new)
+                state["low"] = low if state["low"] is None else min(state["low"], low)
+            elif new:
+                fresh += [(r[0], r[2]) for r in new]
+        out += self._release(key, state, timerValues) if waits else self._through(key, state, fresh)
+        yield from self._close(state, out)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        state = self._load()
+        state["timer"] = None  # it has gone off
+        yield from self._close(state, list(self._release(key, state, timerValues)))
+
     def close(self) -> None:
         pass
 
 
-def run_fold(df: DataFrame, key: str, fold: Fold, names: list[str]) -> DataFrame:
-    """The fold over ``df`` (a stream or a table with key and seq), with output columns key, ``names``…"""
-    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+def _marked(df: DataFrame, time: str, delay: str) -> DataFrame:
+    """``df`` with a watermark. The end's row moves it and goes; the caller leaves the time itself out, so
+    that Spark drops no late rows."""
+    df = df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
+    return df.where(F.coalesce(F.col(time) < F.lit(END).cast("timestamp"), F.lit(True)))
+
+
+def run_fold(df: DataFrame, key: str, fold: Fold, names: list[str], time: str | None = None, delay: str | None = None, hold_ms: int | None = None) -> DataFrame:
+    """The fold over ``df`` (a stream or a table with key and seq): key, ``names``…, late_seq, late_row.
+
+    ``time``, a timestamp that does not fall as seq rises, with ``delay``, the most that a row may lag
+    behind the latest of the stream; or ``hold_ms``; or neither (see the module's text). A row whose seq is null has no
+    place in the order and comes out as late.
+    """
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     kind = df.schema[key].dataType.simpleString()
-    mode = "ProcessingTime" if fold.ttl_ms else "None"
-    fold.names = (key, *(c.split()[0] for c in fold.columns.split(", ")))
-    out = df.groupBy(key).transformWithStateInPandas(fold, f"`{key}` {kind}, {fold.columns}", "Append", mode)
-    return out.toDF(key, *names)
+    fold.fields = tuple(c for c in df.columns if c not in (key, "seq", time))
+    fold.timed, fold.hold_ms = time is not None, hold_ms
+    if fold.timed and (delay is None or hold_ms is not None or fold.ttl_ms):
+        raise ValueError("a time needs a delay, and neither hold_ms nor ttl_ms")
+    fold.names = (key, *(c.split()[0] for c in fold.columns.split(", ")), "late_seq", "late_row")
+    row = F.to_json(F.struct(*fold.fields)) if fold.fields else F.lit("{}")
+    columns = [F.col(key), F.coalesce("seq", F.lit(_NO_SEQ)).cast("long").alias("seq"), row.alias("row_json")]
+    mode = "ProcessingTime" if fold.ttl_ms or hold_ms is not None else "None"
+    if fold.timed:
+        mode = "EventTime"
+        df = _marked(df, time, delay)
+        columns.append(F.coalesce(F.unix_millis(F.col(time).cast("timestamp")), F.lit(0)).alias("at_ms"))
+    out = df.select(*columns).groupBy(key).transformWithStateInPandas(fold, f"`{key}` {kind}, {fold.columns}, {LATE}", "Append", mode)
+    return out.toDF(key, *names, "late_seq", "late_row")
+
+
+def on_time(out: DataFrame) -> DataFrame:
+    """The results of a fold."""
+    return out.where("late_row IS NULL").drop("late_seq", "late_row")
+
+
+def too_late(out: DataFrame) -> DataFrame:
+    """The rows that came too late: key, late_seq, late_row."""
+    return out.where("late_row IS NOT NULL").select(out.columns[0], "late_seq", "late_row")
+
+
+def closing(stream: DataFrame, time: str, folder: str) -> DataFrame:
+    """``stream`` with the rows of a folder that is empty until ``runs.close_input`` puts the one row there that
+    moves the watermark past all others."""
+    end = stream.sparkSession.readStream.schema(f"{time} timestamp").parquet(folder)
+    return stream.unionByName(end, allowMissingColumns=True)
 
 
 class Changes(Fold):
@@ -87,7 +218,7 @@ class Changes(Fold):
             now, before = hashlib.sha256(row.frame.encode()).hexdigest(), state.get("hash")
             state["hash"] = now
             if before is not None and before != now:
-                yield int(row.seq), now, before
+                yield row.seq, now, before
 
 
 class Sessions(Fold):
@@ -96,17 +227,35 @@ class Sessions(Fold):
     columns = "seq bigint, tokens string, done string, error string"
 
     def start(self) -> dict:
-        return {"tokens": [], "done": False, "error": None, "gone": False}
+        return {"stored": False, "done": False, "error": None, "gone": False}
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.tokens = handle.getListState("tokens", "token string", self.ttl_ms)
+        self.fresh: list[str] = []
+
+    def save(self, state: dict) -> None:
+        """Tokens that no poll has taken join those in the store."""
+        if self.fresh:
+            self.tokens.appendList([(t,) for t in self.fresh])
+            state["stored"] = True
+        self.fresh = []
+
+    def _taken(self, state: dict) -> list[str]:
+        stored = [t for (t,) in self.tokens.get()] if state["stored"] else []
+        if state["stored"]:
+            self.tokens.clear()
+        stored, self.fresh, state["stored"] = stored + self.fresh, [], False
+        return stored
 
     def step(self, state: dict, row: Row) -> Iterator[tuple]:
         if row.kind == "poll":
-            yield (int(row.seq), None, None, None) if state["gone"] else (int(row.seq), ",".join(state["tokens"]), str(state["done"]).lower(), state["error"])
-            state["tokens"] = []
+            yield (row.seq, None, None, None) if state["gone"] else (row.seq, ",".join(t for t in self._taken(state) if t is not None), str(state["done"]).lower(), state["error"])
         elif row.kind == "discard":
-            state |= {"gone": True, "tokens": []}
+            self._taken(state)
+            state["gone"] = True
         elif not state["gone"]:
             if row.kind == "token":
-                state["tokens"].append(row.value)
+                self.fresh.append(row.value)
             elif row.kind == "finish":
                 state |= {"done": True, "error": row.value}
 
@@ -174,10 +323,11 @@ class FileTimes(Fold):
     columns = "seq bigint, mtime double, previous_mtime double"
 
     def step(self, state: dict, row: Row) -> Iterator[tuple]:
-        now, before = 0.0 if row.mtime is None or row.mtime != row.mtime else float(row.mtime), state.get("mtime")
+        now, before = float(row.mtime or 0), state.get("mtime")
+        now = 0.0 if now != now else now
         state["mtime"] = now
         if before is not None and before != now:
-            yield int(row.seq), now, before
+            yield row.seq, now, before
 
 
 class LoopStates(Fold):
@@ -201,7 +351,7 @@ class LoopStates(Fold):
             if now["terminated"]:
                 state["ended"], state["reason"] = True, state["reason"] or now["termination_reason"]
             now |= state["plan"] | {"iterations": state["floor"], "terminated": state["ended"], "termination_reason": state["reason"]}
-        yield int(row.seq), json.dumps(now)
+        yield row.seq, json.dumps(now)
 
 
 class ProjectStates(Fold):
@@ -222,15 +372,17 @@ class ProjectStates(Fold):
             state["done"] = [i for i, _ in state["tasks"] if i in fresh or i in state["done"]]
             state["log"] = max(state["log"], now.get("log") or [], key=len)
             now |= state["plan"] | {"log": state["log"], "tasks": [{"id": i, "title": title, "done": i in state["done"]} for i, title in state["tasks"]]}
-        yield int(row.seq), json.dumps(now)
+        yield row.seq, json.dumps(now)
 
 
-def stream_states(states: DataFrame, fold: Fold) -> DataFrame:
+def stream_states(states: DataFrame, fold: Fold, **order: Any) -> DataFrame:
     """A stream of normalised states (instance_id, seq and the fields of the batch operator) reconciled
-    live by ``LoopStates`` or ``ProjectStates``: the same columns."""
-    fields = [f for f in states.schema.fields if f.name not in ("instance_id", "seq")]
-    packed = states.select("instance_id", "seq", F.to_json(F.struct(*(f.name for f in fields))).alias("state"))
-    out = run_fold(packed, "instance_id", fold, ["seq", "state"])
+    live by ``LoopStates`` or ``ProjectStates``: the same columns. ``order``: time, delay or hold_ms, as in
+    ``run_fold``."""
+    fields = [f for f in states.schema.fields if f.name not in ("instance_id", "seq", order.get("time"))]
+    times = [order["time"]] if order.get("time") else []
+    packed = states.select("instance_id", "seq", *times, F.to_json(F.struct(*(f.name for f in fields))).alias("state"))
+    out = on_time(run_fold(packed, "instance_id", fold, ["seq", "state"], **order))
     back = F.from_json("state", StructType(fields)).alias("s")
     return out.select("instance_id", "seq", back).select("instance_id", "seq", "s.*")
 
@@ -254,65 +406,91 @@ class ThinkFilter(Fold):
         state["pending"] = opened + tail
         shown.append(outside if opened else outside.removesuffix(tail))
         if visible := "".join(shown):
-            yield int(row.seq), visible
+            yield row.seq, visible
 
 
 class EventLog(Fold):
-    """The last 50 iterations: for each new one its position, and the one that it pushes out."""
+    """The last 50 iterations: for each new one its position, and the one that it pushes out.
+
+    The log is a ring in the state store: iteration n stands in slot n modulo 50."""
 
     columns = "iteration bigint, position bigint, dropped bigint"
     kept = 50
 
     def start(self) -> dict:
-        return {"log": []}
+        return {"n": 0}
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.ring = handle.getMapState("ring", "slot int", "seq bigint", self.ttl_ms)
+        self.fresh: dict[int, int] = {}
+
+    def save(self, state: dict) -> None:
+        for slot, seq in self.fresh.items():
+            self.ring.updateValue((slot,), (seq,))
+        self.fresh = {}
 
     def step(self, state: dict, row: Row) -> Iterator[tuple]:
-        log = state["log"]
-        log.append(int(row.seq))
-        dropped = log.pop(0) if len(log) > self.kept else None
-        yield int(row.seq), len(log), dropped
+        slot, dropped = state["n"] % self.kept, None
+        if state["n"] >= self.kept:
+            dropped = self.fresh[slot] if slot in self.fresh else int(self.ring.getValue((slot,))[0])
+        self.fresh[slot] = row.seq
+        state["n"] += 1
+        yield row.seq, min(state["n"], self.kept), dropped
 
 
 class Schedules(StatefulProcessor):
-    """Fires each schedule (key id; submitted, due) once: at its time by a timer, or at once if that was
-    past when it came in. A repeated id changes nothing."""
+    """Fires each schedule (key id; submitted_us, due_us) once: at its time by a timer, or at once if that was
+    past when it came in. A repeated id changes nothing. Times are microseconds since 1970, so no zone
+    touches them here."""
+
+    columns = "due_us bigint, fire_us bigint"
 
-    columns = "due timestamp, fire_ts timestamp"
+    def __init__(self, timed: bool = False):
+        self.timed = timed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.value = handle.getValueState("due", StructType([StructField("due", LongType()), StructField("fired", LongType())]))
+        self.value = handle.getValueState("due", StructType([StructField("due", LongType()), StructField("submitted", LongType()), StructField("fired", LongType())]))
+
+    def _now(self, timerValues: Any) -> int:
+        return timerValues.getCurrentWatermarkInMs() if self.timed else timerValues.getCurrentProcessingTimeInMs()
 
     def _fire(self, key: Any, due: int, at: int) -> pd.DataFrame:
-        self.value.update((due, at))
-        return pd.DataFrame({"id": [key[0]], "due": [pd.Timestamp(due, unit="us")], "fire_ts": [pd.Timestamp(at, unit="us")]})
+        self.value.update((due, None, at))
+        return pd.DataFrame({"id": [key[0]], "due_us": [due], "fire_us": [at]})
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         first = next((r for batch in rows for r in batch.itertuples(index=False)), None)
         if first is None or self.value.exists():
             return
-        now = timerValues.getCurrentProcessingTimeInMs()
-        if first.due_us <= now * 1000:
-            yield self._fire(key, first.due_us, max(first.due_us, first.submitted_us))
+        due, submitted = int(first.due_us), int(first.submitted_us)
+        if due <= self._now(timerValues) * 1000:
+            yield self._fire(key, due, max(due, submitted))
         else:
-            self.value.update((first.due_us, None))
-            self.handle.registerTimer(-(-first.due_us // 1000))
+            self.value.update((due, submitted, None))
+            self.handle.registerTimer(-(-due // 1000))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        due = int(self.value.get()[0])
-        yield self._fire(key, due, due)
+        due, submitted, _ = self.value.get()
+        yield self._fire(key, int(due), max(int(due), int(submitted)))
 
     def close(self) -> None:
         pass
 
 
-def stream_schedules(schedules: DataFrame) -> DataFrame:
+def stream_schedules(schedules: DataFrame, time: str | None = None, delay: str = "0 seconds") -> DataFrame:
     """A stream of schedules (id, submitted, due) as a stream of those that fire: id, due, fire_ts.
 
     What is pending is state with a timer, so a schedule fires when its time comes, also after the last
-    row of input, as long as the stream runs; nothing is read again.
+    row of input, as long as the stream runs; nothing is read again. That time is the machine's, or, with a
+    column ``time`` (such as submitted) and a ``delay``, the stream's own: schedules fire as the watermark
+    passes them, the same in a replay as live. A null submitted counts as long past.
     """
     schedules.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    rows = schedules.where("due IS NOT NULL").select("id", *(F.unix_micros(F.col(c).cast("timestamp")).alias(f"{c}_us") for c in ("due", "submitted")))
+    if time is not None:
+        schedules = _marked(schedules, time, delay)
+    micros = (F.coalesce(F.unix_micros(F.col(c).cast("timestamp")), F.lit(0)).alias(f"{c}_us") for c in ("due", "submitted"))
+    rows = schedules.where("due IS NOT NULL").select("id", *micros)
     kind = schedules.schema["id"].dataType.simpleString()
-    return rows.groupBy("id").transformWithStateInPandas(Schedules(), f"id {kind}, {Schedules.columns}", "Append", "ProcessingTime")
+    fired = rows.groupBy("id").transformWithStateInPandas(Schedules(time is not None), f"id {kind}, {Schedules.columns}", "Append", "EventTime" if time is not None else "ProcessingTime")
+    return fired.select("id", F.timestamp_micros("due_us").alias("due"), F.timestamp_micros("fire_us").alias("fire_ts"))

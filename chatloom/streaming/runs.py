@@ -7,6 +7,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chatloom.streaming.processors import END, closing
 
 _own_dir: str | None = None
 
@@ -55,3 +58,32 @@ def until_idle(stream: DataFrame, name: str) -> DataFrame:
     finally:
         run.stop()
     return spark.read.schema(stream.schema).parquet(out)
+
+
+def end_folder(spark: SparkSession, name: str, time: str) -> str:
+    """A new folder for ``processors.closing``, without rows."""
+    path = shared_path(spark, f"{name}-end")
+    spark.createDataFrame([], f"{time} timestamp").write.parquet(path)
+    return path
+
+
+def close_input(spark: SparkSession, folder: str, time: str) -> None:
+    """Puts the row into the folder that ends the input: the watermark passes all rows, and what waits is released."""
+    spark.range(1).select(F.lit(END).cast("timestamp").alias(time)).write.mode("append").parquet(folder)
+
+
+def run_to_end(make, stream: DataFrame, time: str, name: str) -> DataFrame:
+    """The whole result of ``make(stream)``, a fold with the given ``time``, over what the stream's source holds.
+
+    One run takes in all there is, in micro-batches; then the input is closed, and a second run from the same
+    checkpoint releases what was waiting."""
+    spark = stream.sparkSession
+    end = end_folder(spark, name, time)
+    result = make(closing(stream, time, end))
+    out, checkpoint = shared_path(spark, name), shared_path(spark, f"{name}-checkpoint")
+    for closed in (False, True):
+        if closed:
+            close_input(spark, end, time)
+        run = result.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        run.awaitTermination()
+    return spark.read.schema(result.schema).parquet(out)
