@@ -90,14 +90,18 @@ def call_tools(calls: DataFrame, tools: dict[str, Callable[..., str]]) -> DataFr
     return calls.withColumn("result", F.when(known, wrapped("name", F.when(known, F.col("arguments")))).otherwise(missing))
 
 
-def captured(sources: DataFrame, capture_fn: Callable[[str], str | None], key: str = "command") -> DataFrame:
-    """Frames of a custom capture function; rows whose capture is None or fails are skipped."""
+def captured(sources: DataFrame, capture_fn: Callable[..., str | None], key: str = "command", *more: str) -> DataFrame:
+    """Frames of a custom capture function of the columns key, ``more``…; rows whose capture is None or
+    fails are skipped."""
     inner = _per_row(capture_fn, lambda _: None)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield from inner(batches)
 
-    rows = sources.withColumn("stdout", F.pandas_udf(run, "string")(key)).where("stdout IS NOT NULL")
+    def run_more(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        yield from inner(batches)
+
+    rows = sources.withColumn("stdout", F.pandas_udf(run_more if more else run, "string")(key, *more)).where("stdout IS NOT NULL")
     return frame_captures(rows.withColumns({"exit_code": F.lit(0), "stderr": F.lit("")}))
 
 
