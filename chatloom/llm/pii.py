@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bitmap, materialise, pieces
@@ -240,22 +240,29 @@ def _lower_bound(p, n):
 def disclosing_spans(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Spans that the method adds: i, v (hash of the text), added (array of start, kind, end).
 
-    ``scanned`` is what ``scan`` made of ``docs``. Corpus counts are taken of the words that were seen
-    near some entity; counts of a task's piece are summed before they are shuffled. The tables of
-    entities and terms are broadcast only below Spark's size threshold.
+    ``scanned`` is what ``scan`` made of ``docs``. A word occurs at least as often as it was seen near
+    entities, and its share of an entity's information falls with that number; words whose share cannot reach
+    the threshold even so, such as those near many entities, are left out before the corpus is counted.
+    Counts of a task's piece are summed before they are shuffled. The tables of entities and terms are
+    broadcast only below Spark's size threshold.
     """
     near = scanned.where(F.size("near") > 0).select("i", "v", F.explode("near").alias("x")).select("i", "v", "x.*")
     contexts = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts"))
     joint = near.groupBy("entity", "term").agg(F.count("*").alias("joint"))
-    pairs = materialise(contexts.join(joint, ["entity", "term"]), "pairs")
-    terms = materialise(pairs.select("term").distinct(), "terms")
-    counted = _term_counts(docs, terms, text_col)
+    seen = near.select("term", "i", "v", "start").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
     entities = scanned.where(F.size("found") > 0).select(F.explode("found.entity").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     total = scanned.agg(F.sum("words")).first()[0] or 1
     content = -F.log2(F.col("n_entity") / F.lit(float(max(total, 2))))
-    rate = F.least(F.col("joint") / F.col("n_term"), F.lit(1.0))
-    share = 1 + F.log2(_lower_bound(rate, F.col("contexts") / rate)) / content
-    telling = pairs.join(counted, "term").join(entities, "entity").withColumn("share", share).where(F.col("share") >= GENERALISE_AT)
+
+    def share(occurrences: str) -> Column:
+        rate = F.least(F.col("joint") / F.col(occurrences), F.lit(1.0))
+        return 1 + F.log2(_lower_bound(rate, F.col("contexts") / rate)) / content
+
+    possible = contexts.join(joint, ["entity", "term"]).join(seen, "term").join(entities, "entity").where(share("n_near") >= GENERALISE_AT - 1e-9)
+    pairs = materialise(possible.drop("n_near"), "pairs")
+    terms = materialise(pairs.select("term").distinct(), "terms")
+    counted = _term_counts(docs, terms, text_col)
+    telling = pairs.join(counted, "term").withColumn("share", share("n_term")).where(F.col("share") >= GENERALISE_AT)
     kind = F.when(F.col("share") >= REMOVE_AT, "term_removed").otherwise("term_generalised")
     telling = materialise(telling.groupBy("term").agg(F.max(kind).alias("kind")), "telling")
     marked = occurrences(docs, telling, id_col, text_col).groupBy("i", "v", "start", "end").agg(F.max("kind").alias("kind"))
