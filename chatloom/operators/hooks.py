@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,30 +21,37 @@ def merged_summaries(excerpts: DataFrame, merge_fn: Callable[[str, str], str], i
     """The rolling summary with a real merge function: conv_id, xid, excerpt, summary, branch.
 
     Short excerpts are appended, the first long one seeds, others are merged by
-    ``merge_fn(existing, excerpt)``; if that fails, they are appended. A conversation is folded in order
-    by one task, so only excerpts (bounded) are carried.
+    ``merge_fn(existing, excerpt)``; if that fails, they are appended. Conversations are sorted by Spark, which
+    spills, and folded as their rows stream by in Arrow batches; a task holds one batch and one summary,
+    so a conversation may be of any length.
     """
+    rows = excerpts.where(F.col("excerpt") != "").select("conv_id", "xid", "excerpt")
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        summary, out = "", []
-        for row in group.sort_values("xid").itertuples(index=False):
-            appended = (f"{summary}\n{row.excerpt}" if summary else row.excerpt)[-cap:]
-            if len(row.excerpt) < inline_chars:
-                branch, summary = "inline", appended
-            elif not summary:
-                branch, summary = "seed", row.excerpt[:cap]
-            else:
-                branch = "merge"
-                try:
-                    summary = merge_fn(summary, row.excerpt)
-                except Exception:  # whatever the user's function raises
-                    summary = appended
-            out.append((row.conv_id, row.xid, row.excerpt, summary, branch))
-        return pd.DataFrame(out, columns=["conv_id", "xid", "excerpt", "summary", "branch"])
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conversation, summary = object(), ""
+        for batch in batches:
+            out = []
+            for conv_id, excerpt in zip(batch.column("conv_id").to_pylist(), batch.column("excerpt").to_pylist(), strict=True):
+                if conv_id != conversation:
+                    conversation, summary = conv_id, ""
+                appended = (f"{summary}\n{excerpt}" if summary else excerpt)[-cap:]
+                if len(excerpt) < inline_chars:
+                    branch, summary = "inline", appended
+                elif not summary:
+                    branch, summary = "seed", excerpt[:cap]
+                else:
+                    branch = "merge"
+                    try:
+                        summary = merge_fn(summary, excerpt)
+                    except Exception:  # whatever the user's function raises
+                        summary = appended
+                out.append((summary, branch))
+            summaries, branches = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(summaries, pa.string()), pa.array(branches, pa.string())], names=["conv_id", "xid", "excerpt", "summary", "branch"])
 
-    rows = excerpts.where(F.col("excerpt") != "").select("conv_id", "xid", "excerpt")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.groupBy("conv_id").applyInPandas(fold, f"conv_id {kinds['conv_id']}, xid {kinds['xid']}, excerpt string, summary string, branch string")
+    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "xid")
+    return ordered.mapInArrow(fold, f"conv_id {kinds['conv_id']}, xid {kinds['xid']}, excerpt string, summary string, branch string")
 
 
 def _per_row(fn: Callable[..., str], failed: Callable[[Exception], str | None], *columns: str) -> Callable[[Iterator[tuple]], Iterator[pd.Series]]:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chatloom.functions.text import prefix
+from chatloom.operators.scan import Running, Split, running
 
 
 def assign_instance_ids(starts: DataFrame) -> DataFrame:
@@ -15,14 +16,14 @@ def assign_instance_ids(starts: DataFrame) -> DataFrame:
     return starts.withColumn("instance_id", F.concat("name", F.lit("#"), number.cast("string")))
 
 
-def running_intervals(instances: DataFrame, stops: DataFrame, own_ends: DataFrame | None = None) -> DataFrame:
+def running_intervals(instances: DataFrame, stops: DataFrame, own_ends: DataFrame | None = None, split: Split | None = None) -> DataFrame:
     """Adds stop_seq to instances (bus_id, seq, name, instance_id): the first later stop (bus_id, seq,
     key) whose key is the instance's id or its name, or its own end; null while it runs.
 
     ``own_ends``: bus_id, seq, instance_id of instances that ended by themselves. Starts and stops of one
     name (or id) stand in one order, from the last to the first, and each start sees the smallest stop
     so far: a running minimum instead of a join, so a name that starts and stops often costs no more
-    than its rows.
+    than its rows. A name of very many can be split (see ``scan``).
     """
     if own_ends is not None:
         stops = stops.select("bus_id", "seq", "key").unionByName(own_ends.select("bus_id", "seq", F.col("instance_id").alias("key")))
@@ -30,9 +31,8 @@ def running_intervals(instances: DataFrame, stops: DataFrame, own_ends: DataFram
     def next_stop(key: str, out: str) -> DataFrame:
         starts = instances.select("bus_id", F.col(key).alias("key"), "seq", F.lit(False).alias("is_stop"), "instance_id")
         ends = stops.select("bus_id", "key", "seq", F.lit(True).alias("is_stop"), F.lit(None).cast("string").alias("instance_id"))
-        after = W.partitionBy("bus_id", "key").orderBy(F.col("seq").desc()).rowsBetween(W.unboundedPreceding, -1)
-        nxt = F.min(F.when(F.col("is_stop"), F.col("seq"))).over(after)
-        return starts.unionByName(ends).withColumn(out, nxt).where("NOT is_stop").select("bus_id", "instance_id", out)
+        nxt = Running("min", F.when(F.col("is_stop"), F.col("seq")), inclusive=False)
+        return running(starts.unionByName(ends), ["bus_id", "key"], "seq", {out: nxt}, split, descending=True).where("NOT is_stop").select("bus_id", "instance_id", out)
 
     by_name, by_id = next_stop("name", "by_name"), next_stop("instance_id", "by_id")
     rows = instances.join(by_name, ["bus_id", "instance_id"]).join(by_id, ["bus_id", "instance_id"])

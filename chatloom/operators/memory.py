@@ -1,7 +1,8 @@
 """Conversation memory: exchanges, excerpts, rolling summaries and the prompts built from them.
 
 ``messages`` has conv_id, turn (unique in a conversation), role, text, and optionally tool_calls. All
-steps partition by conversation, so one exchange serves the whole chain.
+steps partition by conversation, so one exchange serves the whole chain. With a ``split`` conversations of
+very many messages are cut into ranges that run side by side (see ``scan``), for more exchanges.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chatloom.functions.text import strip, suffix
+from chatloom.operators.scan import RANGE, Running, Split, running, with_ranges
 
 EXCERPT_CHARS, SUMMARY_CHARS, INLINE_CHARS = 1500, 2000, 200
 
@@ -30,18 +32,19 @@ def reset_segments(messages: DataFrame) -> DataFrame:
     return messages.withColumn("segment", F.count_if(F.col("role") == "reset").over(before)).where("role <> 'reset'")
 
 
-def number_exchanges(messages: DataFrame) -> DataFrame:
+def number_exchanges(messages: DataFrame, split: Split | None = None) -> DataFrame:
     """Adds xid: an exchange ends with an assistant message that calls no tool; rows of a turn that was
     stopped before count to the next exchange."""
-    earlier = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
-    return messages.withColumn("xid", F.coalesce(F.count_if(_terminal(messages)).over(earlier), F.lit(0)))
+    ended = Running("sum", F.when(_terminal(messages), F.lit(1).cast("bigint")), inclusive=False)
+    rows = running(messages, ["conv_id"], "turn", {"xid": ended}, split)
+    return rows.withColumn("xid", F.coalesce("xid", F.lit(0).cast("bigint")))
 
 
-def exchanges(messages: DataFrame, excerpt_chars: int | None = None) -> DataFrame:
+def exchanges(messages: DataFrame, excerpt_chars: int | None = None, split: Split | None = None) -> DataFrame:
     """One row for each finished exchange: conv_id, (segment,) xid, body, and its last user and last
     non-empty assistant message. With ``excerpt_chars`` only the end of each text is carried."""
     text = suffix(F.col("text"), excerpt_chars) if excerpt_chars else F.col("text")
-    rows = number_exchanges(messages).where(F.col("role").isin("user", "assistant"))
+    rows = number_exchanges(messages, split).where(F.col("role").isin("user", "assistant"))
     said = F.col("text") != ""
     rows = rows.withColumn("done", _terminal(messages)).withColumn("short", text).withColumn("line", F.when(said, F.concat("role", F.lit(": "), text)))
     keys = ["conv_id", *(["segment"] if "segment" in messages.columns else []), "xid"]
@@ -63,38 +66,49 @@ def _conversation(df: DataFrame) -> list[str]:
     return ["conv_id", *(["segment"] if "segment" in df.columns else [])]
 
 
-def build_excerpts(messages: DataFrame) -> DataFrame:
+def build_excerpts(messages: DataFrame, split: Split | None = None) -> DataFrame:
     """conv_id, (segment,) xid, excerpt: the end of what is retained of the exchanges before (the last
     user and the last non-empty assistant message) and of this exchange. Excerpts overlap."""
-    rows = exchanges(messages, EXCERPT_CHARS)
-    order = W.partitionBy(*_conversation(rows)).orderBy("xid")
-    before = order.rowsBetween(W.unboundedPreceding, -1)
+    rows = exchanges(messages, EXCERPT_CHARS, split)
+    last = {f"before_{role}": Running("last", F.col(f"last_{role}"), inclusive=False) for role in ("user", "assistant")}
+    rows = running(rows, _conversation(rows), "xid", last, split)
 
     def kept(role: str) -> Column:
-        last = F.last(f"last_{role}", ignorenulls=True).over(before)
-        return F.when(last["text"] != "", F.struct(last["turn"].alias("turn"), F.concat(F.lit(f"{role}: "), last["text"]).alias("line")))
+        message = F.col(f"before_{role}")
+        return F.when(message["text"] != "", F.struct(message["turn"].alias("turn"), F.concat(F.lit(f"{role}: "), message["text"]).alias("line")))
 
     pair = F.transform(F.array_sort(F.array_compact(F.array(kept("user"), kept("assistant")))), lambda x: x["line"])
     lines = F.filter(F.array(F.array_join("pair", "\n"), F.col("body")), lambda x: x != "")
     return rows.withColumn("pair", pair).select(*_conversation(rows), "xid", suffix(F.array_join(lines, "\n"), EXCERPT_CHARS).alias("excerpt"))
 
 
-def rolling_summary(excerpts: DataFrame, initial: DataFrame | None = None, inline_chars: int = INLINE_CHARS) -> DataFrame:
+def rolling_summary(excerpts: DataFrame, initial: DataFrame | None = None, inline_chars: int = INLINE_CHARS, split: Split | None = None) -> DataFrame:
     """conv_id, xid, excerpt, summary (after the exchange), branch: inline, seed or merge.
 
     Without a working merge function all branches add the excerpt and keep the end, so a summary is the
     end of the excerpts so far. ``initial``: conv_id, summary of an earlier run, goes in front. Resets do
-    not end a summary.
+    not end a summary. Of a range of a split conversation the ranges before only need the end of their texts.
     """
     rows = excerpts.where(F.col("excerpt") != "")
-    order = W.partitionBy("conv_id").orderBy("xid")
+    keys = ["conv_id"]
+    if split is not None:
+        rows, keys = with_ranges(rows, keys, "xid", split), [*keys, RANGE]
+    order = W.partitionBy(*keys).orderBy("xid")
     first = F.row_number().over(order) == 1
     rows = rows.withColumn("initial", F.lit("")) if initial is None else rows.join(initial.select("conv_id", F.col("summary").alias("initial")), "conv_id", "left").fillna("", "initial")
     # the excerpts that reach into the last SUMMARY_CHARS characters, by how far the text has come
     rows = rows.withColumn("_at", F.sum(F.length("excerpt") + 1).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    so_far = F.collect_list("excerpt").over(W.partitionBy("conv_id").orderBy("_at").rangeBetween(-SUMMARY_CHARS, 0))
-    parts = F.filter(F.concat(F.array("initial"), so_far), lambda x: x != "")
-    branch = F.when(F.length("excerpt") < inline_chars, "inline").when(first & (F.col("initial") == ""), "seed").otherwise("merge")
+    so_far = F.collect_list("excerpt").over(W.partitionBy(*keys).orderBy("_at").rangeBetween(-SUMMARY_CHARS, 0))
+    rows = rows.withColumns({"_so_far": so_far, "_first": first}).drop("_at")
+    if split is None:
+        rows = rows.withColumn("_before", F.lit(""))
+    else:
+        ends = rows.groupBy(*keys).agg(F.max_by(suffix(F.array_join("_so_far", "\n"), SUMMARY_CHARS), "xid").alias("_end"))
+        earlier = F.collect_list("_end").over(W.partitionBy("conv_id").orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1))
+        ends = ends.select(*keys, suffix(F.array_join(earlier, "\n"), SUMMARY_CHARS).alias("_before")).where("_before <> ''")
+        rows = rows.join(ends, keys, "left").fillna("", "_before").withColumn("_first", F.col("_first") & (F.col("_before") == ""))
+    parts = F.filter(F.concat(F.array("initial", "_before"), "_so_far"), lambda x: x != "")
+    branch = F.when(F.length("excerpt") < inline_chars, "inline").when(F.col("_first") & (F.col("initial") == ""), "seed").otherwise("merge")
     return rows.select("conv_id", "xid", "excerpt", suffix(F.array_join(parts, "\n"), SUMMARY_CHARS).alias("summary"), branch.alias("branch"))
 
 
@@ -102,15 +116,15 @@ def _exchange_text(user: Column, assistant: Column) -> Column:
     return strip(F.concat(F.lit("user: "), F.coalesce(user, F.lit("")), F.lit("\nassistant: "), F.coalesce(assistant, F.lit(""))))
 
 
-def last_exchange_asof(messages: DataFrame) -> DataFrame:
+def last_exchange_asof(messages: DataFrame, split: Split | None = None) -> DataFrame:
     """conv_id, xid, last_exchange after each exchange; the former one stays where both texts are empty."""
-    rows = exchanges(messages)
-    upto = W.partitionBy(*_conversation(rows)).orderBy("xid").rowsBetween(W.unboundedPreceding, W.currentRow)
-    user, assistant = (F.last(f"last_{r}", ignorenulls=True).over(upto)["text"] for r in ("user", "assistant"))
+    rows = exchanges(messages, split=split)
+    last = {f"upto_{r}": Running("last", F.col(f"last_{r}")) for r in ("user", "assistant")}
+    rows = running(rows, _conversation(rows), "xid", last, split)
+    user, assistant = (F.col(f"upto_{r}")["text"] for r in ("user", "assistant"))
     said = (F.coalesce(user, F.lit("")) != "") | (F.coalesce(assistant, F.lit("")) != "")
     rows = rows.withColumn("now", F.when(said, _exchange_text(user, assistant)))
-    whole = W.partitionBy("conv_id").orderBy("xid").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return rows.select("conv_id", "xid", F.last("now", ignorenulls=True).over(whole).alias("last_exchange"))
+    return running(rows, ["conv_id"], "xid", {"last_exchange": Running("last", F.col("now"))}, split).select("conv_id", "xid", "last_exchange")
 
 
 def latest_exchange(messages: DataFrame) -> DataFrame:

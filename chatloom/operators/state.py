@@ -1,6 +1,6 @@
 """Versioned JSON state of loops and projects: tolerant reading, reconciliation, and the phase it implies.
 
-Payloads are read with explicit schemas; a payload with one field that cannot be taken counts as
+Payloads are parsed once, to a map of field names and values; a payload with one field that cannot be taken counts as
 missing, as does malformed JSON. Integers take whole numbers, also as text or true; booleans take true,
 false, 0, 1 and their usual words; texts take only strings.
 """
@@ -8,10 +8,10 @@ false, 0, 1 and their usual words; texts take only strings.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chatloom.functions.text import strip
+from chatloom.operators.scan import RANGE, Running, Split, running, with_ranges
 
 # Other names that fields go by, the first one present counts.
 ITERATIONS = ("iterations", "iterations_done", "iterations_completed", "iter_count", "iter", "iters", "current_iteration")
@@ -23,13 +23,20 @@ def _raw(fields: Column, names: tuple[str, ...]) -> Column:
     return F.coalesce(*(F.try_element_at(fields, F.lit(n)) for n in names))
 
 
+def _value(v: Column) -> Column:
+    """A JSON value as its JSON text (json) and, of a string, the string (text), else the same."""
+    json = F.to_json(v)
+    return F.struct(json.alias("json"), F.when(json.startswith('"'), F.try_variant_get(v, "$", "string")).otherwise(json).alias("text"))
+
+
 def _kind(raw: Column) -> Column:
-    return F.when(raw.startswith('"'), "text").when(raw.startswith("["), "list").when(raw.startswith("{"), "object").when(raw.isin("true", "false"), "bool").when(raw == "null", "null").otherwise("number")
+    json = raw["json"]
+    return F.when(json.startswith('"'), "text").when(json.startswith("["), "list").when(json.startswith("{"), "object").when(json.isin("true", "false"), "bool").when(json == "null", "null").otherwise("number")
 
 
 def _text(raw: Column) -> Column:
     """The value of a JSON string, and the JSON of anything else."""
-    return F.when(raw.startswith('"'), F.from_json(F.concat(F.lit('{"x":'), raw, F.lit("}")), "x string")["x"]).otherwise(raw)
+    return raw["text"]
 
 
 def _string(raw: Column) -> tuple[Column, Column]:
@@ -38,7 +45,7 @@ def _string(raw: Column) -> tuple[Column, Column]:
 
 
 def _whole(raw: Column) -> tuple[Column, Column]:
-    number = F.when(raw == "true", "1").when(raw == "false", "0").otherwise(strip(_text(raw))).try_cast("double")
+    number = F.when(raw["json"] == "true", "1").when(raw["json"] == "false", "0").otherwise(strip(_text(raw))).try_cast("double")
     good = raw.isNull() | (_kind(raw).isin("text", "number", "bool") & number.isNotNull() & (number == F.floor(number)))
     return F.coalesce(number.cast("long"), F.lit(0)), good
 
@@ -51,8 +58,9 @@ def _flag(raw: Column) -> tuple[Column, Column]:
 
 def _strings(raw: Column) -> Column:
     """A text becomes a list of one; of a list, texts and numbers are kept, stripped."""
-    items = F.from_json(raw, "array<string>")
-    shapes = F.from_json(raw, "array<variant>")
+    listed = F.when(_kind(raw) == "list", raw["json"])
+    items = F.from_json(listed, "array<string>")
+    shapes = F.from_json(listed, "array<variant>")
     plain = F.filter(F.transform(F.arrays_zip(items.alias("v"), shapes.alias("s")), lambda x: F.when(F.schema_of_variant(x["s"]).rlike("^(STRING|BIGINT|DECIMAL|DOUBLE|FLOAT)"), strip(x["v"]))), lambda x: x.isNotNull())
     empty = F.array().cast("array<string>")
     return F.coalesce(F.when(_kind(raw) == "text", F.array(_text(raw))).when(_kind(raw) == "list", plain), empty)
@@ -66,8 +74,8 @@ def _cap(raw: Column) -> Column:
 
 
 def _fields(payload: Column) -> Column:
-    """The payload's fields as raw JSON texts; null if it is no JSON object."""
-    return F.transform_values(F.from_json(payload, "map<string,variant>"), lambda _, v: F.to_json(v))
+    """The payload's fields; null if it is no JSON object."""
+    return F.transform_values(F.from_json(payload, "map<string,variant>"), lambda _, v: _value(v))
 
 
 def _once(rows: DataFrame, value: Column, name: str) -> DataFrame:
@@ -93,7 +101,7 @@ def normalise_loop_state(snapshots: DataFrame) -> DataFrame:
     iterations, flag = _whole(_raw(f, ITERATIONS)), _flag(_raw(f, ("terminated",)))
     present = F.coalesce(*(F.when(F.map_contains_key(f, n), F.lit(n)) for n in ITERATIONS))
     known = F.array(*map(F.lit, (*texts, "exit_criteria", "max_iterations", "terminated")))
-    extras = F.map_filter(f, lambda k, v: ~F.array_contains(known, k) & ~k.eqNullSafe(present))
+    extras = F.transform_values(F.map_filter(f, lambda k, v: ~F.array_contains(known, k) & ~k.eqNullSafe(present)), lambda _, v: v["json"])
     out = {n: v for n, (v, _) in texts.items()} | {"exit_criteria": _strings(_raw(f, ("exit_criteria",))), "max_iterations": _cap(_raw(f, ("max_iterations",))), "iterations": iterations[0], "terminated": flag[0], "extras": extras}
     good = _all(f.isNotNull(), iterations[1], flag[1], *(ok for _, ok in texts.values()))
     rows = _once(rows, F.struct(*(c.alias(n) for n, c in out.items()), good.alias("_good")), "_s")
@@ -105,7 +113,7 @@ def normalise_project_state(snapshots: DataFrame) -> DataFrame:
     """Valid project states: goal, constraints, tasks (array of id, title, done), log, extras."""
     rows = _once(snapshots, _fields(F.col("payload")), "_f")
     f = F.col("_f")
-    raw = F.transform(F.from_json(_raw(f, ("tasks",)), "array<map<string,variant>>"), lambda t: F.transform_values(t, lambda _, v: F.to_json(v)))
+    raw = F.transform(F.from_json(_raw(f, ("tasks",))["json"], "array<map<string,variant>>"), lambda t: F.transform_values(t, lambda _, v: _value(v)))
     rows = _once(rows, raw, "_raw_tasks")
 
     def task(each: Column) -> Column:
@@ -120,59 +128,61 @@ def normalise_project_state(snapshots: DataFrame) -> DataFrame:
     goal, goal_ok = _string(_raw(f, ("goal",)))
     known = F.array(*map(F.lit, ("goal", "constraints", "tasks", "log")))
     plain = F.transform("_tasks", lambda t: F.struct(t["id"].alias("id"), t["title"].alias("title"), t["done"].alias("done")))
-    out = {"goal": goal, "constraints": _strings(_raw(f, ("constraints",))), "log": _strings(_raw(f, ("log",))), "tasks": plain, "extras": F.map_filter(f, lambda k, _: ~F.array_contains(known, k))}
+    out = {"goal": goal, "constraints": _strings(_raw(f, ("constraints",))), "log": _strings(_raw(f, ("log",))), "tasks": plain, "extras": F.transform_values(F.map_filter(f, lambda k, _: ~F.array_contains(known, k)), lambda _, v: v["json"])}
     good = _all(f.isNotNull(), goal_ok, F.col("_tasks").isNotNull(), F.forall("_tasks", lambda t: t["ok"]))
     rows = _once(rows, F.struct(*(c.alias(n) for n, c in out.items()), good.alias("_good")), "_s")
     keep = [c for c in snapshots.columns if c != "payload"]
     return rows.where("_s._good").select(*keep, *(F.col("_s")[n].alias(n) for n in out))
 
 
-def reconcile_loop(states: DataFrame, operator_cap: Column | None = None) -> DataFrame:
+def reconcile_loop(states: DataFrame, operator_cap: Column | None = None, split: Split | None = None) -> DataFrame:
     """Loop states (instance_id, seq and the fields above) as they hold after each snapshot.
 
     From the first state with an action on, goal, action, exit_criteria and the cap stay as they were
     there (an operator's cap before the file's), iterations never fall, terminated stays, and the first
-    reason given with it stays. Earlier states pass through.
+    reason given with it stays. Earlier states pass through. An instance of very many snapshots can be
+    split (see ``scan``).
     """
-    upto = W.partitionBy("instance_id").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
     cap = F.col("max_iterations") if operator_cap is None else F.coalesce(F.when(operator_cap > 0, operator_cap), F.col("max_iterations"))
-    has = F.col("action") != ""
-    plan = F.first(F.when(has, F.struct("goal", "action", "exit_criteria", cap.alias("max_iterations"))), ignorenulls=True).over(upto)
-    rows = states.withColumn("_p", plan).withColumn("_on", F.col("_p").isNotNull())
+    plan = F.when(F.col("action") != "", F.struct("goal", "action", "exit_criteria", cap.alias("max_iterations")))
+    rows = states if split is None else with_ranges(states, ["instance_id"], "seq", split)
+    rows = running(rows, ["instance_id"], "seq", {"_p": Running("first", plan)}, split).withColumn("_on", F.col("_p").isNotNull())
     on = F.col("_on")
-    reason = F.first(F.when(on & F.col("terminated") & (F.col("termination_reason") != ""), F.col("termination_reason")), ignorenulls=True).over(upto)
-    frozen = {n: F.when(on, F.col("_p")[n]).otherwise(F.col(n)) for n in ("goal", "action", "exit_criteria", "max_iterations")}
-    moving = {
-        "iterations": F.when(on, F.greatest(F.lit(0), F.max(F.when(on, F.col("iterations"))).over(upto))).otherwise(F.col("iterations")),
-        "terminated": F.when(on, F.max(on & F.col("terminated")).over(upto)).otherwise(F.col("terminated")),
-        "termination_reason": F.when(on, F.coalesce(reason, F.lit(""))).otherwise(F.col("termination_reason")),
+    reason = F.when(on & F.col("terminated") & (F.col("termination_reason") != ""), F.col("termination_reason"))
+    moving = {"_most": Running("max", F.when(on, F.col("iterations"))), "_ended": Running("max", on & F.col("terminated")), "_reason": Running("first", reason)}
+    rows = running(rows, ["instance_id"], "seq", moving, split)
+    held = {n: F.when(on, F.col("_p")[n]).otherwise(F.col(n)) for n in ("goal", "action", "exit_criteria", "max_iterations")} | {
+        "iterations": F.when(on, F.greatest(F.lit(0), "_most")).otherwise(F.col("iterations")),
+        "terminated": F.when(on, F.col("_ended")).otherwise(F.col("terminated")),
+        "termination_reason": F.when(on, F.coalesce("_reason", F.lit(""))).otherwise(F.col("termination_reason")),
     }
-    return rows.withColumns(frozen | moving).drop("_p", "_on")
+    return rows.withColumns(held).drop("_p", "_on", RANGE, *moving)
 
 
-def reconcile_project(states: DataFrame) -> DataFrame:
+def reconcile_project(states: DataFrame, split: Split | None = None) -> DataFrame:
     """Project states (instance_id, seq, goal, constraints, tasks, log, …) as they hold after each snapshot.
 
     From the first state with tasks on, goal, constraints and the tasks' ids, titles and order stay,
     done tasks stay done, and the longest log so far stays (the first of equally long ones). Lost tasks
-    come back, new ones are left out. For each task the first snapshot that has it done is found by a
-    grouping, and each snapshot compares its own number with those, so a long history costs no more
-    than its rows.
+    come back, new ones are left out. Tasks are rows here: for each instance and task the first snapshot that has it
+    done is found by a grouping and joined to the plan's tasks, so a state costs one comparison for each
+    task of its plan, however long plan and history are.
     """
-    upto = W.partitionBy("instance_id").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
-    plan = F.first(F.when(F.size("tasks") > 0, F.struct("goal", "constraints", "tasks")), ignorenulls=True).over(upto)
-    rows = states.withColumn("_p", plan).withColumn("_on", F.col("_p").isNotNull())
+    filled = states.where(F.size("tasks") > 0)
+    plan = F.min_by(F.struct("goal", "constraints", "tasks"), "seq")
+    plans = filled.groupBy("instance_id").agg(plan.alias("_p"), F.min("seq").alias("_from"))
+    done = filled.select("instance_id", "seq", F.explode(F.filter("tasks", lambda t: t["done"])).alias("t"))
+    done = done.groupBy("instance_id", F.col("t.id").alias("id")).agg(F.min("seq").alias("since"))
+    tasks = plans.select("instance_id", F.posexplode("_p.tasks").alias("at", "t")).select("instance_id", "at", "t.id", "t.title").join(done, ["instance_id", "id"], "left")
+    tasks = tasks.groupBy("instance_id").agg(F.array_sort(F.collect_list(F.struct("at", "id", "title", "since"))).alias("_tasks"))
+    plans = plans.select("instance_id", "_from", F.col("_p.goal").alias("_goal"), F.col("_p.constraints").alias("_constraints")).join(tasks, "instance_id")
+    rows = states.join(plans, "instance_id", "left").withColumn("_on", F.coalesce(F.col("seq") >= F.col("_from"), F.lit(False)))
     on = F.col("_on")
-    longest = F.max(F.when(on & (F.size("log") > 0), F.struct(F.size("log").alias("n"), (-F.col("seq")).alias("s"), F.col("log").alias("log")))).over(upto)
-    rows = rows.withColumn("log", F.when(on, F.coalesce(longest["log"], F.array().cast("array<string>"))).otherwise(F.col("log")))
-    planned = F.filter("tasks", lambda t: t["done"] & F.array_contains(F.transform("_p.tasks", lambda p: p["id"]), t["id"]))
-    done = rows.where("_on").select("instance_id", "seq", F.explode(planned).alias("t"))
-    done = done.groupBy("instance_id", F.col("t.id").alias("id")).agg(F.min("seq").alias("first"))
-    done = done.groupBy("instance_id").agg(F.map_from_entries(F.collect_list(F.struct("id", "first"))).alias("_done"))
-    rows = rows.join(done, "instance_id", "left")
-    fixed = F.transform(F.col("_p.tasks"), lambda t: F.struct(t["id"].alias("id"), t["title"].alias("title"), F.coalesce(F.try_element_at("_done", t["id"]) <= F.col("seq"), F.lit(False)).alias("done")))
-    out = {"tasks": F.when(on, fixed).otherwise(F.col("tasks")), "goal": F.when(on, F.col("_p.goal")).otherwise(F.col("goal")), "constraints": F.when(on, F.col("_p.constraints")).otherwise(F.col("constraints"))}
-    return rows.withColumns(out).drop("_p", "_on", "_done")
+    longest = F.when(on & (F.size("log") > 0), F.struct(F.size("log").alias("n"), (-F.col("seq")).alias("s"), F.col("log").alias("log")))
+    rows = running(rows, ["instance_id"], "seq", {"_longest": Running("max", longest)}, split)
+    fixed = F.transform("_tasks", lambda t: F.struct(t["id"].alias("id"), t["title"].alias("title"), F.coalesce(t["since"] <= F.col("seq"), F.lit(False)).alias("done")))
+    out = {"tasks": fixed, "goal": F.col("_goal"), "constraints": F.col("_constraints"), "log": F.coalesce("_longest.log", F.array().cast("array<string>"))}
+    return rows.withColumns({name: F.when(on, value).otherwise(F.col(name)) for name, value in out.items()}).drop("_from", "_goal", "_constraints", "_tasks", "_on", "_longest")
 
 
 def _bullets(items: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import io, live, memory, trace, watch  # noqa: F401  they register their queries
+from . import io, live, memory, split, trace, watch  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

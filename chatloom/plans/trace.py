@@ -254,6 +254,17 @@ def j1_select_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select_routed(replies(spark, sf_dir), catalog(spark, sf_dir))
 
 
+@query(f"""WITH {CATALOG}, typed AS (SELECT turn_id, domain, CASE WHEN turn_id % 5 < 2 THEN NULL WHEN turn_id % 5 = 2 THEN ['n' || turn_id] ELSE ['n' || turn_id, 'n' || (turn_id + 25)] END AS names FROM replies)
+SELECT turn_id, c.domain, kind, pos, name FROM typed w JOIN catalog c ON c.domain = w.domain AND (names IS NULL OR list_contains(names, name))""")
+def j1_typed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies with an object or an array among the names select all; numbers, words and null are no names."""
+    k, id_ = F.col("turn_id"), F.col("turn_id").cast("string")
+    first = F.concat(F.lit('pick ["n'), id_, F.lit('", '))
+    odd = F.when(k % 5 == 0, F.concat(first, F.lit('{"name": "x"}]'))).when(k % 5 == 1, F.concat(first, F.lit('["n1"]]'))).when(k % 5 == 2, F.concat(first, id_, F.lit(", 1.5, true, null]")))
+    reply = odd.otherwise(F.concat(first, F.lit('"n'), (k + 25).cast("string"), F.lit('"] {"b": 1}')))
+    return r.select_routed(replies(spark, sf_dir).withColumn("reply", reply), catalog(spark, sf_dir))
+
+
 @query(f"""WITH {CATALOG} SELECT * FROM selected UNION SELECT s.turn_id, s.domain, t.kind, t.pos, t.name FROM selected s JOIN catalog c ON c.domain = s.domain AND c.name = s.name AND s.kind = 'skill'
 JOIN catalog t ON t.domain = s.domain AND t.kind = 'tool' AND list_contains(c.required, t.name)""")
 def j2_add_required_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
