@@ -109,13 +109,14 @@ def _free_words(text: str, spans: list[Span]) -> list[tuple[int, int, str]]:
     return free
 
 
-def _words_near(text: str, spans: list[Span]) -> Iterator[tuple[str, str, int, int, int]]:
-    """Entity, word, its start and end, and a hash of the context, for each word near each span.
+def _words_near(text: str, spans: list[Span]) -> Iterator[tuple[str, str, int, int, int, int]]:
+    """Entity, word, its start and end, a hash of the context, and how often the text has the word, for each word
+    near each span.
 
     Words that touch a base span are left out."""
     if not spans:
         return
-    free = _free_words(text, spans)
+    free, held = _free_words(text, spans), Counter(_WORD.findall(text.lower()))
     at = 0
     for start, kind, end in spans:
         while at < len(free) and free[at][0] < start:
@@ -123,13 +124,13 @@ def _words_near(text: str, spans: list[Span]) -> Iterator[tuple[str, str, int, i
         near = [*free[max(0, at - NEAR) : at], *free[at : at + NEAR]]
         context = xxhash.xxh64_intdigest(" ".join(w for _, _, w in near).lower()) - (1 << 63)
         for s, e, w in near:
-            yield _entity(kind, text[start:end]), w.lower(), s, e, context
+            yield _entity(kind, text[start:end]), w.lower(), s, e, context, held[w.lower()]
 
 
 _FOUND = "array<struct<start:int,kind:string,end:int,entity:string>>"
-_NEAR = "array<struct<entity:string,term:string,start:int,end:int,context:long>>"
+_NEAR = "array<struct<entity:string,term:string,start:int,end:int,context:long,held:int>>"
 _FOUND_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32()), ("entity", pa.string())]))
-_NEAR_TYPE = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("context", pa.int64())]))
+_NEAR_TYPE = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("context", pa.int64()), ("held", pa.int32())]))
 
 _TERMS_TYPE = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
@@ -141,7 +142,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = text or ""
             spans = base_spans(text)
             found.append([{"start": s, "kind": k, "end": e, "entity": _entity(k, text[s:e])} for s, k, e in spans])
-            near.append([dict(zip(("entity", "term", "start", "end", "context"), x, strict=True)) for x in _words_near(text, spans)])
+            near.append([dict(zip(("entity", "term", "start", "end", "context", "held"), x, strict=True)) for x in _words_near(text, spans)])
             words.append(text.count(" ") + 1)
         yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("v"), pa.array(words, pa.int64()), pa.array(found, _FOUND_TYPE), pa.array(near, _NEAR_TYPE)], names=["i", "v", "words", "found", "near"])
 
@@ -240,8 +241,8 @@ def _lower_bound(p, n):
 def disclosing_spans(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Spans that the method adds: i, v (hash of the text), added (array of start, kind, end).
 
-    ``scanned`` is what ``scan`` made of ``docs``. A word occurs at least as often as it was seen near
-    entities, and its share of an entity's information falls with that number; words whose share cannot reach
+    ``scanned`` is what ``scan`` made of ``docs``. A word occurs at least as often as in the texts in which it was
+    seen near entities, and its share of an entity's information falls with that number; words whose share cannot reach
     the threshold even so, such as those near many entities, are left out before the corpus is counted.
     Counts of a task's piece are summed before they are shuffled. The tables of entities and terms are
     broadcast only below Spark's size threshold.
@@ -249,7 +250,7 @@ def disclosing_spans(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id"
     near = scanned.where(F.size("near") > 0).select("i", "v", F.explode("near").alias("x")).select("i", "v", "x.*")
     contexts = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts"))
     joint = near.groupBy("entity", "term").agg(F.count("*").alias("joint"))
-    seen = near.select("term", "i", "v", "start").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    seen = near.groupBy("term", "i", "v").agg(F.max("held").alias("held")).groupBy("term").agg(F.greatest(F.sum("held"), F.lit(1)).alias("n_least"))
     entities = scanned.where(F.size("found") > 0).select(F.explode("found.entity").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     total = scanned.agg(F.sum("words")).first()[0] or 1
     content = -F.log2(F.col("n_entity") / F.lit(float(max(total, 2))))
@@ -258,8 +259,8 @@ def disclosing_spans(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id"
         rate = F.least(F.col("joint") / F.col(occurrences), F.lit(1.0))
         return 1 + F.log2(_lower_bound(rate, F.col("contexts") / rate)) / content
 
-    possible = contexts.join(joint, ["entity", "term"]).join(seen, "term").join(entities, "entity").where(share("n_near") >= GENERALISE_AT - 1e-9)
-    pairs = materialise(possible.drop("n_near"), "pairs")
+    possible = contexts.join(joint, ["entity", "term"]).join(seen, "term").join(entities, "entity").where(share("n_least") >= GENERALISE_AT - 1e-9)
+    pairs = materialise(possible.drop("n_least"), "pairs")
     terms = materialise(pairs.select("term").distinct(), "terms")
     counted = _term_counts(docs, terms, text_col)
     telling = pairs.join(counted, "term").withColumn("share", share("n_term")).where(F.col("share") >= GENERALISE_AT)
