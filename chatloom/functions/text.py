@@ -13,9 +13,13 @@ THINK_RUN = r"(?s)<think>.*?(?:</think>|\z)"
 CUT_OPEN, CUT_CLOSE = r"<(?:t(?:h(?:i(?:nk?)?)?)?)?\z", r"<(?:/(?:t(?:h(?:i(?:nk?)?)?)?)?)?\z"
 
 
+# Unicode's white space.
+WHITE = "".join(map(chr, (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def strip(text: Column) -> Column:
-    """Without white space, Unicode's included, at either end (``trim`` takes only spaces off)."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space, Unicode's included, at either end (``trim`` alone takes only spaces off)."""
+    return F.btrim(text, F.lit(WHITE))
 
 
 def suffix(text: Column, n: int) -> Column:

@@ -166,7 +166,8 @@ def reconcile_project(states: DataFrame, split: Split | None = None) -> DataFram
     done tasks stay done, and the longest log so far stays (the first of equally long ones). Lost tasks
     come back, new ones are left out. Tasks are rows here: for each instance and task the first snapshot that has it
     done is found by a grouping and joined to the plan's tasks, so a state costs one comparison for each
-    task of its plan, however long plan and history are.
+    task of its plan, however long plan and history are. ``states`` is read three times; write it first where
+    it is costly.
     """
     filled = states.where(F.size("tasks") > 0)
     plan = F.min_by(F.struct("goal", "constraints", "tasks"), "seq")

@@ -41,7 +41,7 @@ def w8_split_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ORACLES["w9_reconcile_project"])
 def w9_split_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pw.shown_projects(st.reconcile_project(pw.project_states(spark, sf_dir), SPLIT))
+    return pw.shown_projects(st.reconcile_project(pw.written_projects(spark, sf_dir), SPLIT))
 
 
 @query(ORACLES["j6_running_intervals"])

@@ -10,6 +10,7 @@ from chatloom.operators import lifecycle as lc
 from chatloom.operators import monitor as mo
 from chatloom.operators import state as st
 from chatloom.operators.trace import keep_last
+from chatloom.streaming.runs import shared_path
 
 from .registry import query, table
 from .trace import SQL_K, kay
@@ -194,9 +195,15 @@ def shown_loops(rows: DataFrame) -> DataFrame:
     return rows.withColumns(shown).drop("exit_criteria", "extras")
 
 
+def dealt_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loop states, dealt out by instance while they are still narrow texts: the windows need that exchange anyway, and
+    parsing runs in as many tasks."""
+    return st.normalise_loop_state(loop_snapshots(table(spark, sf_dir, "events")).repartition("instance_id"))
+
+
 @query(f"WITH {RECONCILED} SELECT instance_id, seq, goal, action, criteria, CAST(max_iterations AS VARCHAR) AS max_iterations, iterations, last_observation, terminated, termination_reason FROM rec")
 def w8_reconcile_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown_loops(st.reconcile_loop(loop_states(spark, sf_dir)))
+    return shown_loops(st.reconcile_loop(dealt_loops(spark, sf_dir)))
 
 
 @query(f"""WITH {RECONCILED}, ph AS (SELECT *, CASE WHEN action = '' THEN 'plan' WHEN terminated OR coalesce(iterations >= max_iterations, false) THEN 'done' ELSE 'iterate' END AS phase FROM rec)
@@ -204,7 +211,7 @@ SELECT instance_id, seq, phase, CASE WHEN phase = 'iterate' THEN CASE WHEN max_i
   CASE WHEN phase = 'done' THEN CASE WHEN termination_reason <> '' THEN termination_reason WHEN terminated THEN 'an exit criterion was met' ELSE 'reached max_iterations (' || max_iterations || ') without an exit criterion firing' END END AS reason,
   'Exit criteria (stop when any of these holds):' || chr(10) || '  • ' || replace(criteria, ',', chr(10) || '  • ') || chr(10) AS criteria FROM ph""")
 def p18_loop_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return st.loop_phase(st.reconcile_loop(loop_states(spark, sf_dir))).select("instance_id", "seq", "phase", "header", "reason", "criteria")
+    return st.loop_phase(st.reconcile_loop(dealt_loops(spark, sf_dir))).select("instance_id", "seq", "phase", "header", "reason", "criteria")
 
 
 PROJECTS = """lines AS (SELECT DISTINCT l_orderkey, l_linenumber, bool_or(l_returnflag = 'R') OVER (PARTITION BY l_orderkey, l_linenumber) AS done FROM lineitem),
@@ -234,6 +241,13 @@ def project_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.normalise_project_state(project_snapshots(spark, sf_dir))
 
 
+def written_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Project states, parsed once and written: their reconciliation reads them for plans, done tasks and rows."""
+    states, path = project_states(spark, sf_dir).drop("extras"), shared_path(spark, "project-states")
+    states.write.parquet(path)
+    return spark.read.schema(states.schema).parquet(path)
+
+
 @query(f"WITH {PROJECTS} SELECT instance_id, seq, 'c' AS constraints, id, title, done, n AS n_log FROM tasks JOIN projects USING (instance_id, seq)")
 def p9_normalise_project_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = project_states(spark, sf_dir).select("instance_id", "seq", F.array_join("constraints", ",").alias("constraints"), F.explode("tasks").alias("t"), F.size("log").cast("long").alias("n_log"))
@@ -247,14 +261,14 @@ def shown_projects(states: DataFrame) -> DataFrame:
 
 @query(f"WITH {FIXED} SELECT instance_id, seq, id, title, done, n_log FROM held JOIN logs USING (instance_id, seq)")
 def w9_reconcile_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown_projects(st.reconcile_project(project_states(spark, sf_dir)))
+    return shown_projects(st.reconcile_project(written_projects(spark, sf_dir)))
 
 
 @query(f"""WITH {FIXED}, cur AS (SELECT instance_id, seq, min(id) FILTER (NOT done) AS current_id, count(*) AS n_tasks, count(*) FILTER (done) AS n_done FROM held GROUP BY 1, 2)
 SELECT instance_id, seq, CASE WHEN current_id IS NULL THEN 'done' ELSE 'task' END AS phase, current_id, n_done, n_tasks,
   string_agg('  ' || CASE WHEN done THEN '[x] ' ELSE '[ ] ' END || id || ': ' || title || CASE WHEN id = current_id THEN '  <- CURRENT' ELSE '' END, chr(10) ORDER BY id) || chr(10) AS task_list FROM held JOIN cur USING (instance_id, seq) GROUP BY ALL""")
 def p19_project_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return st.project_phase(st.reconcile_project(project_states(spark, sf_dir))).select("instance_id", "seq", "phase", "current_id", "n_done", "n_tasks", "task_list")
+    return st.project_phase(st.reconcile_project(written_projects(spark, sf_dir))).select("instance_id", "seq", "phase", "current_id", "n_done", "n_tasks", "task_list")
 
 
 @query(f"WITH {PROJECTS} SELECT instance_id, seq, count(*) FILTER (done) AS n_done, count(*) AS n_tasks, bool_and(done) AS all_done FROM tasks GROUP BY 1, 2")
