@@ -272,8 +272,10 @@ def _tree(lines: str) -> Node:
     return last[0]
 
 
-def content_blocks(page: str, reference: str | None) -> list[tuple[int, str, bool]]:
-    """Slot, text, and whether marks drop it, of each block that may count. ``reference``: a skeleton."""
+def content_blocks(page: str, reference: str | None) -> list[tuple[int | None, str, bool]]:
+    """Slot, text, and whether marks drop it, of each block that may count. ``reference``: a skeleton.
+
+    What stands in a marked main part has no slot: it is content, whatever recurs there."""
     root, blocks = parse(page)
     blocks = [(n, t) for n, t in blocks if not n.never]
     main = any(n.main and not n.dropped for n, _ in blocks)
@@ -284,6 +286,8 @@ def content_blocks(page: str, reference: str | None) -> list[tuple[int, str, boo
         k = seen[n.number]
         seen[n.number] += 1
         slot = pairs[n.number] * 1024 + min(k, 1023) if n.number in pairs else -1 - (n.path >> 1)
+        if n.main and not n.dropped:
+            slot = None
         out.append((slot, t, n.dropped or (main and not n.main)))
     return out
 
@@ -336,13 +340,13 @@ def judged(pages: DataFrame) -> DataFrame:
     slots = shown.groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.sum(F.when(F.col("n") >= LEAST_PAGES, F.col("n")).otherwise(0)).alias("constant"))
     template = slots.where((F.col("constant") > 0) & (F.col("constant") >= TEMPLATE_SHARE * F.col("pages"))).select("host", F.col("slot").alias("x"))
     known = _with(cut, template, "template")
-    return known.select("page_id", "url", F.transform("blocks", lambda b: F.struct(b["text"].alias("text"), b["marked"].alias("marked"), F.array_contains("template", b["slot"]).alias("template"))).alias("blocks"))
+    return known.select("page_id", "url", F.transform("blocks", lambda b: F.struct(b["text"].alias("text"), b["marked"].alias("marked"), F.coalesce(F.array_contains("template", b["slot"]), F.lit(False)).alias("template"))).alias("blocks"))
 
 
 def _shown(cut: DataFrame, page: str) -> DataFrame:
     """host, slot, text (hash), page: what stands where, once for each page (its version, or what it is about)."""
     each = cut.select("host", F.col(page).alias("page"), F.explode("blocks").alias("b"))
-    return each.select("host", "page", F.col("b.slot").alias("slot"), F.xxhash64("b.text").alias("text")).distinct()
+    return each.where("b.slot IS NOT NULL").select("host", "page", F.col("b.slot").alias("slot"), F.xxhash64("b.text").alias("text")).distinct()
 
 
 def _with(cut: DataFrame, found: DataFrame, name: str) -> DataFrame:

@@ -304,6 +304,20 @@ def test_html_template_is_learned(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+@pytest.mark.parametrize("main", ["article", "main"])
+def test_html_recurring_lines_of_articles_stay(spark, main):
+    """Lines that every article of a host has are content; the same lines outside are template."""
+    rows, want = [], {}
+    for i in range(12):
+        own = [f"Take {i} spoons of sugar and {i + 2} of flour for dish number {i}.", f"Stir it {i + 3} times, then wait for {i} long minutes more."]
+        lines = ["Ingredients", own[0], "Method", own[1]]
+        body = "".join(f"<h2>{x}</h2>" if k % 2 == 0 else f"<p>{x}</p>" for k, x in enumerate(lines))
+        rows.append((i, f"https://cook.example.org/{i}", f"<html><body><div>Ingredients</div><div>Our kitchen</div><{main}>{body}</{main}></body></html>"))
+        want[i] = "\n".join(lines)
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def test_html_template_decides_without_marks(spark, sf_dir):
     """The pages of the table with every mark taken away: the constant parts of hosts of several pages
     still go, the articles stay whole."""
