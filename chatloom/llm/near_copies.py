@@ -181,7 +181,8 @@ def _copies_in(rows: pa.Table) -> pa.Table:
 
 
 def near_copies(docs: DataFrame, groups: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """i and v (xxhash64 of the text) of the rows that are near copies of a row with a smaller id.
+    """i and v (xxhash64 of the text) of rows that are near copies of a row with a smaller id, so many that
+    no two near copies that met are left. A near copy of gone rows only may be left.
 
     ``groups`` gives further buckets (node, bucket) of nodes (node, fp: the SimHash of its shingles).
 
@@ -227,7 +228,7 @@ def near_copies(docs: DataFrame, groups: Callable[[DataFrame], DataFrame], id_co
 
 
 def keep_first(docs: DataFrame, groups: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs``, all columns, that are no near copy of a row with a smaller id.
+    """The rows of ``docs``, all columns, that ``near_copies`` leaves.
 
     A bitmap of fixed size tells which rows may be gone; only these are joined, so the texts of the
     others are not shuffled. A fuller one only lets more rows into the join.

@@ -137,9 +137,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = near_copies.SHINGLE) -> DataFrame:
-    """The rows of ``docs``, all columns, that are no near copy of a row with a smaller id.
+    """The rows of ``docs``, all columns, without near copies: of two near copies that meet the later one goes, in the
+    order of ids, if the earlier one is compared with it.
 
-    Near copies share four in five or more of their different ``shingle``-word shingles (Jaccard 0.8).
+    A row that is gone is compared no more, so in a chain of drifting texts a row that is like none but gone
+    ones may stay, and which of these do depends on the buckets; no two near copies that met both stay. Near copies share four in five or more of their different ``shingle``-word shingles (Jaccard 0.8).
     The meeting points of fingerprints that the grid range-join links are candidates, and so are, since that
     similarity leaves some ten of 64 bits different and no grid of fingerprints reaches so far, the
     buckets of MinHash bands (see ``near_copies``); each candidate is verified exactly. Each row goes or
