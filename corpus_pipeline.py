@@ -19,7 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share fewer than four in five five-word shingles with any smaller id's (Jaccard below 0.8)."""
+    """Documents without near copies (Jaccard of five-word shingles 0.8 or more): of each group the smallest id stays,
+    and of a chain of drifting texts those that no document left is like."""
     return simhash.keep_first(docs)
 
 
