@@ -1,7 +1,7 @@
 """Quality rules by weak supervision.
 
 Each rule votes good or bad on a document or abstains. Expectation-maximisation over the counts of
-vote patterns estimates how accurate each rule is for good and for bad documents, without labels;
+vote patterns estimates how accurate each rule is, without labels;
 the posterior probability that a document is good replaces an all-must-pass filter.
 
 One pass over the texts makes the measures and votes; the pattern counts are one small aggregation
