@@ -115,8 +115,12 @@ def build_iterations(responses: DataFrame, trace: DataFrame) -> DataFrame:
 def keep_last(iterations: DataFrame, n: int = KEPT_ITERATIONS) -> DataFrame:
     """The last ``n`` iterations of each instance, with position from 1."""
     newest = W.partitionBy("instance_id").orderBy(F.col("iteration").desc())
-    kept = iterations.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= n).drop("_n")
-    return kept.withColumn("position", F.row_number().over(W.partitionBy("instance_id").orderBy("iteration")).cast("long"))
+    return number_iterations(iterations.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= n).drop("_n"))
+
+
+def number_iterations(iterations: DataFrame) -> DataFrame:
+    """All iterations of each instance, with position from 1."""
+    return iterations.withColumn("position", F.row_number().over(W.partitionBy("instance_id").orderBy("iteration")).cast("long"))
 
 
 def active_skills(trace: DataFrame) -> DataFrame:
