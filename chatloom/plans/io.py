@@ -52,7 +52,7 @@ def s2_read_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON file for each conversation, written and read back."""
     path = shared_path(spark, "summary-files")
     last = io.latest_summaries(m.rolling_summary(m.build_excerpts(pm.messages(spark, sf_dir))))
-    last.select("conv_id", io.summary_json(F.col("summary")).alias("value")).write.partitionBy("conv_id").text(path)
+    io.write_files(last.select("conv_id", io.summary_json(F.col("summary")).alias("value")), path, "conv_id")
     return io.read_summaries(spark, path)
 
 
@@ -70,8 +70,8 @@ def s4_read_state_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One state file for each user, written and read back."""
     path = shared_path(spark, "states")
     state = table(spark, sf_dir, "events").groupBy("user_id").agg(F.concat(F.lit('{"n": '), F.count("*").cast("string"), F.lit("}")).alias("value"))
-    state.write.partitionBy("user_id").text(path)
-    rows = io.read_state_snapshots(spark, f"{path}/*/*.txt")
+    io.write_files(state, path, "user_id")
+    rows = io.read_state_snapshots(spark, path)
     user = F.regexp_extract("instance_id", r"/user_id=(\d+)/", 1).cast("long")
     return rows.select(user.alias("user_id"), F.regexp_replace("payload", "\n", "").alias("payload"), (F.col("seq") > 0).alias("has_time"))
 
@@ -99,8 +99,8 @@ def s5_read_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown files, some without frontmatter, written and read back."""
     path, key = shared_path(spark, "skills"), F.col("s_suppkey")
     text = F.when(key % 5 == 0, "no frontmatter").otherwise(F.concat(F.lit("---\nname: n"), key.cast("string"), F.lit("\ndescription: helps "), "s_name", F.lit("\n---\nDo "), "s_name", F.lit(".")))
-    table(spark, sf_dir, "supplier").select(text.alias("value"), key.alias("id")).write.partitionBy("id").text(path)
-    skills, _ = io.read_skills(spark, f"{path}/*/*.txt")
+    io.write_files(table(spark, sf_dir, "supplier").select(text.alias("value")), path)
+    skills, _ = io.read_skills(spark, path)
     return skills.select("name", "description", "instructions")
 
 

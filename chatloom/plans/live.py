@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chatloom.operators import lifecycle as lc
 from chatloom.operators import state as st
 from chatloom.sources import state_files
+from chatloom.sources.io import write_files
 from chatloom.sources.polls import poll
 from chatloom.sources.store import LatestStore
 from chatloom.streaming import processors as p
@@ -175,8 +176,8 @@ def s4_stream_state_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     for n in range(1, 5):
         upto = span * n // 4
         last = snapshots.where((F.col("seq") > before) & (F.col("seq") < upto)).groupBy(F.col("instance_id").alias("user_id")).agg(F.max_by("payload", "seq").alias("value"))
-        last.repartition("user_id").write.partitionBy("user_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").text(files)
-        state_files.follow(spark, f"{files}/*/*.txt", log, f"{checkpoints}/polls", user, {"availableNow": True}, first=1, last=n, missed="replay").awaitTermination()
+        write_files(last, files, "user_id", mode="overwrite")
+        state_files.follow(spark, files, log, f"{checkpoints}/polls", user, {"availableNow": True}, first=1, last=n, missed="replay").awaitTermination()
         states = p.stream_states(st.normalise_loop_state(state_files.read_log(spark, log)), p.LoopStates())
         states.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{checkpoints}/loops").trigger(availableNow=True).start().awaitTermination()
         before = upto - 1

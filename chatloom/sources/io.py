@@ -15,6 +15,22 @@ MESSAGES = "conv_id bigint, turn bigint, role string, text string"
 FRONTMATTER = r"(?s)^\s*---\s*\n(.*?)\n---\s*\n?(.*)$"
 
 
+def write_files(rows: DataFrame, path: str, key: str | None = None, mode: str = "error") -> None:
+    """One text file for each row (value): in a folder named by its ``key``, or, without one, all in one folder.
+
+    Mode ``overwrite``: the files of these keys are replaced, and others stay; ``replace``: all that was there goes. Files cost by
+    number, not by size, so rows are dealt out to all cores however few bytes there are.
+    """
+    tasks = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    # tasks put their files in place themselves; the driver would move them one by one
+    options = {"mapreduce.fileoutputcommitter.algorithm.version": "2", "partitionOverwriteMode": "dynamic" if key and mode == "overwrite" else "static"}
+    mode = "overwrite" if mode == "replace" else mode
+    if key is None:
+        rows.select("value").repartition(tasks).write.mode(mode).options(**options, maxRecordsPerFile="1").text(path)
+    else:
+        rows.select(key, "value").repartition(tasks, key).write.mode(mode).options(**options).partitionBy(key).text(path)
+
+
 def read_messages(spark: SparkSession, path: str, kind: str = "parquet", stream: bool = False) -> DataFrame:
     """A message log; as a stream, new files are new messages."""
     reader = spark.readStream if stream else spark.read
@@ -68,9 +84,9 @@ def read_summary_batches(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_state_snapshots(spark: SparkSession, glob: str) -> DataFrame:
-    """State files: instance_id (the file's path, so files of one name in different folders stay apart),
+    """State files of a glob or of a folder and those below it (whose listing is dealt out): instance_id (the file's path, so files of one name in different folders stay apart),
     seq (its time in milliseconds), payload."""
-    files = spark.read.text(glob, wholetext=True)
+    files = spark.read.text(glob, wholetext=True, recursiveFileLookup=True)
     return files.select(F.col("_metadata.file_path").alias("instance_id"), F.unix_millis("_metadata.file_modification_time").alias("seq"), F.col("value").alias("payload"))
 
 
@@ -122,4 +138,4 @@ def render_transcripts(messages: DataFrame, speaker: str = "Agent") -> DataFrame
 
 def write_transcripts(transcripts: DataFrame, path: str) -> None:
     """One folder for each conversation, with its transcript as text."""
-    transcripts.select("conv_id", F.col("transcript").alias("value")).write.mode("overwrite").partitionBy("conv_id").text(path)
+    write_files(transcripts.select("conv_id", F.col("transcript").alias("value")), path, "conv_id", mode="replace")

@@ -18,7 +18,7 @@ SCHEMA = "instance_id string, seq bigint, payload string"
 
 
 def log_changes(spark: SparkSession, glob: str, log: str, number: int, instance: Column | None = None, slack_ms: int = 600_000) -> None:
-    """Poll ``number``: adds the files of ``glob`` that are new or newer than the log has them.
+    """Poll ``number``: adds the files of ``glob`` (or of a folder and those below it) that are new or newer than the log has them.
 
     ``instance``: the instance's id, of ``_metadata.file_path`` if not that itself. Files older than the newest of the log by more than
     ``slack_ms`` (machines whose clocks differ, copies that keep a time) are not looked at.
@@ -28,7 +28,7 @@ def log_changes(spark: SparkSession, glob: str, log: str, number: int, instance:
         before = spark.read.schema(f"{SCHEMA}, poll bigint").parquet(log).where(F.col("poll") < number)
         seen = before.groupBy("instance_id").agg(F.max("seq").alias("seen"))
     newest = seen.agg(F.max(F.col(seen.columns[1]))).first()[0]
-    files = spark.read.text(glob, wholetext=True)
+    files = spark.read.text(glob, wholetext=True, recursiveFileLookup=True)
     if newest is not None:
         files = files.where(F.col("_metadata.file_modification_time") >= F.timestamp_millis(F.lit(newest - slack_ms)))
     rows = files.select((F.col("_metadata.file_path") if instance is None else instance).alias("instance_id"), F.unix_millis("_metadata.file_modification_time").alias("seq"), F.col("value").alias("payload"))

@@ -7,8 +7,10 @@ import os
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from chatloom.plans import catalogue
+from chatloom.sources import io
 
 
 def _against_sql(spark, folder, name: str) -> list[tuple]:
@@ -30,3 +32,17 @@ def test_status_detail_has_all_iterations(spark, tmp_path):
     pq.write_table(pa.Table.from_pylist(events), str(tmp_path / "events.parquet"))
     got = dict(_against_sql(spark, tmp_path, "a5_status_detail"))
     assert got[3].startswith("=== 3 — 59 iteration(s) ===\n[1]")
+
+
+def test_files_are_written_by_many_tasks(spark, tmp_path):
+    """A few thousand bytes in many files are no work for one task."""
+    rows = spark.range(200).coalesce(1).select("id", F.concat(F.lit("v"), F.col("id").cast("string")).alias("value"))
+    for key in (None, "id"):
+        path = str(tmp_path / str(key))
+        io.write_files(rows, path, key)
+        files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select("value", F.col("_metadata.file_name").substr(1, 10).alias("task"), "_metadata.file_path").collect()
+        assert sorted(r.value for r in files) == sorted(f"v{i}\n" for i in range(200))
+        assert len({r.file_path for r in files}) == 200 and len({r.task for r in files}) > 8
+    io.write_files(rows.where("id < 3").withColumn("value", F.lit("new")), path, "id", mode="overwrite")
+    back = {r.id: r.value for r in spark.read.text(path, wholetext=True).collect()}
+    assert len(back) == 200 and back[2] == "new\n" and back[3] == "v3\n"
