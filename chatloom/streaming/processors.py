@@ -24,6 +24,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import batched
 from types import SimpleNamespace
 from typing import Any
 
@@ -31,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from chatloom.operators.memory import EXCERPT_CHARS, INLINE_CHARS, SUMMARY_CHARS
 
@@ -439,40 +440,43 @@ class EventLog(Fold):
 
 
 class Schedules(StatefulProcessor):
-    """Fires each schedule (key id; submitted_us, due_us) once: at its time by a timer, or at once if that was
-    past when it came in. A repeated id changes nothing. Times are microseconds since 1970, so no zone
-    touches them here."""
+    """Fires schedules (key due_us, bucket; id, submitted_us): at their time by a timer, or at once if that was past
+    when they came in. Those of one time wait in one list with one timer, so state calls follow times,
+    not schedules. Times are microseconds since 1970, so no zone touches them here."""
 
     columns = "due_us bigint, fire_us bigint"
+    #: Parts of the schedules of one time, and how many are put out at once.
+    buckets, at_once = 8, 10_000
 
-    def __init__(self, timed: bool = False):
-        self.timed = timed
+    def __init__(self, kind: str, timed: bool = False):
+        self.kind, self.timed = kind, timed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.value = handle.getValueState("due", StructType([StructField("due", LongType()), StructField("submitted", LongType()), StructField("fired", LongType())]))
+        self.pending = handle.getListState("pending", f"id {self.kind}, submitted bigint")
 
     def _now(self, timerValues: Any) -> int:
         return timerValues.getCurrentWatermarkInMs() if self.timed else timerValues.getCurrentProcessingTimeInMs()
 
-    def _fire(self, key: Any, due: int, at: int) -> pd.DataFrame:
-        self.value.update((due, None, at))
-        return pd.DataFrame({"id": [key[0]], "due_us": [due], "fire_us": [at]})
+    def _fired(self, due: int, ids: Any, submitted: Any) -> pd.DataFrame:
+        return pd.DataFrame({"id": ids, "due_us": due, "fire_us": [max(due, int(s)) for s in submitted]})
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        first = next((r for batch in rows for r in batch.itertuples(index=False)), None)
-        if first is None or self.value.exists():
-            return
-        due, submitted = int(first.due_us), int(first.submitted_us)
-        if due <= self._now(timerValues) * 1000:
-            yield self._fire(key, due, max(due, submitted))
-        else:
-            self.value.update((due, submitted, None))
+        due, waits = int(key[0]), False
+        past = due <= self._now(timerValues) * 1000
+        for batch in rows:
+            if past:
+                yield self._fired(due, batch["id"], batch["submitted_us"])
+            elif len(batch):
+                self.pending.appendList(list(zip(batch["id"].tolist(), batch["submitted_us"].tolist(), strict=True)))
+                waits = True
+        if waits:
             self.handle.registerTimer(-(-due // 1000))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        due, submitted, _ = self.value.get()
-        yield self._fire(key, int(due), max(int(due), int(submitted)))
+        for some in batched(self.pending.get(), self.at_once):
+            yield self._fired(int(key[0]), [r[0] for r in some], [r[1] for r in some])
+        self.pending.clear()
 
     def close(self) -> None:
         pass
@@ -490,7 +494,9 @@ def stream_schedules(schedules: DataFrame, time: str | None = None, delay: str =
     if time is not None:
         schedules = _marked(schedules, time, delay)
     micros = (F.coalesce(F.unix_micros(F.col(c).cast("timestamp")), F.lit(0)).alias(f"{c}_us") for c in ("due", "submitted"))
-    rows = schedules.where("due IS NOT NULL").select("id", *micros)
+    # a repeated id changes nothing
+    rows = schedules.where("due IS NOT NULL").select("id", *micros).dropDuplicates(["id"])
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(Schedules.buckets)).cast("int"))
     kind = schedules.schema["id"].dataType.simpleString()
-    fired = rows.groupBy("id").transformWithStateInPandas(Schedules(time is not None), f"id {kind}, {Schedules.columns}", "Append", "EventTime" if time is not None else "ProcessingTime")
+    fired = rows.groupBy("due_us", "bucket").transformWithStateInPandas(Schedules(kind, time is not None), f"id {kind}, {Schedules.columns}", "Append", "EventTime" if time is not None else "ProcessingTime")
     return fired.select("id", F.timestamp_micros("due_us").alias("due"), F.timestamp_micros("fire_us").alias("fire_ts"))

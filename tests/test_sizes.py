@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chatloom.plans import catalogue
 from chatloom.sources import io
+from chatloom.streaming import processors
 
 
 def _against_sql(spark, folder, name: str) -> list[tuple]:
@@ -46,3 +47,18 @@ def test_files_are_written_by_many_tasks(spark, tmp_path):
     io.write_files(rows.where("id < 3").withColumn("value", F.lit("new")), path, "id", mode="overwrite")
     back = {r.id: r.value for r in spark.read.text(path, wholetext=True).collect()}
     assert len(back) == 200 and back[2] == "new\n" and back[3] == "v3\n"
+
+
+def test_schedules_of_one_time_share_state(spark, tmp_path):
+    """Thousands of schedules for two times are a few keys, not one each; repeated ids fire once."""
+    rows = spark.range(4000).select("id", F.lit("2024-01-01").cast("timestamp").alias("submitted"), F.when(F.col("id") % 2 == 0, "2024-01-01 10:00:00").otherwise("2024-01-03 10:00:00").cast("timestamp").alias("due"))
+    rows.union(rows).coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.range(1).select(F.lit(-1).cast("long").alias("id"), F.lit("2024-01-02").cast("timestamp").alias("submitted"), F.lit("2025-01-01").cast("timestamp").alias("due")).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    run = processors.stream_schedules(source, "submitted", "0 seconds").writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    run = run.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(r.id for r in got) == list(range(0, 4000, 2))
+    held = spark.read.format("statestore").option("path", str(tmp_path / "cp")).option("operatorId", 0).option("stateVarName", "pending").load()
+    assert held.select("key").distinct().count() <= processors.Schedules.buckets + 1
