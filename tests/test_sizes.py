@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from chatloom.operators import routing
 from chatloom.plans import catalogue
 from chatloom.sources import io
 from chatloom.streaming import processors
@@ -62,3 +63,20 @@ def test_schedules_of_one_time_share_state(spark, tmp_path):
     assert sorted(r.id for r in got) == list(range(0, 4000, 2))
     held = spark.read.format("statestore").option("path", str(tmp_path / "cp")).option("operatorId", 0).option("stateVarName", "pending").load()
     assert held.select("key").distinct().count() <= processors.Schedules.buckets + 1
+
+
+def _catalog(spark, n: int):
+    items = spark.range(n).coalesce(1).select(F.lit("d").alias("domain"), F.when(F.col("id") % 2 == 0, "skill").otherwise("tool").alias("kind"), F.col("id").alias("pos"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"))
+    return items.withColumn("required_tools", F.array(F.concat(F.lit("n"), (F.col("pos") + 1).cast("string")), F.lit("nobody")))
+
+
+def test_large_domain_is_the_work_of_many_tasks(spark):
+    """Turns that select all of one domain of 2,500 items; with the tools that named skills require."""
+    items = _catalog(spark, 2500)
+    replies = spark.range(20).coalesce(1).select(F.col("id").alias("turn_id"), F.lit("d").alias("domain"), F.when(F.col("id") < 4, F.concat(F.lit('["n'), (2 * F.col("id")).cast("string"), F.lit('"]'))).otherwise("all").alias("reply"))
+    got = routing.select_routed(replies, items).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.turn_id, r.pos) for r in got) == sorted([(i, 2 * i) for i in range(4)] + [(i, k) for i in range(4, 20) for k in range(2500)])
+    assert len({r.task for r in got if r.turn_id >= 4}) > 1
+    whole = routing.add_required_tools(routing.select_routed(replies, items), items).collect()
+    both = routing.select_with_tools(replies, items).collect()
+    assert sorted(map(str, both)) == sorted(map(str, whole)) and len(both) == len(got) + 4
