@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from chatloom.operators import routing
+from chatloom.operators import hooks, routing
 from chatloom.plans import catalogue
 from chatloom.sources import io
 from chatloom.streaming import processors
@@ -80,3 +80,23 @@ def test_large_domain_is_the_work_of_many_tasks(spark):
     whole = routing.add_required_tools(routing.select_routed(replies, items), items).collect()
     both = routing.select_with_tools(replies, items).collect()
     assert sorted(map(str, both)) == sorted(map(str, whole)) and len(both) == len(got) + 4
+
+
+def test_batches_of_long_prompts_are_bounded(spark, tmp_path, monkeypatch):
+    """A hundred prompts of a million letters don't stand in one batch of a Python worker."""
+    log = str(tmp_path / "sizes")
+
+    def noted(fn, failed):
+        def run(batches):
+            for batch in batches:
+                with open(log, "a") as f:
+                    f.write(f"{batch.str.len().sum()}\n")
+                yield batch.map(fn)
+
+        return run
+
+    monkeypatch.setattr(hooks, "_per_row", noted)
+    prompts = spark.range(100).coalesce(1).select(F.col("id").alias("turn_id"), F.lit("d").alias("domain"), F.repeat(F.lit("x"), F.lit(1_000_000)).alias("routing_prompt"))
+    assert hooks.routed(prompts, lambda p: f'["n{len(p) % 7}"]', _catalog(spark, 5)).count() == 100
+    sizes = [int(x) for x in open(log)]
+    assert sum(sizes) == 100_000_000 and max(sizes) < 50_000_000
