@@ -3,9 +3,9 @@
 Each processor is a small fold: rows of a key in order of ``seq`` go through ``step`` with the key's
 state. On the same rows the result equals the batch operator's, in whatever order they arrive:
 
-* With a ``time`` column and a ``delay`` rows wait in a reorder buffer, a list in Spark's state store (RocksDB).
-  When the watermark passes a row's time, by a batch or by an event-time timer, it is released, in
-  order of seq with all others that are due. ``closing`` ends the input of a stream that is to be run to its end.
+* With a ``time`` column and a ``delay`` rows wait in a reorder buffer in Spark's state store (RocksDB), in pages of
+  neighbouring times, of which a release reads those that are due. When the watermark passes a row's time, by a
+  batch or by an event-time timer, it is released, in order of seq with all others that are due. ``closing`` ends the input of a stream that is to be run to its end.
 * With ``hold_ms`` rows wait for so long after they came in (processing time).
 * With neither, rows are sorted within a micro-batch and go through at once.
 
@@ -13,8 +13,9 @@ What comes too late, at or below the last seq of its key that went through, chan
 lost: it comes out as a row of its own, with late_seq and late_row (the row as JSON). ``on_time`` and
 ``too_late`` separate the two.
 
-State follows new rows: small values are one JSON text a key; tokens and the event log are a list and a map
-in the state store, so a batch writes what it brought, not what there was. Idle keys can be given a time to
+State follows new rows: small values, the event log among them, are one JSON text a key; tokens are parts in the
+state store, so a batch writes what it brought, not what there was. Keys are dealt into buckets: calls of the
+state store are one or two a key and batch, and Python gets and gives thousands of rows at once. Idle keys can be given a time to
 live (``ttl_ms``, without a watermark).
 """
 
@@ -23,8 +24,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
-from itertools import batched
+from collections.abc import Iterable, Iterator
+from itertools import batched, chain
 from types import SimpleNamespace
 from typing import Any
 
@@ -44,11 +45,17 @@ LATE = "late_seq bigint, late_row string"
 #: The time of the row that ends a stream's input.
 END = "9999-01-01 00:00:00"
 _NO_SEQ = -(1 << 63)
+#: Groups of keys that share a timer and travel together; fixed, as the state in a checkpoint goes by them.
+BUCKETS = 1024
 Row = Any
 
 
 class Fold(StatefulProcessor):
-    """Runs ``step(state, row)``, which yields output rows without the key, over a key's rows in order."""
+    """Runs ``step(state, row)``, which yields output rows without the key, over a key's rows in order.
+
+    Spark's grouping key is a bucket of keys, so timers and batches of rows go by bucket; a key costs a
+    batch one read and one write of its state.
+    """
 
     #: Output columns after the key, as DDL.
     columns = ""
@@ -58,6 +65,8 @@ class Fold(StatefulProcessor):
     fields: tuple[str, ...] = ()
     timed = False
     hold_ms: int | None = None
+    #: Rows that wait in one value of the state store, and rows that are put out at once.
+    page_rows, at_once = 1_000, 10_000
 
     def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
@@ -71,89 +80,127 @@ class Fold(StatefulProcessor):
     def open(self, handle: StatefulProcessorHandle) -> None:
         """Further state of a fold."""
 
-    def save(self, state: dict) -> None:
+    def save(self, key: str | None, state: dict) -> None:
         """Called after a key's rows: writes what ``step`` has gathered for further state."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.value = handle.getValueState("state", StructType([StructField("json", StringType())]), self.ttl_ms)
-        if self.timed or self.hold_ms is not None:
-            self.buffer = handle.getListState("buffer", "seq bigint, at bigint, row string", self.ttl_ms)
+        self.value = handle.getMapState("state", "key string", "json string", self.ttl_ms)
+        self.waits = self.timed or self.hold_ms is not None
+        if self.waits:
+            self.index = handle.getValueState("index", "json string")
+            self.pages = handle.getMapState("pages", "page bigint", "json string", self.ttl_ms)
         self.open(handle)
 
-    def _load(self) -> dict:
-        held = json.loads(self.value.get()[0]) if self.value.exists() else {"last": None, "x": self.start()}
-        return {"low": None, "timer": None} | held
-
     def _limit(self, now: Any) -> int:
         """Rows with times up to here are due."""
         return now.getCurrentWatermarkInMs() if self.timed else now.getCurrentProcessingTimeInMs() - self.hold_ms
 
-    def _late(self, key: Any, seq: int, row: str) -> tuple:
-        return (*key, *[None] * (len(self.names) - len(key) - 2), None if seq == _NO_SEQ else seq, row)
-
-    def _through(self, key: Any, state: dict, rows: list[tuple[int, str]]) -> Iterator[tuple]:
-        """``rows`` (seq, JSON) through the fold in order."""
-        for seq, row in sorted(rows, key=lambda r: r[0]):
-            if state["last"] is not None and seq <= state["last"]:
-                yield self._late(key, seq, row)
-                continue
-            state["last"] = seq
-            values = SimpleNamespace(**dict.fromkeys(self.fields) | json.loads(row), seq=seq)
-            for x in self.step(state["x"], values):
-                yield (*key, *x, None, None)
-
-    def _release(self, key: Any, state: dict, now: Any) -> Iterator[tuple]:
-        limit = self._limit(now)
-        if state["low"] is None or state["low"] > limit:
-            return
-        held = [tuple(row) for row in self.buffer.get()]
-        # Whatever comes before a row that is due goes with it.
-        upto = max(row[0] for row in held if row[1] <= limit)
-        due, rest = [row for row in held if row[0] <= upto], [row for row in held if row[0] > upto]
-        self.buffer.put(rest) if rest else self.buffer.clear()
-        state["low"] = min((r[1] for r in rest), default=None)
-        yield from self._through(key, state, [(int(r[0]), r[2]) for r in due])
-
-    def _close(self, state: dict, out: list[tuple]) -> Iterator[pd.DataFrame]:
-        """Sets the timer for what waits longest, and writes the state."""
-        wanted = None if state["low"] is None else state["low"] + (0 if self.timed else self.hold_ms)
-        if wanted != state["timer"]:
-            if state["timer"] is not None:
-                self.handle.deleteTimer(state["timer"])
+    def _late(self, key: str | None, seq: int, row: str) -> tuple:
+        return (key, *[None] * (len(self.names) - 3), None if seq == _NO_SEQ else seq, row)
+
+    def _through(self, rows: list[tuple]) -> Iterator[tuple]:
+        """``rows`` (key, seq, at, JSON) of a bucket through the fold, each key's in order."""
+        keys: dict[str | None, list[tuple]] = {}
+        for row in rows:
+            keys.setdefault(row[0], []).append(row)
+        known = bool(keys) and self.value.exists()
+        for key, its in keys.items():
+            held = self.value.getValue((key,)) if known else None
+            self.key, state = key, {"last": None, "x": self.start()} if held is None else json.loads(held[0])
+            for _, seq, _, row in sorted(its, key=lambda r: r[1]):
+                if state["last"] is not None and seq <= state["last"]:
+                    yield self._late(key, seq, row)
+                    continue
+                state["last"] = seq
+                values = SimpleNamespace(**dict.fromkeys(self.fields) | json.loads(row), seq=seq)
+                for x in self.step(state["x"], values):
+                    yield (key, *x, None, None)
+            self.save(key, state["x"])
+            self.value.updateValue((key,), (json.dumps(state),))
+
+    def _keep(self, index: dict, rows: list[tuple]) -> None:
+        """Rows that wait, in pages of neighbouring times."""
+        rows.sort(key=lambda r: r[2])
+        for page in batched(rows, self.page_rows):
+            self.pages.updateValue((index["next"],), (json.dumps(page),))
+            index["pages"].append([index["next"], page[0][2]])
+            index["next"] += 1
+
+    def _read(self, index: dict, upto: int | None) -> list[tuple]:
+        """Takes the pages that have times up to ``upto`` (None: all) out of the store."""
+        taken, rows = [p for p, low in index["pages"] if upto is None or low <= upto], []
+        for p in taken:
+            page = self.pages.getValue((p,))
+            rows += [] if page is None else map(tuple, json.loads(page[0]))  # None: its time to live is over
+            self.pages.removeKey((p,))
+        index["pages"] = [x for x in index["pages"] if x[0] not in set(taken)]
+        return rows
+
+    def _release(self, index: dict, fresh: list[tuple], limit: int) -> list[tuple]:
+        """What is due of ``fresh`` and of the pages; the rest waits.
+
+        Whatever comes before a row that is due goes with it. Times rise with seq, so this is due itself, but
+        if a row has no time (0) or times are those of arrival: then all that waits is looked at.
+        """
+        due = any(r[2] <= limit for r in fresh) or any(low <= limit for _, low in index["pages"])
+        if not due:
+            self._keep(index, fresh)
+            return []
+        rows = fresh + self._read(index, limit if self.timed and all(r[2] > 0 for r in fresh) else None)
+        upto: dict[str | None, int] = {}
+        for key, seq, at, _ in rows:
+            if at <= limit:
+                upto[key] = max(seq, upto.get(key, _NO_SEQ))
+        self._keep(index, [r for r in rows if r[1] > upto.get(r[0], _NO_SEQ)])
+        return [r for r in rows if r[1] <= upto.get(r[0], _NO_SEQ)]
+
+    def _close(self, index: dict) -> None:
+        """Sets the timer for what waits longest, and writes the index of pages."""
+        low = min((low for _, low in index["pages"]), default=None)
+        wanted = None if low is None else low + (0 if self.timed else self.hold_ms)
+        if wanted != index["timer"]:
+            if index["timer"] is not None:
+                self.handle.deleteTimer(index["timer"])
             if wanted is not None:
                 self.handle.registerTimer(wanted)
-            state["timer"] = wanted
-        self.save(state["x"])
-        self.value.update((json.dumps(state),))
-        if out:
-            yield pd.DataFrame(out, columns=self.names, dtype=object)
+            index["timer"] = wanted
+        self.index.update((json.dumps(index),))
+
+    def _index(self) -> dict:
+        held = self.index.get()
+        return {"timer": None, "next": 0, "pages": []} if held is None else json.loads(held[0])
+
+    def _out(self, rows: Iterable[tuple]) -> Iterator[pd.DataFrame]:
+        for some in batched(rows, self.at_once):
+            yield pd.DataFrame(some, columns=self.names, dtype=object)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        state = self._load()
-        waits, now = self.timed or self.hold_ms is not None, 0 if self.timed or self.hold_ms is None else timerValues.getCurrentProcessingTimeInMs()
-        out, fresh = [], []
+        now = timerValues.getCurrentProcessingTimeInMs() if self.hold_ms is not None else 0
+        late, fresh = [], []
         for batch in rows:
-            new = []
             times = batch["at_ms"] if self.timed else [now] * len(batch)
-            for seq, at, row in zip(batch["seq"], times, batch["row_json"], strict=True):
-                if seq == _NO_SEQ or (state["last"] is not None and seq <= state["last"]):
-                    out.append(self._late(key, int(seq), row))
+            for k, seq, at, row in zip(batch["key_text"], batch["seq"], times, batch["row_json"], strict=True):
+                if seq == _NO_SEQ:
+                    late.append(self._late(k, _NO_SEQ, row))
                 else:
-                    new.append((int(seq), int(at), row))
-            if waits and new:
-                self.buffer.appendList(new)
-                low = min(r[1] for r in new)
-                state["low"] = low if state["low"] is None else min(state["low"], low)
-            elif new:
-                fresh += [(r[0], r[2]) for r in new]
-        out += self._release(key, state, timerValues) if waits else self._through(key, state, fresh)
-        yield from self._close(state, out)
+                    fresh.append((k, int(seq), int(at), row))
+        if self.hold_ms is not None:
+            last = {k: json.loads(held[0])["last"] for k in {r[0] for r in fresh} if (held := self.value.getValue((k,))) is not None}
+            late += [self._late(r[0], r[1], r[3]) for r in fresh if r[1] <= last.get(r[0], _NO_SEQ)]
+            fresh = [r for r in fresh if r[1] > last.get(r[0], _NO_SEQ)]
+        if self.waits:
+            index = self._index()
+            fresh = self._release(index, fresh, self._limit(timerValues))
+            self._close(index)
+        yield from self._out(chain(late, self._through(fresh)))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        state = self._load()
-        state["timer"] = None  # it has gone off
-        yield from self._close(state, list(self._release(key, state, timerValues)))
+        index = self._index()
+        index["timer"] = None  # it has gone off
+        due = self._release(index, [], self._limit(timerValues))
+        self._close(index)
+        yield from self._out(self._through(due))
 
     def close(self) -> None:
         pass
@@ -180,16 +227,17 @@ def run_fold(df: DataFrame, key: str, fold: Fold, names: list[str], time: str |
     fold.timed, fold.hold_ms = time is not None, hold_ms
     if fold.timed and (delay is None or hold_ms is not None or fold.ttl_ms):
         raise ValueError("a time needs a delay, and neither hold_ms nor ttl_ms")
-    fold.names = (key, *(c.split()[0] for c in fold.columns.split(", ")), "late_seq", "late_row")
+    fold.names = ("key_text", *(c.split()[0] for c in fold.columns.split(", ")), "late_seq", "late_row")
     row = F.to_json(F.struct(*fold.fields)) if fold.fields else F.lit("{}")
-    columns = [F.col(key), F.coalesce("seq", F.lit(_NO_SEQ)).cast("long").alias("seq"), row.alias("row_json")]
+    text = F.col(key).cast("string")
+    columns = [F.pmod(F.xxhash64(text), F.lit(BUCKETS)).cast("int").alias("bucket"), text.alias("key_text"), F.coalesce("seq", F.lit(_NO_SEQ)).cast("long").alias("seq"), row.alias("row_json")]
     mode = "ProcessingTime" if fold.ttl_ms or hold_ms is not None else "None"
     if fold.timed:
         mode = "EventTime"
         df = _marked(df, time, delay)
         columns.append(F.coalesce(F.unix_millis(F.col(time).cast("timestamp")), F.lit(0)).alias("at_ms"))
-    out = df.select(*columns).groupBy(key).transformWithStateInPandas(fold, f"`{key}` {kind}, {fold.columns}, {LATE}", "Append", mode)
-    return out.toDF(key, *names, "late_seq", "late_row")
+    out = df.select(*columns).groupBy("bucket").transformWithStateInPandas(fold, f"key_text string, {fold.columns}, {LATE}", "Append", mode)
+    return out.toDF(key, *names, "late_seq", "late_row").withColumn(key, F.col(key).cast(kind))
 
 
 def on_time(out: DataFrame) -> DataFrame:
@@ -228,24 +276,26 @@ class Sessions(Fold):
     columns = "seq bigint, tokens string, done string, error string"
 
     def start(self) -> dict:
-        return {"stored": False, "done": False, "error": None, "gone": False}
+        return {"parts": [0, 0], "done": False, "error": None, "gone": False}
 
     def open(self, handle: StatefulProcessorHandle) -> None:
-        self.tokens = handle.getListState("tokens", "token string", self.ttl_ms)
+        self.tokens = handle.getMapState("tokens", "key string, part bigint", "json string", self.ttl_ms)
         self.fresh: list[str] = []
 
-    def save(self, state: dict) -> None:
-        """Tokens that no poll has taken join those in the store."""
-        if self.fresh:
-            self.tokens.appendList([(t,) for t in self.fresh])
-            state["stored"] = True
+    def save(self, key: str | None, state: dict) -> None:
+        """Tokens that no poll has taken join those in the store, as a part of their own."""
+        for some in batched(self.fresh, self.page_rows):
+            self.tokens.updateValue((key, state["parts"][1]), (json.dumps(some),))
+            state["parts"][1] += 1
         self.fresh = []
 
     def _taken(self, state: dict) -> list[str]:
-        stored = [t for (t,) in self.tokens.get()] if state["stored"] else []
-        if state["stored"]:
-            self.tokens.clear()
-        stored, self.fresh, state["stored"] = stored + self.fresh, [], False
+        stored = []
+        for part in range(*state["parts"]):
+            held = self.tokens.getValue((self.key, part))
+            stored += [] if held is None else json.loads(held[0])
+            self.tokens.removeKey((self.key, part))
+        stored, self.fresh, state["parts"] = stored + self.fresh, [], [state["parts"][1]] * 2
         return stored
 
     def step(self, state: dict, row: Row) -> Iterator[tuple]:
@@ -413,28 +463,20 @@ class ThinkFilter(Fold):
 class EventLog(Fold):
     """The last 50 iterations: for each new one its position, and the one that it pushes out.
 
-    The log is a ring in the state store: iteration n stands in slot n modulo 50."""
+    The log is a ring in the key's state: iteration n stands in slot n modulo 50."""
 
     columns = "iteration bigint, position bigint, dropped bigint"
     kept = 50
 
     def start(self) -> dict:
-        return {"n": 0}
-
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.ring = handle.getMapState("ring", "slot int", "seq bigint", self.ttl_ms)
-        self.fresh: dict[int, int] = {}
-
-    def save(self, state: dict) -> None:
-        for slot, seq in self.fresh.items():
-            self.ring.updateValue((slot,), (seq,))
-        self.fresh = {}
+        return {"n": 0, "ring": []}
 
     def step(self, state: dict, row: Row) -> Iterator[tuple]:
-        slot, dropped = state["n"] % self.kept, None
-        if state["n"] >= self.kept:
-            dropped = self.fresh[slot] if slot in self.fresh else int(self.ring.getValue((slot,))[0])
-        self.fresh[slot] = row.seq
+        ring, slot, dropped = state["ring"], state["n"] % self.kept, None
+        if len(ring) < self.kept:
+            ring.append(row.seq)
+        else:
+            dropped, ring[slot] = ring[slot], row.seq
         state["n"] += 1
         yield row.seq, min(state["n"], self.kept), dropped
 

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chatloom.operators import lifecycle
+from chatloom.sources import polls
 from chatloom.streaming import processors as p
 from chatloom.streaming import runs
 
@@ -167,3 +168,34 @@ def test_schedules_in_any_zone(spark, tmp_path, zone, timed):
         assert dict((i, d) for i, d, _ in rows).get(0) in (None, "2023-01-01 00:30")
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_a_release_leaves_what_waits(spark, tmp_path):
+    """Ten thousand rows of 2,500 keys wait; a batch that makes a few due writes a few pages, not all that waits."""
+    path, n = str(tmp_path / "in"), 10_000
+    schema = "k long, seq long, at timestamp, ignored string"
+    rows = spark.range(n).select((F.col("id") % 2500).alias("k"), "id", F.timestamp_seconds(F.col("id") + 1000), F.lit("x")).toDF(*(c.split()[0] for c in schema.split(", ")))
+    rows.coalesce(1).write.parquet(path)
+    result = p.run_fold(spark.readStream.schema(schema).parquet(path), "k", p.EventLog(), ["n", "position", "dropped"], "at", f"{n - 10} seconds")
+
+    def updated(progress):
+        return sum(o["numRowsUpdated"] for x in progress for o in x["stateOperators"])
+
+    def put_one(i):
+        put(spark, path, [(i, i, datetime.datetime.fromtimestamp(i + 1000), "x")], schema)
+
+    run(result, str(tmp_path))
+    put_one(n)
+    assert updated(run(result, str(tmp_path))) < n / 10
+    got = spark.read.schema(result.schema).parquet(str(tmp_path / "out"))
+    assert sorted(r.n for r in got.collect()) == list(range(11)) and got.schema["k"].dataType.simpleString() == "bigint"
+    held = spark.read.format("statestore").option("path", str(tmp_path / "out-cp")).option("operatorId", 0).option("stateVarName", "index").load()
+    assert held.select("key").distinct().count() <= p.BUCKETS
+
+
+def test_polls_are_dealt_out(spark, tmp_path):
+    """A tick meets 4,000 polled rows in many tasks."""
+    rows = polls.poll(spark, spark.range(4000).repartition(4), lambda i, tick: f"{i % 7} {tick}", "id", first=1, last=1, missed="replay").withColumn("task", F.spark_partition_id())
+    run(rows, str(tmp_path))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.select("id", "tick").distinct().count() == got.count() == 4000 and got.select("task").distinct().count() > 1
