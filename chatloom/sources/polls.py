@@ -77,6 +77,6 @@ def poll(spark: SparkSession, polled: DataFrame, capture_fn: Callable[..., str |
     """
     spark.dataSource.register(Polls)
     ticks = spark.readStream.format(Polls.name()).options(**options).load()
-    # One row a tick meets all that is polled: that is what a tick is.
-    due = ticks.withColumn("_all", F.lit(1)).join(polled.withColumn("_all", F.lit(1)), "_all").drop("_all")
+    # One row a tick meets all that is polled: that is what a tick is. The ticks go to where the polled rows are.
+    due = polled.crossJoin(F.broadcast(ticks))
     return captured(due, capture_fn, key, "tick").drop("stdout", "stderr", "exit_code")
