@@ -23,10 +23,13 @@ def _raw(fields: Column, names: tuple[str, ...]) -> Column:
     return F.coalesce(*(F.try_element_at(fields, F.lit(n)) for n in names))
 
 
-def _value(v: Column) -> Column:
-    """A JSON value as its JSON text (json) and, of a string, the string (text), else the same."""
-    json = F.to_json(v)
-    return F.struct(json.alias("json"), F.when(json.startswith('"'), F.try_variant_get(v, "$", "string")).otherwise(json).alias("text"))
+def _shown(v: Column) -> Column:
+    return F.struct(v.alias("v"), F.to_json(v).alias("json"))
+
+
+def _value(x: Column) -> Column:
+    """Of ``_shown``: the JSON text (json) and, of a string, the string (text), else the same."""
+    return F.struct(x["json"].alias("json"), F.when(x["json"].startswith('"'), F.try_variant_get(x["v"], "$", "string")).otherwise(x["json"]).alias("text"))
 
 
 def _kind(raw: Column) -> Column:
@@ -75,13 +78,15 @@ def _cap(raw: Column) -> Column:
 
 def _fields(payload: Column) -> Column:
     """The payload's fields; null if it is no JSON object."""
-    return F.transform_values(F.from_json(payload, "map<string,variant>"), lambda _, v: _value(v))
+    # in two steps, as a lambda works out each mention of a value anew
+    return F.transform_values(F.transform_values(F.from_json(payload, "map<string,variant>"), lambda _, v: _shown(v)), lambda _, x: _value(x))
 
 
 def _once(rows: DataFrame, value: Column, name: str) -> DataFrame:
     """Adds a column that is computed once a row: explode stands between it and those who use it, so
-    the optimizer does not copy the expression into each of them."""
-    return rows.select("*", F.explode(F.array(value)).alias(name))
+    the optimizer does not copy the expression into each of them. The value is computed below the explode, in a
+    projection, which is compiled and computes common parts once; a generator's argument may be interpreted."""
+    return rows.withColumn("_once", value).select(*rows.columns, F.explode(F.array("_once")).alias(name))
 
 
 def _all(*conditions: Column) -> Column:
@@ -113,15 +118,20 @@ def normalise_project_state(snapshots: DataFrame) -> DataFrame:
     """Valid project states: goal, constraints, tasks (array of id, title, done), log, extras."""
     rows = _once(snapshots, _fields(F.col("payload")), "_f")
     f = F.col("_f")
-    raw = F.transform(F.from_json(_raw(f, ("tasks",))["json"], "array<map<string,variant>>"), lambda t: F.transform_values(t, lambda _, v: _value(v)))
-    rows = _once(rows, raw, "_raw_tasks")
+    parts = {"id": ("id",), "title": ("title",), "done": DONE}
+
+    def each_part(tasks: Column, make) -> Column:
+        return F.transform(tasks, lambda t: F.when(t.isNotNull(), F.struct(*(make(t, n).alias(n) for n in parts))))
+
+    found = each_part(F.from_json(_raw(f, ("tasks",))["json"], "array<map<string,variant>>"), lambda t, n: _raw(t, parts[n]))
+    shown = each_part(found, lambda t, n: F.when(t[n].isNotNull(), _shown(t[n])))
+    rows = _once(rows, each_part(shown, lambda t, n: F.when(t[n].isNotNull(), _value(t[n]))), "_raw_tasks")
 
     def task(each: Column) -> Column:
-        ident = F.try_element_at(each, F.lit("id"))
-        title, title_ok = _string(F.try_element_at(each, F.lit("title")))
-        done, done_ok = _flag(_raw(each, DONE))
-        text = strip(_text(ident))
-        return F.struct(text.alias("id"), title.alias("title"), done.alias("done"), _all(text != "", _kind(ident) != "null", title_ok, done_ok).alias("ok"))
+        title, title_ok = _string(each["title"])
+        done, done_ok = _flag(each["done"])
+        text = strip(_text(each["id"]))
+        return F.struct(text.alias("id"), title.alias("title"), done.alias("done"), _all(text != "", _kind(each["id"]) != "null", title_ok, done_ok).alias("ok"))
 
     empty = F.array().cast("array<struct<id:string,title:string,done:boolean,ok:boolean>>")
     rows = _once(rows, F.when(F.map_contains_key(f, "tasks"), F.transform("_raw_tasks", task)).otherwise(empty), "_tasks")

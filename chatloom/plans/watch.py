@@ -187,7 +187,7 @@ def loop_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {LOOPS} SELECT instance_id, seq, goal, action, array_to_string(criteria, ',') AS criteria, CAST(cap AS VARCHAR) AS max_iterations, it AS iterations, obs AS last_observation, ter AS terminated, reason AS termination_reason, 'score=' || k AS extras FROM loops""")
 def p8_normalise_loop_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     extras = F.array_join(F.transform(F.map_entries("extras"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
-    return loop_states(spark, sf_dir).withColumns({"criteria": F.array_join("exit_criteria", ","), "extras": extras, "max_iterations": F.col("max_iterations").cast("string")}).drop("exit_criteria")
+    return dealt_loops(spark, sf_dir).withColumns({"criteria": F.array_join("exit_criteria", ","), "extras": extras, "max_iterations": F.col("max_iterations").cast("string")}).drop("exit_criteria")
 
 
 def shown_loops(rows: DataFrame) -> DataFrame:

@@ -100,3 +100,11 @@ def test_batches_of_long_prompts_are_bounded(spark, tmp_path, monkeypatch):
     assert hooks.routed(prompts, lambda p: f'["n{len(p) % 7}"]', _catalog(spark, 5)).count() == 100
     sizes = [int(x) for x in open(log)]
     assert sum(sizes) == 100_000_000 and max(sizes) < 50_000_000
+
+
+def test_states_are_parsed_in_projections_of_many_tasks(spark, sf_dir):
+    """A table of one file is dealt out before its states are parsed; no generator, which may be interpreted, parses."""
+    for name in ("p8_normalise_loop_state", "p9_normalise_project_state"):
+        plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        parsing = [line for line in plan.splitlines() if "Generate explode(array(" in line]
+        assert "hashpartitioning(" in plan and len(parsing) > 1 and all("explode(array(_once#" in line for line in parsing)
