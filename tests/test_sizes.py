@@ -82,6 +82,25 @@ def test_large_domain_is_the_work_of_many_tasks(spark):
     assert sorted(map(str, both)) == sorted(map(str, whole)) and len(both) == len(got) + 4
 
 
+def test_prompts_of_a_domain_are_made_by_many_tasks(spark, tmp_path, monkeypatch):
+    """A file's turns of one large domain, some without a domain, some of a small one; a stream's turns too."""
+    monkeypatch.setattr(routing, "SLICE_BYTES", 1 << 20, raising=False)
+    items = _catalog(spark, 2500).withColumn("description", F.when(F.col("pos") != 7, F.repeat("name", F.lit(20))).otherwise(""))
+    items = items.unionByName(items.where("pos < 2").withColumn("domain", F.lit("e")))
+    domain = F.when(F.col("id") % 50 == 0, "e").when(F.col("id") % 50 == 1, "none").when(F.col("id") % 50 != 2, "d")
+    turns = spark.range(400).coalesce(1).select(F.col("id").alias("turn_id"), domain.alias("domain"), F.lit("go on").alias("request"), F.lit(None).cast("string").alias("summary"), F.lit("x").alias("last_exchange"))
+    got = routing.build_routing_prompts(turns, items).withColumn("task", F.spark_partition_id()).collect()
+    texts = {d: "\n".join(f"- [{kind.upper()}] n{i}: {'' if i == 7 else f'n{i}' * 20}" for kind in ("skill", "tool") for i in range(kind == "tool", n, 2)) for d, n in (("d", 2500), ("e", 2))}
+    want = {i: texts["e" if i % 50 == 0 else "d"] for i in range(400) if i % 50 not in (1, 2)}
+    assert {r.turn_id: r.routing_prompt for r in got} == {i: f'Last exchange:\nx\n\nUser request: "go on"\n\nAvailable skills and tools:\n{t}\n\n{routing.RULES}' for i, t in want.items()}
+    assert len(got) == len(want) and len({r.task for r in got if r.domain == "d"}) >= 4
+    turns.write.parquet(str(tmp_path / "turns"))
+    stream = routing.build_routing_prompts(spark.readStream.schema(turns.schema).parquet(str(tmp_path / "turns")), items)
+    run = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == len(want)
+
+
 def test_batches_of_long_prompts_are_bounded(spark, tmp_path, monkeypatch):
     """A hundred prompts of a million letters don't stand in one batch of a Python worker."""
     log = str(tmp_path / "sizes")
