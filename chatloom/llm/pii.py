@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,8 @@ NEAR = 5
 #: Normal quantile of the lower bound of P(e | t) (90 %, one-sided).
 BOUND_Z = 1.2816
 REMOVE_AT, GENERALISE_AT = 0.95, 0.90
+#: Hash ranges of texts, of 64, up to which each round of the count goes; what is known after it leaves terms out of the next.
+ROUNDS = (1, 8, 64)
 #: Size of the filter that tells which words may be disclosing terms (2 MB); its hits are joined exactly.
 FILTER_BITS = 1 << 24
 
@@ -148,8 +150,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _term_counts(docs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
-    """term and n, its occurrences in all texts. Words pass the filter of the terms first and are counted
-    by task, so what is shuffled is bounded by the terms and the tasks; the terms are joined at the end."""
+    """term and n, its occurrences in ``docs``. Words pass the filter of the terms first and are counted by task, so
+    what is shuffled is bounded by the terms and the tasks; a few words that pass by chance are counted as well."""
     bits = docs.sparkSession.sparkContext.broadcast(_filter(terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +182,24 @@ def _term_counts(docs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
         yield counted()
 
     rows = docs.select(F.col(text_col).alias("t")).mapInArrow(run, "term string, n long")
-    return rows.groupBy("term").agg(F.sum("n").alias("n_term")).join(terms, "term", "left_semi")
+    return rows.groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def _counted(docs: DataFrame, pairs: DataFrame, text_col: str, possible: Callable[[Column], Column]) -> DataFrame:
+    """``pairs`` that are possible, with n_term, the occurrences of their term in all texts.
+
+    The texts are counted in rounds, each text in one. A share only falls as its term's number grows, so pairs that are
+    not possible at the number reached after a round are not so in the end, and are left out. Frequent words are found
+    out in a small part of the corpus; those that are left are rare in it, so the rows that tasks report follow the
+    words near entities, not terms times tasks.
+    """
+    place = F.pmod(F.xxhash64(text_col), F.lit(ROUNDS[-1]))
+    pairs = pairs.withColumn("n_term", F.lit(0).cast("long"))
+    for begin, end in zip((0, *ROUNDS), ROUNDS, strict=False):
+        found = _term_counts(docs.where((place >= begin) & (place < end)), pairs.select("term").distinct(), text_col)
+        rows = pairs.join(found, "term", "left").withColumn("n_term", F.col("n_term") + F.coalesce("n", F.lit(0))).drop("n")
+        pairs = materialise(rows.where(possible(F.greatest("n_term", "n_least"))), "pairs")
+    return pairs
 
 
 def _filter(terms: DataFrame) -> np.ndarray:
@@ -244,8 +263,8 @@ def disclosing_spans(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id"
     ``scanned`` is what ``scan`` made of ``docs``. A word occurs at least as often as in the texts in which it was
     seen near entities, and its share of an entity's information falls with that number; words whose share cannot reach
     the threshold even so, such as those near many entities, are left out before the corpus is counted.
-    Counts of a task's piece are summed before they are shuffled. The tables of entities and terms are
-    broadcast only below Spark's size threshold.
+    The count goes in rounds, which leave out more of them by what the rounds before have counted. The tables of
+    entities and terms are broadcast only below Spark's size threshold.
     """
     near = scanned.where(F.size("near") > 0).select("i", "v", F.explode("near").alias("x")).select("i", "v", "x.*")
     contexts = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts"))
@@ -255,15 +274,16 @@ def disclosing_spans(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id"
     total = scanned.agg(F.sum("words")).first()[0] or 1
     content = -F.log2(F.col("n_entity") / F.lit(float(max(total, 2))))
 
-    def share(occurrences: str) -> Column:
-        rate = F.least(F.col("joint") / F.col(occurrences), F.lit(1.0))
+    def share(occurrences: Column) -> Column:
+        rate = F.least(F.col("joint") / occurrences, F.lit(1.0))
         return 1 + F.log2(_lower_bound(rate, F.col("contexts") / rate)) / content
 
-    possible = contexts.join(joint, ["entity", "term"]).join(seen, "term").join(entities, "entity").where(share("n_least") >= GENERALISE_AT - 1e-9)
-    pairs = materialise(possible.drop("n_least"), "pairs")
-    terms = materialise(pairs.select("term").distinct(), "terms")
-    counted = _term_counts(docs, terms, text_col)
-    telling = pairs.join(counted, "term").withColumn("share", share("n_term")).where(F.col("share") >= GENERALISE_AT)
+    def possible(occurrences: Column) -> Column:
+        return share(occurrences) >= GENERALISE_AT - 1e-9
+
+    pairs = contexts.join(joint, ["entity", "term"]).join(seen, "term").join(entities, "entity").where(possible(F.col("n_least")))
+    counted = _counted(docs, materialise(pairs, "pairs"), text_col, possible)
+    telling = counted.withColumn("share", share(F.nullif("n_term", F.lit(0)))).where(F.col("share") >= GENERALISE_AT)
     kind = F.when(F.col("share") >= REMOVE_AT, "term_removed").otherwise("term_generalised")
     telling = materialise(telling.groupBy("term").agg(F.max(kind).alias("kind")), "telling")
     marked = occurrences(docs, telling, id_col, text_col).groupBy("i", "v", "start", "end").agg(F.max("kind").alias("kind"))

@@ -22,3 +22,19 @@ def test_terms_of_rare_entities(spark):
     rows = FILLER + ["the day Quenby was in town for rare@corp.com and everyone was mild"]
     clean = pii.sanitise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).where("doc_id = 3000").first().text
     assert clean == "the day [WORD] was in town for [EMAIL] and everyone was mild"
+
+
+def test_frequent_words_leave_the_count_early(spark, monkeypatch):
+    """Each text is counted in one round, and the last round asks for no word that a part of the texts has shown to be frequent."""
+    asked, count = [], pii._term_counts
+
+    def noted(docs, terms, text_col):
+        asked.append((docs.count(), {r.term for r in terms.collect()}))
+        return count(docs, terms, text_col)
+
+    monkeypatch.setattr(pii, "_term_counts", noted)
+    rows = [*FILLER, "the day Quenby was in town for rare@corp.com and everyone was mild", None]
+    found = pii.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).where("doc_id = 3000").first()
+    assert [(s.kind, s.start) for s in found.spans if s.kind not in pii.KINDS] == [("term_generalised", 8)]
+    assert sum(n for n, _ in asked) == len(rows) and asked[0][1] >= {"town", "mild", "quenby"}
+    assert asked[-1][1] == {"quenby"}
