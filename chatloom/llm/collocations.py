@@ -27,7 +27,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, pieces, texts_of
+from .common import batches_of, materialise, pieces, texts_of
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: A candidate goes if a longer one that holds it has at least this share, in percent, of its occurrences.
@@ -36,6 +36,9 @@ COVERED = 100
 SHARD = 1 << 18
 #: Bytes of text whose words are hashed at once.
 CHUNK = 1 << 20
+#: Bytes of text that become one array, of an Arrow batch and of a row group of arrays, and most rows that Python gives back at
+#: once: a task's memory goes by these, not by the bytes of its partition.
+PIECE, BATCH, GROUP, ROWS = 1 << 20, 2 << 20, 8 << 20, 1 << 15
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
 _KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
@@ -91,7 +94,7 @@ def word_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             langs = texts_of(batch, "lang")
             found = Words(texts_of(batch, "text"), langs)
             if not len(found.begin):
@@ -160,7 +163,7 @@ def encode(docs: DataFrame, vocabulary: DataFrame, count: int, size: int = SHARD
                     if not first:
                         yield from (np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("codes"))
                         continue
-                    for piece in pieces(iter([batch]), "text"):
+                    for piece in pieces(iter([batch]), "text", PIECE):
                         found = Words(texts_of(piece, "text"), texts_of(piece, "lang"))
                         # a zero before each word that starts a piece
                         yield np.insert(found.hash, np.flatnonzero(found.starts), np.uint64(0))
@@ -175,7 +178,7 @@ def encode(docs: DataFrame, vocabulary: DataFrame, count: int, size: int = SHARD
                 if codes.any():
                     yield pa.RecordBatch.from_arrays([pa.array([codes.tobytes()], pa.binary())], names=["codes"])
 
-        out = materialise(out.mapInArrow(run, "codes binary"), "codes")
+        out = materialise(out.mapInArrow(run, "codes binary"), "codes", GROUP)
     return out
 
 
@@ -303,8 +306,10 @@ def _pass(blobs: DataFrame, trie: Broadcast | None, offset: int, length: int, la
                     yield out(1, codes=pa.array([codes.tobytes()], pa.binary()), found=pa.array([found.tobytes()], pa.binary()))
                 elif more:
                     windows, n = _windows(codes, found, length + 1)
-                    ends = pa.array(np.arange(0, windows.size + 1, length + 1), pa.int32())
-                    yield out(len(n), phrase=pa.ListArray.from_arrays(ends, pa.array(windows.ravel())), n=pa.array(n, pa.int64()))
+                    ends = pa.array(np.arange(ROWS + 1) * (length + 1), pa.int32())
+                    for start in range(0, len(n), ROWS):
+                        some = windows[start : start + ROWS]
+                        yield out(len(some), phrase=pa.ListArray.from_arrays(ends[: len(some) + 1], pa.array(some.ravel())), n=pa.array(n[start : start + ROWS], pa.int64()))
         there = np.flatnonzero(total)
         yield out(len(there), number=pa.array(there + offset), n=pa.array(total[there]))
 
@@ -329,7 +334,7 @@ def phrases(codes: DataFrame, least: int = LEAST, longest: int = LONGEST, size:
             shard = shard.sort_by("number")
             rows = shard.column("phrase").combine_chunks().flatten().to_numpy().reshape(-1, length)
             trie = context.broadcast(Trie(rows))  # SHARD phrases at most
-            done = materialise(_pass(blobs, trie, i * size + 1, length, i == tables - 1, length < longest), "counted")
+            done = materialise(_pass(blobs, trie, i * size + 1, length, i == tables - 1, length < longest), "counted", GROUP)
             counts.append(done.where("number IS NOT NULL").select("number", "n"))
             blobs = done.where("codes IS NOT NULL").select("codes", "found")
         summed = reduce(DataFrame.unionByName, counts).groupBy("number").agg(F.sum("n").alias("a"))
@@ -358,10 +363,11 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     without frequent words, gives an empty table. Other columns are ignored.
     """
     source = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(text_col, F.lit("")).alias("text"))
-    counted = materialise(word_counts(source, least), "word-counts")
-    totals = counted.where("word IS NULL").select("lang", F.col("n").alias("total"))
-    words, count = numbered(counted.where("word IS NOT NULL"), "vocabulary")
-    longer = materialise(phrases(encode(source, words, count, shard), least, longest, shard), "phrases")
+    with batches_of(docs.sparkSession, BATCH):
+        counted = materialise(word_counts(source, least), "word-counts")
+        totals = counted.where("word IS NULL").select("lang", F.col("n").alias("total"))
+        words, count = numbered(counted.where("word IS NOT NULL"), "vocabulary")
+        longer = materialise(phrases(encode(source, words, count, shard), least, longest, shard), "phrases")
     single = words.select(F.array(F.col("number").cast("int")).alias("phrase"), F.col("n").alias("a"))
     known = single.unionByName(longer)
     size = F.size("phrase")

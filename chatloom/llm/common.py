@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -41,18 +42,37 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage in a way that survives lost executors, lets several readers share one
     computation, and gives the planner the true size, so that it broadcasts the table only below
     ``spark.sql.autoBroadcastJoinThreshold``.
+
+    ``group_bytes``: for rows of megabytes, of which Parquet's writer takes a hundred before it looks at their size and its
+    reader a whole row group at once. Then it looks after each row, and ends row groups at so many bytes.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    options = {} if group_bytes is None else {"parquet.block.size": str(group_bytes)} | {f"parquet.{x}.size.row.check.min": "1" for x in ("block", "page")}
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def batches_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """For what runs within: Arrow batches on their way to Python end at ``size`` bytes (one row at least). Spark keeps each
+    batch several times outside the heap while it fills and travels; by its setting it may have 64 MB."""
+    before = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, f"{size}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
+
+
 #: Bits of one page of Spark's bitmap aggregates.
 _PAGE_BITS = 1 << 15
 

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -256,3 +257,24 @@ def test_queries_equal_their_sql(spark, sf_dir, name):
     got = QUERIES[name](spark, sf_dir).toPandas()
     assert sorted(got.columns) == sorted(want.columns)
     assert Counter(map(tuple, got[want.columns].astype(str).values.tolist())) == Counter(map(tuple, want.astype(str).values.tolist()))
+
+
+def test_phrase_arrays_are_bounded_in_memory(spark, monkeypatch):
+    """A partition of 30 MB of text becomes small row groups, and travels to Python in small batches."""
+    setting, seen, write = "spark.sql.execution.arrow.maxBytesPerBatch", [], collocations.materialise
+    before = spark.conf.get(setting)
+
+    def noted(df, *rest):
+        seen.append(int(spark.conf.get(setting).removesuffix("b")))
+        out = write(df, *rest)
+        sizes.extend(meta.row_group(i).total_byte_size for f in out.inputFiles() for meta in [pq.ParquetFile(f.removeprefix("file://")).metadata] for i in range(meta.num_row_groups))
+        return out
+
+    sizes: list[int] = []
+    monkeypatch.setattr(collocations, "materialise", noted)
+    word = F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda i: F.concat(F.lit("word"), F.pmod(F.xxhash64("id", i), F.lit(200)).cast("string")))
+    docs = spark.range(300).coalesce(1).select(F.lit("en").alias("lang"), F.concat(F.lit("alpha beta "), F.array_join(word, " ")).alias("text"))
+    got = {r.phrase: r.a for r in collocations.collocations(docs, least=300, longest=2).collect()}
+    assert got == {"alpha beta": 300}
+    assert len(seen) >= 5 and max(seen) <= 4 << 20 and spark.conf.get(setting) == before
+    assert sum(sizes) > 16 << 20 > max(sizes)
