@@ -6,6 +6,14 @@ functions on columns, so they also work on tables that hold the texts.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +30,8 @@ def write_files(rows: DataFrame, path: str, key: str | None = None, mode: str =
     number, not by size, so rows are dealt out to all cores however few bytes there are.
     """
     tasks = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    if key and mode == "overwrite" and (uri := _uri(rows.sparkSession, path)):
+        return _replace_files(rows.select(F.col(key).cast("string").alias("key"), "value").repartition(tasks, "key"), uri, key)
     # tasks put their files in place themselves; the driver would move them one by one
     options = {"mapreduce.fileoutputcommitter.algorithm.version": "2", "partitionOverwriteMode": "dynamic" if key and mode == "overwrite" else "static"}
     mode = "overwrite" if mode == "replace" else mode
@@ -31,6 +41,47 @@ def write_files(rows: DataFrame, path: str, key: str | None = None, mode: str =
         rows.select(key, "value").repartition(tasks, key).write.mode(mode).options(**options).partitionBy(key).text(path)
 
 
+def _uri(spark: SparkSession, path: str) -> str | None:
+    """The path in full, if it is in a store that tasks' Python workers reach as well."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+    full = re.sub(r"^file:/+", "file:///", full)
+    try:
+        fs.FileSystem.from_uri(full)
+    except (OSError, ValueError, NotImplementedError):
+        return None
+    return full
+
+
+def _folder(key: str, value: str | None) -> str:
+    """The name of a key's folder, as Spark's writers have it."""
+    return f"{key}=" + ("__HIVE_DEFAULT_PARTITION__" if not value else re.sub(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""", lambda x: f"%{ord(x[0]):02X}", value))
+
+
+def _replace_files(rows: DataFrame, uri: str, name: str) -> None:
+    """Writes the files of ``rows`` (key, value) in their tasks: Spark's writer has the driver delete and move each folder
+    that is replaced, one by one. A file is put in place whole, then what else its folder has goes."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(uri)
+        attempt, n = TaskContext.get().taskAttemptId(), 0
+        pairs = (pair for batch in batches for pair in zip(batch.column("key").to_pylist(), batch.column("value").to_pylist(), strict=True))
+        for key, its in groupby(pairs, itemgetter(0)):
+            folder = f"{root}/{_folder(name, key)}"
+            store.create_dir(folder)
+            with store.open_output_stream(part := f"{folder}/.{attempt}.tmp") as out:
+                for _, value in its:
+                    out.write(f"{value or ''}\n".encode())
+            store.move(part, whole := f"{folder}/data.txt")
+            for old in store.get_file_info(fs.FileSelector(folder)):
+                if old.is_file and old.path != whole:
+                    store.delete_file(old.path)
+            n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+    rows.sortWithinPartitions("key").mapInArrow(put, "n long").write.format("noop").mode("overwrite").save()
+
+
 def read_messages(spark: SparkSession, path: str, kind: str = "parquet", stream: bool = False) -> DataFrame:
     """A message log; as a stream, new files are new messages."""
     reader = spark.readStream if stream else spark.read

@@ -15,6 +15,18 @@ from pyspark.sql import functions as F
 from chatloom.sources.polls import Polls
 
 SCHEMA = "instance_id string, seq bigint, payload string"
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+def _listed(spark: SparkSession, glob: str) -> DataFrame:
+    """The files of ``glob``, a row each. Folders are listed by as many tasks as there are cores to fill: by Spark's setting each of the
+    first ten thousand would have a task of its own, at every poll."""
+    before = spark.conf.get(LISTING)
+    spark.conf.set(LISTING, min(int(before), 4 * spark.sparkContext.defaultParallelism))
+    try:
+        return spark.read.text(glob, wholetext=True, recursiveFileLookup=True)
+    finally:
+        spark.conf.set(LISTING, before)
 
 
 def log_changes(spark: SparkSession, glob: str, log: str, number: int, instance: Column | None = None, slack_ms: int = 600_000) -> None:
@@ -28,7 +40,7 @@ def log_changes(spark: SparkSession, glob: str, log: str, number: int, instance:
         before = spark.read.schema(f"{SCHEMA}, poll bigint").parquet(log).where(F.col("poll") < number)
         seen = before.groupBy("instance_id").agg(F.max("seq").alias("seen"))
     newest = seen.agg(F.max(F.col(seen.columns[1]))).first()[0]
-    files = spark.read.text(glob, wholetext=True, recursiveFileLookup=True)
+    files = _listed(spark, glob)
     if newest is not None:
         files = files.where(F.col("_metadata.file_modification_time") >= F.timestamp_millis(F.lit(newest - slack_ms)))
     rows = files.select((F.col("_metadata.file_path") if instance is None else instance).alias("instance_id"), F.unix_millis("_metadata.file_modification_time").alias("seq"), F.col("value").alias("payload"))

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chatloom.sources import polls, state_files
+from chatloom.sources.io import write_files
 from chatloom.sources.store import LatestStore
 
 
@@ -69,6 +70,34 @@ def test_changed_files_come_once_each(spark, tmp_path):
     assert plan.count() == 1
 
 
+def test_many_files_are_rewritten_and_listed_by_few_tasks(spark, tmp_path):
+    """Files of keys that are written again keep their paths; odd names are those of Spark's writer; no task for each folder."""
+    folder, log, keys = str(tmp_path / "states"), str(tmp_path / "log"), ["a b", "x=1/2", "100%", 'q"\'', "ü", None]
+    rows = spark.range(300).select(F.coalesce(*(F.when(F.col("id") == i, k) for i, k in enumerate(keys[:-1])), F.when(F.col("id") != 5, F.col("id").cast("string"))).alias("key"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("value"))
+    write_files(rows, folder, "key")
+    named = {d for d in os.listdir(folder) if d.startswith("key=")}
+    state_files.log_changes(spark, folder, log, 0, F.regexp_extract("_metadata.file_path", r"/key=([^/]*)/", 1))
+    write_files(rows, folder, "key", mode="overwrite")
+    first = set(glob.glob(f"{folder}/key=*/*"))
+    assert {d for d in os.listdir(folder) if d.startswith("key=")} == named and len(first) == 300
+    write_files(rows.where("key IS NULL OR length(key) < 3 OR key = '299'").withColumn("value", F.lit("new\nlines")), folder, "key", mode="overwrite")
+    assert set(glob.glob(f"{folder}/key=*/*")) == first
+    for k in named:
+        new = k == "key=299" or k == "key=__HIVE_DEFAULT_PARTITION__" or k[4:].isdigit() and len(k) < 7 or k == "key=ü"
+        (file,) = os.listdir(f"{folder}/{k}")
+        text = open(f"{folder}/{k}/{file}").read()
+        assert text == "new\nlines\n" if new else text.startswith("v")
+    spark.sparkContext.setJobGroup("listing", "")
+    try:
+        state_files.log_changes(spark, folder, log, 1, F.regexp_extract("_metadata.file_path", r"/key=([^/]*)/", 1))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert 1 < max(s.numTasks for s in stages if s) <= 4 * spark.sparkContext.defaultParallelism
+    assert spark.read.parquet(log).where("poll = 1").count() == 300
+
+
 SCHEMA = "k bigint, n bigint, v string"
 
 
