@@ -13,7 +13,7 @@ from chatloom.operators import lifecycle as lc
 from chatloom.operators import memory as m
 from chatloom.operators import monitor as mo
 from chatloom.operators import state as st
-from chatloom.operators.routing import RULES, build_routing_prompts
+from chatloom.operators.routing import RULES
 from chatloom.sources import io
 from chatloom.streaming import processors as p
 from chatloom.streaming.runs import available_now, shared_path, stream_table, until_idle
@@ -138,7 +138,7 @@ SELECT turn_id, i.domain, kind, pos, name FROM picks p JOIN catalog i ON i.domai
 def f2_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = pt.catalog(spark, sf_dir)
     turns = pt.replies(spark, sf_dir).select("turn_id", "domain", F.col("reply").alias("request"), F.lit("").alias("summary"), F.lit("").alias("last_exchange"))
-    return h.routed(build_routing_prompts(turns, items), _first_item, items)
+    return h.routed_turns(turns, _first_item, items)
 
 
 def _double(k: int) -> int:

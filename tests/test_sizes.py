@@ -127,3 +127,26 @@ def test_states_are_parsed_in_projections_of_many_tasks(spark, sf_dir):
         plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         parsing = [line for line in plan.splitlines() if "Generate explode(array(" in line]
         assert "hashpartitioning(" in plan and len(parsing) > 1 and all("explode(array(_once#" in line for line in parsing)
+
+
+def test_prompts_reach_a_classifier_without_rows_that_hold_them(spark, sf_dir, monkeypatch):
+    """Turns of a large domain, of a small one, of none, one without a request, and a classifier that fails: as with prompts in rows;
+    copies of a domain's text go by its share of all bytes, and no queue of rows keeps prompts."""
+    monkeypatch.setattr(routing, "SLICE_BYTES", 1 << 14)
+    items = _catalog(spark, 500).withColumn("description", F.when(F.col("pos") != 7, F.repeat("name", F.lit(20))).otherwise(""))
+    items = items.unionByName(items.where("pos < 2").withColumn("domain", F.lit("e")))
+    domain = F.when(F.col("id") % 50 == 0, "e").when(F.col("id") % 50 == 1, "none").when(F.col("id") % 50 != 2, "d")
+    turns = spark.range(400).coalesce(1).select(F.col("id").alias("turn_id"), domain.alias("domain"), F.when(F.col("id") != 3, F.concat(F.lit("go "), F.col("id").cast("string"))).alias("request"), F.when(F.col("id") % 3 == 0, "s").alias("summary"), F.lit("x").alias("last_exchange"))
+
+    def pick(prompt: str) -> str:
+        if len(prompt) % 5 == 0:
+            raise ValueError
+        return f'["n{len(prompt) % 400}", "n{sum(map(ord, prompt)) % 400}"]'
+
+    want = hooks.routed(routing.build_routing_prompts(turns, items), pick, items).collect()
+    got = hooks.routed_turns(turns, pick, items).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len({r.turn_id for r in got if r.domain == "d"}) > 300
+    parts = routing.prompts_in_parts(turns, items).withColumn("task", F.spark_partition_id()).where("catalog_text IS NOT NULL").collect()
+    assert 4 <= len({r.task for r in parts if r.domain == "d"}) and len(parts) <= 4 * routing.SLICES + 2
+    plan = catalogue.QUERIES["f2_routed"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
