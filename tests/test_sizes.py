@@ -150,3 +150,12 @@ def test_prompts_reach_a_classifier_without_rows_that_hold_them(spark, sf_dir, m
     assert 4 <= len({r.task for r in parts if r.domain == "d"}) and len(parts) <= 4 * routing.SLICES + 2
     plan = catalogue.QUERIES["f2_routed"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+
+
+def test_selections_are_cut_finely(spark):
+    """Turns that select all of two domains of 40 blocks: no task makes many times the rows of a core's share."""
+    items = _catalog(spark, 40_000)
+    items = items.unionByName(items.withColumn("domain", F.lit("e")))
+    replies = spark.range(20).coalesce(1).select(F.col("id").alias("turn_id"), F.when(F.col("id") % 2 == 0, "d").otherwise("e").alias("domain"), F.lit("all").alias("reply"))
+    rows = routing.select_routed(replies, items).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in rows) == 800_000 and len(rows) > 30 and max(r["count"] for r in rows) < 80_000
